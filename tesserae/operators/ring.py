@@ -1,0 +1,102 @@
+"""Token-ring placement: key token -> owning vnode -> RF distinct replica nodes.
+
+The ring (nodes x vnodes tokens) is cluster configuration, bounded by its
+node and vnode counts; the data side (keys) is unbounded. Keys are never
+collected or windowed; they meet the ring through an equi join on a token
+bin followed by an exact range check, the standard way to run a range join
+as a hash join.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+LONG_MIN = -(2 ** 63)
+LONG_MAX = 2 ** 63 - 1
+# a ring above this many vnodes is joined by shuffle instead of broadcast
+BROADCAST_RING_MAX = 1 << 20
+
+
+def ring_intervals(ring: DataFrame, rf: int = 3) -> DataFrame:
+    """One row per vnode: ``(lo, hi]`` token interval it owns, and its replica
+    list (the first ``rf`` distinct nodes walking clockwise from it).
+
+    The ring is folded into one sorted array (bounded by ring size), and the
+    per-vnode rows are produced from it with ``explode``: no join with the
+    data, no cross join, no window over data rows.
+    """
+    arr = ring.agg(F.sort_array(F.collect_list(F.struct(F.col("token").alias("t"),
+                                                        F.col("node").alias("n")))).alias("r"))
+    n = F.size("r")
+
+    def at(i):
+        return F.element_at(F.col("r"), (F.pmod(i, n) + 1).cast("int"))
+
+    def walk(i):
+        # first rf distinct nodes from position i; stops adding once rf are held
+        return F.aggregate(
+            F.sequence(F.lit(0), n - 1),
+            F.array().cast("array<bigint>"),
+            lambda acc, j: F.when(F.size(acc) >= rf, acc).otherwise(
+                F.array_distinct(F.concat(acc, F.array(at(i + j)["n"].cast("bigint"))))),
+        )
+
+    per = arr.select(F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(
+        i.alias("pos"),
+        at(i)["t"].alias("token"),
+        at(i)["n"].alias("node"),
+        F.when(i == 0, F.lit(None).cast("bigint")).otherwise(at(i - 1)["t"]).alias("prev"),
+        walk(i).alias("replicas"),
+    ))).alias("v")).select("v.*")
+    return per
+
+
+def _bins(lo, hi, base: int, width: int):
+    """Bins ``floor((t - base) / width)`` covered by tokens ``[lo, hi]``."""
+    return F.sequence(_bin(lo, base, width), _bin(hi, base, width))
+
+
+def _bin(t, base: int, width: int):
+    # double arithmetic: monotone in t and free of bigint overflow
+    return F.floor((t.cast("double") - F.lit(float(base))) / F.lit(float(width))).cast("long")
+
+
+def place(keys: DataFrame, ring: DataFrame, token_col: str = "key_token", rf: int = 3,
+          bins_per_vnode: int = 4) -> DataFrame:
+    """Replica placement for every key row.
+
+    Adds ``vnode_token`` (first ring token >= key token, wrapping to the
+    smallest), ``replica`` (1..rf) and ``node``: rf output rows per key.
+
+    Ring-side intervals are exploded into token bins of width ~ ring span /
+    (bins_per_vnode * vnodes); each key joins the bin of its token and keeps
+    the one interval containing it. Keys outside [min, max] ring token go to
+    bin -1, the wrap interval of the first vnode.
+    """
+    stats = ring.agg(F.min("token").alias("lo"), F.max("token").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    if stats is None or stats["n"] == 0:
+        raise ValueError("empty ring")
+    lo, hi, n = int(stats["lo"]), int(stats["hi"]), int(stats["n"])
+    width = max(1, -(-(hi - lo + 1) // (bins_per_vnode * n)))
+
+    iv = ring_intervals(ring, rf)
+    # interval of vnode i is (prev, token]; the first vnode's inner part is [lo, lo]
+    inner = iv.select(
+        "token", "replicas",
+        F.coalesce(F.col("prev") + 1, F.col("token")).alias("a"),
+        F.col("token").alias("b"),
+    ).withColumn("bin", F.explode(_bins(F.col("a"), F.col("b"), lo, width)))
+    wrap = iv.filter(F.col("pos") == 0).select(
+        "token", "replicas", F.lit(LONG_MIN).alias("a"), F.lit(LONG_MAX).alias("b"), F.lit(-1).cast("long").alias("bin"))
+    table = inner.unionByName(wrap)
+    if n <= BROADCAST_RING_MAX:
+        table = F.broadcast(table)
+
+    t = F.col(token_col)
+    k = keys.withColumn("_bin", F.when((t < lo) | (t > hi), F.lit(-1).cast("long"))
+                        .otherwise(_bin(t, lo, width)))
+    j = k.join(table, (F.col("_bin") == F.col("bin")) & (t >= F.col("a")) & (t <= F.col("b")))
+    return (j.select(*keys.columns, F.col("token").alias("vnode_token"),
+                     F.posexplode("replicas").alias("replica", "node"))
+            .withColumn("replica", (F.col("replica") + 1).cast("int")))
