@@ -175,6 +175,11 @@ def insert_many(collection: DataFrame | None, docs: DataFrame, key: str = "_id")
     Fields absent on one side become nulls (schemas are unioned by name).
     """
     if key not in docs.columns:
+        if collection is not None and key in collection.columns and \
+                not isinstance(collection.schema[key].dataType, T.StringType):
+            raise ValueError(f"collection {key} is {collection.schema[key].dataType.simpleString()}: pass ids")
+        # uuid() is drawn once per committed task attempt; persist the result
+        # (write or checkpoint) before reusing it in more than one action
         docs = docs.withColumn(key, F.expr("uuid()"))
     if collection is None:
         return docs

@@ -20,10 +20,19 @@ def unordered_pairs(df: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
             .distinct())
 
 
-def symmetric_closure(pairs: DataFrame) -> DataFrame:
-    """Both directions of every pair, without duplicates."""
-    p = pairs.select("src", "dst")
-    return p.union(p.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+def symmetric_closure(pairs: DataFrame, normalized: bool = False) -> DataFrame:
+    """Both directions of every pair, without duplicates.
+
+    One pass over ``pairs`` (each row explodes into its two directions).
+    ``normalized=True`` says the input is already a set of ``src < dst``
+    pairs (as ``unordered_pairs`` makes): the two directions can then never
+    collide, so no dedupe shuffle is needed.
+    """
+    both = pairs.select(F.explode(F.array(
+        F.struct(F.col("src").alias("src"), F.col("dst").alias("dst")),
+        F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")),
+    )).alias("e")).select("e.src", "e.dst")
+    return both if normalized else both.distinct()
 
 
 def node_ids(nodes: DataFrame, pred=None) -> DataFrame:
@@ -67,9 +76,9 @@ def merge_nodes(current: DataFrame, incoming: DataFrame, set_cols: Sequence[str]
 def merge_edges(existing: DataFrame, pairs: DataFrame) -> DataFrame:
     """``MERGE (a)-[:r]->(b) MERGE (b)-[:r]->(a)``: add both directions of
     each pair unless already present; never duplicates."""
-    new = symmetric_closure(pairs)
-    cur = existing.select("src", "dst")
-    return cur.unionByName(new.join(cur, ["src", "dst"], "left_anti"))
+    both = symmetric_closure(pairs, normalized=True)
+    # set union in one partial+final aggregate (no anti-join shuffle)
+    return existing.select("src", "dst").unionByName(both).distinct()
 
 
 def detach_delete(nodes: DataFrame, edges: DataFrame, doomed: DataFrame, key: str = "id"):

@@ -131,7 +131,7 @@ def pairs(spark: SparkSession, sf_dir: str, before: str | None = None) -> DataFr
 def edges(spark: SparkSession, sf_dir: str, before: str | None = None) -> DataFrame:
     """``pairs`` stored both ways."""
     from ..operators.graph import symmetric_closure
-    return symmetric_closure(pairs(spark, sf_dir, before))
+    return symmetric_closure(pairs(spark, sf_dir, before), normalized=True)
 
 
 def metric_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
