@@ -18,36 +18,41 @@ LONG_MAX = 2 ** 63 - 1
 BROADCAST_RING_MAX = 1 << 20
 
 
-def ring_intervals(ring: DataFrame, rf: int = 3) -> DataFrame:
-    """One row per vnode: ``(lo, hi]`` token interval it owns, and its replica
+def ring_intervals(ring: DataFrame, rf: int = 3, window: int | None = None) -> DataFrame:
+    """One row per vnode: ``(prev, token]`` interval it owns, and its replica
     list (the first ``rf`` distinct nodes walking clockwise from it).
 
-    The ring is folded into one sorted array (bounded by ring size), and the
-    per-vnode rows are produced from it with ``explode``: no join with the
-    data, no cross join, no window over data rows.
+    The ring is folded into one sorted array (size = nodes x vnodes, fixed by
+    cluster configuration, not by data) and the per-vnode rows are exploded
+    from it: no join with the data, no cross join, no window over data rows.
+    Replicas come from a short slice of the doubled ring (``window`` vnodes,
+    default 4*rf); a vnode whose slice holds fewer than ``rf`` distinct nodes
+    falls back to the whole ring, so the answer is exact. Work is
+    O(vnodes * window) apart from those fallbacks.
     """
+    w = window or 4 * rf
     arr = ring.agg(F.sort_array(F.collect_list(F.struct(F.col("token").alias("t"),
                                                         F.col("node").alias("n")))).alias("r"))
-    n = F.size("r")
+    arr = arr.select("r", F.concat("r", "r").alias("r2"), F.size("r").alias("n"))
+    n = F.col("n")
 
     def at(i):
         return F.element_at(F.col("r"), (F.pmod(i, n) + 1).cast("int"))
 
-    def walk(i):
-        # first rf distinct nodes from position i; stops adding once rf are held
-        return F.aggregate(
-            F.sequence(F.lit(0), n - 1),
-            F.array().cast("array<bigint>"),
-            lambda acc, j: F.when(F.size(acc) >= rf, acc).otherwise(
-                F.array_distinct(F.concat(acc, F.array(at(i + j)["n"].cast("bigint"))))),
-        )
+    def nodes_from(i, length):
+        # distinct nodes, in clockwise order, of the `length` vnodes from position i
+        return F.array_distinct(F.transform(F.slice(F.col("r2"), i + 1, length), lambda x: x["n"]))
+
+    def replicas(i):
+        near = nodes_from(i, F.least(n, F.lit(w)))
+        return F.slice(F.when(F.size(near) >= rf, near).otherwise(nodes_from(i, n)), 1, rf)
 
     per = arr.select(F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(
         i.alias("pos"),
         at(i)["t"].alias("token"),
         at(i)["n"].alias("node"),
         F.when(i == 0, F.lit(None).cast("bigint")).otherwise(at(i - 1)["t"]).alias("prev"),
-        walk(i).alias("replicas"),
+        replicas(i).alias("replicas"),
     ))).alias("v")).select("v.*")
     return per
 

@@ -89,3 +89,11 @@ def test_ring_full_64bit_tokens(spark):
     keys = spark.createDataFrame([(1, -(2 ** 63)), (2, 2 ** 63 - 1), (3, 1), (4, -big)], "k long, key_token long")
     own = {x["k"]: x["vnode_token"] for x in ring.place(keys, r, rf=1).collect()}
     assert own == {1: -big, 2: -big, 3: big, 4: -big}
+
+
+def test_ring_walk_falls_back_past_window(spark):
+    # node 0 owns 20 consecutive vnodes, longer than the default window (12)
+    rows = [(0, v, 10 * v) for v in range(20)] + [(1, 0, 500), (2, 0, 600)]
+    iv = {x["token"]: list(x["replicas"]) for x in ring.ring_intervals(_ring(spark, rows), rf=3).collect()}
+    assert iv[0] == [0, 1, 2] and iv[500] == [1, 2, 0] and iv[600] == [2, 0, 1]
+    assert all(len(set(v)) == 3 for v in iv.values())

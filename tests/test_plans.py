@@ -1,0 +1,73 @@
+"""Plan-shape checks: pushdown, pruning, no cartesian products, no Python
+in expression paths, top-k instead of full sorts."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from tesserae.operators import documents as doc
+from tesserae.operators import keyed, rank
+from tesserae.plans.queries import QUERIES
+from tesserae.schemas import USER_METRICS_KEY
+from tesserae.session import scratch_path
+from tesserae.sources import fixtures as fx
+
+from .conftest import SF_SMALL
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_no_cartesian_or_nested_loop(spark, name):
+    if name.startswith("stream_") or name.endswith("_roundtrip"):
+        pytest.skip("writes as a side effect")
+    p = plan(QUERIES[name](spark, SF_SMALL))
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, p
+
+
+def test_expression_generator_has_no_python(spark):
+    p = plan(QUERIES["gen_people_expr"](spark, SF_SMALL))
+    assert "Python" not in p and "MapInPandas" not in p and "WholeStageCodegen" in p or "*(" in p
+
+
+def test_filters_pushed_and_columns_pruned(spark):
+    path = scratch_path(spark, "um.parquet")
+    fx.user_metrics(spark, SF_SMALL).write.parquet(path)
+    um = spark.read.parquet(path)
+    p = plan(um.filter(F.col("session_duration") >= 120).select("city"))
+    assert "PushedFilters: [IsNotNull(session_duration), GreaterThanOrEqual(session_duration,120)]" in p
+    assert "ReadSchema: struct<city:string,session_duration:int>" in p
+    p = plan(keyed.point(um, city="X", user_id=7))
+    assert "EqualTo(city,X)" in p and "EqualTo(user_id,7)" in p
+
+
+def test_nested_projection_prunes_nested_columns(spark):
+    path = scratch_path(spark, "users.parquet")
+    fx.users(spark, SF_SMALL).write.parquet(path)
+    u = spark.read.parquet(path)
+    p = plan(doc.project(u, ["name", "profile.job"]))
+    assert "ReadSchema: struct<name:string,profile:struct<job:string>>" in p
+    p = plan(doc.count_matching(u, F.col("profile.location.lat") > 0))
+    assert "ReadSchema: struct<profile:struct<location:struct<lat:double>>>" in p
+    assert "GreaterThan(profile.location.lat,0.0)" in p
+
+
+def test_topk_is_take_ordered(spark):
+    for name in ["topk_latest", "topk_group", "doc_collation_sort", "cql_limit", "doc_array_contains"]:
+        assert "TakeOrderedAndProject" in plan(QUERIES[name](spark, SF_SMALL)), name
+
+
+def test_upsert_aggregates_partially_before_shuffle(spark):
+    p = plan(QUERIES["upsert_lww"](spark, SF_SMALL))
+    assert "partial_max_by" in p
+
+
+def test_ring_join_is_equi_join(spark):
+    p = plan(QUERIES["ring_placement"](spark, SF_SMALL))
+    assert "BroadcastHashJoin" in p or "SortMergeJoin" in p
+
+
+def test_kv_stats_aggregate_before_join(spark):
+    p = plan(QUERIES["kv_node_stats"](spark, SF_SMALL))
+    assert p.index("Join") < p.index("partial_count")  # partial count sits below the join
