@@ -577,3 +577,37 @@ def clustered_layout(spark, sf):
 def stream_kv_set(spark, sf):
     from ..streaming.upsert import stream_kv_writes
     return stream_kv_writes(spark, sf)
+
+
+# ------------------------------------------------ lookups the labs chain
+
+@q("cql_replicas", W(f"""WITH hit AS ({SEEK_SQL}),
+r AS (SELECT token, node, row_number() OVER (ORDER BY token) - 1 AS pos, count(*) OVER () AS n FROM ring),
+walk AS (SELECT a.token, b.node, min((b.pos - a.pos + a.n) % a.n) AS dist FROM r a, r b GROUP BY a.token, b.node),
+reps AS (SELECT token, node, row_number() OVER (PARTITION BY token ORDER BY dist) AS replica FROM walk),
+own AS (SELECT city, user_id, {kt('city')} % 65536 AS key_token FROM hit),
+own2 AS (SELECT *, coalesce((SELECT min(token) FROM ring WHERE token >= own.key_token), (SELECT min(token) FROM ring)) AS vnode_token FROM own)
+SELECT o.city, o.user_id, o.key_token, o.vnode_token, CAST(p.replica AS INT) AS replica, p.node
+FROM own2 o JOIN reps p ON o.vnode_token = p.token WHERE p.replica <= 3""", "user_metrics", "ring"))
+def cql_replicas(spark, sf):
+    """Nodes storing the row found by the token seek (its partition key's
+    token folded into the ring's 16-bit token space)."""
+    from ..functions.scalars import key_token
+    hit = keyed.token_seek(fx.user_metrics(spark, sf), USER_METRICS_KEY, SEEK_TOKEN)
+    keys = hit.select("city", "user_id", F.pmod(key_token("city"), F.lit(65536)).alias("key_token"))
+    return ring.place(keys, fx.ring(spark, sf), "key_token", rf=3)
+
+
+@q("doc_set_one_nomatch", W("SELECT _id, active FROM users_flat", "users_flat"))
+def doc_set_one_nomatch(spark, sf):
+    """``update_one({"email": "example@user.com"}, ...)`` matches no document:
+    nothing changes and nothing is inserted."""
+    u = _users(spark, sf)
+    return mutate.set_first(u, F.col("email") == "example@user.com", {"active": False}).select("_id", "active")
+
+
+@q("partition_hosts")
+def partition_hosts(spark, sf):
+    """Rows per (executor host, partition) of the executor-side generator."""
+    people = gen.people_map(_order_ids(spark, sf).repartition(10), hostname_worker=True)
+    return layout.partition_stats(people, ["worker"])
