@@ -1,0 +1,56 @@
+"""A keyed table kept as committed versions under a shared folder.
+
+Every mutation is a pure function of the live version (``keyed``,
+``mutate``) whose result is written as the next version
+(``files.write_version``); the pointer swap is the commit, so a job lost
+half-way leaves the previous version live, and the next read starts from
+files (no lineage carried between mutations).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import types as T
+
+from ..schemas import KeySpec
+from ..sources import files
+from . import keyed
+
+
+class VersionedTable:
+    def __init__(self, spark: SparkSession, path: str, key: KeySpec, schema: T.StructType | None = None):
+        self.spark, self.path, self.key, self.schema = spark, path, key, schema
+
+    def read(self) -> DataFrame | None:
+        return files.read_version(self.spark, self.path, self.schema)
+
+    def version(self) -> int | None:
+        cur = files.current_version(self.spark, self.path)
+        return None if cur is None else int(cur["version"])
+
+    def _commit(self, df: DataFrame) -> int:
+        return int(files.write_version(self.spark, df, self.path)["version"])
+
+    def insert(self, batches: Sequence[DataFrame] | DataFrame, version: Sequence[str] = ()) -> int:
+        """INSERT (upsert on the primary key) of one or more batches, one commit."""
+        return self._commit(keyed.upsert(self.read(), batches, self.key, version))
+
+    def delete_where(self, pred: Column) -> int:
+        cur = self.read()
+        if cur is None:
+            raise ValueError("no live version")
+        return self._commit(keyed.delete_where(cur, pred))
+
+    def purge_expired(self, as_of, col: str = "expires_at") -> int:
+        cur = self.read()
+        if cur is None:
+            raise ValueError("no live version")
+        return self._commit(keyed.live(cur, as_of, col))
+
+    def truncate(self) -> int:
+        cur = self.read()
+        if cur is None:
+            raise ValueError("no live version")
+        return self._commit(cur.filter("false"))

@@ -611,3 +611,25 @@ def partition_hosts(spark, sf):
     """Rows per (executor host, partition) of the executor-side generator."""
     people = gen.people_map(_order_ids(spark, sf).repartition(10), hostname_worker=True)
     return layout.partition_stats(people, ["worker"])
+
+
+# ------------------------------------------------------- persisted tables
+
+@q("store_upsert_versioned", W(UPSERT_SQL.format(more=""), "user_metrics", "metric_changes"))
+def store_upsert_versioned(spark, sf):
+    """Version 0 = user_metrics, version 1 = after the change stream."""
+    from ..operators.store import VersionedTable
+    t = VersionedTable(spark, scratch_path(spark, "user-metrics-store"), USER_METRICS_KEY)
+    t.insert(fx.user_metrics(spark, sf))
+    t.insert(fx.metric_changes(spark, sf), version=("last_access", "seq"))
+    return t.read()
+
+
+@q("keyed_bucket_counts", W("SELECT city, count(*) AS rows FROM user_metrics GROUP BY city", "user_metrics"))
+def keyed_bucket_counts(spark, sf):
+    """Rows per partition key from a bucketed table: the aggregate reads
+    co-located buckets, so the plan has no exchange."""
+    import uuid
+    name = f"user_metrics_{uuid.uuid4().hex[:8]}"
+    catalog.write_keyed(fx.user_metrics(spark, sf), name, USER_METRICS_KEY, 8, scratch_path(spark, name))
+    return spark.table(name).groupBy("city").agg(F.count(F.lit(1)).alias("rows"))

@@ -50,6 +50,15 @@ def create_keyed_table(spark: SparkSession, name: str, schema: T.StructType, key
     )
 
 
+def write_keyed(df: DataFrame, name: str, key: KeySpec, buckets: int, location: str, mode: str = "overwrite") -> None:
+    """Persist a keyed table bucketed by the partition key and sorted by the
+    full key. Later aggregations and joins on the partition key read the
+    buckets already co-located (no shuffle); the files go to ``location``
+    (a shared folder), never to a machine-local warehouse."""
+    (df.write.mode(mode).format("parquet").option("path", location)
+     .bucketBy(int(buckets), *key.partition).sortBy(*key.primary).saveAsTable(name))
+
+
 def table_key(spark: SparkSession, name: str) -> KeySpec:
     rows = spark.sql(f"SHOW TBLPROPERTIES {name} ('tesserae.key')").collect()
     d = json.loads(rows[0]["value"])

@@ -74,3 +74,22 @@ def test_namespace_and_keyed_table(spark):
     assert catalog.table_key(spark, "tess_ns.user_metrics") == USER_METRICS_KEY
     catalog.drop_table(spark, "tess_ns.user_metrics")
     catalog.drop_namespace(spark, "tess_ns")
+
+
+def test_versioned_table_lifecycle(spark):
+    from tesserae.operators.store import VersionedTable
+    from tesserae.schemas import KeySpec
+    import datetime as dt
+    k = KeySpec(("k",), (), ("ts",))
+    t = VersionedTable(spark, scratch_path(spark, "vt2"), k)
+    assert t.read() is None and t.version() is None
+    a = spark.createDataFrame([(1, "a", dt.datetime(2024, 1, 1), None), (2, "b", dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2))],
+                              "k long, v string, ts timestamp_ntz, expires_at timestamp_ntz")
+    assert t.insert(a) == 0
+    b = spark.createDataFrame([(1, "a2", dt.datetime(2024, 1, 3), None)], a.schema)
+    assert t.insert(b) == 1
+    assert sorted(tuple(r)[:2] for r in t.read().collect()) == [(1, "a2"), (2, "b")]
+    t.purge_expired("2024-01-05 00:00:00")
+    assert [r["k"] for r in t.read().collect()] == [1]
+    t.delete_where(F.col("k") == 1)
+    assert t.read().count() == 0 and t.version() == 3

@@ -71,3 +71,8 @@ def test_ring_join_is_equi_join(spark):
 def test_kv_stats_aggregate_before_join(spark):
     p = plan(QUERIES["kv_node_stats"](spark, SF_SMALL))
     assert p.index("Join") < p.index("partial_count")  # partial count sits below the join
+
+
+def test_bucketed_aggregate_has_no_exchange(spark):
+    p = plan(QUERIES["keyed_bucket_counts"](spark, SF_SMALL))
+    assert "Exchange" not in p, p
