@@ -633,3 +633,16 @@ def keyed_bucket_counts(spark, sf):
     name = f"user_metrics_{uuid.uuid4().hex[:8]}"
     catalog.write_keyed(fx.user_metrics(spark, sf), name, USER_METRICS_KEY, 8, scratch_path(spark, name))
     return spark.table(name).groupBy("city").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@q("store_upsert_buckets", W(UPSERT_SQL.format(more=""), "user_metrics", "metric_changes"))
+def store_upsert_buckets(spark, sf):
+    """The change stream merged into a bucket-partitioned table: only the
+    buckets the changes hash to are read and rewritten."""
+    import uuid
+    from ..operators.store import BucketedKeyedTable
+    name = f"um_buckets_{uuid.uuid4().hex[:8]}"
+    t = BucketedKeyedTable(spark, name, USER_METRICS_KEY, buckets=16)
+    t.create(fx.user_metrics(spark, sf), scratch_path(spark, name))
+    t.upsert(fx.metric_changes(spark, sf), version=("last_access", "seq"))
+    return t.read()

@@ -108,3 +108,34 @@ def test_slot_table_covers_all_slots_once(spark):
     m = spark.createDataFrame([(0,), (1,), (2,)], "node long")
     s = kv.slot_table(m, 3)
     assert s.count() == kv.SLOTS and s.select("slot").distinct().count() == kv.SLOTS
+
+
+def test_bucketed_table_touches_only_changed_buckets(spark):
+    import uuid
+    from tesserae.operators.store import BUCKET, BucketedKeyedTable
+    from tesserae.session import scratch_path
+    k = KeySpec(("city",), ("user_id",), ("ts", "seq"))
+    name = f"bt_{uuid.uuid4().hex[:6]}"
+    t = BucketedKeyedTable(spark, name, k, buckets=4)
+    base = spark.createDataFrame([(c, i, f"u{i}", i, T0, 0) for c in "ABCDEFGH" for i in range(3)], SCHEMA)
+    t.create(base, scratch_path(spark, name))
+    def files_by_bucket():
+        out = {}
+        for r in spark.table(name).select(BUCKET, "_metadata.file_path").collect():
+            out.setdefault(r[0], set()).add(r[1])
+        return out
+
+    files_before = files_by_bucket()
+    change = spark.createDataFrame([("A", 0, "new", 99, T1, 1), ("A", 7, "ins", 1, T1, 1)], SCHEMA)
+    t.upsert(change)
+    got = {(r["city"], r["user_id"]): r["username"] for r in t.read().collect()}
+    assert got[("A", 0)] == "new" and got[("A", 7)] == "ins" and len(got) == 25
+    files_after = files_by_bucket()
+    a_bucket = spark.table(name).filter("city = 'A'").select(BUCKET).first()[0]
+    assert all(files_after[b] == files_before[b] for b in files_before if b != a_bucket)
+    assert files_after[a_bucket] != files_before[a_bucket]
+    # the read side of the upsert prunes partitions at run time
+    p = t.current([a_bucket])._jdf.queryExecution().executedPlan().toString()
+    assert f"PartitionFilters: [isnotnull(_bucket" in p and f"(_bucket#" in p
+    t.delete_where(F.col("city") == "A")
+    assert t.read().filter("city = 'A'").count() == 0 and t.read().count() == 21
