@@ -1,0 +1,86 @@
+"""Property tests (hypothesis) on small random inputs."""
+
+import datetime as dt
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from tesserae.operators import graph, keyed, ring
+from tesserae.schemas import KeySpec
+
+SETTINGS = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+K = KeySpec(("k",), (), ("ts", "seq"))
+SCHEMA = "k int, v string, ts timestamp_ntz, seq long"
+T0 = dt.datetime(2024, 1, 1)
+
+writes = st.lists(st.tuples(st.integers(0, 4), st.sampled_from(["a", "b", "c", None]),
+                            st.integers(0, 3), st.integers(0, 3)), min_size=1, max_size=25)
+
+
+def _frame(spark, rows):
+    return spark.createDataFrame([(k, v, T0 + dt.timedelta(hours=h), s) for k, v, h, s in rows], SCHEMA)
+
+
+def _rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def _expected(rows):
+    best = {}
+    for k, v, h, s in rows:
+        cand = (h, s, v is not None, v or "")
+        if k not in best or cand > best[k][0]:
+            best[k] = (cand, v)
+    return {k: v for k, (_, v) in best.items()}
+
+
+@SETTINGS
+@given(writes)
+def test_upsert_matches_brute_force_and_is_order_free(spark, rows):
+    got = {r["k"]: r["v"] for r in keyed.upsert(None, _frame(spark, rows), K).collect()}
+    assert got == _expected(rows)
+    rev = keyed.upsert(None, _frame(spark, list(reversed(rows))).repartition(3), K)
+    assert {r["k"]: r["v"] for r in rev.collect()} == got
+
+
+@SETTINGS
+@given(writes, writes)
+def test_upsert_idempotent_and_associative_over_batches(spark, a, b):
+    fa, fb = _frame(spark, a), _frame(spark, b)
+    once = keyed.upsert(keyed.upsert(None, fa, K), fb, K)
+    assert _rows(keyed.upsert(once, fb, K)) == _rows(once)
+    assert _rows(keyed.upsert(None, [fa, fb], K)) == _rows(once)
+
+
+pairs = st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6)), max_size=20)
+
+
+@SETTINGS
+@given(pairs, pairs)
+def test_graph_merge_and_closure_properties(spark, p1, p2):
+    mk = lambda ps: spark.createDataFrame(ps, "src long, dst long")
+    u1 = graph.unordered_pairs(mk(p1))
+    clo = graph.symmetric_closure(u1, normalized=True)
+    c = {tuple(r) for r in clo.collect()}
+    assert c == {(a, b) for a, b in p1 if a != b} | {(b, a) for a, b in p1 if a != b}
+    assert clo.count() == len(c)
+    m = graph.merge_edges(clo, mk(p2))
+    assert _rows(graph.merge_edges(m, mk(p2))) == _rows(m)
+    assert all((b, a) in {tuple(r) for r in m.collect()} for a, b in m.collect())
+
+
+@SETTINGS
+@given(st.lists(st.integers(0, 999), min_size=1, max_size=12, unique=True),
+       st.lists(st.integers(-50, 1100), min_size=1, max_size=15))
+def test_ring_owner_is_first_token_at_or_after(spark, tokens, keys):
+    rows = [(i % 3, i, t) for i, t in enumerate(tokens)]
+    r = spark.createDataFrame(rows, "node long, vnode long, token long")
+    kd = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i long, key_token long")
+    p = ring.place(kd, r, rf=3).collect()
+    srt = sorted(tokens)
+    n_nodes = len({n for n, _, _ in rows})
+    for i, k in enumerate(keys):
+        mine = sorted((x["replica"], x["node"], x["vnode_token"]) for x in p if x["i"] == i)
+        want = next((t for t in srt if t >= k), srt[0])
+        assert {v for _, _, v in mine} == {want}
+        assert len(mine) == min(3, n_nodes) and len({n for _, n, _ in mine}) == len(mine)
