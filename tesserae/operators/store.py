@@ -72,14 +72,22 @@ class BucketedKeyedTable:
     bucket, not one atomic swap.
     """
 
-    def __init__(self, spark: SparkSession, name: str, key: KeySpec, buckets: int = 64):
+    def __init__(self, spark: SparkSession, name: str, key: KeySpec, buckets: int = 64, location: str | None = None):
         self.spark, self.name, self.key, self.buckets = spark, name, key, int(buckets)
+        self.location = location
+
+    def exists(self) -> bool:
+        return self.spark.catalog.tableExists(self.name)
 
     def bucket_of(self) -> Column:
         from pyspark.sql import functions as F
         return F.pmod(F.xxhash64(*[F.col(c) for c in self.key.partition]), F.lit(self.buckets)).cast("int")
 
-    def create(self, df: DataFrame, location: str) -> None:
+    def create(self, df: DataFrame, location: str | None = None) -> None:
+        location = location or self.location
+        if location is None:
+            raise ValueError("a shared location is required")
+        self.location = location
         (df.withColumn(BUCKET, self.bucket_of()).write.mode("overwrite").format("parquet")
          .option("path", location).partitionBy(BUCKET).saveAsTable(self.name))
 
@@ -103,9 +111,15 @@ class BucketedKeyedTable:
         finally:
             conf.set("spark.sql.sources.partitionOverwriteMode", old)
 
-    def upsert(self, batches: Sequence[DataFrame] | DataFrame, version: Sequence[str] = ()) -> None:
+    def upsert(self, batches: Sequence[DataFrame] | DataFrame, version: Sequence[str] = (),
+               batch_precedence: bool = True) -> None:
+        """Merge batches (later batches win unless ``batch_precedence=False``,
+        then ``version`` alone ranks writes). Creates the table if absent."""
         if isinstance(batches, DataFrame):
             batches = [batches]
+        if not self.exists():
+            self.create(keyed.upsert(None, batches, self.key, version, batch_precedence))
+            return
         tagged = [b.withColumn(BUCKET, self.bucket_of()) for b in batches]
         from pyspark.sql import functions as F
         touched = tagged[0].select(BUCKET)
@@ -115,7 +129,8 @@ class BucketedKeyedTable:
         if not ids:
             return
         cur = self.current(ids)
-        nxt = keyed.upsert(cur.select(*self._columns()), tagged, list(self.key.primary) + [BUCKET], version)
+        nxt = keyed.upsert(cur.select(*self._columns()), tagged, list(self.key.primary) + [BUCKET], version,
+                           batch_precedence)
         self._overwrite_buckets(nxt)
 
     def delete_where(self, pred: Column) -> None:

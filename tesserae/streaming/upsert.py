@@ -1,6 +1,8 @@
-"""Keyed upserts fed by a stream: each micro-batch is merged into a
-versioned table with ``foreachBatch`` (last write wins by version columns,
-so late or reordered batches still converge to the same table).
+"""Keyed upserts fed by a stream: each micro-batch is merged with
+``foreachBatch`` (last write wins by version columns, so late or reordered
+batches still converge to the same table), either into a
+``BucketedKeyedTable`` (only the buckets a batch touches are rewritten) or
+into a ``VersionedTable`` (whole-table atomic versions).
 
 The stream checkpoint and the table live under the shared folder, so a
 restarted query resumes exactly once from its offsets after executor or
@@ -15,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.keyed import live, upsert
+from ..operators.store import BucketedKeyedTable
+from ..schemas import KeySpec
 from ..session import scratch_path
 from ..sources import files
 from ..sources.tables import read_table
@@ -34,10 +38,18 @@ def upsert_sink(table_dir: str, key: Sequence[str], version: Sequence[str], ttl_
     return merge
 
 
-def run_upserts(stream: DataFrame, table_dir: str, key: Sequence[str], version: Sequence[str],
-                checkpoint: str) -> None:
-    """Drain everything available now, then stop."""
-    q = (stream.writeStream.foreachBatch(upsert_sink(table_dir, key, version))
+def bucketed_sink(table: BucketedKeyedTable, version: Sequence[str]):
+    """A ``foreachBatch`` function merging each batch into a bucketed table."""
+
+    def merge(batch: DataFrame, epoch_id: int) -> None:
+        table.upsert(batch, version, batch_precedence=False)
+
+    return merge
+
+
+def run_upserts(stream: DataFrame, sink, checkpoint: str) -> None:
+    """Drain everything available now through ``sink``, then stop."""
+    q = (stream.writeStream.foreachBatch(sink)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
@@ -53,6 +65,8 @@ def stream_kv_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ts",
         F.col("event_id").alias("seq"),
     )
-    table_dir = scratch_path(spark, "kv-stream-table")
-    run_upserts(writes, table_dir, ["key"], ["ts", "seq"], scratch_path(spark, "kv-stream-ckpt"))
-    return files.read_version(spark, table_dir).select("key", "value")
+    import uuid
+    name = f"kv_stream_{uuid.uuid4().hex[:8]}"
+    table = BucketedKeyedTable(spark, name, KeySpec(("key",)), buckets=16, location=scratch_path(spark, name))
+    run_upserts(writes, bucketed_sink(table, ["ts", "seq"]), scratch_path(spark, "kv-stream-ckpt"))
+    return table.read().select("key", "value")
