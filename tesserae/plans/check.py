@@ -34,6 +34,17 @@ def _norm(v):
     return v
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN",
+                 "timestamp_ntz": "TIMESTAMP", "date": "DATE", "smallint": "SMALLINT", "float": "FLOAT"}
+
+
+def type_diff(df, con, sql: str) -> dict:
+    """Columns whose Spark type differs from the oracle's DuckDB type."""
+    st = {c: SPARK_TO_DUCK.get(t, t) for c, t in df.dtypes}
+    dt = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    return {c: (st.get(c), dt.get(c)) for c in set(st) | set(dt) if st.get(c) != dt.get(c)}
+
+
 def _key(row):
     return tuple((x is None, str(type(x)), x if x is not None else 0) for x in row)
 
@@ -80,8 +91,11 @@ def compare(spark, sf_dir: str, names=None, verbose: bool = True) -> dict:
                 if verbose:
                     print(name, res[name])
                 continue
-            ok = s_cols == d_cols and s_rows == d_rows
+            tdiff = type_diff(df, con, sql)
+            ok = s_cols == d_cols and s_rows == d_rows and not tdiff
             info = {"ok": ok, "rows": len(s_rows), "oracle_rows": len(d_rows), "sec": round(time.time() - t0, 2)}
+            if tdiff:
+                info["types"] = tdiff
             if not ok:
                 info["cols"] = (s_cols, d_cols) if s_cols != d_cols else None
                 diff_s = [r for r in s_rows if r not in set(d_rows)][:3]

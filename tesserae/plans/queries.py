@@ -130,9 +130,9 @@ FROM people GROUP BY first_name ORDER BY first_name_count DESC"""
 
 @q("sql_view_agg", W(FIRST_NAME_AGG_SQL, "people"))
 def sql_view_agg(spark, sf):
-    fx.people(spark, sf).createOrReplaceTempView("people")
+    fx.people(spark, sf).createOrReplaceTempView("df_people")
     return spark.sql("""SELECT first_name, round(SUM(amount), 2) AS total_amount, COUNT(*) AS first_name_count
-        FROM people GROUP BY first_name ORDER BY first_name_count DESC""")
+        FROM df_people GROUP BY first_name ORDER BY first_name_count DESC""")
 
 
 @q("sql_path_scan", W(FIRST_NAME_AGG_SQL, "people"))
@@ -238,13 +238,14 @@ def struct_build(spark, sf):
     return doc_out(_users(spark, sf))
 
 
-@q("array_build", W("SELECT _id, array_to_string(tags, ',') AS tags, len(tags) AS n_tags FROM users", "users"))
+@q("array_build", W("SELECT _id, array_to_string(tags, ',') AS tags, CAST(len(tags) AS INT) AS n_tags FROM users", "users"))
 def array_build(spark, sf):
     u = fx.users_flat(spark, sf).select("_id", fx.tags_expr().alias("tags"))
     return u.select("_id", F.array_join("tags", ",").alias("tags"), F.size("tags").alias("n_tags"))
 
 
-@q("unwind", W("""SELECT _id, tags[1] AS first_tag, unnest(range(len(tags))) AS pos, unnest(tags) AS tag FROM users""",
+@q("unwind", W("""SELECT _id, first_tag, CAST(pos AS INT) AS pos, tag FROM
+ (SELECT _id, tags[1] AS first_tag, unnest(range(len(tags))) AS pos, unnest(tags) AS tag FROM users)""",
                "users"))
 def unwind(spark, sf):
     u = fx.users_flat(spark, sf).select("_id", fx.tags_expr().alias("tags"))
