@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 LONG_MIN = -(2 ** 63)
 LONG_MAX = 2 ** 63 - 1
-# a ring above this many vnodes is joined by shuffle instead of broadcast
-BROADCAST_RING_MAX = 1 << 20
+# The interval table has about (1 + bins_per_vnode) rows per vnode (~40 bytes
+# each): 2^15 vnodes is ~6 MB. Larger rings are joined by shuffle on the bin.
+BROADCAST_RING_MAX = 1 << 15
 
 
 def ring_intervals(ring: DataFrame, rf: int = 3, window: int | None = None) -> DataFrame:

@@ -34,6 +34,28 @@ def build_session(master: str | None = None, app: str = "tesserae", shuffle_part
     return b.getOrCreate()
 
 
+def sizing(input_bytes: int, cores: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Shuffle and scan settings for a job reading ``input_bytes`` on
+    ``cores`` executor cores.
+
+    The initial shuffle partition count is sized so each holds about
+    ``target_partition_bytes`` of input (at least two waves of tasks); AQE
+    then coalesces small partitions and splits skewed ones against the same
+    target, so memory per task stays bounded whatever the scale.
+    """
+    parts = max(2 * cores, -(-int(input_bytes) // target_partition_bytes))
+    parts = min(parts, 200_000)
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.files.maxPartitionBytes": str(min(target_partition_bytes, 512 << 20)),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder named by ``spark.checkpoint.dir``.
 

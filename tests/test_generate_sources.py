@@ -93,3 +93,12 @@ def test_versioned_table_lifecycle(spark):
     assert [r["k"] for r in t.read().collect()] == [1]
     t.delete_where(F.col("k") == 1)
     assert t.read().count() == 0 and t.version() == 3
+
+
+def test_sizing_scales_with_input():
+    from tesserae.session import sizing
+    small = sizing(1 << 30, 8)
+    big = sizing(100 << 40, 8000)
+    assert int(small["spark.sql.shuffle.partitions"]) == 16
+    # 100 TiB / 256 MiB = 409,600 partitions, capped at 200,000
+    assert int(big["spark.sql.shuffle.partitions"]) == 200_000
