@@ -97,3 +97,11 @@ def test_ring_walk_falls_back_past_window(spark):
     iv = {x["token"]: list(x["replicas"]) for x in ring.ring_intervals(_ring(spark, rows), rf=3).collect()}
     assert iv[0] == [0, 1, 2] and iv[500] == [1, 2, 0] and iv[600] == [2, 0, 1]
     assert all(len(set(v)) == 3 for v in iv.values())
+
+
+def test_ring_large_ring_path_without_broadcast_hint(spark, monkeypatch):
+    monkeypatch.setattr(ring, "BROADCAST_RING_MAX", 1)
+    r = _ring(spark, [(0, 0, 100), (1, 0, 200), (2, 0, 300)])
+    keys = spark.createDataFrame([(1, 150), (2, 999)], "k long, key_token long")
+    own = {x["k"]: x["vnode_token"] for x in ring.place(keys, r, rf=2).filter("replica = 1").collect()}
+    assert own == {1: 200, 2: 100}
