@@ -84,7 +84,8 @@ def merge_edges(existing: DataFrame, pairs: DataFrame) -> DataFrame:
 def detach_delete(nodes: DataFrame, edges: DataFrame, doomed: DataFrame, key: str = "id"):
     """``DETACH DELETE``: drop the nodes and every edge touching them.
     Returns ``(nodes, edges)``."""
-    d = doomed.select(F.col(key).alias("_d")).distinct()
+    # an anti join ignores duplicates on its right side: no dedupe shuffle
+    d = doomed.select(F.col(key).alias("_d"))
     n = nodes.join(d, F.col(key) == F.col("_d"), "left_anti")
     e = (edges.join(d.withColumnRenamed("_d", "_ds"), F.col("src") == F.col("_ds"), "left_anti")
          .join(d.withColumnRenamed("_d", "_dd"), F.col("dst") == F.col("_dd"), "left_anti"))
