@@ -71,8 +71,10 @@ def iso_text(ts) -> Column:
 
 def iso_date(text) -> Column:
     """ISO text -> date (ANSI-safe: unparseable text gives null)."""
-    return F.try_to_date(_c(text), "yyyy-MM-dd") if hasattr(F, "try_to_date") else F.to_date(_c(text))
+    return F.try_to_date(_c(text), "yyyy-MM-dd")
 
 
 def add_seconds(ts, secs) -> Column:
-    return _c(ts) + F.make_dt_interval(secs=_c(secs) if not isinstance(secs, int) else F.lit(secs))
+    """Timestamp plus a number of seconds (column or int)."""
+    s = F.lit(int(secs)) if isinstance(secs, int) else _c(secs)
+    return _c(ts) + F.make_dt_interval(secs=s)

@@ -18,10 +18,9 @@ def _true(pred: Column) -> Column:
     return F.coalesce(pred, F.lit(False))
 
 
-def _current(df: DataFrame, name: str, like: Column | None = None) -> Column:
-    if name in df.columns:
-        return F.col(name)
-    return F.lit(None) if like is None else F.lit(None).cast("string")
+def _current(df: DataFrame, name: str) -> Column:
+    """Stored value of a field, null when the field is absent everywhere."""
+    return F.col(name) if name in df.columns else F.lit(None)
 
 
 def set_where(df: DataFrame, pred: Column, values: Mapping[str, Column | object]) -> DataFrame:
