@@ -9,6 +9,7 @@ files (no lineage carried between mutations).
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,6 +58,9 @@ class VersionedTable:
 
 
 BUCKET = "_bucket"
+# the analyzer allows overwriting a table it reads only when the *session*
+# is in dynamic partition-overwrite mode; writes that flip it are serialized
+_OVERWRITE_LOCK = threading.Lock()
 
 
 class BucketedKeyedTable:
@@ -104,12 +108,13 @@ class BucketedKeyedTable:
 
     def _overwrite_buckets(self, df: DataFrame) -> None:
         conf = self.spark.conf
-        old = conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-        conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        try:
-            df.select(*self._columns()).write.mode("overwrite").insertInto(self.name)
-        finally:
-            conf.set("spark.sql.sources.partitionOverwriteMode", old)
+        with _OVERWRITE_LOCK:
+            old = conf.get("spark.sql.sources.partitionOverwriteMode", "static")
+            conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+            try:
+                df.select(*self._columns()).write.mode("overwrite").insertInto(self.name)
+            finally:
+                conf.set("spark.sql.sources.partitionOverwriteMode", old)
 
     def upsert(self, batches: Sequence[DataFrame] | DataFrame, version: Sequence[str] = (),
                batch_precedence: bool = True) -> None:
