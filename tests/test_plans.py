@@ -76,3 +76,28 @@ def test_kv_stats_aggregate_before_join(spark):
 def test_bucketed_aggregate_has_no_exchange(spark):
     p = plan(QUERIES["keyed_bucket_counts"](spark, SF_SMALL))
     assert "Exchange" not in p, p
+
+
+def test_hub_node_join_is_split_by_aqe(spark):
+    """A node holding a third of all edges: AQE splits its partition."""
+    from tesserae.operators import graph
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        pairs = spark.range(30000).select(
+            F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id") % 5000).alias("src"),
+            (F.col("id") % 4999).alias("dst"))
+        nodes = spark.range(5000).select("id", F.col("id").cast("string").alias("name"))
+        df = graph.resolve_pairs(pairs, nodes)
+        qe = df._jdf.queryExecution()
+        assert qe.toRdd().count() == 30000
+        assert "SortMergeJoin(skew=true)" in qe.executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
