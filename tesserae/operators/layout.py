@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def partitions_for(spark: SparkSession, floor: int = 10) -> int:
+    """Partition count for a repartition: the reference's fixed 10 at small
+    scale, the session's sized shuffle partition count beyond it."""
+    return max(floor, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def partition_stats(df: DataFrame, by: Sequence[str] = ("worker",)) -> DataFrame:
     """Row count per (label, partition id), sorted."""
     p = df.withColumn("partition_id", F.spark_partition_id())

@@ -82,7 +82,7 @@ def schema_of_people(spark, sf):
 @q("gen_range", "SELECT unnest(range(0, (SELECT count(*) FROM orders))) AS id")
 def gen_range(spark, sf):
     n = read_table(spark, sf, "orders").count()
-    return gen.gen_range(spark, n, partitions=10)
+    return gen.gen_range(spark, n, partitions=layout.partitions_for(spark))
 
 
 @q("gen_people_expr", PEOPLE_GEN_SQL)
@@ -558,17 +558,17 @@ def topk_group(spark, sf):
 
 @q("partition_stats")
 def partition_stats(spark, sf):
-    return layout.partition_stats(fx.people(spark, sf).repartition(10), ["worker"])
+    return layout.partition_stats(fx.people(spark, sf).repartition(layout.partitions_for(spark)), ["worker"])
 
 
 @q("partition_skew")
 def partition_skew(spark, sf):
-    return layout.skew_report(fx.people(spark, sf).repartition(10))
+    return layout.skew_report(fx.people(spark, sf).repartition(layout.partitions_for(spark)))
 
 
 @q("clustered_layout")
 def clustered_layout(spark, sf):
-    lay = keyed.clustered_layout(fx.user_metrics(spark, sf), USER_METRICS_KEY, 8)
+    lay = keyed.clustered_layout(fx.user_metrics(spark, sf), USER_METRICS_KEY, layout.partitions_for(spark, 8))
     return layout.partition_stats(lay, ["city"])
 
 
@@ -610,7 +610,7 @@ def doc_set_one_nomatch(spark, sf):
 @q("partition_hosts")
 def partition_hosts(spark, sf):
     """Rows per (executor host, partition) of the executor-side generator."""
-    people = gen.people_map(_order_ids(spark, sf).repartition(10), hostname_worker=True)
+    people = gen.people_map(_order_ids(spark, sf).repartition(layout.partitions_for(spark)), hostname_worker=True)
     return layout.partition_stats(people, ["worker"])
 
 
