@@ -14,8 +14,20 @@ from ..schemas import KeySpec
 _BATCH = "_batch"
 
 
+# A change whose (upper-bound) size estimate is at most this is merged by
+# broadcasting its keys: the current table is scanned, never shuffled.
+SMALL_CHANGE_BYTES = 64 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a frame: exact for local data, the file
+    size for scans, and an upper bound through filters, aggregates and joins
+    (joins without statistics estimate the product of their inputs)."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def upsert(current: DataFrame | None, changes: Sequence[DataFrame] | DataFrame, key: Sequence[str] | KeySpec,
-           version: Sequence[str] = (), batch_precedence: bool = True) -> DataFrame:
+           version: Sequence[str] = (), batch_precedence: bool = True, strategy: str = "auto") -> DataFrame:
     """INSERT-as-upsert with last write wins, for any number of batches.
 
     Later batches win over earlier ones (the current table is batch 0);
@@ -24,12 +36,18 @@ def upsert(current: DataFrame | None, changes: Sequence[DataFrame] | DataFrame,
     never depends on task order. The whole row is replaced: a null in the
     change overwrites a value. Output has the columns of ``current`` (or of
     the first change); version columns absent from a frame count as null.
-
-    One shuffle on the key: ``max_by`` is a partial + final aggregate, so a
-    hot key is collapsed map-side before the exchange.
-
     ``batch_precedence=False`` ranks rows by ``version`` alone, for streams
     whose batches may arrive out of order.
+
+    Strategies (``auto`` picks by the changes' size estimate):
+
+    * ``aggregate``: one shuffle on the key over current + changes;
+      ``max_by`` is a partial + final aggregate, so a hot key is collapsed
+      map-side before the exchange.
+    * ``broadcast``: the changes are reduced to one row per key, their keys
+      are broadcast, and the current table is split by a semi join (rows to
+      merge) and an anti join (rows kept as they are): a small change against
+      a huge table shuffles nothing of the table.
     """
     if isinstance(key, KeySpec):
         version = tuple(version) or key.version
@@ -37,10 +55,40 @@ def upsert(current: DataFrame | None, changes: Sequence[DataFrame] | DataFrame,
     key, version = list(key), list(version)
     if isinstance(changes, DataFrame):
         changes = [changes]
+    changes = list(changes)
+    if current is None or strategy == "aggregate":
+        return _lww(current, changes, key, version, batch_precedence)
+    if strategy == "auto":
+        size = sum(estimated_bytes(c) for c in changes)
+        strategy = "broadcast" if size <= SMALL_CHANGE_BYTES else "aggregate"
+        if strategy == "aggregate":
+            return _lww(current, changes, key, version, batch_precedence)
+    if strategy != "broadcast":
+        raise ValueError(strategy)
+    cols = current.columns
+    latest = _lww(None, changes, key, version, batch_precedence,
+                  keep=cols + [v for v in version if v not in cols], like=current)
+    ks = F.broadcast(latest.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]))
+    match = None
+    for i, k in enumerate(key):
+        c = F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        match = c if match is None else match & c
+    rest = current.join(ks, match, "left_anti")
+    if batch_precedence:
+        return rest.unionByName(latest.select(*cols))
+    touched = current.join(ks, match, "left_semi")
+    merged = _lww(touched, [latest], key, version, batch_precedence=False)
+    return rest.unionByName(merged.select(*cols))
+
+
+def _lww(current: DataFrame | None, changes: Sequence[DataFrame], key: list[str], version: list[str],
+         batch_precedence: bool, keep: list[str] | None = None, like: DataFrame | None = None) -> DataFrame:
+    """Union-and-aggregate last write wins (see ``upsert``); ``keep`` names
+    the output columns, typed from the frames or from ``like``."""
     frames = ([] if current is None else [current]) + list(changes)
-    out_cols = frames[0].columns
+    out_cols = keep or frames[0].columns
     types = {}
-    for f in frames:
+    for f in frames + ([like] if like is not None else []):
         for fld in f.schema.fields:
             types.setdefault(fld.name, fld.dataType)
     extra_version = [v for v in version if v not in out_cols]

@@ -18,6 +18,22 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def exchange_subtrees(p: str) -> list[str]:
+    """Text of every subtree rooted at a shuffle exchange."""
+    lines = p.split("\n")
+    depth = lambda ln: len(ln) - len(ln.lstrip(" :|+-"))
+    out = []
+    for i, ln in enumerate(lines):
+        if "Exchange hashpartitioning" in ln or "Exchange rangepartitioning" in ln:
+            d, sub = depth(ln), []
+            for nxt in lines[i + 1:]:
+                if depth(nxt) <= d:
+                    break
+                sub.append(nxt)
+            out.append("\n".join(sub))
+    return out
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cartesian_or_nested_loop(spark, name):
     if name.startswith("stream_") or name.endswith("_roundtrip"):
@@ -101,3 +117,25 @@ def test_hub_node_join_is_split_by_aqe(spark):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_small_change_upsert_does_not_shuffle_the_table(spark):
+    from tesserae.operators import keyed
+    path = scratch_path(spark, "um-big.parquet")
+    fx.user_metrics(spark, SF_SMALL).write.parquet(path)
+    cur = spark.read.parquet(path)
+    cpath = scratch_path(spark, "um-change.parquet")
+    spark.createDataFrame([(r["city"], r["user_id"], "changed", 1, r["last_access"]) for r in cur.limit(5).collect()],
+                          cur.schema).write.parquet(cpath)
+    change = spark.read.parquet(cpath)  # a change batch arriving as files: its size is known
+    assert keyed.estimated_bytes(change) <= keyed.SMALL_CHANGE_BYTES
+    df = keyed.upsert(cur, change, USER_METRICS_KEY)
+    qe = df._jdf.queryExecution()
+    qe.toRdd().count()
+    p = qe.executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "LeftAnti" in p and "BroadcastHashJoin" in p
+    # shuffles happen only on the change (its one-row-per-key reduction); no
+    # exchange has the table's scan below it
+    assert "um-change" in "".join(exchange_subtrees(p))
+    assert not any("um-big" in t for t in exchange_subtrees(p))
+    assert df.filter(F.col("username") == "changed").count() == 5 and df.count() == cur.count()

@@ -84,3 +84,14 @@ def test_ring_owner_is_first_token_at_or_after(spark, tokens, keys):
         want = next((t for t in srt if t >= k), srt[0])
         assert {v for _, _, v in mine} == {want}
         assert len(mine) == min(3, n_nodes) and len({n for _, n, _ in mine}) == len(mine)
+
+
+@SETTINGS
+@given(writes, writes, st.booleans())
+def test_upsert_strategies_agree(spark, base, change, precedence):
+    cur = keyed.upsert(None, _frame(spark, base), K).drop("seq").drop("ts")
+    cur = cur.join(_frame(spark, base).select("k", "ts", "seq").dropDuplicates(["k"]), "k")
+    ch = _frame(spark, change)
+    a = keyed.upsert(cur, ch, K, batch_precedence=precedence, strategy="aggregate")
+    b = keyed.upsert(cur, ch, K, batch_precedence=precedence, strategy="broadcast")
+    assert _rows(a) == _rows(b)
