@@ -95,3 +95,27 @@ def test_upsert_strategies_agree(spark, base, change, precedence):
     a = keyed.upsert(cur, ch, K, batch_precedence=precedence, strategy="aggregate")
     b = keyed.upsert(cur, ch, K, batch_precedence=precedence, strategy="broadcast")
     assert _rows(a) == _rows(b)
+
+
+@SETTINGS
+@given(pairs, pairs)
+def test_merge_edges_strategies_agree(spark, p1, p2):
+    mk = lambda ps: spark.createDataFrame(ps, "src long, dst long")
+    existing = graph.symmetric_closure(graph.unordered_pairs(mk(p1)), normalized=True)
+    a = graph.merge_edges(existing, mk(p2), strategy="union")
+    b = graph.merge_edges(existing, mk(p2), strategy="broadcast")
+    assert _rows(a) == _rows(b) and b.count() == len(set(_rows(b)))
+
+
+nodes_st = st.lists(st.tuples(st.integers(0, 9), st.sampled_from(["a", "b", None])), max_size=10,
+                    unique_by=lambda t: t[0])
+
+
+@SETTINGS
+@given(nodes_st, nodes_st)
+def test_merge_nodes_strategies_agree(spark, cur, inc):
+    c = spark.createDataFrame([(k, v, f"keep{k}") for k, v in cur], "id long, name string, keep string")
+    i = spark.createDataFrame([(k, v, k * 10) for k, v in inc], "id long, name string, score long")
+    a = graph.merge_nodes(c, i, ["name", "score"], strategy="full_outer")
+    b = graph.merge_nodes(c, i, ["name", "score"], strategy="broadcast")
+    assert a.columns == b.columns and _rows(a) == _rows(b)
