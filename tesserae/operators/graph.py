@@ -139,8 +139,11 @@ def merge_edges(existing: DataFrame, pairs: DataFrame, strategy: str = "auto") -
 def detach_delete(nodes: DataFrame, edges: DataFrame, doomed: DataFrame, key: str = "id"):
     """``DETACH DELETE``: drop the nodes and every edge touching them.
     Returns ``(nodes, edges)``."""
-    # an anti join ignores duplicates on its right side: no dedupe shuffle
+    # an anti join ignores duplicates on its right side: no dedupe shuffle;
+    # a size-checked small doomed set is broadcast so edges are not shuffled
     d = doomed.select(F.col(key).alias("_d"))
+    if _small(d):
+        d = F.broadcast(d)
     n = nodes.join(d, F.col(key) == F.col("_d"), "left_anti")
     e = (edges.join(d.withColumnRenamed("_d", "_ds"), F.col("src") == F.col("_ds"), "left_anti")
          .join(d.withColumnRenamed("_d", "_dd"), F.col("dst") == F.col("_dd"), "left_anti"))
@@ -149,4 +152,5 @@ def detach_delete(nodes: DataFrame, edges: DataFrame, doomed: DataFrame, key: st
 
 def delete_edges(edges: DataFrame, doomed: DataFrame) -> DataFrame:
     """``MATCH ()-[r]->() DELETE r`` for the given (src, dst) rows."""
-    return edges.join(doomed.select("src", "dst"), ["src", "dst"], "left_anti")
+    d = doomed.select("src", "dst")
+    return edges.join(F.broadcast(d) if _small(d) else d, ["src", "dst"], "left_anti")
