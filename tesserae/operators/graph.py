@@ -51,8 +51,9 @@ def resolve_pairs(pairs: DataFrame, nodes: DataFrame, props: Sequence[str] = ("n
 
 
 def _small(df: DataFrame) -> bool:
-    from .keyed import SMALL_CHANGE_BYTES, estimated_bytes
-    return estimated_bytes(df) <= SMALL_CHANGE_BYTES
+    """Proven size check (plan estimate, then exact measurement)."""
+    from .keyed import fits_broadcast
+    return fits_broadcast(df)
 
 
 def merge_nodes(current: DataFrame, incoming: DataFrame, set_cols: Sequence[str], key: str = "id",
@@ -70,7 +71,7 @@ def merge_nodes(current: DataFrame, incoming: DataFrame, set_cols: Sequence[str]
     node table is scanned, never shuffled.
     """
     if strategy == "auto":
-        strategy = "broadcast" if _small(incoming) else "full_outer"
+        strategy = "broadcast" if _small(incoming.select(key, *set_cols)) else "full_outer"
     inc = incoming.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_in_{c}") for c in set_cols])
     if strategy == "broadcast":
         b = F.broadcast(inc)
@@ -126,7 +127,9 @@ def merge_edges(existing: DataFrame, pairs: DataFrame, strategy: str = "auto") -
     both = symmetric_closure(pairs, normalized=True)
     cur = existing.select("src", "dst")
     if strategy == "auto":
-        strategy = "broadcast" if _small(pairs) else "union"
+        # both directions are broadcast: twice the pairs' bytes
+        from .keyed import SMALL_CHANGE_BYTES, fits_broadcast
+        strategy = "broadcast" if fits_broadcast(pairs.select("src", "dst"), limit=SMALL_CHANGE_BYTES // 2) else "union"
     if strategy == "union":
         return cur.unionByName(both).distinct()
     if strategy != "broadcast":

@@ -20,12 +20,42 @@ SMALL_CHANGE_BYTES = 64 << 20
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a frame: exact for local data, the file
-    size for scans, and an upper bound through filters, aggregates and joins
-    (joins without statistics estimate the product of their inputs)."""
+    """Catalyst's size estimate of a frame (plan statistics, no job). Not a
+    bound: it can be far above or below the real size."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def measured_bytes(df: DataFrame, cols: Sequence[str] | None = None) -> int:
+    """Bytes of the given columns over all rows, measured by one aggregate:
+    8 per fixed-width value, the byte length (+8) for strings and binary, the
+    JSON text length for nested values."""
+    from pyspark.sql import types as T
+    cols = list(cols or df.columns)
+    parts = []
+    for c in cols:
+        dt = df.schema[c].dataType
+        if isinstance(dt, (T.StringType, T.BinaryType)):
+            parts.append(F.coalesce(F.octet_length(F.col(c)), F.lit(0)).cast("long") + 8)
+        elif isinstance(dt, (T.ArrayType, T.MapType, T.StructType)):
+            parts.append(F.coalesce(F.octet_length(F.to_json(F.struct(F.col(c)))), F.lit(0)).cast("long") + 8)
+        else:
+            parts.append(F.lit(8).cast("long"))
+    row = parts[0]
+    for p in parts[1:]:
+        row = row + p
+    r = df.agg(F.sum(row).alias("b")).first()
+    return int(r["b"] or 0)
+
+
+def fits_broadcast(df: DataFrame, cols: Sequence[str] | None = None, limit: int = SMALL_CHANGE_BYTES) -> bool:
+    """Proven size check before an explicit broadcast: the plan estimate
+    screens out large inputs without a job, then the columns to broadcast
+    are measured exactly (one pass over the small side)."""
+    if estimated_bytes(df) > 4 * limit:
+        return False
+    return measured_bytes(df, cols) <= limit
+
+
 def upsert(current: DataFrame | None, changes: Sequence[DataFrame] | DataFrame, key: Sequence[str] | KeySpec,
            version: Sequence[str] = (), batch_precedence: bool = True, strategy: str = "auto") -> DataFrame:
     """INSERT-as-upsert with last write wins, for any number of batches.
@@ -39,13 +69,13 @@ def upsert(current: DataFrame | None, changes: Sequence[DataFrame] | DataFrame,
     ``batch_precedence=False`` ranks rows by ``version`` alone, for streams
     whose batches may arrive out of order.
 
-    Strategies (``auto`` picks by the changes' size estimate):
+    Strategies (``auto`` picks by a proven size check, ``fits_broadcast``):
 
     * ``aggregate``: one shuffle on the key over current + changes;
       ``max_by`` is a partial + final aggregate, so a hot key is collapsed
       map-side before the exchange.
-    * ``broadcast``: the changes are reduced to one row per key, their keys
-      are broadcast, and the current table is split by a semi join (rows to
+    * ``broadcast`` (when the changes' key columns measure at most 64 MB):
+      the changes are reduced to one row per key, their keys are broadcast, and the current table is split by a semi join (rows to
       merge) and an anti join (rows kept as they are): a small change against
       a huge table shuffles nothing of the table.
     """
@@ -59,8 +89,10 @@ def upsert(current: DataFrame | None, changes: Sequence[DataFrame] | DataFrame,
     if current is None or strategy == "aggregate":
         return _lww(current, changes, key, version, batch_precedence)
     if strategy == "auto":
-        size = sum(estimated_bytes(c) for c in changes)
-        strategy = "broadcast" if size <= SMALL_CHANGE_BYTES else "aggregate"
+        keys = changes[0].select(*key)
+        for c in changes[1:]:
+            keys = keys.unionByName(c.select(*key))
+        strategy = "broadcast" if fits_broadcast(keys) else "aggregate"
         if strategy == "aggregate":
             return _lww(current, changes, key, version, batch_precedence)
     if strategy != "broadcast":

@@ -153,3 +153,16 @@ def test_stream_batches_out_of_order_converge(spark):
     sink(spark.createDataFrame([("a", "late-but-newer", T1, 1), ("b", "b1", T0, 1)], s), 0)
     sink(spark.createDataFrame([("a", "older", T0, 5), ("b", "b2", T1, 0)], s), 1)
     assert dict((r["key"], r["value"]) for r in t.read().collect()) == {"a": "late-but-newer", "b": "b2"}
+
+
+def test_measured_bytes_is_exact(spark):
+    df = spark.createDataFrame([("ab", 1), ("é", 2), (None, 3)], "s string, n long")
+    # strings: utf-8 length + 8 each (2+8, 2+8, 0+8); longs: 8 each
+    assert keyed.measured_bytes(df) == (10 + 10 + 8) + 3 * 8
+    # a local RDD has no size estimate: screened out without a measuring job
+    assert not keyed.fits_broadcast(df)
+    from tesserae.session import scratch_path
+    p = scratch_path(spark, "mb.parquet")
+    df.write.parquet(p)
+    f = spark.read.parquet(p)
+    assert keyed.fits_broadcast(f, limit=10_000) and not keyed.fits_broadcast(f, limit=40)
