@@ -167,11 +167,17 @@ def flatten(df: DataFrame, sep: str = "_") -> DataFrame:
     return df.select(*cols)
 
 
-def insert_many(collection: DataFrame | None, docs: DataFrame, key: str = "_id") -> DataFrame:
+def insert_many(collection: DataFrame | None, docs: DataFrame, key: str = "_id",
+                id_from: Sequence[str] | None = None) -> DataFrame:
     """Bulk insert: appends ``docs``; documents without ``_id`` get a uuid.
 
-    Fields absent on one side become nulls (schemas are unioned by name).
+    ``id_from`` derives the uuid from those fields instead (deterministic:
+    a re-run task after executor loss gives the same ids). Fields absent on
+    one side become nulls (schemas are unioned by name).
     """
+    if key not in docs.columns and id_from:
+        from ..functions.scalars import uuid_text
+        docs = docs.withColumn(key, uuid_text("doc", F.concat_ws("\u0001", *[F.col(c).cast("string") for c in id_from])))
     if key not in docs.columns:
         if collection is not None and key in collection.columns and \
                 not isinstance(collection.schema[key].dataType, T.StringType):

@@ -132,3 +132,10 @@ def test_insert_many_unions_schemas(spark):
 def test_flatten(spark):
     f = doc.flatten(_users(spark))
     assert "profile_location_lat" in f.columns and "profile_job" in f.columns
+
+
+def test_insert_many_deterministic_ids(spark):
+    new = spark.createDataFrame([("Kim", 3), ("Lee", 4)], "name string, login_count int")
+    a = {r["name"]: r["_id"] for r in doc.insert_many(None, new, id_from=["name"]).collect()}
+    b = {r["name"]: r["_id"] for r in doc.insert_many(None, new.repartition(2), id_from=["name"]).collect()}
+    assert a == b and len(set(a.values())) == 2
