@@ -50,10 +50,10 @@ def resolve_pairs(pairs: DataFrame, nodes: DataFrame, props: Sequence[str] = ("n
                                                       *[f"dst_{p}" for p in props])
 
 
-def _small(df: DataFrame) -> bool:
-    """Proven size check (plan estimate, then exact measurement)."""
-    from .keyed import fits_broadcast
-    return fits_broadcast(df)
+def _worth(table: DataFrame, small: DataFrame, limit: int | None = None) -> bool:
+    """Broadcast ``small`` rather than shuffle ``table`` (see ``keyed.worth_broadcast``)."""
+    from . import keyed
+    return keyed.worth_broadcast(table, small, limit)
 
 
 def merge_nodes(current: DataFrame, incoming: DataFrame, set_cols: Sequence[str], key: str = "id",
@@ -71,7 +71,7 @@ def merge_nodes(current: DataFrame, incoming: DataFrame, set_cols: Sequence[str]
     node table is scanned, never shuffled.
     """
     if strategy == "auto":
-        strategy = "broadcast" if _small(incoming.select(key, *set_cols)) else "full_outer"
+        strategy = "broadcast" if _worth(current, incoming.select(key, *set_cols)) else "full_outer"
     inc = incoming.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_in_{c}") for c in set_cols])
     if strategy == "broadcast":
         b = F.broadcast(inc)
@@ -128,8 +128,8 @@ def merge_edges(existing: DataFrame, pairs: DataFrame, strategy: str = "auto") -
     cur = existing.select("src", "dst")
     if strategy == "auto":
         # both directions are broadcast: twice the pairs' bytes
-        from .keyed import SMALL_CHANGE_BYTES, fits_broadcast
-        strategy = "broadcast" if fits_broadcast(pairs.select("src", "dst"), limit=SMALL_CHANGE_BYTES // 2) else "union"
+        from . import keyed
+        strategy = "broadcast" if _worth(cur, pairs.select("src", "dst"), keyed.SMALL_CHANGE_BYTES // 2) else "union"
     if strategy == "union":
         return cur.unionByName(both).distinct()
     if strategy != "broadcast":
@@ -145,7 +145,7 @@ def detach_delete(nodes: DataFrame, edges: DataFrame, doomed: DataFrame, key: st
     # an anti join ignores duplicates on its right side: no dedupe shuffle;
     # a size-checked small doomed set is broadcast so edges are not shuffled
     d = doomed.select(F.col(key).alias("_d"))
-    if _small(d):
+    if _worth(edges, d):
         d = F.broadcast(d)
     n = nodes.join(d, F.col(key) == F.col("_d"), "left_anti")
     e = (edges.join(d.withColumnRenamed("_d", "_ds"), F.col("src") == F.col("_ds"), "left_anti")
@@ -156,4 +156,4 @@ def detach_delete(nodes: DataFrame, edges: DataFrame, doomed: DataFrame, key: st
 def delete_edges(edges: DataFrame, doomed: DataFrame) -> DataFrame:
     """``MATCH ()-[r]->() DELETE r`` for the given (src, dst) rows."""
     d = doomed.select("src", "dst")
-    return edges.join(F.broadcast(d) if _small(d) else d, ["src", "dst"], "left_anti")
+    return edges.join(F.broadcast(d) if _worth(edges, d) else d, ["src", "dst"], "left_anti")

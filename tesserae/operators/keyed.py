@@ -47,10 +47,19 @@ def measured_bytes(df: DataFrame, cols: Sequence[str] | None = None) -> int:
     return int(r["b"] or 0)
 
 
-def fits_broadcast(df: DataFrame, cols: Sequence[str] | None = None, limit: int = SMALL_CHANGE_BYTES) -> bool:
+def worth_broadcast(table: DataFrame, small: DataFrame, limit: int | None = None) -> bool:
+    """Broadcast ``small`` instead of shuffling ``table`` only when the table
+    is plausibly large (its plan estimate exceeds 4x the limit; no job) and
+    ``small`` is proven small by measurement."""
+    limit = SMALL_CHANGE_BYTES if limit is None else limit
+    return estimated_bytes(table) > 4 * limit and fits_broadcast(small, limit=limit)
+
+
+def fits_broadcast(df: DataFrame, cols: Sequence[str] | None = None, limit: int | None = None) -> bool:
     """Proven size check before an explicit broadcast: the plan estimate
     screens out large inputs without a job, then the columns to broadcast
     are measured exactly (one pass over the small side)."""
+    limit = SMALL_CHANGE_BYTES if limit is None else limit
     if estimated_bytes(df) > 4 * limit:
         return False
     return measured_bytes(df, cols) <= limit
@@ -74,7 +83,8 @@ def upsert(current: DataFrame | None, changes: Sequence[DataFrame] | DataFrame,
     * ``aggregate``: one shuffle on the key over current + changes;
       ``max_by`` is a partial + final aggregate, so a hot key is collapsed
       map-side before the exchange.
-    * ``broadcast`` (when the changes' key columns measure at most 64 MB):
+    * ``broadcast`` (when the table is plausibly large and the changes' key
+      columns measure at most 64 MB):
       the changes are reduced to one row per key, their keys are broadcast, and the current table is split by a semi join (rows to
       merge) and an anti join (rows kept as they are): a small change against
       a huge table shuffles nothing of the table.
@@ -92,7 +102,7 @@ def upsert(current: DataFrame | None, changes: Sequence[DataFrame] | DataFrame,
         keys = changes[0].select(*key)
         for c in changes[1:]:
             keys = keys.unionByName(c.select(*key))
-        strategy = "broadcast" if fits_broadcast(keys) else "aggregate"
+        strategy = "broadcast" if worth_broadcast(current, keys) else "aggregate"
         if strategy == "aggregate":
             return _lww(current, changes, key, version, batch_precedence)
     if strategy != "broadcast":

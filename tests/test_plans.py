@@ -19,16 +19,21 @@ def plan(df) -> str:
 
 
 def exchange_subtrees(p: str) -> list[str]:
-    """Text of every subtree rooted at a shuffle exchange."""
+    """Text of every subtree rooted at a shuffle exchange, leaving out what
+    sits below a broadcast (that data reaches the shuffle as a hash table,
+    it is not shuffled itself)."""
     lines = p.split("\n")
     depth = lambda ln: len(ln) - len(ln.lstrip(" :|+-"))
     out = []
     for i, ln in enumerate(lines):
         if "Exchange hashpartitioning" in ln or "Exchange rangepartitioning" in ln:
-            d, sub = depth(ln), []
+            d, sub, skip = depth(ln), [], None
             for nxt in lines[i + 1:]:
                 if depth(nxt) <= d:
                     break
+                if skip is not None and depth(nxt) > skip:
+                    continue
+                skip = depth(nxt) if "BroadcastExchange" in nxt else None
                 sub.append(nxt)
             out.append("\n".join(sub))
     return out
@@ -119,8 +124,9 @@ def test_hub_node_join_is_split_by_aqe(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def test_small_change_upsert_does_not_shuffle_the_table(spark):
+def test_small_change_upsert_does_not_shuffle_the_table(spark, monkeypatch):
     from tesserae.operators import keyed
+    monkeypatch.setattr(keyed, "SMALL_CHANGE_BYTES", 4096)  # the table (file) counts as large
     path = scratch_path(spark, "um-big.parquet")
     fx.user_metrics(spark, SF_SMALL).write.parquet(path)
     cur = spark.read.parquet(path)
@@ -128,7 +134,7 @@ def test_small_change_upsert_does_not_shuffle_the_table(spark):
     spark.createDataFrame([(r["city"], r["user_id"], "changed", 1, r["last_access"]) for r in cur.limit(5).collect()],
                           cur.schema).write.parquet(cpath)
     change = spark.read.parquet(cpath)  # a change batch arriving as files: its size is known
-    assert keyed.estimated_bytes(change) <= keyed.SMALL_CHANGE_BYTES
+    assert keyed.worth_broadcast(cur, change.select("city", "user_id"), keyed.SMALL_CHANGE_BYTES)
     df = keyed.upsert(cur, change, USER_METRICS_KEY)
     qe = df._jdf.queryExecution()
     qe.toRdd().count()
@@ -139,3 +145,21 @@ def test_small_change_upsert_does_not_shuffle_the_table(spark):
     assert "um-change" in "".join(exchange_subtrees(p))
     assert not any("um-big" in t for t in exchange_subtrees(p))
     assert df.filter(F.col("username") == "changed").count() == 5 and df.count() == cur.count()
+
+
+def test_small_edge_batch_does_not_shuffle_the_graph(spark, monkeypatch):
+    from tesserae.operators import graph, keyed
+    monkeypatch.setattr(keyed, "SMALL_CHANGE_BYTES", 4096)
+    epath, bpath = scratch_path(spark, "edges-big.parquet"), scratch_path(spark, "edge-batch.parquet")
+    fx.edges(spark, SF_SMALL).write.parquet(epath)
+    spark.createDataFrame([(1, 2), (3, 4), (5, 6)], "src long, dst long").write.parquet(bpath)
+    existing, batch = spark.read.parquet(epath), spark.read.parquet(bpath)
+    m = graph.merge_edges(existing, batch)
+    qe = m._jdf.queryExecution()
+    qe.toRdd().count()
+    p = qe.executedPlan().toString().split("== Initial Plan ==")[0]
+    assert not any("edges-big" in t for t in exchange_subtrees(p)), p
+    assert m.count() == m.distinct().count()
+    n, e = graph.detach_delete(spark.createDataFrame([(1,)], "id long"), existing, spark.read.parquet(bpath).select(F.col("src").alias("id")))
+    pe = e._jdf.queryExecution().executedPlan().toString()
+    assert not any("edges-big" in t for t in exchange_subtrees(pe))
