@@ -150,13 +150,6 @@ def _lww(current: DataFrame | None, changes: Sequence[DataFrame], key: list[str]
     return out.select(*[F.col(c) if c in key else F.col(f"_row.{c}").alias(c) for c in out_cols])
 
 
-def upsert_by_anti_join(current: DataFrame, change_latest: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Upsert when the change has one row per key: keep current rows whose key
-    is not in the change, then append the change (no aggregation)."""
-    keep = current.join(change_latest.select(*key), list(key), "left_anti")
-    return keep.unionByName(change_latest.select(*current.columns))
-
-
 def with_ttl(df: DataFrame, ttl_seconds: int, written_at: str | Column, col: str = "expires_at") -> DataFrame:
     """``USING TTL n``: rows expire ``n`` seconds after their write time."""
     w = F.col(written_at) if isinstance(written_at, str) else written_at

@@ -152,3 +152,9 @@ class BucketedKeyedTable:
             self._overwrite_buckets(self.current(partial).filter(~hit))
         for b in emptied:
             self.spark.sql(f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION ({BUCKET} = {int(b)})")
+
+    def purge_expired(self, as_of, col: str = "expires_at") -> None:
+        """Drop rows whose expiry is at or before ``as_of`` (TTL purge)."""
+        from pyspark.sql import functions as F
+        t = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp_ntz")
+        self.delete_where(F.col(col) <= t)

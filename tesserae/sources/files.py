@@ -9,7 +9,6 @@ see either the old or the new version (the commit is the pointer write).
 from __future__ import annotations
 
 import json
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -125,6 +124,3 @@ def write_version(spark: SparkSession, df: DataFrame, table_dir: str, partition_
     _write_text_atomic(spark, f"{table_dir}/_CURRENT", json.dumps(info))
     return info
 
-
-def basename(path: str) -> str:
-    return os.path.basename(path.rstrip("/"))

@@ -166,3 +166,14 @@ def test_measured_bytes_is_exact(spark):
     df.write.parquet(p)
     f = spark.read.parquet(p)
     assert keyed.fits_broadcast(f, limit=10_000) and not keyed.fits_broadcast(f, limit=40)
+
+
+def test_bucketed_ttl_purge(spark):
+    import uuid
+    from tesserae.operators.store import BucketedKeyedTable
+    from tesserae.session import scratch_path
+    name = f"ttl_{uuid.uuid4().hex[:6]}"
+    t = BucketedKeyedTable(spark, name, KeySpec(("k",)), buckets=2, location=scratch_path(spark, name))
+    t.create(spark.createDataFrame([(1, None), (2, T0), (3, T1)], "k long, expires_at timestamp_ntz"))
+    t.purge_expired("2024-01-01 00:00:00")
+    assert sorted(r["k"] for r in t.read().collect()) == [1, 3]
