@@ -12,8 +12,11 @@ _LOCAL_DEFAULT_DIR: str | None = None
 
 
 def build_session(master: str | None = None, app: str = "tesserae", shuffle_partitions: int | None = None,
-                  extra: dict | None = None) -> SparkSession:
-    """Session with the settings every operator here assumes (AQE on, UTC)."""
+                  extra: dict | None = None, input_bytes: int | None = None, cores: int | None = None) -> SparkSession:
+    """Session with the settings every operator here assumes (AQE on, UTC).
+
+    With ``input_bytes`` and ``cores`` the shuffle and scan settings come
+    from ``sizing`` (partitions of ~256 MB of input)."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
@@ -26,6 +29,8 @@ def build_session(master: str | None = None, app: str = "tesserae", shuffle_part
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
+    if input_bytes and cores:
+        conf.update(sizing(input_bytes, cores))
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
