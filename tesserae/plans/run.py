@@ -1,6 +1,6 @@
 """Run one registered query on a cluster and write its result.
 
-``spark-submit --py-files tesserae.zip -m tesserae.plans.run <query> <input_dir> <output_path> [--cores N]``
+``spark-submit --py-files tesserae.zip run_query.py <query> <input_dir> <output_path> [--cores N]``
 
 The session is sized from the input folder's total bytes (one metadata
 call to the file system) unless the cluster already sets
