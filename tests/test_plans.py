@@ -163,3 +163,21 @@ def test_small_edge_batch_does_not_shuffle_the_graph(spark, monkeypatch):
     n, e = graph.detach_delete(spark.createDataFrame([(1,)], "id long"), existing, spark.read.parquet(bpath).select(F.col("src").alias("id")))
     pe = e._jdf.queryExecution().executedPlan().toString()
     assert not any("edges-big" in t for t in exchange_subtrees(pe))
+
+
+def test_few_gets_do_not_shuffle_the_store(spark, monkeypatch):
+    from tesserae.operators import kv
+    monkeypatch.setattr(keyed, "SMALL_CHANGE_BYTES", 4096)
+    spath, rpath = scratch_path(spark, "kv-big.parquet"), scratch_path(spark, "kv-req.parquet")
+    kv.kv_set(None, fx.kv_writes(spark, SF_SMALL)).write.parquet(spath)  # one value per key
+    spark.createDataFrame([("u1",), ("u2",), ("nope",)], "key string").write.parquet(rpath)
+    store, req = spark.read.parquet(spath), spark.read.parquet(rpath)
+    df = kv.kv_get(store, req)
+    qe = df._jdf.queryExecution()
+    qe.toRdd().count()
+    p = qe.executedPlan().toString().split("== Initial Plan ==")[0]
+    assert not any("kv-big" in t for t in exchange_subtrees(p)), p
+    got = {r["key"]: r["value"] for r in df.collect()}
+    assert set(got) == {"u1", "u2", "nope"} and got["nope"] is None
+    want = {r["key"]: r["value"] for r in store.join(req, "key").collect()}
+    assert all(got[k] == v for k, v in want.items())
