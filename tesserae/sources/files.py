@@ -49,6 +49,13 @@ def sql_on_path(spark: SparkSession, sql_template: str, path: str, fmt: str = "p
 
 
 # ---- versioned tables -------------------------------------------------------
+#
+# A table directory holds one data directory per version and a log
+# ``_versions/<n>.json`` of immutable commit files. A commit creates the next
+# file by renaming a temp file to a name that does not exist yet: atomic on
+# HDFS and local file systems, and it fails (instead of overwriting) when a
+# concurrent writer committed the same version first. Readers take the
+# highest committed version, so they never see a missing or half-written one.
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -74,22 +81,34 @@ def _read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def _write_text_atomic(spark: SparkSession, path: str, text: str) -> None:
+def _create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Create ``path`` with ``text`` unless it exists (temp file + rename)."""
     fs, p, jvm = _fs(spark, path)
     tmp = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
-    out = fs.create(tmp, True)
+    out = fs.create(tmp, False)
     try:
         out.write(bytearray(text.encode("utf-8")))
     finally:
         out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    fs.rename(tmp, p)
+    ok = (not fs.exists(p)) and fs.rename(tmp, p)
+    if not ok:
+        fs.delete(tmp, False)
+    return bool(ok)
+
+
+class ConcurrentCommit(RuntimeError):
+    """Another writer committed the same version first."""
 
 
 def current_version(spark: SparkSession, table_dir: str) -> dict | None:
-    txt = _read_text(spark, f"{table_dir}/_CURRENT")
-    return json.loads(txt) if txt else None
+    fs, p, jvm = _fs(spark, f"{table_dir}/_versions")
+    if not fs.exists(p):
+        return None
+    names = [st.getPath().getName() for st in fs.listStatus(p)]
+    committed = sorted(n for n in names if n.endswith(".json") and n[:-5].isdigit())
+    if not committed:
+        return None
+    return json.loads(_read_text(spark, f"{table_dir}/_versions/{committed[-1]}"))
 
 
 def read_version(spark: SparkSession, table_dir: str, schema: T.StructType | None = None) -> DataFrame | None:
@@ -105,11 +124,11 @@ def read_version(spark: SparkSession, table_dir: str, schema: T.StructType | Non
 
 def write_version(spark: SparkSession, df: DataFrame, table_dir: str, partition_by: list[str] | None = None,
                   bucket_rows: int | None = None) -> dict:
-    """Write ``df`` as the next version and make it live.
+    """Write ``df`` as the next version and commit it.
 
-    The data goes to a new ``v<n>-<id>`` directory first; only after the
-    job commits is the pointer swapped, so a failed or lost job leaves the
-    previous version live.
+    The data goes to a new ``v<n>-<id>`` directory first (never the
+    directory being read); only after the job has committed is the log entry
+    created, so a failed or lost job leaves the previous version live.
     """
     cur = current_version(spark, table_dir)
     n = 0 if cur is None else int(cur["version"]) + 1
@@ -121,6 +140,6 @@ def write_version(spark: SparkSession, df: DataFrame, table_dir: str, partition_
         w = w.option("maxRecordsPerFile", int(bucket_rows))
     w.parquet(f"{table_dir}/{d}")
     info = {"version": n, "dir": d}
-    _write_text_atomic(spark, f"{table_dir}/_CURRENT", json.dumps(info))
+    if not _create_once(spark, f"{table_dir}/_versions/{n:020d}.json", json.dumps(info)):
+        raise ConcurrentCommit(f"version {n} of {table_dir} was committed by another writer")
     return info
-

@@ -102,3 +102,20 @@ def test_sizing_scales_with_input():
     assert int(small["spark.sql.shuffle.partitions"]) == 16
     # 100 TiB / 256 MiB = 409,600 partitions, capped at 200,000
     assert int(big["spark.sql.shuffle.partitions"]) == 200_000
+
+
+def test_version_commit_never_overwrites(spark):
+    import pytest
+    d = scratch_path(spark, "vt3")
+    files.write_version(spark, spark.range(3), d)
+    # a second writer that read version 0 and tries to commit version 1 after us
+    files.write_version(spark, spark.range(4), d)
+    assert files._create_once(spark, f"{d}/_versions/{1:020d}.json", "{}") is False
+    assert files.read_version(spark, d).count() == 4
+    with pytest.raises(files.ConcurrentCommit):
+        orig = files.current_version
+        try:
+            files.current_version = lambda s, t: {"version": 0, "dir": "x"}
+            files.write_version(spark, spark.range(1), d)
+        finally:
+            files.current_version = orig
