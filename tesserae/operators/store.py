@@ -2,7 +2,7 @@
 
 Every mutation is a pure function of the live version (``keyed``,
 ``mutate``) whose result is written as the next version
-(``files.write_version``); the pointer swap is the commit, so a job lost
+(``files.write_version``); creating its log file is the commit, so a job lost
 half-way leaves the previous version live, and the next read starts from
 files (no lineage carried between mutations).
 """

@@ -2,8 +2,8 @@
 table writes.
 
 A mutation never overwrites the path it reads: each version is written to
-its own directory and a small pointer file names the live one, so readers
-see either the old or the new version (the commit is the pointer write).
+its own directory and committed by a new immutable log file, so readers see
+either the old or the new version (the commit is the log-file creation).
 """
 
 from __future__ import annotations
