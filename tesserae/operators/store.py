@@ -92,9 +92,15 @@ class BucketedKeyedTable:
         if location is None:
             raise ValueError("a shared location is required")
         self.location = location
-        (df.withColumn(BUCKET, self.bucket_of()).write.mode("overwrite").format("parquet")
+        (self._layout(df.withColumn(BUCKET, self.bucket_of())).write.mode("overwrite").format("parquet")
          .option("path", location).partitionBy(BUCKET).saveAsTable(self.name))
 
+    def _layout(self, df: DataFrame) -> DataFrame:
+        """Range-partition by (bucket, key) before writing: each task holds a
+        contiguous key range of (mostly) one bucket, so a write makes about
+        tasks + buckets files instead of tasks x buckets, sorted by key."""
+        return df.repartitionByRange(BUCKET, *self.key.primary)
+
     def read(self) -> DataFrame:
         return self.spark.table(self.name).drop(BUCKET)
 
@@ -112,7 +118,7 @@ class BucketedKeyedTable:
             old = conf.get("spark.sql.sources.partitionOverwriteMode", "static")
             conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
             try:
-                df.select(*self._columns()).write.mode("overwrite").insertInto(self.name)
+                self._layout(df.select(*self._columns())).write.mode("overwrite").insertInto(self.name)
             finally:
                 conf.set("spark.sql.sources.partitionOverwriteMode", old)
 

@@ -177,3 +177,17 @@ def test_bucketed_ttl_purge(spark):
     t.create(spark.createDataFrame([(1, None), (2, T0), (3, T1)], "k long, expires_at timestamp_ntz"))
     t.purge_expired("2024-01-01 00:00:00")
     assert sorted(r["k"] for r in t.read().collect()) == [1, 3]
+
+
+def test_bucketed_write_file_count_is_bounded(spark):
+    import uuid
+    from tesserae.operators.store import BucketedKeyedTable
+    from tesserae.session import scratch_path
+    name = f"fc_{uuid.uuid4().hex[:6]}"
+    t = BucketedKeyedTable(spark, name, KeySpec(("k",)), buckets=8, location=scratch_path(spark, name))
+    df = spark.range(0, 4000, 1, 16).select(F.col("id").alias("k"), (F.col("id") % 7).alias("v"))
+    t.create(df)
+    n_files = spark.table(name).select("_metadata.file_path").distinct().count()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert n_files <= tasks + 8 < 16 * 8
+    assert t.read().count() == 4000
