@@ -181,3 +181,14 @@ def test_few_gets_do_not_shuffle_the_store(spark, monkeypatch):
     assert set(got) == {"u1", "u2", "nope"} and got["nope"] is None
     want = {r["key"]: r["value"] for r in store.join(req, "key").collect()}
     assert all(got[k] == v for k, v in want.items())
+
+
+def test_keyed_write_file_count_is_bounded(spark):
+    import uuid
+    from tesserae.sources import catalog
+    name = f"kw_{uuid.uuid4().hex[:6]}"
+    df = spark.range(0, 6000, 1, 12).select((F.col("id") % 40).cast("string").alias("city"), F.col("id").alias("user_id"))
+    catalog.write_keyed(df, name, USER_METRICS_KEY, 8, scratch_path(spark, name))
+    n_files = spark.table(name).select("_metadata.file_path").distinct().count()
+    assert n_files <= int(spark.conf.get("spark.sql.shuffle.partitions")) + 8 < 12 * 8
+    assert "Exchange" not in plan(spark.table(name).groupBy("city").count())
