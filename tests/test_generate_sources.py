@@ -119,3 +119,11 @@ def test_version_commit_never_overwrites(spark):
             files.write_version(spark, spark.range(1), d)
         finally:
             files.current_version = orig
+
+
+def test_cluster_runner_writes_result(spark):
+    from tesserae.plans import run
+    from tests.conftest import SF_SMALL
+    out = scratch_path(spark, "run-out")
+    run.main(["cql_distinct", SF_SMALL, out, "--cores", "4"])
+    assert spark.read.parquet(out).count() == spark.read.parquet(f"{SF_SMALL}/nation.parquet").count()
