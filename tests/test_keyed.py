@@ -191,3 +191,41 @@ def test_bucketed_write_file_count_is_bounded(spark):
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert n_files <= tasks + 8 < 16 * 8
     assert t.read().count() == 4000
+
+
+def test_hot_key_third_of_writes(spark):
+    """One key takes a third of 30,000 writes: the result is exact and the
+    partial aggregate leaves one row per key per map task before the shuffle."""
+    n = 30000
+    w = spark.range(0, n, 1, 6).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), (F.col("id") % 997).cast("string"))).alias("key"),
+        F.col("id").cast("string").alias("value"),
+        (F.lit(T0).cast("timestamp_ntz") + F.make_dt_interval(secs=(F.col("id") % 50).cast("int"))).alias("ts"),
+        F.col("id").alias("seq"))
+    s = kv.kv_set(None, w)
+    got = dict(s.collect())
+    # newest ts first (49 s), then highest seq among those ids (id % 3 == 0 and id % 50 == 49)
+    want_hot = max((i for i in range(n) if i % 3 == 0 and i % 50 == 49))
+    assert got["hot"] == str(want_hot) and len(got) == 998
+    qe = s._jdf.queryExecution()
+    qe.toRdd().count()
+    p = qe.executedPlan().toString()
+    assert "partial_max_by" in p
+    # rows entering the shuffle: at most one per key per map task (6 tasks)
+    written = [n.metrics().apply("shuffleRecordsWritten").value() for n in _plan_nodes(qe.executedPlan())
+               if n.getClass().getSimpleName() == "ShuffleExchangeExec"]
+    assert written and max(written) <= 6 * 998 < n
+
+
+def _plan_nodes(p):
+    yield p
+    name = p.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        yield from _plan_nodes(p.executedPlan())
+        return
+    if name.endswith("QueryStageExec"):
+        yield from _plan_nodes(p.plan())
+        return
+    ch = p.children()
+    for i in range(ch.size()):
+        yield from _plan_nodes(ch.apply(i))
