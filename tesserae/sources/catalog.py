@@ -77,7 +77,14 @@ def drop_table(spark: SparkSession, name: str) -> None:
 
 
 def truncate_table(spark: SparkSession, name: str) -> None:
-    spark.sql(f"TRUNCATE TABLE {name}")
+    """Empty a table, keeping its schema. Managed tables take ``TRUNCATE``;
+    external ones (explicit path) are overwritten with an empty frame."""
+    meta = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").filter("col_name = 'Type'").collect()
+    if meta and meta[0]["data_type"].strip().upper() == "EXTERNAL":
+        empty = spark.createDataFrame([], spark.table(name).schema)
+        empty.write.mode("overwrite").insertInto(name)
+    else:
+        spark.sql(f"TRUNCATE TABLE {name}")
 
 
 def sync_schema(df: DataFrame, model: T.StructType) -> DataFrame:

@@ -127,3 +127,34 @@ def test_cluster_runner_writes_result(spark):
     out = scratch_path(spark, "run-out")
     run.main(["cql_distinct", SF_SMALL, out, "--cores", "4"])
     assert spark.read.parquet(out).count() == spark.read.parquet(f"{SF_SMALL}/nation.parquet").count()
+
+
+def test_catalog_helpers(spark):
+    import uuid
+    ns = f"tess_{uuid.uuid4().hex[:6]}"
+    catalog.create_namespace(spark, ns, location=scratch_path(spark, ns))
+    catalog.use_namespace(spark, ns)
+    try:
+        spark.range(5).write.saveAsTable("t5")                                     # managed, under the namespace folder
+        spark.range(5).write.option("path", scratch_path(spark, "t6")).saveAsTable("t6")  # external
+        for t in ("t5", "t6"):
+            assert spark.table(f"{ns}.{t}").count() == 5
+            catalog.truncate_table(spark, f"{ns}.{t}")
+            assert spark.table(f"{ns}.{t}").count() == 0 and spark.table(f"{ns}.{t}").columns == ["id"]
+    finally:
+        catalog.use_namespace(spark, "default")
+        catalog.drop_namespace(spark, ns)
+    assert not spark.catalog.databaseExists(ns)
+    prof = catalog.lakehouse_profile("iceberg", "/shared/wh")
+    assert prof["spark.sql.catalog.local.warehouse"] == "/shared/wh"
+    import pytest
+    with pytest.raises(ValueError):
+        catalog.lakehouse_profile("nope", "/x")
+
+
+def test_csv_single_file_and_header(spark):
+    df = gen.people_from_ids(_ids(spark, 30))
+    p = scratch_path(spark, "one.csv")
+    files.write_csv(df, p, header=True, single_file=True)
+    back = files.read_csv(spark, p, PEOPLE_SCHEMA, header=True)
+    assert back.rdd.getNumPartitions() == 1 and _rows(back) == _rows(df)
