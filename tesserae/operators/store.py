@@ -50,6 +50,10 @@ class VersionedTable:
             raise ValueError("no live version")
         return self._commit(keyed.live(cur, as_of, col))
 
+    def vacuum(self, keep: int = 2) -> list[str]:
+        """Drop data of all but the newest ``keep`` versions."""
+        return files.vacuum_versions(self.spark, self.path, keep)
+
     def truncate(self) -> int:
         cur = self.read()
         if cur is None:

@@ -143,3 +143,24 @@ def write_version(spark: SparkSession, df: DataFrame, table_dir: str, partition_
     if not _create_once(spark, f"{table_dir}/_versions/{n:020d}.json", json.dumps(info)):
         raise ConcurrentCommit(f"version {n} of {table_dir} was committed by another writer")
     return info
+
+
+def vacuum_versions(spark: SparkSession, table_dir: str, keep: int = 2) -> list[str]:
+    """Delete the data directories of all but the newest ``keep`` committed
+    versions (their log entries stay). Readers still holding an older
+    version lose it: run once no job reads it. Returns the deleted dirs."""
+    if keep < 1:
+        raise ValueError("keep at least the live version")
+    fs, p, jvm = _fs(spark, f"{table_dir}/_versions")
+    if not fs.exists(p):
+        return []
+    names = sorted(st.getPath().getName() for st in fs.listStatus(p)
+                   if st.getPath().getName().endswith(".json") and st.getPath().getName()[:-5].isdigit())
+    gone = []
+    for n in names[:-keep]:
+        info = json.loads(_read_text(spark, f"{table_dir}/_versions/{n}"))
+        dfs, dp, _ = _fs(spark, f"{table_dir}/{info['dir']}")
+        if dfs.exists(dp):
+            dfs.delete(dp, True)
+            gone.append(info["dir"])
+    return gone

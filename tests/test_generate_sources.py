@@ -158,3 +158,14 @@ def test_csv_single_file_and_header(spark):
     files.write_csv(df, p, header=True, single_file=True)
     back = files.read_csv(spark, p, PEOPLE_SCHEMA, header=True)
     assert back.rdd.getNumPartitions() == 1 and _rows(back) == _rows(df)
+
+
+def test_vacuum_keeps_newest_versions(spark):
+    from tesserae.operators.store import VersionedTable
+    from tesserae.schemas import KeySpec
+    t = VersionedTable(spark, scratch_path(spark, "vac"), KeySpec(("id",)))
+    for i in range(4):
+        t.insert(spark.range(i + 1))
+    gone = t.vacuum(keep=2)
+    assert len(gone) == 2 and t.version() == 3 and t.read().count() == 4
+    assert t.vacuum(keep=2) == []
