@@ -39,3 +39,14 @@ def test_restart_processes_only_new_files_and_converges(spark):
     assert batches == [2, 3]  # the first file is not read again
     assert dict((r["key"], r["value"]) for r in table.read().collect()) == {"a": "2", "b": "1", "c": "1"}
     assert table.read().filter(F.col("key") == "b").count() == 1
+
+
+def test_versioned_sink_merges_batches_by_version(spark):
+    from tesserae.sources import files
+    from tesserae.streaming.upsert import upsert_sink
+    d = scratch_path(spark, "vsink")
+    sink = upsert_sink(d, ["key"], ["ts", "seq"])
+    sink(spark.createDataFrame([("a", "new", T0 + dt.timedelta(hours=2), 1), ("b", "b0", T0, 0)], SCHEMA), 0)
+    sink(spark.createDataFrame([("a", "old", T0, 9), ("b", "b1", T0, 1)], SCHEMA), 1)
+    got = {r["key"]: r["value"] for r in files.read_version(spark, d).collect()}
+    assert got == {"a": "new", "b": "b1"} and files.current_version(spark, d)["version"] == 1
