@@ -66,13 +66,17 @@ def route(keys: DataFrame, slots: DataFrame, key_col: str = "key") -> DataFrame:
     return keys.withColumn("slot", slot_of(key_col)).join(F.broadcast(slots), "slot", "left")
 
 
-def node_stats(nodes: DataFrame, log: DataFrame, cmd: str = "get") -> DataFrame:
+def node_stats(nodes: DataFrame, log: DataFrame, cmd: str = "get", since=None, ts_col: str = "ts") -> DataFrame:
     """Calls of ``cmd`` per node with role; nodes that served nothing show 0.
+    ``since`` counts only entries at or after that time (a statistics reset).
 
     The log is aggregated per node first (partial + final hash aggregate), so
     the left join only meets one row per node.
     """
-    calls = log.filter(F.col("cmd") == cmd).groupBy("node").agg(F.count(F.lit(1)).alias("calls"))
+    cond = F.col("cmd") == cmd
+    if since is not None:
+        cond = cond & (F.col(ts_col) >= F.lit(since).cast("timestamp_ntz"))
+    calls = log.filter(cond).groupBy("node").agg(F.count(F.lit(1)).alias("calls"))
     return (nodes.join(calls, "node", "left")
             .select("node", "role", F.coalesce(F.col("calls"), F.lit(0)).cast("long").alias("calls"))
             .withColumn("handled", F.col("calls") > 0))

@@ -229,3 +229,10 @@ def _plan_nodes(p):
     ch = p.children()
     for i in range(ch.size()):
         yield from _plan_nodes(ch.apply(i))
+
+
+def test_node_stats_since_reset(spark):
+    nodes = spark.createDataFrame([(0, "master"), (1, "slave")], "node int, role string")
+    log = spark.createDataFrame([(1, "get", T0), (1, "get", T1), (0, "get", T0)], "node int, cmd string, ts timestamp_ntz")
+    r = {x["node"]: x["calls"] for x in kv.node_stats(nodes, log, since="2024-01-01 12:00:00").collect()}
+    assert r == {0: 0, 1: 1}
