@@ -66,6 +66,21 @@ def route(keys: DataFrame, slots: DataFrame, key_col: str = "key") -> DataFrame:
     return keys.withColumn("slot", slot_of(key_col)).join(F.broadcast(slots), "slot", "left")
 
 
+def replica_map(nodes: DataFrame, n_masters: int) -> DataFrame:
+    """Master -> node that serves its reads: with one replica per master,
+    replica ``i + n_masters`` follows master ``i`` (``--cluster-replicas 1``)."""
+    return (nodes.filter(F.col("role") == "slave")
+            .select((F.col("node") - n_masters).alias("owner"), F.col("node").alias("served_by")))
+
+
+def route_reads(log: DataFrame, slots: DataFrame, replicas: DataFrame, key_col: str = "key") -> DataFrame:
+    """Route each read: key -> slot -> owning master -> its replica. Both
+    lookup tables are configuration-sized (16,384 slots, one row per
+    replica) and broadcast."""
+    r = route(log, slots, key_col)
+    return r.join(F.broadcast(replicas), "owner", "left").withColumn("node", F.col("served_by")).drop("served_by")
+
+
 def node_stats(nodes: DataFrame, log: DataFrame, cmd: str = "get", since=None, ts_col: str = "ts") -> DataFrame:
     """Calls of ``cmd`` per node with role; nodes that served nothing show 0.
     ``since`` counts only entries at or after that time (a statistics reset).

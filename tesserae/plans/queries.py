@@ -431,6 +431,22 @@ def kv_node_stats(spark, sf):
     return kv.node_stats(fx.kv_nodes(spark, sf), fx.access_log(spark, sf))
 
 
+@q("kv_routed_stats", W(f"""WITH slots AS (SELECT node AS owner, unnest(range(CAST(floor(node * 16384 / 3) AS BIGINT),
+   CAST(floor((node + 1) * 16384 / 3) AS BIGINT))) AS slot FROM kv_nodes WHERE role = 'master'),
+routed AS (SELECT a.event_id, s.owner + 3 AS node FROM access_log a
+  JOIN slots s ON CAST({kt('a.key')} % 16384 AS INT) = s.slot WHERE a.cmd = 'get')
+SELECT n.node, n.role, CAST(count(r.event_id) AS BIGINT) AS calls, count(r.event_id) > 0 AS handled
+FROM kv_nodes n LEFT JOIN routed r ON n.node = r.node GROUP BY n.node, n.role""", "kv_nodes", "access_log"))
+def kv_routed_stats(spark, sf):
+    """GETs per node when each read is routed by its key's slot to the
+    owning master and served by that master's replica."""
+    nodes = fx.kv_nodes(spark, sf)
+    masters = nodes.filter(F.col("role") == "master")
+    log = fx.access_log(spark, sf).drop("node")
+    routed = kv.route_reads(log, kv.slot_table(masters, 3), kv.replica_map(nodes, 3))
+    return kv.node_stats(nodes, routed)
+
+
 @q("kv_slot_route", W(f"""WITH slots AS (SELECT node AS owner, unnest(range(CAST(floor(node * 16384 / 3) AS BIGINT),
    CAST(floor((node + 1) * 16384 / 3) AS BIGINT))) AS slot FROM kv_nodes WHERE role = 'master')
 SELECT k.key, k.slot, s.owner FROM (SELECT key, CAST({kt('key')} % 16384 AS INT) AS slot FROM kv_store) k
