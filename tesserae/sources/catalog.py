@@ -97,6 +97,21 @@ def sync_schema(df: DataFrame, model: T.StructType) -> DataFrame:
     return df.select(*cols, *extra)
 
 
+def check_schema(df: DataFrame, schema: T.StructType, exact: bool = False) -> list[str]:
+    """Differences between a frame's schema and a declared one (names and
+    types; extra columns only when ``exact``). Empty list = matches."""
+    have = {f.name: f.dataType for f in df.schema.fields}
+    out = []
+    for f in schema.fields:
+        if f.name not in have:
+            out.append(f"missing {f.name}")
+        elif have[f.name] != f.dataType:
+            out.append(f"{f.name}: {have[f.name].simpleString()} != {f.dataType.simpleString()}")
+    if exact:
+        out += [f"extra {c}" for c in have if c not in {f.name for f in schema.fields}]
+    return out
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Cast to a declared schema (ANSI casts raise on bad values)."""
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])

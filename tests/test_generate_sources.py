@@ -169,3 +169,10 @@ def test_vacuum_keeps_newest_versions(spark):
     gone = t.vacuum(keep=2)
     assert len(gone) == 2 and t.version() == 3 and t.read().count() == 4
     assert t.vacuum(keep=2) == []
+
+
+def test_check_schema(spark):
+    df = gen.people_from_ids(_ids(spark, 3))
+    assert catalog.check_schema(df, PEOPLE_SCHEMA, exact=True) == []
+    bad = df.withColumn("amount", F.col("amount").cast("string")).drop("phone").withColumn("x", F.lit(1))
+    assert catalog.check_schema(bad, PEOPLE_SCHEMA, exact=True) == ["missing phone", "amount: string != double", "extra x"]
