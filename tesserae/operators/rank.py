@@ -40,3 +40,12 @@ def collation_sort(df: DataFrame, col: str, k: int | None = None, collation: str
 def preview(df: DataFrame, k: int = 20, order: Sequence[Column | str] = ()) -> DataFrame:
     """Bounded preview for display (a top-k when ordered)."""
     return (df.orderBy(*order) if order else df).limit(k)
+
+
+def to_pandas_preview(df: DataFrame, k: int = 20, order: Sequence[Column | str] = (), max_rows: int = 10_000):
+    """Display helper: at most ``k`` rows reach the driver (``k`` is capped at
+    ``max_rows``); the unbounded ``toPandas()`` of a whole result is never
+    taken."""
+    if k > max_rows:
+        raise ValueError(f"preview of {k} rows exceeds {max_rows}")
+    return preview(df, k, order).toPandas()

@@ -138,3 +138,11 @@ def test_insert_many_deterministic_ids(spark):
     a = {r["name"]: r["_id"] for r in doc.insert_many(None, new, id_from=["name"]).collect()}
     b = {r["name"]: r["_id"] for r in doc.insert_many(None, new.repartition(2), id_from=["name"]).collect()}
     assert a == b and len(set(a.values())) == 2
+
+
+def test_bounded_preview(spark):
+    import pytest
+    p = rank.to_pandas_preview(_users(spark), 3, order=["_id"])
+    assert list(p["_id"]) == [1, 2, 3]
+    with pytest.raises(ValueError):
+        rank.to_pandas_preview(_users(spark), 10**9)
