@@ -95,3 +95,20 @@ def node_stats(nodes: DataFrame, log: DataFrame, cmd: str = "get", since=None, t
     return (nodes.join(calls, "node", "left")
             .select("node", "role", F.coalesce(F.col("calls"), F.lit(0)).cast("long").alias("calls"))
             .withColumn("handled", F.col("calls") > 0))
+
+
+def command_stats(nodes: DataFrame, log: DataFrame) -> DataFrame:
+    """Per node: role and a ``map<cmd, calls>`` of every command it served
+    (empty map for idle nodes), the shape of a store's command statistics.
+    Counts are aggregated per (node, cmd) first; each node's map then holds
+    one entry per distinct command, a group bounded by the command set.
+    ``calls_of(stats, "get")`` reads one command with a 0 default."""
+    per = log.groupBy("node", "cmd").agg(F.count(F.lit(1)).alias("calls"))
+    m = per.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("cmd", "calls"))).alias("stats"))
+    return (nodes.join(m, "node", "left")
+            .select("node", "role", F.coalesce(F.col("stats"), F.create_map().cast("map<string,bigint>")).alias("stats")))
+
+
+def calls_of(stats_col: str, cmd: str):
+    """``stats.get(cmd, {}).get("calls", 0)``."""
+    return F.coalesce(F.try_element_at(F.col(stats_col), F.lit(cmd)), F.lit(0)).cast("long")

@@ -447,6 +447,15 @@ def kv_routed_stats(spark, sf):
     return kv.node_stats(nodes, routed)
 
 
+@q("kv_command_stats", W("""SELECT n.node, n.role, CAST(count(a.event_id) FILTER (WHERE a.cmd = 'get') AS BIGINT) AS get_calls,
+ CAST(count(DISTINCT a.cmd) AS INT) AS n_commands
+FROM kv_nodes n LEFT JOIN access_log a ON n.node = a.node GROUP BY n.node, n.role""", "kv_nodes", "access_log"))
+def kv_command_stats(spark, sf):
+    """Per-node command statistics map, read back with defaults."""
+    s = kv.command_stats(fx.kv_nodes(spark, sf), fx.access_log(spark, sf))
+    return s.select("node", "role", kv.calls_of("stats", "get").alias("get_calls"), F.size("stats").alias("n_commands"))
+
+
 @q("kv_slot_route", W(f"""WITH slots AS (SELECT node AS owner, unnest(range(CAST(floor(node * 16384 / 3) AS BIGINT),
    CAST(floor((node + 1) * 16384 / 3) AS BIGINT))) AS slot FROM kv_nodes WHERE role = 'master')
 SELECT k.key, k.slot, s.owner FROM (SELECT key, CAST({kt('key')} % 16384 AS INT) AS slot FROM kv_store) k

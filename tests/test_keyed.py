@@ -236,3 +236,12 @@ def test_node_stats_since_reset(spark):
     log = spark.createDataFrame([(1, "get", T0), (1, "get", T1), (0, "get", T0)], "node int, cmd string, ts timestamp_ntz")
     r = {x["node"]: x["calls"] for x in kv.node_stats(nodes, log, since="2024-01-01 12:00:00").collect()}
     assert r == {0: 0, 1: 1}
+
+
+def test_command_stats_map_with_defaults(spark):
+    nodes = spark.createDataFrame([(0, "master"), (1, "slave")], "node int, role string")
+    log = spark.createDataFrame([(1, "get"), (1, "get"), (1, "set")], "node int, cmd string")
+    r = kv.command_stats(nodes, log)
+    got = {x["node"]: (x["stats"], x["g"], x["d"]) for x in
+           r.select("node", "stats", kv.calls_of("stats", "get").alias("g"), kv.calls_of("stats", "del").alias("d")).collect()}
+    assert got == {0: ({}, 0, 0), 1: ({"get": 2, "set": 1}, 2, 0)}
