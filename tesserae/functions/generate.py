@@ -37,14 +37,15 @@ def _email(first: Column, last: Column, k: Column) -> Column:
     return F.concat(F.lower(first), F.lit("."), F.lower(last), k.cast("string"), F.lit("@example.org"))
 
 
-def people_columns(id_col: str = "id", worker: Column | None = None) -> list[Column]:
+def people_columns(id_col: str = "id", worker: Column | None = None, seed: str = SEED) -> list[Column]:
+    """Columns of one person per key; ``seed`` keys the uuid."""
     k = F.col(id_col)
     first = pick(k, FIRST_NAMES, FIRST_PRIME)
     last = pick(k, LAST_NAMES, LAST_PRIME)
     ts = F.lit(BASE_TS).cast("timestamp_ntz") + F.make_dt_interval(
         secs=F.pmod(k * TS_PRIME, F.lit(TS_SPAN_SECS)).cast("int"))
     return [
-        uuid_text(SEED, k).alias("id"),
+        uuid_text(seed, k).alias("id"),
         (worker if worker is not None else F.concat(F.lit("w"), F.pmod(k, F.lit(3)).cast("string"))).alias("worker"),
         ts.alias("timestamp"),
         first.alias("first_name"),
@@ -55,9 +56,9 @@ def people_columns(id_col: str = "id", worker: Column | None = None) -> list[Col
     ]
 
 
-def people_from_ids(ids: DataFrame, id_col: str = "id") -> DataFrame:
+def people_from_ids(ids: DataFrame, id_col: str = "id", seed: str = SEED) -> DataFrame:
     """Expression generator: one person per key, no Python in the plan."""
-    return ids.select(*people_columns(id_col))
+    return ids.select(*people_columns(id_col, seed=seed))
 
 
 def gen_range(spark: SparkSession, n: int, partitions: int | None = None) -> DataFrame:
@@ -67,12 +68,12 @@ def gen_range(spark: SparkSession, n: int, partitions: int | None = None) -> Dat
 
 # ---- pandas forms (slow path, kept for the partition-function API) ----
 
-def _people_pdf(keys: np.ndarray, worker: str | None) -> pd.DataFrame:
+def _people_pdf(keys: np.ndarray, worker: str | None, seed: str = SEED) -> pd.DataFrame:
     k = keys.astype(np.int64)
     first = np.array(FIRST_NAMES, dtype=object)[(k * FIRST_PRIME) % len(FIRST_NAMES)]
     last = np.array(LAST_NAMES, dtype=object)[(k * LAST_PRIME) % len(LAST_NAMES)]
     ks = k.astype(str)
-    hexes = [hashlib.md5(f"{SEED}{x}".encode()).hexdigest() for x in ks]
+    hexes = [hashlib.md5(f"{seed}{x}".encode()).hexdigest() for x in ks]
     ids = [f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:32]}" for h in hexes]
     ts = pd.Timestamp(BASE_TS) + pd.to_timedelta((k * TS_PRIME) % TS_SPAN_SECS, unit="s")
     wk = np.full(len(k), worker, dtype=object) if worker is not None else np.char.add("w", (k % 3).astype(str)).astype(object)
@@ -88,7 +89,7 @@ def _people_pdf(keys: np.ndarray, worker: str | None) -> pd.DataFrame:
     })
 
 
-def people_map(ids: DataFrame, id_col: str = "id", hostname_worker: bool = False) -> DataFrame:
+def people_map(ids: DataFrame, id_col: str = "id", hostname_worker: bool = False, seed: str = SEED) -> DataFrame:
     """Partition-function generator (``mapInPandas``): batches in, rows out.
 
     ``hostname_worker=True`` labels rows with the executor host that made
@@ -98,7 +99,7 @@ def people_map(ids: DataFrame, id_col: str = "id", hostname_worker: bool = False
     def gen(batches):
         host = socket.gethostname() if hostname_worker else None
         for b in batches:
-            yield _people_pdf(b[id_col].to_numpy(), host)
+            yield _people_pdf(b[id_col].to_numpy(), host, seed)
 
     return ids.select(id_col).mapInPandas(gen, schema=PEOPLE_SCHEMA)
 

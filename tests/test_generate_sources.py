@@ -176,3 +176,12 @@ def test_check_schema(spark):
     assert catalog.check_schema(df, PEOPLE_SCHEMA, exact=True) == []
     bad = df.withColumn("amount", F.col("amount").cast("string")).drop("phone").withColumn("x", F.lit(1))
     assert catalog.check_schema(bad, PEOPLE_SCHEMA, exact=True) == ["missing phone", "amount: string != double", "extra x"]
+
+
+def test_generator_seed(spark):
+    a = gen.people_from_ids(_ids(spark, 20), seed="s1").collect()
+    b = gen.people_from_ids(_ids(spark, 20), seed="s2").collect()
+    m = gen.people_map(_ids(spark, 20), seed="s2").collect()
+    assert [r["id"] for r in a] != [r["id"] for r in b]
+    assert [r["first_name"] for r in a] == [r["first_name"] for r in b]
+    assert sorted(tuple(r) for r in m) == sorted(tuple(r) for r in b)
