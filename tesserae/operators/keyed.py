@@ -78,16 +78,16 @@ def upsert(current: DataFrame | None, changes: Sequence[DataFrame] | DataFrame,
     ``batch_precedence=False`` ranks rows by ``version`` alone, for streams
     whose batches may arrive out of order.
 
-    Strategies (``auto`` picks by a proven size check, ``fits_broadcast``):
+    Strategies (``auto`` picks with ``worth_broadcast``):
 
     * ``aggregate``: one shuffle on the key over current + changes;
       ``max_by`` is a partial + final aggregate, so a hot key is collapsed
       map-side before the exchange.
     * ``broadcast`` (when the table is plausibly large and the changes' key
-      columns measure at most 64 MB):
-      the changes are reduced to one row per key, their keys are broadcast, and the current table is split by a semi join (rows to
-      merge) and an anti join (rows kept as they are): a small change against
-      a huge table shuffles nothing of the table.
+      columns measure at most 64 MB): the changes are reduced to one row per
+      key, their keys are broadcast, and the current table is split by a
+      semi join (rows to merge) and an anti join (rows kept as they are): a
+      small change against a huge table shuffles nothing of the table.
     """
     if isinstance(key, KeySpec):
         version = tuple(version) or key.version
