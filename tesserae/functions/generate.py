@@ -107,18 +107,25 @@ def people_map(ids: DataFrame, id_col: str = "id", hostname_worker: bool = False
 _PEOPLE_STRUCT = T.StructType(list(PEOPLE_SCHEMA.fields))
 
 
-@F.pandas_udf(_PEOPLE_STRUCT)
-def _people_udf(keys: pd.Series) -> pd.DataFrame:
-    return _people_pdf(keys.to_numpy(), None)
+_UDFS: dict[str, object] = {}
 
 
-def people_struct(id_col: str = "id") -> Column:
+def _people_udf(seed: str):
+    if seed not in _UDFS:
+        @F.pandas_udf(_PEOPLE_STRUCT)
+        def people(keys: pd.Series) -> pd.DataFrame:
+            return _people_pdf(keys.to_numpy(), None, seed)
+        _UDFS[seed] = people
+    return _UDFS[seed]
+
+
+def people_struct(id_col: str = "id", seed: str = SEED) -> Column:
     """Struct column of a person (vectorised pandas UDF over Arrow batches)."""
-    return _people_udf(F.col(id_col))
+    return _people_udf(seed)(F.col(id_col))
 
 
-def people_vectorized(ids: DataFrame, id_col: str = "id") -> DataFrame:
-    return ids.withColumn("data", people_struct(id_col)).select("data.*")
+def people_vectorized(ids: DataFrame, id_col: str = "id", seed: str = SEED) -> DataFrame:
+    return ids.withColumn("data", people_struct(id_col, seed)).select("data.*")
 
 
 def people_struct_expr(id_col: str = "id") -> Column:

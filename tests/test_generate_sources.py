@@ -182,6 +182,8 @@ def test_generator_seed(spark):
     a = gen.people_from_ids(_ids(spark, 20), seed="s1").collect()
     b = gen.people_from_ids(_ids(spark, 20), seed="s2").collect()
     m = gen.people_map(_ids(spark, 20), seed="s2").collect()
+    v = gen.people_vectorized(_ids(spark, 20), seed="s2").collect()
+    assert sorted(tuple(r) for r in v) == sorted(tuple(r) for r in b)
     assert [r["id"] for r in a] != [r["id"] for r in b]
     assert [r["first_name"] for r in a] == [r["first_name"] for r in b]
     assert sorted(tuple(r) for r in m) == sorted(tuple(r) for r in b)
