@@ -164,6 +164,8 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 0.002) -> Ensemble:
     if not len(y) or y.min() == y.max():
         return Ensemble(math.log((y.sum() + 1) / (len(y) - y.sum() + 1)), [])
     rules = tree_rules(x, y)
+    if not rules:  # too few rows to part
+        return Ensemble(math.log((y.sum() + 1) / (len(y) - y.sum() + 1)), [])
     z = np.stack([_holds(r, x) for r in rules], axis=1).astype(float)
     intercept, w = lasso(z, y, penalty)
     return Ensemble(intercept, [(r, float(v)) for r, v in zip(rules, w, strict=True) if v != 0])

@@ -64,7 +64,7 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids:
                 part = rows[j : j + 4 * k]
                 best += zip((-(x[part].astype(real) @ q[i])).tolist(), ids[part].tolist(), strict=True)
                 best = sorted(best)[:k]
-            out += [(int(query_ids[at + i]), int(v), -int(s)) for s, v in best]
+            out += [(int(query_ids[at + i]), int(v), max(-(1 << 63), min((1 << 63) - 1, -int(s)))) for s, v in best]
     return out
 
 
@@ -77,7 +77,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     and ``block_queries``; each pair of blocks is one bounded group, and gives at
     most k rows per query. Exact, ties to the smaller id. Vectors that are null or
     empty, hold a null or non-finite component, or have no id take no part;
-    vectors of different lengths are not compared. Of rows with one id the
+    vectors of different lengths are not compared. Components and scores beyond 64
+    bits count as the nearest 64-bit integer. Of rows with one id the
     smallest vector counts. Fewer than k candidates: all. An empty table, or one
     without queries, gives an empty result. Other columns are not read.
     """
