@@ -51,13 +51,28 @@ def _anchors(h: np.ndarray, counts: np.ndarray, window: int, gram: int) -> tuple
     return p, at, g
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
 
 
-def _sketch(docs: DataFrame, bits: int, window: int, gram: int) -> bytes:
+def _hit(cells: np.ndarray, h: pa.Array) -> np.ndarray:
+    """Whether the bits of the hashes are set in a bitmap (uint64 cells)."""
+    x = h.to_numpy().astype(np.uint64) & np.uint64(len(cells) * 64 - 1)
+    return (cells[x >> np.uint64(6)] >> (x & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _firsts(batches: Iterator[pa.RecordBatch], copied) -> Iterator[pa.RecordBatch]:
+    """Rows (__t, __did, __th, __route) to be searched: of a scan (route 1) those
+    whose text is certainly single; all others. One Python worker does this and
+    the search."""
+    cells = np.frombuffer(copied.value, np.uint64)
+    for b in _slices(batches):
+        yield b.filter(pa.array(~((b.column(3).to_numpy() == 1) & _hit(cells, b.column(2)))))
+
+
+def _sketch(docs: DataFrame, copied, bits: int, window: int, gram: int) -> bytes:
     """Two bitmaps of 2**bits cells: whether at least two anchors fell into the cell.
 
     Every task emits its sketch sparsely (cells it touched, and whether more than
@@ -78,7 +93,7 @@ def _sketch(docs: DataFrame, bits: int, window: int, gram: int) -> bytes:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = ([], []), 0
-        for b in _slices(batches):
+        for b in _firsts(batches, copied):
             h, counts = W.flat(b.column(0).to_pylist())
             h = W.hashes(h)
             _, at, g = _anchors(h, counts, window, gram)
@@ -107,7 +122,7 @@ def _sketch(docs: DataFrame, bits: int, window: int, gram: int) -> bytes:
                 [pa.array([key], pa.int64()), pa.array([np.packbits(cells > 1, bitorder="little").tobytes()], pa.binary())],
                 names=["block", "bits"])
 
-    merged = docs.select("__t").mapInArrow(emit, "block long, cells binary").repartition("block").mapInArrow(
+    merged = docs.select("__t", "__did", "__th", "__route").mapInArrow(emit, "block long, cells binary").repartition("block").mapInArrow(
         merge, "block long, bits binary")
     out = np.zeros(2 * blocks * block // 8, np.uint8)
     for r in merged.toLocalIterator():
@@ -115,7 +130,7 @@ def _sketch(docs: DataFrame, bits: int, window: int, gram: int) -> bytes:
     return out.tobytes()
 
 
-def _suspects(docs: DataFrame, sketch: bytes, bits: int, window: int, gram: int) -> DataFrame:
+def _suspects(docs: DataFrame, copied, sketch: bytes, bits: int, window: int, gram: int) -> DataFrame:
     """(did, th, pos, h, check) of every window whose anchor is estimated to repeat.
     ``h`` and ``check`` are 64 and 32 bits of two independent hashes of its words."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
@@ -123,7 +138,7 @@ def _suspects(docs: DataFrame, sketch: bytes, bits: int, window: int, gram: int)
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.frombuffer(shared.value, np.uint8)
         row = len(cells) // 2
-        for b in _slices(batches):
+        for b in _firsts(batches, copied):
             ws, counts = W.flat(b.column(0).to_pylist())
             h = W.hashes(ws)
             p, at, g = _anchors(h, counts, window, gram)
@@ -138,14 +153,21 @@ def _suspects(docs: DataFrame, sketch: bytes, bits: int, window: int, gram: int)
                  pa.array((W.rolling(W.mix(h ^ _OTHER), window)[p] >> np.uint64(32)).astype(np.uint32).view(np.int32))],
                 names=["did", "th", "pos", "h", "check"])
 
-    return docs.select("__t", "__did", "__th").mapInArrow(emit, "did long, th long, pos int, h long, check int")
+    return docs.select("__t", "__did", "__th", "__route").mapInArrow(emit, "did long, th long, pos int, h long, check int")
 
 
-def _result(with_positions: DataFrame, window: int) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept from (__id, __t, __first, pos).
-    A copy of an earlier text loses every word if it has a window at all."""
+def _result(rows: DataFrame, copied, repeated, window: int) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, kept from (__id, __t, __first, pos,
+    __th, __key, __route). Of a scan (route 1), rows that the bitmaps of copied texts
+    and of repeated windows miss; of copies (route 2), later ones and those without
+    repeated windows; all others (route 0). A copy of an earlier text loses every
+    word if it has a window at all."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        copies, repeats = np.frombuffer(copied.value, np.uint64), np.frombuffer(repeated.value, np.uint64)
         for b in _slices(batches):
+            route, first = b.column(6).to_numpy(), b.column(2).to_numpy(zero_copy_only=False)
+            again = _hit(repeats, b.column(5))
+            b = b.filter(pa.array(~((route == 1) & (_hit(copies, b.column(4)) | again) | (route == 2) & first & again)))
             n, gone, sha, text = [], [], [], []
             for t, first, pos in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 ws = (t or b"").split()
@@ -166,7 +188,7 @@ def _result(with_positions: DataFrame, window: int) -> DataFrame:
                 [b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()),
                  pa.array(text, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    return with_positions.select("__id", "__t", "__first", "pos").mapInArrow(
+    return rows.select("__id", "__t", "__first", "pos", "__th", "__key", "__route").mapInArrow(
         run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
 
 
@@ -203,17 +225,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_
     bits = sketch_bits(n_bytes, max_sketch_bits)
 
     twice = base.groupBy("__th").agg(F.count("*").alias("n")).where("n > 1")
-    maybe = in_bitmap(spark, bitmap(twice, "__th", MAP_BITS), F.col("__th"))
-    marked = base.withColumn("__copy", maybe)
-    single = marked.where(~F.col("__copy")).drop("__copy").withColumn("__first", F.lit(True))
-    copies = marked.where("__copy").drop("__copy").withColumn("__md5", F.md5("__t"))
-    least = copies.groupBy("__md5").agg(F.min("__did").alias("__least")).withColumnRenamed("__md5", "__key")
-    copies = copies.join(least, (F.col("__md5") == F.col("__key")) & (F.col("__did") == F.col("__least")), "left").select(
-        "__id", "__did", "__t", "__th", F.col("__least").isNotNull().alias("__first"))
-    every = single.unionByName(copies)
-    firsts = every.where("__first")
-
-    suspects = saved(_suspects(firsts, _sketch(firsts, bits, window, gram), bits, window, gram), "windows")
+    in_copies = bitmap(twice, "__th", MAP_BITS)
+    copied = spark.sparkContext.broadcast(in_copies)
+    copies = base.where(in_bitmap(spark, in_copies, F.col("__th"))).withColumn("__md5", F.md5("__t"))
+    least = copies.groupBy("__md5").agg(F.min("__did").alias("__least")).withColumnRenamed("__md5", "__same")
+    copies = saved(copies.join(least, (F.col("__md5") == F.col("__same")) & (F.col("__did") == F.col("__least")), "left").select(
+        "__id", "__did", "__t", "__th", F.col("__least").isNotNull().alias("__first")), "copies")
+    searched = base.withColumn("__route", F.lit(1)).select("__t", "__did", "__th", "__route").unionByName(
+        copies.where("__first").select("__t", "__did", "__th", F.lit(0).alias("__route")))
+
+    sketch = _sketch(searched, copied, bits, window, gram)
+    suspects = saved(_suspects(searched, copied, sketch, bits, window, gram), "windows")
     place = F.struct("did", "pos")
     first = suspects.groupBy("h", "check").agg(F.min(place).alias("place"), F.count("*").alias("n")).where("n > 1").select(
         F.col("h").alias("h0"), F.col("check").alias("c0"), "place")
@@ -221,10 +243,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_
     late = suspects.join(first, (F.col("h") == F.col("h0")) & (F.col("check") == F.col("c0")) & (place > F.col("place")))
     found = saved(late.groupBy("did", "th").agg(F.collect_list("pos").alias("pos")), "repeats")
 
-    has = in_bitmap(spark, bitmap(found.select(F.xxhash64("did", "th").alias("k")), "k", MAP_BITS), F.xxhash64("__did", "__th"))
-    routed = every.withColumn("__has", has & F.col("__first"))
-    none = F.lit(None).cast("array<int>").alias("pos")
-    plain = routed.where(~F.col("__has")).select("__id", "__t", "__first", none)
-    hit = routed.where("__has").join(found, (F.col("__did") == F.col("did")) & (F.col("__th") == F.col("th")), "left").select(
-        "__id", "__t", "__first", "pos")
-    return _result(plain.unionByName(hit), window)
+    in_repeats = bitmap(found.select(F.xxhash64("did", "th").alias("k")), "k", MAP_BITS)
+    repeated = spark.sparkContext.broadcast(in_repeats)
+    key = F.xxhash64("__did", "__th").alias("__key")
+    scan = base.withColumn("__first", F.lit(True)).select("__id", "__did", "__t", "__first", "__th", key, F.lit(1).alias("__route"))
+    both = scan.unionByName(copies.select("__id", "__did", "__t", "__first", "__th", key, F.lit(2).alias("__route")))
+    maybe_copy, maybe_repeat = in_bitmap(spark, in_copies, F.col("__th")), in_bitmap(spark, in_repeats, F.col("__key"))
+    hit = both.withColumn("__c", maybe_copy).withColumn("__r", maybe_repeat).where(
+        "__r and __first and (__route = 2 or not __c)").withColumn("__route", F.lit(0))
+    hit = hit.join(found, (F.col("__did") == F.col("did")) & (F.col("__th") == F.col("th")), "left")
+    cols = ["__id", "__t", "__first", "pos", "__th", "__key", "__route"]
+    plain = both.withColumn("pos", F.lit(None).cast("array<int>"))
+    return _result(plain.select(*cols).unionByName(hit.select(*cols)), copied, repeated, window)
