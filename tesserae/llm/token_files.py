@@ -22,6 +22,7 @@ from __future__ import annotations
 import itertools
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ from pyarrow import fs
 _INDEX, _SEEK, _END = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 FRAME_TOKENS = 1 << 18
 #: Distinct pieces whose ids a Python worker remembers; then it starts afresh.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_200_000
 _known: dict[str, dict[str, bytes]] = {}
 _loaded: dict[str, object] = {}
 
@@ -52,6 +53,15 @@ def _tokenizer(path: str):
     return _loaded[path]
 
 
+def _core(piece: str) -> tuple[str, str]:
+    """A piece without one closing full stop or comma after a letter, in lower case
+    if it is all ASCII letters, and that mark: the vocabularies meant here part letters from
+    marks and lower-case all, so their ids follow from these two."""
+    mark = piece[-1:] if piece[-1:] in (".", ",") and piece[-2:-1].isalpha() else ""
+    core = piece[:-1] if mark else piece
+    return (core.lower() if core.isascii() and core.isalpha() else core), mark
+
+
 def encode(texts: list[str], tokenizer: str) -> list[bytes]:
     """Token ids of each text as little-endian uint32, without special tokens.
 
@@ -61,15 +71,19 @@ def encode(texts: list[str], tokenizer: str) -> list[bytes]:
     """
     tok, known = _tokenizer(tokenizer), _known.setdefault(tokenizer, {"": b""})
     split = [t.replace("\n", " ").split(" ") for t in texts]
-    new = list(set(itertools.chain.from_iterable(split)).difference(known))
+    new = set(itertools.chain.from_iterable(split)).difference(known)
     if len(known) + len(new) > CACHE_PIECES:
         known.clear()
         known[""] = b""
-        new = list(set(itertools.chain.from_iterable(split)) - {""})
-    for i in range(0, len(new), 20_000):
-        part = new[i : i + 20_000]
-        for piece, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[piece] = np.array(e.ids, dtype="<u4").tobytes()
+        new = set(itertools.chain.from_iterable(split)) - {""}
+    parts = {p: _core(p) for p in new}
+    cores = list({x for pair in parts.values() for x in pair}.difference(known))
+    for i in range(0, len(cores), 20_000):
+        some = cores[i : i + 20_000]
+        for core, e in zip(some, tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
+            known[core] = array("I", e.ids).tobytes()
+    for p, (core, mark) in parts.items():
+        known[p] = known[core] + known[mark]
     return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
 
 

@@ -67,7 +67,7 @@ def test_token_frames_are_plain_zstandard_with_checked_content(spark, documents,
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet=st.sampled_from("ab'sT é\u0301\t\n\u3000<|endoftext|>1$ÀΣς\x1c"), max_size=40), max_size=4))
+@given(st.lists(st.lists(st.sampled_from(["a", "b.", "'s", "T,", " ", "é", "\u0301", "\t", "\n", "\u3000", "<|endoftext|>", "<|ENDOFTEXT|>", "1", "$", "À", "Σ.", "ς", "\x1c", ".", ",", "Re"]), max_size=40).map("".join), max_size=4))
 def test_pieces_give_the_ids_of_the_whole(texts):
     tok = Tokenizer.from_file(TOKENIZER)
     want = [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
