@@ -50,56 +50,16 @@ def resolve_pairs(pairs: DataFrame, nodes: DataFrame, props: Sequence[str] = ("n
                                                       *[f"dst_{p}" for p in props])
 
 
-def _worth(table: DataFrame, small: DataFrame, limit: int | None = None) -> bool:
-    """Broadcast ``small`` rather than shuffle ``table`` (see ``keyed.worth_broadcast``)."""
-    from . import keyed
-    return keyed.worth_broadcast(table, small, limit)
-
-
-def merge_nodes(current: DataFrame, incoming: DataFrame, set_cols: Sequence[str], key: str = "id",
-                strategy: str = "auto") -> DataFrame:
+def merge_nodes(current: DataFrame, incoming: DataFrame, set_cols: Sequence[str], key: str = "id") -> DataFrame:
     """``MERGE (n {id}) SET n.a = .., n.b = ..`` for a batch of rows.
 
     Match-or-create by key, then the SET columns take the incoming value on
     both branches; other current columns are kept, and are null on created
     nodes. ``incoming`` holds one row per key.
 
-    ``full_outer``: one full outer join (both sides shuffled on the key).
-    ``broadcast`` (chosen by ``auto`` for a size-checked small batch): the
-    batch is broadcast; current nodes are split into matched (inner join) and
-    kept (anti join), new nodes are the batch minus the matched keys: the
-    node table is scanned, never shuffled.
+    One full outer join on the key, at every size.
     """
-    if strategy == "auto":
-        strategy = "broadcast" if _worth(current, incoming.select(key, *set_cols)) else "full_outer"
     inc = incoming.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_in_{c}") for c in set_cols])
-    if strategy == "broadcast":
-        b = F.broadcast(inc)
-        hit = current.join(b, F.col(key) == F.col("_k"), "inner")
-        kept = current.join(F.broadcast(inc.select("_k")), F.col(key) == F.col("_k"), "left_anti")
-        hit_keys = hit.select(F.col("_k").alias("_hk"))
-        created = inc.join(hit_keys, F.col("_k") == F.col("_hk"), "left_anti")
-        cols_new = [c for c in set_cols if c not in current.columns]
-
-        def shape(df: DataFrame, matched: bool, fresh: bool) -> DataFrame:
-            out = []
-            for c in current.columns:
-                if c == key:
-                    out.append((F.col("_k") if fresh else F.col(key)).alias(key))
-                elif c in set_cols and (matched or fresh):
-                    out.append(F.col(f"_in_{c}").alias(c))
-                elif fresh:
-                    out.append(F.lit(None).cast(current.schema[c].dataType).alias(c))
-                else:
-                    out.append(F.col(c))
-            for c in cols_new:
-                out.append((F.col(f"_in_{c}") if (matched or fresh) else
-                            F.lit(None).cast(incoming.schema[c].dataType)).alias(c))
-            return df.select(*out)
-
-        return shape(kept, False, False).unionByName(shape(hit, True, False)).unionByName(shape(created, False, True))
-    if strategy != "full_outer":
-        raise ValueError(strategy)
     j = current.join(inc, current[key] == inc["_k"], "full_outer")
     out = []
     for c in current.columns:
@@ -115,38 +75,24 @@ def merge_nodes(current: DataFrame, incoming: DataFrame, set_cols: Sequence[str]
     return j.select(*out)
 
 
-def merge_edges(existing: DataFrame, pairs: DataFrame, strategy: str = "auto") -> DataFrame:
+def merge_edges(existing: DataFrame, pairs: DataFrame) -> DataFrame:
     """``MERGE (a)-[:r]->(b) MERGE (b)-[:r]->(a)``: add both directions of
-    each pair unless already present; never duplicates.
+    each pair unless already present; nothing is added twice.
 
-    ``union``: set union in one partial+final aggregate over all edges.
-    ``broadcast`` (``auto`` for a size-checked small batch): the batch's
-    edges are broadcast to find those already stored; only the missing ones
-    are appended, so the (duplicate-free) edge table is scanned, not shuffled.
+    The batch alone is deduplicated; an anti join against the stored edges
+    leaves the new ones, which are appended. Stored edges are a set by
+    contract and are kept as they are.
     """
-    both = symmetric_closure(pairs, normalized=True)
     cur = existing.select("src", "dst")
-    if strategy == "auto":
-        # both directions are broadcast: twice the pairs' bytes
-        from . import keyed
-        strategy = "broadcast" if _worth(cur, pairs.select("src", "dst"), keyed.SMALL_CHANGE_BYTES // 2) else "union"
-    if strategy == "union":
-        return cur.unionByName(both).distinct()
-    if strategy != "broadcast":
-        raise ValueError(strategy)
-    new = both.distinct()
-    present = cur.join(F.broadcast(new), ["src", "dst"], "left_semi")
-    return cur.unionByName(new.join(present, ["src", "dst"], "left_anti"))
+    new = symmetric_closure(pairs, normalized=True).distinct()
+    return cur.unionByName(new.join(cur, ["src", "dst"], "left_anti"))
 
 
 def detach_delete(nodes: DataFrame, edges: DataFrame, doomed: DataFrame, key: str = "id"):
     """``DETACH DELETE``: drop the nodes and every edge touching them.
     Returns ``(nodes, edges)``."""
-    # an anti join ignores duplicates on its right side: no dedupe shuffle;
-    # a size-checked small doomed set is broadcast so edges are not shuffled
+    # an anti join ignores duplicates on its right side: no dedupe shuffle
     d = doomed.select(F.col(key).alias("_d"))
-    if _worth(edges, d):
-        d = F.broadcast(d)
     n = nodes.join(d, F.col(key) == F.col("_d"), "left_anti")
     e = (edges.join(d.withColumnRenamed("_d", "_ds"), F.col("src") == F.col("_ds"), "left_anti")
          .join(d.withColumnRenamed("_d", "_dd"), F.col("dst") == F.col("_dd"), "left_anti"))
@@ -155,5 +101,4 @@ def detach_delete(nodes: DataFrame, edges: DataFrame, doomed: DataFrame, key: st
 
 def delete_edges(edges: DataFrame, doomed: DataFrame) -> DataFrame:
     """``MATCH ()-[r]->() DELETE r`` for the given (src, dst) rows."""
-    d = doomed.select("src", "dst")
-    return edges.join(F.broadcast(d) if _worth(edges, d) else d, ["src", "dst"], "left_anti")
+    return edges.join(doomed.select("src", "dst"), ["src", "dst"], "left_anti")

@@ -14,59 +14,8 @@ from ..schemas import KeySpec
 _BATCH = "_batch"
 
 
-# A change whose (upper-bound) size estimate is at most this is merged by
-# broadcasting its keys: the current table is scanned, never shuffled.
-SMALL_CHANGE_BYTES = 64 << 20
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a frame (plan statistics, no job). Not a
-    bound: it can be far above or below the real size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def measured_bytes(df: DataFrame, cols: Sequence[str] | None = None) -> int:
-    """Bytes of the given columns over all rows, measured by one aggregate:
-    8 per fixed-width value, the byte length (+8) for strings and binary, the
-    JSON text length for nested values."""
-    from pyspark.sql import types as T
-    cols = list(cols or df.columns)
-    parts = []
-    for c in cols:
-        dt = df.schema[c].dataType
-        if isinstance(dt, (T.StringType, T.BinaryType)):
-            parts.append(F.coalesce(F.octet_length(F.col(c)), F.lit(0)).cast("long") + 8)
-        elif isinstance(dt, (T.ArrayType, T.MapType, T.StructType)):
-            parts.append(F.coalesce(F.octet_length(F.to_json(F.struct(F.col(c)))), F.lit(0)).cast("long") + 8)
-        else:
-            parts.append(F.lit(8).cast("long"))
-    row = parts[0]
-    for p in parts[1:]:
-        row = row + p
-    r = df.agg(F.sum(row).alias("b")).first()
-    return int(r["b"] or 0)
-
-
-def worth_broadcast(table: DataFrame, small: DataFrame, limit: int | None = None) -> bool:
-    """Broadcast ``small`` instead of shuffling ``table`` only when the table
-    is plausibly large (its plan estimate exceeds 4x the limit; no job) and
-    ``small`` is proven small by measurement."""
-    limit = SMALL_CHANGE_BYTES if limit is None else limit
-    return estimated_bytes(table) > 4 * limit and fits_broadcast(small, limit=limit)
-
-
-def fits_broadcast(df: DataFrame, cols: Sequence[str] | None = None, limit: int | None = None) -> bool:
-    """Proven size check before an explicit broadcast: the plan estimate
-    screens out large inputs without a job, then the columns to broadcast
-    are measured exactly (one pass over the small side)."""
-    limit = SMALL_CHANGE_BYTES if limit is None else limit
-    if estimated_bytes(df) > 4 * limit:
-        return False
-    return measured_bytes(df, cols) <= limit
-
-
 def upsert(current: DataFrame | None, changes: Sequence[DataFrame] | DataFrame, key: Sequence[str] | KeySpec,
-           version: Sequence[str] = (), batch_precedence: bool = True, strategy: str = "auto") -> DataFrame:
+           version: Sequence[str] = (), batch_precedence: bool = True) -> DataFrame:
     """INSERT-as-upsert with last write wins, for any number of batches.
 
     Later batches win over earlier ones (the current table is batch 0);
@@ -78,39 +27,25 @@ def upsert(current: DataFrame | None, changes: Sequence[DataFrame] | DataFrame,
     ``batch_precedence=False`` ranks rows by ``version`` alone, for streams
     whose batches may arrive out of order.
 
-    Strategies (``auto`` picks with ``worth_broadcast``):
-
-    * ``aggregate``: one shuffle on the key over current + changes;
-      ``max_by`` is a partial + final aggregate, so a hot key is collapsed
-      map-side before the exchange.
-    * ``broadcast`` (when the table is plausibly large and the changes' key
-      columns measure at most 64 MB): the changes are reduced to one row per
-      key, their keys are broadcast, and the current table is split by a
-      semi join (rows to merge) and an anti join (rows kept as they are): a
-      small change against a huge table shuffles nothing of the table.
+    One plan at every size: the changes alone are reduced to one row per key
+    (partial + final ``max_by``: a hot key collapses map-side), rows of
+    ``current`` with those keys are taken out by a null-safe anti join, and
+    the reduced changes are appended. ``current`` is never aggregated; Spark
+    broadcasts or shuffles the join by the sizes it measures at run time.
+    ``current`` should hold one row per key: rows of unchanged keys are kept
+    as they are, repeated ones too; a changed key ends with one row.
     """
     if isinstance(key, KeySpec):
         version = tuple(version) or key.version
         key = key.primary
     key, version = list(key), list(version)
-    if isinstance(changes, DataFrame):
-        changes = [changes]
-    changes = list(changes)
-    if current is None or strategy == "aggregate":
-        return _lww(current, changes, key, version, batch_precedence)
-    if strategy == "auto":
-        keys = changes[0].select(*key)
-        for c in changes[1:]:
-            keys = keys.unionByName(c.select(*key))
-        strategy = "broadcast" if worth_broadcast(current, keys) else "aggregate"
-        if strategy == "aggregate":
-            return _lww(current, changes, key, version, batch_precedence)
-    if strategy != "broadcast":
-        raise ValueError(strategy)
+    changes = [changes] if isinstance(changes, DataFrame) else list(changes)
+    if current is None:
+        return _lww(None, changes, key, version, batch_precedence)
     cols = current.columns
     latest = _lww(None, changes, key, version, batch_precedence,
                   keep=cols + [v for v in version if v not in cols], like=current)
-    ks = F.broadcast(latest.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]))
+    ks = latest.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)])
     match = None
     for i, k in enumerate(key):
         c = F.col(k).eqNullSafe(F.col(f"_k{i}"))

@@ -27,19 +27,9 @@ def kv_set(store: DataFrame | None, writes: DataFrame, version=("ts", "seq")) ->
 def kv_get(store: DataFrame, requests: DataFrame) -> DataFrame:
     """GET for every requested key; a missing key returns null (nil).
 
-    A few keys against a large store (proven by ``worth_broadcast``): the
-    requested keys are broadcast to pick the hits out of the store with a
-    semi join, and the requests are joined to those hits only, so the store
-    is scanned, never shuffled. Otherwise a plain equi left join (AQE still
-    broadcasts a side that turns out small at run time).
+    A plain equi left join; Spark broadcasts a side that is small at run time.
     """
-    from .keyed import worth_broadcast
-    req = requests.select("key")
-    kv = store.select("key", "value")
-    if worth_broadcast(kv, req):
-        hits = kv.join(F.broadcast(req.distinct()), "key", "left_semi")
-        return req.join(hits, "key", "left")
-    return req.join(kv, "key", "left")
+    return requests.select("key").join(store.select("key", "value"), "key", "left")
 
 
 def kv_flush(store: DataFrame) -> DataFrame:

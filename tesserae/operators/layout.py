@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def partitions_for(spark: SparkSession, floor: int = 10) -> int:
-    """Partition count for a repartition: the reference's fixed 10 at small
+    """Partition count for a repartition: 10 at small
     scale, the session's sized shuffle partition count beyond it."""
     return max(floor, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

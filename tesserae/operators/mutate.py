@@ -27,11 +27,9 @@ def set_where(df: DataFrame, pred: Column, values: Mapping[str, Column | object]
     """``update_many(pred, {"$set": values})``: fields may be new (sparse:
     null on documents that do not match)."""
     hit = _true(pred)
-    out = df
-    for name, v in values.items():
-        val = v if isinstance(v, Column) else F.lit(v)
-        out = out.withColumn(name, F.when(hit, val).otherwise(_current(df, name)))
-    return out
+    # all fields in one projection: predicate and values see the stored document
+    return df.withColumns({name: F.when(hit, v if isinstance(v, Column) else F.lit(v)).otherwise(_current(df, name))
+                           for name, v in values.items()})
 
 
 def update_counts(df: DataFrame, pred: Column, values: Mapping[str, Column | object]) -> DataFrame:

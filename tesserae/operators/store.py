@@ -116,11 +116,9 @@ class BucketedKeyedTable:
     def _columns(self) -> list[str]:
         return self.spark.table(self.name).columns
 
-    def _overwrite_buckets(self, df: DataFrame, layout: bool = True) -> None:
+    def _overwrite_buckets(self, df: DataFrame) -> None:
         conf = self.spark.conf
-        out = df.select(*self._columns())
-        if layout:
-            out = self._layout(out)
+        out = self._layout(df.select(*self._columns()))
         with _OVERWRITE_LOCK:
             old = conf.get("spark.sql.sources.partitionOverwriteMode", "static")
             conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
@@ -147,15 +145,8 @@ class BucketedKeyedTable:
         if not ids:
             return
         cur = self.current(ids).select(*self._columns())
-        keys = tagged[0].select(*self.key.primary)
-        for t in tagged[1:]:
-            keys = keys.unionByName(t.select(*self.key.primary))
-        # small change: untouched rows stream from their bucket files straight
-        # back (about one bucket per task), so no layout shuffle is needed
-        small = keyed.worth_broadcast(cur, keys)
-        nxt = keyed.upsert(cur, tagged, list(self.key.primary) + [BUCKET], version, batch_precedence,
-                           strategy="broadcast" if small else "aggregate")
-        self._overwrite_buckets(nxt, layout=not small)
+        nxt = keyed.upsert(cur, tagged, list(self.key.primary) + [BUCKET], version, batch_precedence)
+        self._overwrite_buckets(nxt)
 
     def delete_where(self, pred: Column) -> None:
         """Delete matching rows; buckets left empty are dropped as partitions

@@ -143,7 +143,7 @@ def sql_path_scan(spark, sf):
         GROUP BY first_name ORDER BY first_name_count DESC""", table_path(sf, "orders"))
 
 
-@q("preview")
+@q("preview", W("SELECT * FROM people ORDER BY id LIMIT 20", "people"))
 def preview(spark, sf):
     return rank.preview(fx.people(spark, sf), 20, order=["id"])
 
@@ -302,6 +302,14 @@ def doc_set_many(spark, sf):
     return r.select("_id", "is_technical")
 
 
+@q("doc_set_many_fields", W("""SELECT _id, CASE WHEN login_count > 500 THEN 0 ELSE login_count END AS login_count,
+ CASE WHEN login_count > 500 THEN false ELSE active END AS active FROM users_flat""", "users_flat"))
+def doc_set_many_fields(spark, sf):
+    # the predicate reads a field that the update sets
+    r = mutate.set_where(_users(spark, sf), F.col("login_count") > 500, {"login_count": 0, "active": False})
+    return r.select("_id", "login_count", "active")
+
+
 @q("doc_set_one", W("""SELECT _id, CASE WHEN _id = (SELECT min(_id) FROM users_flat WHERE login_count > 990) THEN false
  ELSE active END AS active FROM users_flat""", "users_flat"))
 def doc_set_one(spark, sf):

@@ -49,7 +49,6 @@ def sizing(input_bytes: int, cores: int, target_partition_bytes: int = 256 << 20
     target, so memory per task stays bounded whatever the scale.
     """
     parts = max(2 * cores, -(-int(input_bytes) // target_partition_bytes))
-    parts = min(parts, 200_000)
     return {
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),

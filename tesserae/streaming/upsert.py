@@ -57,8 +57,8 @@ def run_upserts(stream: DataFrame, sink, checkpoint: str) -> None:
 def stream_kv_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SET stream over the events file: the store after all writes."""
     schema = read_table(spark, sf_dir, "events").schema
-    src = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-           .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    # the table is one file or a folder of part files; all files there are form one batch
+    src = spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/events.parquet*")
     writes = src.select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key"),
         F.col("event_id").cast("string").alias("value"),

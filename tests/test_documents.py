@@ -146,3 +146,9 @@ def test_bounded_preview(spark):
     assert list(p["_id"]) == [1, 2, 3]
     with pytest.raises(ValueError):
         rank.to_pandas_preview(_users(spark), 10**9)
+
+
+def test_set_where_sees_the_stored_document(spark):
+    df = spark.createDataFrame([(5, 0), (0, 0), (None, 3)], "a long, b long")
+    out = mutate.set_where(df, F.col("a") > 1, {"a": 0, "b": 9, "c": F.col("a") + F.col("b")})
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(0, 9, 5), (0, 0, None), (None, 3, None)], key=str)

@@ -100,8 +100,7 @@ def test_sizing_scales_with_input():
     small = sizing(1 << 30, 8)
     big = sizing(100 << 40, 8000)
     assert int(small["spark.sql.shuffle.partitions"]) == 16
-    # 100 TiB / 256 MiB = 409,600 partitions, capped at 200,000
-    assert int(big["spark.sql.shuffle.partitions"]) == 200_000
+    assert int(big["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
 
 
 def test_version_commit_never_overwrites(spark):

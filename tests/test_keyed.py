@@ -155,19 +155,6 @@ def test_stream_batches_out_of_order_converge(spark):
     assert dict((r["key"], r["value"]) for r in t.read().collect()) == {"a": "late-but-newer", "b": "b2"}
 
 
-def test_measured_bytes_is_exact(spark):
-    df = spark.createDataFrame([("ab", 1), ("é", 2), (None, 3)], "s string, n long")
-    # strings: utf-8 length + 8 each (2+8, 2+8, 0+8); longs: 8 each
-    assert keyed.measured_bytes(df) == (10 + 10 + 8) + 3 * 8
-    # a local RDD has no size estimate: screened out without a measuring job
-    assert not keyed.fits_broadcast(df)
-    from tesserae.session import scratch_path
-    p = scratch_path(spark, "mb.parquet")
-    df.write.parquet(p)
-    f = spark.read.parquet(p)
-    assert keyed.fits_broadcast(f, limit=10_000) and not keyed.fits_broadcast(f, limit=40)
-
-
 def test_bucketed_ttl_purge(spark):
     import uuid
     from tesserae.operators.store import BucketedKeyedTable
@@ -245,18 +232,3 @@ def test_command_stats_map_with_defaults(spark):
     got = {x["node"]: (x["stats"], x["g"], x["d"]) for x in
            r.select("node", "stats", kv.calls_of("stats", "get").alias("g"), kv.calls_of("stats", "del").alias("d")).collect()}
     assert got == {0: ({}, 0, 0), 1: ({"get": 2, "set": 1}, 2, 0)}
-
-
-def test_bucketed_small_change_skips_layout_shuffle(spark, monkeypatch):
-    import uuid
-    from tesserae.operators.store import BucketedKeyedTable
-    from tesserae.session import scratch_path
-    monkeypatch.setattr(keyed, "SMALL_CHANGE_BYTES", 2048)
-    name = f"sc_{uuid.uuid4().hex[:6]}"
-    t = BucketedKeyedTable(spark, name, KeySpec(("k",)), buckets=4, location=scratch_path(spark, name))
-    t.create(spark.range(0, 20000, 1, 4).select(F.col("id").alias("k"), F.lit("v").alias("v")))
-    cpath = scratch_path(spark, "sc-change.parquet")
-    spark.createDataFrame([(5, "new"), (20001, "ins")], "k long, v string").write.parquet(cpath)
-    t.upsert(spark.read.parquet(cpath))
-    got = t.read()
-    assert got.count() == 20001 and {r["v"] for r in got.filter("k in (5, 20001)").collect()} == {"new", "ins"}

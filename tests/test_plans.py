@@ -124,71 +124,28 @@ def test_hub_node_join_is_split_by_aqe(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def test_small_change_upsert_does_not_shuffle_the_table(spark, monkeypatch):
-    from tesserae.operators import keyed
-    monkeypatch.setattr(keyed, "SMALL_CHANGE_BYTES", 4096)  # the table (file) counts as large
-    path = scratch_path(spark, "um-big.parquet")
+def test_keyed_write_file_count_is_bounded(spark):
+    import uuid
+    from tesserae.sources import catalog
+    name = f"kw_{uuid.uuid4().hex[:6]}"
+    df = spark.range(0, 6000, 1, 12).select((F.col("id") % 40).cast("string").alias("city"), F.col("id").alias("user_id"))
+    catalog.write_keyed(df, name, USER_METRICS_KEY, 8, scratch_path(spark, name))
+    n_files = spark.table(name).select("_metadata.file_path").distinct().count()
+    assert n_files <= int(spark.conf.get("spark.sql.shuffle.partitions")) + 8 < 12 * 8
+    assert "Exchange" not in plan(spark.table(name).groupBy("city").count())
+
+
+def test_upsert_never_aggregates_the_table(spark):
+    path, cpath = scratch_path(spark, "um-big.parquet"), scratch_path(spark, "um-change.parquet")
     fx.user_metrics(spark, SF_SMALL).write.parquet(path)
     cur = spark.read.parquet(path)
-    cpath = scratch_path(spark, "um-change.parquet")
     spark.createDataFrame([(r["city"], r["user_id"], "changed", 1, r["last_access"]) for r in cur.limit(5).collect()],
                           cur.schema).write.parquet(cpath)
-    change = spark.read.parquet(cpath)  # a change batch arriving as files: its size is known
-    assert keyed.worth_broadcast(cur, change.select("city", "user_id"), keyed.SMALL_CHANGE_BYTES)
-    df = keyed.upsert(cur, change, USER_METRICS_KEY)
+    df = keyed.upsert(cur, spark.read.parquet(cpath), USER_METRICS_KEY)
     qe = df._jdf.queryExecution()
     qe.toRdd().count()
     p = qe.executedPlan().toString().split("== Initial Plan ==")[0]
+    # a small change is broadcast by its size at run time; the table is scanned
     assert "LeftAnti" in p and "BroadcastHashJoin" in p
-    # shuffles happen only on the change (its one-row-per-key reduction); no
-    # exchange has the table's scan below it
-    assert "um-change" in "".join(exchange_subtrees(p))
     assert not any("um-big" in t for t in exchange_subtrees(p))
     assert df.filter(F.col("username") == "changed").count() == 5 and df.count() == cur.count()
-
-
-def test_small_edge_batch_does_not_shuffle_the_graph(spark, monkeypatch):
-    from tesserae.operators import graph, keyed
-    monkeypatch.setattr(keyed, "SMALL_CHANGE_BYTES", 4096)
-    epath, bpath = scratch_path(spark, "edges-big.parquet"), scratch_path(spark, "edge-batch.parquet")
-    fx.edges(spark, SF_SMALL).write.parquet(epath)
-    spark.createDataFrame([(1, 2), (3, 4), (5, 6)], "src long, dst long").write.parquet(bpath)
-    existing, batch = spark.read.parquet(epath), spark.read.parquet(bpath)
-    m = graph.merge_edges(existing, batch)
-    qe = m._jdf.queryExecution()
-    qe.toRdd().count()
-    p = qe.executedPlan().toString().split("== Initial Plan ==")[0]
-    assert not any("edges-big" in t for t in exchange_subtrees(p)), p
-    assert m.count() == m.distinct().count()
-    n, e = graph.detach_delete(spark.createDataFrame([(1,)], "id long"), existing, spark.read.parquet(bpath).select(F.col("src").alias("id")))
-    pe = e._jdf.queryExecution().executedPlan().toString()
-    assert not any("edges-big" in t for t in exchange_subtrees(pe))
-
-
-def test_few_gets_do_not_shuffle_the_store(spark, monkeypatch):
-    from tesserae.operators import kv
-    monkeypatch.setattr(keyed, "SMALL_CHANGE_BYTES", 4096)
-    spath, rpath = scratch_path(spark, "kv-big.parquet"), scratch_path(spark, "kv-req.parquet")
-    kv.kv_set(None, fx.kv_writes(spark, SF_SMALL)).write.parquet(spath)  # one value per key
-    spark.createDataFrame([("u1",), ("u2",), ("nope",)], "key string").write.parquet(rpath)
-    store, req = spark.read.parquet(spath), spark.read.parquet(rpath)
-    df = kv.kv_get(store, req)
-    qe = df._jdf.queryExecution()
-    qe.toRdd().count()
-    p = qe.executedPlan().toString().split("== Initial Plan ==")[0]
-    assert not any("kv-big" in t for t in exchange_subtrees(p)), p
-    got = {r["key"]: r["value"] for r in df.collect()}
-    assert set(got) == {"u1", "u2", "nope"} and got["nope"] is None
-    want = {r["key"]: r["value"] for r in store.join(req, "key").collect()}
-    assert all(got[k] == v for k, v in want.items())
-
-
-def test_keyed_write_file_count_is_bounded(spark):
-    import uuid
-    from tesserae.sources import catalog
-    name = f"kw_{uuid.uuid4().hex[:6]}"
-    df = spark.range(0, 6000, 1, 12).select((F.col("id") % 40).cast("string").alias("city"), F.col("id").alias("user_id"))
-    catalog.write_keyed(df, name, USER_METRICS_KEY, 8, scratch_path(spark, name))
-    n_files = spark.table(name).select("_metadata.file_path").distinct().count()
-    assert n_files <= int(spark.conf.get("spark.sql.shuffle.partitions")) + 8 < 12 * 8
-    assert "Exchange" not in plan(spark.table(name).groupBy("city").count())

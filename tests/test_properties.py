@@ -88,23 +88,35 @@ def test_ring_owner_is_first_token_at_or_after(spark, tokens, keys):
 
 @SETTINGS
 @given(writes, writes, st.booleans())
-def test_upsert_strategies_agree(spark, base, change, precedence):
+def test_upsert_is_last_write_wins_per_key(spark, base, change, precedence):
     cur = keyed.upsert(None, _frame(spark, base), K).drop("seq").drop("ts")
     cur = cur.join(_frame(spark, base).select("k", "ts", "seq").dropDuplicates(["k"]), "k")
     ch = _frame(spark, change)
-    a = keyed.upsert(cur, ch, K, batch_precedence=precedence, strategy="aggregate")
-    b = keyed.upsert(cur, ch, K, batch_precedence=precedence, strategy="broadcast")
-    assert _rows(a) == _rows(b)
+    got = keyed.upsert(cur, ch, K, batch_precedence=precedence)
+    want = keyed._lww(cur, [ch], list(K.primary), list(K.version), precedence)
+    assert _rows(got) == _rows(want)
+
+
+def test_upsert_keeps_repeated_rows_of_unchanged_keys(spark):
+    cur = spark.createDataFrame([(1, 1), (1, 2), (5, 5), (5, 6), (None, 7)], "k long, v long")
+    ch = spark.createDataFrame([(5, 9), (None, 8)], "k long, v long")
+    assert sorted(map(tuple, keyed.upsert(cur, ch, ["k"]).collect()), key=str) == sorted([(1, 1), (1, 2), (5, 9), (None, 8)], key=str)
 
 
 @SETTINGS
 @given(pairs, pairs)
-def test_merge_edges_strategies_agree(spark, p1, p2):
+def test_merge_edges_adds_each_missing_edge_once(spark, p1, p2):
     mk = lambda ps: spark.createDataFrame(ps, "src long, dst long")
     existing = graph.symmetric_closure(graph.unordered_pairs(mk(p1)), normalized=True)
-    a = graph.merge_edges(existing, mk(p2), strategy="union")
-    b = graph.merge_edges(existing, mk(p2), strategy="broadcast")
-    assert _rows(a) == _rows(b) and b.count() == len(set(_rows(b)))
+    got = _rows(graph.merge_edges(existing, mk(p2)))
+    both = set(_rows(existing)) | set(_rows(graph.symmetric_closure(mk(p2), normalized=True)))
+    assert sorted(got) == sorted(both)
+
+
+def test_merge_edges_keeps_stored_rows(spark):
+    mk = lambda ps: spark.createDataFrame(ps, "src long, dst long")
+    stored = mk([(1, 2), (1, 2), (2, 1)])
+    assert sorted(_rows(graph.merge_edges(stored, mk([(2, 1), (3, 4)])))) == [(1, 2), (1, 2), (2, 1), (3, 4), (4, 3)]
 
 
 nodes_st = st.lists(st.tuples(st.integers(0, 9), st.sampled_from(["a", "b", None])), max_size=10,
@@ -113,9 +125,9 @@ nodes_st = st.lists(st.tuples(st.integers(0, 9), st.sampled_from(["a", "b", None
 
 @SETTINGS
 @given(nodes_st, nodes_st)
-def test_merge_nodes_strategies_agree(spark, cur, inc):
+def test_merge_nodes(spark, cur, inc):
     c = spark.createDataFrame([(k, v, f"keep{k}") for k, v in cur], "id long, name string, keep string")
     i = spark.createDataFrame([(k, v, k * 10) for k, v in inc], "id long, name string, score long")
-    a = graph.merge_nodes(c, i, ["name", "score"], strategy="full_outer")
-    b = graph.merge_nodes(c, i, ["name", "score"], strategy="broadcast")
-    assert a.columns == b.columns and _rows(a) == _rows(b)
+    got = {r["id"]: (r["name"], r["keep"], r["score"]) for r in graph.merge_nodes(c, i, ["name", "score"]).collect()}
+    old, new = dict(cur), dict(inc)
+    assert got == {k: (new.get(k, old.get(k)), f"keep{k}" if k in old else None, k * 10 if k in new else None) for k in {*old, *new}}
