@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.common import saved
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of hosts that stand for unwanted pages, with their least weight in observations.
 SEEDS = {w: 20 for w in ("casino", "bets", "bet", "poker", "pills", "cheap", "adult", "porn", "xxx", "spam", "ads", "track")}
@@ -45,13 +47,27 @@ def rule_columns(host: Column, path: Column, rules: Iterable[Rule]) -> tuple[Col
     return text, verdict
 
 
+def commonest(counts: DataFrame, n: str, most: int) -> DataFrame:
+    """The rows of ``counts`` with the largest ``n``, at most ``most`` of them: all
+    above a cut between two of 16 steps per doubling. The cut comes from a histogram
+    of at most about 1000 rows, so no task or driver holds the rows of all others."""
+    step = F.floor(F.log2(F.col(n)) * 16).cast("int")
+    counts = saved(counts, "counts")
+    kept, cut = 0, 1 << 30
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("c")).collect(), reverse=True):
+        kept += r["c"]
+        if kept > most:
+            break
+        cut = r["step"]
+    return counts.where(step >= cut)
+
+
 def word_counts(texts: DataFrame, text: str, most: int) -> dict[str, int]:
-    """The ``most`` commonest words (runs of a-z) of all whole texts; pre-aggregated,
-    ties by the alphabet. At most ``most`` words reach the driver."""
+    """The commonest words (runs of a-z) of all whole texts, at most ``most``;
+    counts are pre-aggregated."""
     words = texts.select(F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z]+")).alias("w"))
     words = words.where(F.length("w").between(1, MAX_WORD))
-    rows = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "w").limit(most).collect()
-    return {r["w"]: r["n"] for r in rows}
+    return {r["w"]: r["n"] for r in commonest(words.groupBy("w").agg(F.count("*").alias("n")), "n", most).orderBy("w").collect()}
 
 
 class Segmenter:
@@ -105,12 +121,12 @@ class Bayes:
 
 
 def fit(tokens: DataFrame, seeds: dict[str, int], most: int) -> Bayes:
-    """From (tokens array, verdict): pre-aggregated counts of all rows; the ``most``
-    commonest tokens are kept by name, the others stand as one unseen token."""
+    """From (tokens array, verdict): pre-aggregated counts of all rows; at most
+    ``most`` commonest tokens are kept by name, the others stand as one unseen token."""
     block = F.sum(F.when(F.col("verdict") == "block", 1).otherwise(0)).alias("b")
     allow = F.sum(F.when(F.col("verdict") == "allow", 1).otherwise(0)).alias("a")
-    per = tokens.select("verdict", F.explode("tokens").alias("t")).groupBy("t").agg(block, allow)
-    rows = per.orderBy((F.col("a") + F.col("b")).desc(), "t").limit(most).collect()
+    per = tokens.select("verdict", F.explode("tokens").alias("t")).groupBy("t").agg(block, allow, F.count("*").alias("n"))
+    rows = commonest(per, "n", most).orderBy("t").collect()
     classes = tokens.agg(block, allow).first()
     b, a = {r["t"]: r["b"] for r in rows}, {r["t"]: r["a"] for r in rows}
     seen = sum(b.values()) + sum(a.values())

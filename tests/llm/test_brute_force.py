@@ -223,6 +223,15 @@ def test_url_words():
         assert math.isclose(sum(map(s.cost, s.split(name))), best(name))
 
 
+def test_commonest(spark):
+    rows = [(k, 1 + 3000 // (k + 1)) for k in range(500)]
+    df = spark.createDataFrame(rows, "w long, n long")
+    for most in (0, 1, 40, 499, 500):
+        got = url_filter.commonest(df, "n", most).collect()
+        assert len(got) <= most and min((r["n"] for r in got), default=10**9) > max((n for k, n in rows if k not in {r["w"] for r in got}), default=0)
+    assert url_filter.commonest(df, "n", 500).count() == 500
+
+
 def test_url_query(spark):
     rows = queries.op8_url_words(spark, "/root/testdata/sf0.01").collect()
     urls = {r["page_id"]: r["url"] for r in table(spark, "/root/testdata/sf0.01", "pages").collect()}
