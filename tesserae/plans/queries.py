@@ -112,6 +112,14 @@ def csv_roundtrip(spark, sf):
     return files.read_csv(spark, path, PEOPLE_SCHEMA, header=False)
 
 
+@q("csv_roundtrip_text", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def csv_roundtrip_text(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    path = scratch_path(spark, "documents.csv")
+    files.write_csv(docs, path)
+    return files.read_csv(spark, path, docs.schema)
+
+
 @q("parquet_roundtrip", W("SELECT * FROM people", "people"))
 def parquet_roundtrip(spark, sf):
     path = scratch_path(spark, "people.parquet")

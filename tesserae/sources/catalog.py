@@ -81,8 +81,13 @@ def truncate_table(spark: SparkSession, name: str) -> None:
     external ones (explicit path) are overwritten with an empty frame."""
     meta = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").filter("col_name = 'Type'").collect()
     if meta and meta[0]["data_type"].strip().upper() == "EXTERNAL":
-        empty = spark.createDataFrame([], spark.table(name).schema)
-        empty.write.mode("overwrite").insertInto(name)
+        # in a session of its own, so that the caller's overwrite mode does not matter:
+        # a dynamic overwrite with no rows would leave every partition
+        other = spark.newSession()
+        other.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
+        full = name if "." in name else f"{spark.catalog.currentDatabase()}.{name}"
+        other.createDataFrame([], spark.table(name).schema).write.mode("overwrite").insertInto(full)
+        spark.catalog.refreshTable(name)
     else:
         spark.sql(f"TRUNCATE TABLE {name}")
 

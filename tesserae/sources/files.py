@@ -11,20 +11,51 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_CSV = {"quote": '"', "escape": '"', "nullValue": "\\N"}
+_ENCODED = (("\n", "\\n"), ("\r", "\\r"), ("\0", "\\0"))
+
+
+def _encoded(c: Column) -> Column:
+    c = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+    for raw, text in _ENCODED:
+        c = F.replace(c, F.lit(raw), F.lit(text))
+    return c
+
+
+def _decoded(c: Column) -> Column:
+    def piece(x: Column) -> Column:
+        for raw, text in _ENCODED:
+            x = F.replace(x, F.lit(text), F.lit(raw))
+        return x
+
+    return F.array_join(F.transform(F.split(c, r"\\\\", -1), piece), "\\")
+
+
+def _strings(schema: T.StructType) -> list[str]:
+    return [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
+
+
 def write_csv(df: DataFrame, path: str, header: bool = True, mode: str = "overwrite", single_file: bool = False) -> str:
-    """Directory of part files; ``header=False`` matches a bare ``.csv(path)``."""
+    """Directory of part files; ``header=False`` matches a bare ``.csv(path)``.
+    Line breaks, NUL and backslashes in strings are written as ``\\n``, ``\\r``,
+    ``\\0`` and a doubled backslash, so a row is one line and files stay splittable;
+    null is ``\\N``."""
     out = df.coalesce(1) if single_file else df
-    out.write.mode(mode).option("header", str(header).lower()).csv(path)
+    out = out.withColumns({c: _encoded(F.col(c)) for c in _strings(df.schema)})
+    (out.write.mode(mode).options(**_CSV, ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
+     .option("header", str(header).lower()).csv(path))
     return path
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True) -> DataFrame:
-    """CSV with a declared schema (no inference pass over the data)."""
-    return spark.read.schema(schema).option("header", str(header).lower()).csv(path)
+    """CSV of ``write_csv`` with a declared schema (no inference pass over the data)."""
+    df = spark.read.schema(schema).options(**_CSV).option("header", str(header).lower()).csv(path)
+    return df.withColumns({c: _decoded(F.col(c)) for c in _strings(schema)})
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", single_file: bool = False,

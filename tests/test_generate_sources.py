@@ -186,3 +186,27 @@ def test_generator_seed(spark):
     assert [r["id"] for r in a] != [r["id"] for r in b]
     assert [r["first_name"] for r in a] == [r["first_name"] for r in b]
     assert sorted(tuple(r) for r in m) == sorted(tuple(r) for r in b)
+
+
+def test_csv_keeps_every_string(spark, tmp_path):
+    rows = [(1, "a\nb"), (2, "c\r\nd"), (3, 'say "x", \'y\''), (4, ""), (5, None), (6, "\\n \\\\n \\"), (7, "  pad\t"), (8, "\\N"), (9, "\0z"),
+            (10, "é\u2028\U0001f600"), (11, '"'), (12, "\\\n")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    for header in (True, False):
+        files.write_csv(df, f"{tmp_path}/{header}", header=header)
+        got = files.read_csv(spark, f"{tmp_path}/{header}", df.schema, header=header)
+        assert sorted(map(tuple, got.collect())) == rows
+
+
+def test_truncate_external_under_dynamic_overwrite(spark, tmp_path):
+    from tesserae.sources import catalog
+    spark.range(5).selectExpr("id", "id % 2 as p").write.partitionBy("p").option("path", f"{tmp_path}/t").saveAsTable("trunc_ext")
+    old = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        catalog.truncate_table(spark, "trunc_ext")
+        spark.catalog.refreshTable("trunc_ext")
+        assert spark.table("trunc_ext").count() == 0
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
+        spark.sql("DROP TABLE trunc_ext")
