@@ -61,9 +61,11 @@ def people_from_ids(ids: DataFrame, id_col: str = "id", seed: str = SEED) -> Dat
     return ids.select(*people_columns(id_col, seed=seed))
 
 
-def gen_range(spark: SparkSession, n: int, partitions: int | None = None) -> DataFrame:
-    """``spark.range`` source with a fixed partition count."""
-    return spark.range(0, n, 1, partitions) if partitions else spark.range(0, n)
+def ids_per_row(df: DataFrame, key: str, n: int) -> DataFrame:
+    """A range of ``n`` ids for every row: ``key * n .. key * n + n - 1``, unique if
+    the key is; made by the tasks that read the rows."""
+    start = F.col(key).cast("long") * n
+    return df.select(F.explode(F.sequence(start, start + (n - 1))).alias("id"))
 
 
 # ---- pandas forms (slow path, kept for the partition-function API) ----

@@ -16,7 +16,7 @@ def key_token(c) -> Column:
     """Hash token of a key: the first 60 bits of md5 of its text, as bigint.
 
     Same value in any engine that has md5 (so it can be checked in SQL);
-    ``fast_token`` is the cheaper engine-specific alternative.
+    ``fast_token`` is the cheaper form that operators use by default.
     """
     return F.conv(F.substring(F.md5(_c(c).cast("string")), 1, 15), 16, 10).cast("long")
 
@@ -33,11 +33,6 @@ def uuid_text(seed: str, c) -> Column:
     return F.concat_ws("-", *parts)
 
 
-def random_uuid() -> Column:
-    """Random uuid per row (non-deterministic; for generated document ids)."""
-    return F.expr("uuid()")
-
-
 def bounded_int(c, lo: int, hi: int, prime: int = 7919) -> Column:
     """Deterministic integer in [lo, hi] from a key: lo + (key*prime) mod (hi-lo+1)."""
     return (F.lit(lo) + F.pmod(_c(c) * prime, F.lit(hi - lo + 1))).cast("int")
@@ -72,9 +67,3 @@ def iso_text(ts) -> Column:
 def iso_date(text) -> Column:
     """ISO text -> date (ANSI-safe: unparseable text gives null)."""
     return F.try_to_date(_c(text), "yyyy-MM-dd")
-
-
-def add_seconds(ts, secs) -> Column:
-    """Timestamp plus a number of seconds (column or int)."""
-    s = F.lit(int(secs)) if isinstance(secs, int) else _c(secs)
-    return _c(ts) + F.make_dt_interval(secs=s)

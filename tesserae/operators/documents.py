@@ -125,19 +125,6 @@ def pipeline(df: DataFrame, stages: Sequence[Callable[[DataFrame], DataFrame]])
     return df
 
 
-def job_stats(users: DataFrame, limit: int = 100) -> DataFrame:
-    """Active users grouped by ``profile.job``: average logins and count,
-    most active professions first, as ``{job_title, stats{average, total_users}}``."""
-    return pipeline(users, [
-        lambda d: d.filter(F.col("active")),
-        lambda d: group(d, F.col("profile.job"), avg_logins=F.avg("login_count"), user_count=F.count(F.lit(1))),
-        lambda d: d.orderBy(F.desc("avg_logins"), F.asc_nulls_first("_id")),
-        lambda d: restructure(d, {"job_title": "_id",
-                                  "stats": {"average": "avg_logins", "total_users": "user_count"}}),
-        lambda d: d.limit(limit),
-    ])
-
-
 def find_one(df: DataFrame, pred: Column | None, key: str = "_id") -> DataFrame:
     """First match in key order (the store's "any one" made deterministic)."""
     d = df if pred is None else df.filter(pred)

@@ -6,11 +6,13 @@ relationship is stored as two directed rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import fast_token
+
 
 def unordered_pairs(df: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     """Set of unordered pairs: order the two ids, drop self pairs, dedupe."""
@@ -20,6 +22,25 @@ def unordered_pairs(df: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
             .distinct())
 
 
+def sample_pairs(nodes: DataFrame, rounds: int = 1, n: int | None = None, seed: str = "pairs", buckets: int = 4096,
+                 id_col: str = "id", token: Callable[[Column], Column] = fast_token) -> DataFrame:
+    """Random unordered pairs of distinct ids, the same for the same seed.
+
+    In every round a seeded hash of the id picks its bucket and its place there,
+    and each id is paired with the next one: ``ids - buckets`` pairs a round at
+    least, none with itself, and no id reaches the driver. A bucket holds about
+    ``ids / buckets`` rows; ``n`` keeps that many pairs, chosen by hash.
+    """
+    r = nodes.select(F.col(id_col).alias("_id"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("_round"))
+    text = F.concat_ws(":", F.lit(seed), F.col("_round").cast("string"), F.col("_id").cast("string"))
+    t = r.filter(F.col("_id").isNotNull()).withColumn("_t", token(text))
+    w = Window.partitionBy("_round", F.pmod("_t", F.lit(buckets))).orderBy("_t", "_id")
+    pairs = unordered_pairs(t.select(F.col("_id").alias("a"), F.lead("_id").over(w).alias("b")), "a", "b")
+    if n is None:
+        return pairs
+    return pairs.orderBy(token(F.concat_ws(":", F.lit(seed), "src", "dst")), "src", "dst").limit(n)
+
+
 def symmetric_closure(pairs: DataFrame, normalized: bool = False) -> DataFrame:
     """Both directions of every pair, without duplicates.
 

@@ -3,15 +3,16 @@ TTL, predicate delete, token-order scans and seeks, key layout."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import key_token
+from ..functions.scalars import fast_token
 from ..schemas import KeySpec
 
 _BATCH = "_batch"
+Token = Callable[[Column], Column]
 
 
 def upsert(current: DataFrame | None, changes: Sequence[DataFrame] | DataFrame, key: Sequence[str] | KeySpec,
@@ -85,21 +86,29 @@ def _lww(current: DataFrame | None, changes: Sequence[DataFrame], key: list[str]
     return out.select(*[F.col(c) if c in key else F.col(f"_row.{c}").alias(c) for c in out_cols])
 
 
-def with_ttl(df: DataFrame, ttl_seconds: int, written_at: str | Column, col: str = "expires_at") -> DataFrame:
-    """``USING TTL n``: rows expire ``n`` seconds after their write time."""
-    w = F.col(written_at) if isinstance(written_at, str) else written_at
-    return df.withColumn(col, w + F.make_dt_interval(secs=F.lit(int(ttl_seconds))))
+def _time(t, default: Column) -> Column:
+    if t is None:
+        return default
+    return t if isinstance(t, Column) else F.lit(t).cast("timestamp_ntz")
 
 
-def live(df: DataFrame, as_of, col: str = "expires_at") -> DataFrame:
-    """Rows still alive at ``as_of``: no expiry, or expiry strictly later."""
-    t = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp_ntz")
-    return df.filter(F.col(col).isNull() | (F.col(col) > t))
+def with_ttl(df: DataFrame, ttl_seconds: int, written_at: str | Column | None = None, col: str = "expires_at",
+             where: Column | None = None) -> DataFrame:
+    """``USING TTL n``: rows expire ``n`` seconds after their write time (a column
+    or its name; now, if none). With ``where``, only rows for which it is true;
+    the others, null included, never expire."""
+    w = F.col(written_at) if isinstance(written_at, str) else _time(written_at, F.localtimestamp())
+    end = w + F.make_dt_interval(secs=F.lit(int(ttl_seconds)))
+    return df.withColumn(col, end if where is None else F.when(where, end))
 
 
-def expired(df: DataFrame, as_of, col: str = "expires_at") -> DataFrame:
-    t = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp_ntz")
-    return df.filter(F.col(col) <= t)
+def live(df: DataFrame, as_of=None, col: str = "expires_at") -> DataFrame:
+    """Rows still alive at ``as_of`` (default now): no expiry, or expiry strictly later."""
+    return df.filter(F.col(col).isNull() | (F.col(col) > _time(as_of, F.localtimestamp())))
+
+
+def expired(df: DataFrame, as_of=None, col: str = "expires_at") -> DataFrame:
+    return df.filter(F.col(col) <= _time(as_of, F.localtimestamp()))
 
 
 def delete_where(df: DataFrame, pred: Column) -> DataFrame:
@@ -115,27 +124,27 @@ def point(df: DataFrame, **key_values) -> DataFrame:
     return df.filter(cond)
 
 
-def with_token(df: DataFrame, partition: Sequence[str], col: str = "token") -> DataFrame:
-    """Token of the partition key (the placement hash)."""
+def with_token(df: DataFrame, partition: Sequence[str], col: str = "token", token: Token = fast_token) -> DataFrame:
+    """Token of the partition key (``token``: any hash function of one column)."""
     p = F.col(partition[0]) if len(partition) == 1 else F.concat_ws("\u0001", *[F.col(c).cast("string") for c in partition])
-    return df.withColumn(col, key_token(p))
+    return df.withColumn(col, token(p))
 
 
-def scan_in_token_order(df: DataFrame, key: KeySpec, limit: int | None = None) -> DataFrame:
+def scan_in_token_order(df: DataFrame, key: KeySpec, limit: int | None = None, token: Token = fast_token) -> DataFrame:
     """``SELECT * .. [LIMIT n]`` in the store's natural order: token of the
     partition key, then clustering columns (a top-k when limited)."""
-    t = with_token(df, key.partition, "_tok")
+    t = with_token(df, key.partition, "_tok", token)
     o = t.orderBy("_tok", *key.primary)
     if limit is not None:
         o = o.limit(limit)
     return o.drop("_tok")
 
 
-def token_seek(df: DataFrame, key: KeySpec, token: int) -> DataFrame:
-    """``WHERE token(pk) >= t LIMIT 1``; wraps to the ring start when no row lies
-    at or after ``t``. One aggregate: min over (wrapped, token, key) structs."""
-    t = with_token(df, key.partition, "_tok")
-    wrapped = (F.col("_tok") < F.lit(token)).cast("int")
+def token_seek(df: DataFrame, key: KeySpec, start: int, token: Token = fast_token) -> DataFrame:
+    """``WHERE token(pk) >= start LIMIT 1``; wraps to the smallest token when no row lies
+    at or after ``start``. One aggregate: min over (wrapped, token, key) structs."""
+    t = with_token(df, key.partition, "_tok", token)
+    wrapped = (F.col("_tok") < F.lit(start)).cast("int")
     order = F.struct(wrapped.alias("w"), F.col("_tok").alias("t"), *[F.col(k) for k in key.primary])
     best = t.agg(F.min_by(F.struct(*[F.col(c) for c in df.columns]), order).alias("_r"))
     return best.filter(F.col("_r").isNotNull()).select("_r.*")
@@ -147,7 +156,8 @@ def distinct_partitions(df: DataFrame, key: KeySpec) -> DataFrame:
 
 
 def clustered_layout(df: DataFrame, key: KeySpec, partitions: int | None = None) -> DataFrame:
-    """Store layout: hash-partition on the partition key, sort by the full key
-    inside each partition (what ``bucketBy(..).sortBy(..)`` persists)."""
-    r = df.repartition(partitions, *key.partition) if partitions else df.repartition(*key.partition)
-    return r.sortWithinPartitions(*key.primary)
+    """Store layout: ranges of the full key, sorted inside each partition. A hot
+    partition key is split over several tasks by its clustering columns."""
+    cols = list(key.primary)
+    r = df.repartitionByRange(partitions, *cols) if partitions else df.repartitionByRange(*cols)
+    return r.sortWithinPartitions(*cols)

@@ -1,16 +1,13 @@
-"""Key-value operators: SET (last write wins), GET, flush, slot routing and
-per-node command statistics."""
+"""Key-value operators: SET (last write wins), GET, flush and per-node command
+statistics."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import key_token
 from .keyed import upsert
 
-SLOTS = 16384  # hash slots of a clustered key-value store
-
 
 def kv_set(store: DataFrame | None, writes: DataFrame, version=("ts", "seq")) -> DataFrame:
     """Apply a stream of SETs: the latest (ts, seq) per key wins; keys not
@@ -37,38 +34,12 @@ def kv_flush(store: DataFrame) -> DataFrame:
     return store.filter(F.lit(False))
 
 
-def slot_of(key_col: str = "key"):
-    return F.pmod(key_token(F.col(key_col)), F.lit(SLOTS)).cast("int")
-
-
-def slot_table(masters: DataFrame, n_masters: int, ordinal_col: str = "node") -> DataFrame:
-    """Contiguous slot ranges per master (ordinal i of n owns
-    [i*S/n, (i+1)*S/n)); one row per slot, at most 16,384 rows."""
-    i = F.col(ordinal_col)
-    lo = F.floor(i * SLOTS / n_masters).cast("int")
-    hi = (F.floor((i + 1) * SLOTS / n_masters) - 1).cast("int")
-    return masters.select(F.col(ordinal_col).alias("owner"), F.explode(F.sequence(lo, hi)).alias("slot"))
-
-
-def route(keys: DataFrame, slots: DataFrame, key_col: str = "key") -> DataFrame:
-    """Route each key to the master owning its slot; the slot table has a
-    fixed bound (16,384 rows), so it is broadcast."""
-    return keys.withColumn("slot", slot_of(key_col)).join(F.broadcast(slots), "slot", "left")
-
-
-def replica_map(nodes: DataFrame, n_masters: int) -> DataFrame:
-    """Master -> node that serves its reads: with one replica per master,
-    replica ``i + n_masters`` follows master ``i`` (``--cluster-replicas 1``)."""
-    return (nodes.filter(F.col("role") == "slave")
-            .select((F.col("node") - n_masters).alias("owner"), F.col("node").alias("served_by")))
-
-
-def route_reads(log: DataFrame, slots: DataFrame, replicas: DataFrame, key_col: str = "key") -> DataFrame:
-    """Route each read: key -> slot -> owning master -> its replica. Both
-    lookup tables are configuration-sized (16,384 slots, one row per
-    replica) and broadcast."""
-    r = route(log, slots, key_col)
-    return r.join(F.broadcast(replicas), "owner", "left").withColumn("node", F.col("served_by")).drop("served_by")
+def flush_counts(store: DataFrame) -> DataFrame:
+    """One row: keys before a flush and keys left after it."""
+    before = store.select(F.lit(1).alias("before"), F.lit(0).alias("after"))
+    after = kv_flush(store).select(F.lit(0).alias("before"), F.lit(1).alias("after"))
+    return before.unionByName(after).agg(
+        F.count_if(F.col("before") == 1).alias("keys_before"), F.count_if(F.col("after") == 1).alias("keys_after"))
 
 
 def node_stats(nodes: DataFrame, log: DataFrame, cmd: str = "get", since=None, ts_col: str = "ts") -> DataFrame:

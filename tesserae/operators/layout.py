@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -32,3 +32,19 @@ def skew_report(df: DataFrame) -> DataFrame:
         F.max("n").alias("max_rows"),
         F.avg("n").alias("avg_rows"),
     ).withColumn("skew", F.col("max_rows") / F.col("avg_rows"))
+
+
+def order_faults(df: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Per ``by``: rows, and how many come before their left neighbour of the same
+    partition in the order of ``keys`` (0 everywhere: sorted inside partitions).
+
+    Neighbours are compared within physical partitions, so no task sees more
+    than the partition it already had.
+    """
+    p = df.select(*[F.col(c) for c in dict.fromkeys([*by, *keys])],
+                  F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_pos"))
+    w = Window.partitionBy("_pid").orderBy("_pos")
+    left = F.lag(F.struct(*keys)).over(w)
+    fault = F.coalesce(F.struct(*keys) < left, F.lit(False))
+    return (p.select(*by, fault.alias("_fault")).groupBy(*by)
+            .agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_fault")).alias("out_of_order")))

@@ -1,7 +1,7 @@
 """Document updates and deletes as pure functions (current -> next frame).
 
-Parquet tables take no UPDATE/DELETE, so an update returns the next version
-of the collection; ``tesserae.sources.files.write_version`` persists it.
+Parquet tables take no UPDATE/DELETE, so an update returns the next state of
+the collection; write it to a new path to keep it.
 Counters follow document-store rules: *matched* = predicate true,
 *modified* = matched and the stored value actually changes.
 """
@@ -62,6 +62,12 @@ def inc(df: DataFrame, key_value, field: str, by: int = 1, key: str = "_id") ->
     return df.withColumn(field, F.when(hit, F.coalesce(cur, F.lit(0)) + F.lit(by)).otherwise(cur))
 
 
+def inc_first(df: DataFrame, pred: Column, field: str, by: int = 1, key: str = "_id") -> DataFrame:
+    """Find one matching document (smallest key), then increment a field of it."""
+    cur = F.coalesce(_current(df, field), F.lit(0))
+    return set_first(df, pred, {field: cur + F.lit(by)}, key)
+
+
 def inc_and_return(df: DataFrame, key_value, field: str, by: int = 1, key: str = "_id",
                    return_document: str = "after") -> DataFrame:
     """``find_one_and_update``: the before or after image of the one document."""
@@ -81,6 +87,14 @@ def delete_counts(df: DataFrame, pred: Column | None = None) -> DataFrame:
     return df.agg(F.count_if(p).alias("deleted_count"))
 
 
+def delete_all_counts(df: DataFrame) -> DataFrame:
+    """One row: documents before ``delete_many({})`` and documents left after it."""
+    before = df.select(F.lit(1).alias("before"))
+    left = delete_all(df).select(F.lit(0).alias("before"))
+    return before.unionByName(left).agg(F.count_if(F.col("before") == 1).alias("count_before"),
+                                        F.count_if(F.col("before") == 0).alias("count_after"))
+
+
 def delete_all(df: DataFrame) -> DataFrame:
     """``delete_many({})``: empty frame, same schema."""
     return df.filter(F.lit(False))

@@ -36,14 +36,10 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     "old_pairs": ("""SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM raw_pairs
  WHERE a <> b AND shipdate < TIMESTAMP '1998-06-01 00:00:00'""", ("raw_pairs",)),
     "old_edges": ("SELECT src, dst FROM old_pairs UNION SELECT dst AS src, src AS dst FROM old_pairs", ("old_pairs",)),
-    "ring": ("""SELECT CAST(n_nationkey AS BIGINT) AS node, CAST(v.vnode AS BIGINT) AS vnode,
- (CAST(n_nationkey AS BIGINT) * 21851 + CAST(v.vnode AS BIGINT) * 4099) % 65536 AS token
- FROM nation, (SELECT unnest(range(16)) AS vnode) v WHERE n_nationkey < 3""", ()),
-    "customer_tokens": ("SELECT c_custkey, (c_custkey * 40503) % 65536 AS key_token FROM customer", ()),
-    "kv_nodes": ("""SELECT n_nationkey AS node, CASE WHEN n_nationkey < 3 THEN 'master' ELSE 'slave' END AS role
- FROM nation WHERE n_nationkey < 6""", ()),
-    "access_log": ("""SELECT event_id, concat('k', CAST(event_id % 6 AS VARCHAR)) AS key, CAST(3 + event_id % 3 AS INT) AS node,
- 'get' AS cmd, ts FROM events""", ()),
+    "kv_nodes": ("""SELECT n_nationkey AS node, CASE WHEN n_nationkey % 2 = 0 THEN 'master' ELSE 'slave' END AS role
+ FROM nation""", ()),
+    "access_log": ("""SELECT event_id, concat('k', CAST(event_id % 6 AS VARCHAR)) AS key, CAST(1 + 2 * (event_id % 12) AS INT) AS node,
+ event_type AS cmd, ts FROM events""", ()),
     "kv_writes": ("""SELECT concat('u', CAST(user_id AS VARCHAR)) AS key, CAST(event_id AS VARCHAR) AS value, ts, event_id AS seq
  FROM events""", ()),
     "kv_store": ("""SELECT key, value FROM (SELECT key, value, row_number() OVER (PARTITION BY key ORDER BY ts DESC, seq DESC, value DESC) AS rn

@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import generate as gen
-from ..functions.scalars import bernoulli, bounded_int, iso_date, iso_text, unit_double, upper_half
+from ..functions.scalars import bernoulli, bounded_int, iso_date, iso_text, key_token, unit_double, upper_half
 from ..operators import documents as doc
-from ..operators import graph, keyed, kv, layout, mutate, rank, ring
+from ..operators import graph, keyed, kv, layout, mutate, rank
 from ..schemas import PEOPLE_SCHEMA, USER_METRICS_KEY, USER_METRICS_SCHEMA
 from ..session import scratch_path
 from ..sources import catalog, files, fixtures as fx
@@ -79,10 +79,9 @@ def schema_of_people(spark, sf):
     return catalog.conform(fx.people(spark, sf), PEOPLE_SCHEMA)
 
 
-@q("gen_range", "SELECT unnest(range(0, (SELECT count(*) FROM orders))) AS id")
+@q("gen_range", "SELECT unnest(range(o_orderkey * 3, o_orderkey * 3 + 3)) AS id FROM orders")
 def gen_range(spark, sf):
-    n = read_table(spark, sf, "orders").count()
-    return gen.gen_range(spark, n, partitions=layout.partitions_for(spark))
+    return gen.ids_per_row(read_table(spark, sf, "orders"), "o_orderkey", 3)
 
 
 @q("gen_people_expr", PEOPLE_GEN_SQL)
@@ -132,23 +131,20 @@ def scan_count(spark, sf):
     return read_table(spark, sf, "lineitem").agg(F.count(F.lit(1)).alias("row_count"))
 
 
-FIRST_NAME_AGG_SQL = """SELECT first_name, round(sum(amount), 2) AS total_amount, count(*) AS first_name_count
-FROM people GROUP BY first_name ORDER BY first_name_count DESC"""
+SPEND_SQL = "SELECT last_name, round(sum(amount), 2) AS spent, count(*) AS n_orders FROM people GROUP BY last_name"
 
 
-@q("sql_view_agg", W(FIRST_NAME_AGG_SQL, "people"))
+@q("sql_view_agg", W(SPEND_SQL, "people"))
 def sql_view_agg(spark, sf):
-    fx.people(spark, sf).createOrReplaceTempView("df_people")
-    return spark.sql("""SELECT first_name, round(SUM(amount), 2) AS total_amount, COUNT(*) AS first_name_count
-        FROM df_people GROUP BY first_name ORDER BY first_name_count DESC""")
+    fx.people(spark, sf).createOrReplaceTempView("buyers")
+    return spark.sql("SELECT last_name, round(sum(amount), 2) AS spent, count(*) AS n_orders FROM buyers GROUP BY last_name")
 
 
-@q("sql_path_scan", W(FIRST_NAME_AGG_SQL, "people"))
+@q("sql_path_scan", W(SPEND_SQL, "people"))
 def sql_path_scan(spark, sf):
     return files.sql_on_path(spark, """
-        SELECT first_name, round(SUM(amount), 2) AS total_amount, COUNT(*) AS first_name_count
-        FROM (SELECT concat('first', CAST(o_custkey % 50 AS STRING)) AS first_name, o_totalprice AS amount FROM {src})
-        GROUP BY first_name ORDER BY first_name_count DESC""", table_path(sf, "orders"))
+        SELECT concat('last', CAST(o_custkey % 97 AS STRING)) AS last_name, round(sum(o_totalprice), 2) AS spent,
+          count(*) AS n_orders FROM {src} GROUP BY 1""", table_path(sf, "orders"))
 
 
 @q("preview", W("SELECT * FROM people ORDER BY id LIMIT 20", "people"))
@@ -159,9 +155,8 @@ def preview(spark, sf):
 @q("doc_insert", W(f"SELECT {USER_COLS_SQL} FROM users", "users"))
 def doc_insert(spark, sf):
     u = _users(spark, sf)
-    first = u.filter(F.col("active"))
-    rest = u.filter(~F.col("active"))
-    return doc_out(doc.insert_many(first, rest))
+    active = F.coalesce("active", F.lit(False))
+    return doc_out(doc.insert_many(u.filter(active), u.filter(~active)))
 
 
 @q("keyed_table", W("SELECT * FROM user_metrics", "user_metrics"))
@@ -178,10 +173,20 @@ def schema_sync(spark, sf):
 
 # ------------------------------------------------------------- documents
 
+def job_stats(users: DataFrame) -> DataFrame:
+    return doc.pipeline(users, [
+        lambda d: doc.match(d, F.col("active")),
+        lambda d: doc.group(d, F.col("profile.job"), logins=F.avg("login_count"), members=F.count(F.lit(1))),
+        lambda d: d.orderBy(F.desc("logins"), F.asc_nulls_first("_id")),
+        lambda d: doc.restructure(d, {"job_title": "_id", "stats": {"average": "logins", "total_users": "members"}}),
+        lambda d: d.limit(100),
+    ])
+
+
 @q("doc_pipeline", W("""SELECT job AS job_title, round(avg(login_count), 6) AS stats_average, count(*) AS stats_total_users
 FROM users_flat WHERE active GROUP BY job ORDER BY avg(login_count) DESC LIMIT 100""", "users_flat"))
 def doc_pipeline(spark, sf):
-    r = doc.flatten(doc.job_stats(_users(spark, sf)))
+    r = doc.flatten(job_stats(_users(spark, sf)))
     return r.withColumn("stats_average", F.round("stats_average", 6))
 
 
@@ -295,6 +300,16 @@ def doc_inc(spark, sf):
     return mutate.inc(_users(spark, sf), 7, "login_count").select("_id", "login_count")
 
 
+@q("doc_find_inc", W("""SELECT u._id, u.login_count + CASE WHEN u._id = m.pick THEN 1 ELSE 0 END AS login_count,
+ u._id = m.pick AS found FROM users_flat u, (SELECT min(_id) AS pick FROM users_flat WHERE active AND login_count > 500) m""",
+                       "users_flat"))
+def doc_find_inc(spark, sf):
+    """Find one active user, increment their logins, read the change back next to the old value."""
+    u = _users(spark, sf).select("_id", "active", "login_count", F.col("login_count").alias("old"))
+    r = mutate.inc_first(u, F.col("active") & (F.col("login_count") > 500), "login_count")
+    return r.select("_id", "login_count", (F.col("login_count") == F.col("old") + 1).alias("found"))
+
+
 @q("doc_inc_after", W(f"""SELECT _id, name, email, job AS profile_job, company AS profile_company, lat AS profile_location_lat,
  lng AS profile_location_lng, array_to_string(tags, ',') AS tags, coalesce(login_count, 0) + 1 AS login_count, last_login, active
 FROM users WHERE _id = 7""", "users"))
@@ -337,9 +352,10 @@ def doc_delete_all(spark, sf):
     return mutate.delete_counts(_users(spark, sf))
 
 
-@q("doc_after_delete_all", W("SELECT _id, name FROM users_flat WHERE false", "users_flat"))
+@q("doc_after_delete_all", W("SELECT count(*) AS count_before, CAST(0 AS BIGINT) AS count_after FROM users_flat",
+                             "users_flat"))
 def doc_after_delete_all(spark, sf):
-    return mutate.delete_all(_users(spark, sf)).select("_id", "name")
+    return mutate.delete_all_counts(_users(spark, sf))
 
 
 # ------------------------------------------------------------ keyed rows
@@ -351,7 +367,7 @@ def cql_count(spark, sf):
 
 @q("cql_limit", W(f"SELECT * FROM user_metrics ORDER BY {kt('city')}, city, user_id LIMIT 100", "user_metrics"))
 def cql_limit(spark, sf):
-    return keyed.scan_in_token_order(fx.user_metrics(spark, sf), USER_METRICS_KEY, 100)
+    return keyed.scan_in_token_order(fx.user_metrics(spark, sf), USER_METRICS_KEY, 100, token=key_token)
 
 
 @q("cql_distinct", W("SELECT DISTINCT city FROM user_metrics", "user_metrics"))
@@ -370,18 +386,23 @@ SEEK_SQL = (f"SELECT * FROM user_metrics ORDER BY ({kt('city')} < {SEEK_TOKEN}),
 
 @q("token_seek", W(SEEK_SQL, "user_metrics"))
 def token_seek(spark, sf):
-    return keyed.token_seek(fx.user_metrics(spark, sf), USER_METRICS_KEY, SEEK_TOKEN)
+    return keyed.token_seek(fx.user_metrics(spark, sf), USER_METRICS_KEY, SEEK_TOKEN, token=key_token)
 
 
 @q("cql_point", W(f"SELECT m.* FROM user_metrics m JOIN ({SEEK_SQL}) s ON m.city = s.city AND m.user_id = s.user_id",
                   "user_metrics"))
 def cql_point(spark, sf):
     um = fx.user_metrics(spark, sf)
-    hit = keyed.token_seek(um, USER_METRICS_KEY, SEEK_TOKEN).select("city", "user_id")
+    hit = keyed.token_seek(um, USER_METRICS_KEY, SEEK_TOKEN, token=key_token).select("city", "user_id")
     # the seek result is one row: broadcast is size-proven
     return um.join(F.broadcast(hit), ["city", "user_id"]).select(*um.columns)
 
 
+@q("cql_point_key", W("SELECT * FROM user_metrics WHERE city = 'NATION_12' AND user_id = 422", "user_metrics"))
+def cql_point_key(spark, sf):
+    return keyed.point(fx.user_metrics(spark, sf), city="NATION_12", user_id=422)
+
+
 UPSERT_SQL = """SELECT city, user_id, username, session_duration, last_access FROM (
  SELECT *, row_number() OVER (PARTITION BY city, user_id ORDER BY b DESC, last_access DESC, seq DESC NULLS LAST,
    username DESC, session_duration DESC) AS rn
@@ -412,9 +433,7 @@ TTL_AS_OF = "1999-01-01 00:00:00"
                  "user_metrics"))
 def ttl_live(spark, sf):
     um = fx.user_metrics(spark, sf)
-    short = keyed.with_ttl(um.filter(F.col("session_duration") < 600), 86400, "last_access")
-    rest = um.filter(~(F.col("session_duration") < 600)).withColumn("expires_at", F.lit(None).cast("timestamp_ntz"))
-    return keyed.live(short.unionByName(rest), TTL_AS_OF)
+    return keyed.live(keyed.with_ttl(um, 86400, "last_access", where=F.col("session_duration") < 600), TTL_AS_OF)
 
 
 @q("cql_delete", W("SELECT * FROM user_metrics WHERE NOT (session_duration >= 120)", "user_metrics"))
@@ -435,51 +454,46 @@ def kv_get(spark, sf):
     return kv.kv_get(store, fx.kv_requests(spark, sf))
 
 
-@q("kv_flush", W("SELECT * FROM kv_store WHERE false", "kv_store"))
+@q("kv_set_existing", W("""SELECT key, value FROM (SELECT key, value, row_number() OVER (PARTITION BY key
+ ORDER BY seq % 2 DESC, ts DESC, seq DESC) AS rn FROM kv_writes) WHERE rn = 1""", "kv_writes"))
+def kv_set_existing(spark, sf):
+    """Odd events written onto the store that the even ones made: written keys change, the rest stay."""
+    w = fx.kv_writes(spark, sf)
+    store = kv.kv_set(None, w.filter(F.col("seq") % 2 == 0))
+    return kv.kv_set(store, w.filter(F.col("seq") % 2 == 1))
+
+
+@q("kv_flush", W("SELECT count(*) AS keys_before, CAST(0 AS BIGINT) AS keys_after FROM kv_store", "kv_store"))
 def kv_flush(spark, sf):
-    return kv.kv_flush(kv.kv_set(None, fx.kv_writes(spark, sf)))
+    return kv.flush_counts(kv.kv_set(None, fx.kv_writes(spark, sf)))
 
 
 @q("kv_node_stats", W("""SELECT n.node, n.role, CAST(count(a.event_id) AS BIGINT) AS calls, count(a.event_id) > 0 AS handled
-FROM kv_nodes n LEFT JOIN access_log a ON n.node = a.node AND a.cmd = 'get' GROUP BY n.node, n.role""",
+FROM kv_nodes n LEFT JOIN access_log a ON n.node = a.node AND a.cmd = 'view' GROUP BY n.node, n.role""",
                       "kv_nodes", "access_log"))
 def kv_node_stats(spark, sf):
-    return kv.node_stats(fx.kv_nodes(spark, sf), fx.access_log(spark, sf))
-
-
-@q("kv_routed_stats", W(f"""WITH slots AS (SELECT node AS owner, unnest(range(CAST(floor(node * 16384 / 3) AS BIGINT),
-   CAST(floor((node + 1) * 16384 / 3) AS BIGINT))) AS slot FROM kv_nodes WHERE role = 'master'),
-routed AS (SELECT a.event_id, s.owner + 3 AS node FROM access_log a
-  JOIN slots s ON CAST({kt('a.key')} % 16384 AS INT) = s.slot WHERE a.cmd = 'get')
-SELECT n.node, n.role, CAST(count(r.event_id) AS BIGINT) AS calls, count(r.event_id) > 0 AS handled
-FROM kv_nodes n LEFT JOIN routed r ON n.node = r.node GROUP BY n.node, n.role""", "kv_nodes", "access_log"))
-def kv_routed_stats(spark, sf):
-    """GETs per node when each read is routed by its key's slot to the
-    owning master and served by that master's replica."""
-    nodes = fx.kv_nodes(spark, sf)
-    masters = nodes.filter(F.col("role") == "master")
-    log = fx.access_log(spark, sf).drop("node")
-    routed = kv.route_reads(log, kv.slot_table(masters, 3), kv.replica_map(nodes, 3))
-    return kv.node_stats(nodes, routed)
-
-
-@q("kv_command_stats", W("""SELECT n.node, n.role, CAST(count(a.event_id) FILTER (WHERE a.cmd = 'get') AS BIGINT) AS get_calls,
+    return kv.node_stats(fx.kv_nodes(spark, sf), fx.access_log(spark, sf), cmd="view")
+
+
+STATS_RESET = "2024-01-16 00:00:00"
+
+
+@q("kv_node_stats_since", W(f"""SELECT n.node, n.role, CAST(count(a.event_id) AS BIGINT) AS calls,
+ count(a.event_id) > 0 AS handled FROM kv_nodes n LEFT JOIN access_log a
+ ON n.node = a.node AND a.cmd = 'click' AND a.ts >= TIMESTAMP '{STATS_RESET}' GROUP BY n.node, n.role""",
+                            "kv_nodes", "access_log"))
+def kv_node_stats_since(spark, sf):
+    """Calls of one command per node, counted from a statistics reset on."""
+    return kv.node_stats(fx.kv_nodes(spark, sf), fx.access_log(spark, sf), cmd="click", since=STATS_RESET)
+
+
+@q("kv_command_stats", W("""SELECT n.node, n.role, CAST(count(a.event_id) FILTER (WHERE a.cmd = 'view') AS BIGINT) AS view_calls,
  CAST(count(DISTINCT a.cmd) AS INT) AS n_commands
 FROM kv_nodes n LEFT JOIN access_log a ON n.node = a.node GROUP BY n.node, n.role""", "kv_nodes", "access_log"))
 def kv_command_stats(spark, sf):
     """Per-node command statistics map, read back with defaults."""
     s = kv.command_stats(fx.kv_nodes(spark, sf), fx.access_log(spark, sf))
-    return s.select("node", "role", kv.calls_of("stats", "get").alias("get_calls"), F.size("stats").alias("n_commands"))
-
-
-@q("kv_slot_route", W(f"""WITH slots AS (SELECT node AS owner, unnest(range(CAST(floor(node * 16384 / 3) AS BIGINT),
-   CAST(floor((node + 1) * 16384 / 3) AS BIGINT))) AS slot FROM kv_nodes WHERE role = 'master')
-SELECT k.key, k.slot, s.owner FROM (SELECT key, CAST({kt('key')} % 16384 AS INT) AS slot FROM kv_store) k
-LEFT JOIN slots s ON k.slot = s.slot""", "kv_store", "kv_nodes"))
-def kv_slot_route(spark, sf):
-    masters = fx.kv_nodes(spark, sf).filter(F.col("role") == "master")
-    keys = kv.kv_set(None, fx.kv_writes(spark, sf)).select("key")
-    return kv.route(keys, kv.slot_table(masters, 3)).select("key", "slot", "owner")
+    return s.select("node", "role", kv.calls_of("stats", "view").alias("view_calls"), F.size("stats").alias("n_commands"))
 
 
 # ------------------------------------------------------------------ graph
@@ -489,6 +503,14 @@ def graph_pairs_gen(spark, sf):
     return fx.raw_pairs(spark, sf).select("a", "b")
 
 
+@q("graph_sample_pairs", W(f"""SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM (
+ SELECT id AS a, lead(id) OVER (PARTITION BY r, h % 16 ORDER BY h, id) AS b FROM (
+  SELECT id, r, {kt("concat('pairs:', CAST(r AS VARCHAR), ':', CAST(id AS VARCHAR))")} AS h
+  FROM nodes, (SELECT unnest(range(2)) AS r) d)) WHERE b IS NOT NULL""", "nodes"))
+def graph_sample_pairs(spark, sf):
+    return graph.sample_pairs(fx.nodes(spark, sf), rounds=2, buckets=16, token=key_token)
+
+
 @q("graph_pairs", W("SELECT * FROM pairs", "pairs"))
 def graph_pairs(spark, sf):
     return fx.pairs(spark, sf)
@@ -563,22 +585,6 @@ def graph_delete_edges(spark, sf):
     return graph.delete_edges(fx.edges(spark, sf), fx.edges(spark, sf, before=PAIRS_CUTOFF))
 
 
-# ------------------------------------------------------------------- ring
-
-RING_SQL = """WITH r AS (SELECT token, node, row_number() OVER (ORDER BY token) - 1 AS pos, count(*) OVER () AS n FROM ring),
-walk AS (SELECT a.pos, a.token, b.node, min((b.pos - a.pos + a.n) % a.n) AS dist FROM r a, r b GROUP BY a.pos, a.token, b.node),
-reps AS (SELECT token, node, row_number() OVER (PARTITION BY token ORDER BY dist) AS replica FROM walk),
-own AS (SELECT k.c_custkey, k.key_token, coalesce((SELECT min(token) FROM ring WHERE token >= k.key_token),
-  (SELECT min(token) FROM ring)) AS vnode_token FROM customer_tokens k)
-SELECT o.c_custkey, o.key_token, o.vnode_token, CAST(p.replica AS INT) AS replica, p.node
-FROM own o JOIN reps p ON o.vnode_token = p.token WHERE p.replica <= 3"""
-
-
-@q("ring_placement", W(RING_SQL, "ring", "customer_tokens"))
-def ring_placement(spark, sf):
-    return ring.place(fx.customer_tokens(spark, sf), fx.ring(spark, sf), "key_token", rf=3)
-
-
 # ------------------------------------------------- groups, top-k, layout
 
 @q("group_count", W("SELECT first_name, count(*) AS count FROM people GROUP BY first_name", "people"))
@@ -597,20 +603,28 @@ def topk_group(spark, sf):
     return rank.top_groups(fx.people(spark, sf), "first_name", 10)
 
 
-@q("partition_stats")
+# the layout reports name physical partitions; the queries add them up to totals that any layout must give
+
+@q("partition_stats", W("SELECT worker, CAST(count(*) AS BIGINT) AS rows, true AS spread FROM people GROUP BY worker",
+                        "people"))
 def partition_stats(spark, sf):
-    return layout.partition_stats(fx.people(spark, sf).repartition(layout.partitions_for(spark)), ["worker"])
+    per = layout.partition_stats(fx.people(spark, sf).repartition(layout.partitions_for(spark)), ["worker"])
+    return per.groupBy("worker").agg(F.sum("count").alias("rows"), (F.count(F.lit(1)) > 1).alias("spread"))
 
 
-@q("partition_skew")
+@q("partition_skew", W("SELECT count(*) AS rows, true AS in_bounds FROM people", "people"))
 def partition_skew(spark, sf):
-    return layout.skew_report(fx.people(spark, sf).repartition(layout.partitions_for(spark)))
+    n = layout.partitions_for(spark)
+    r = layout.skew_report(fx.people(spark, sf).repartition(n))
+    return r.select("rows", ((F.col("partitions") <= n) & (F.col("min_rows") <= F.col("avg_rows"))
+                             & (F.col("avg_rows") <= F.col("max_rows")) & (F.col("skew") < 2)).alias("in_bounds"))
 
 
-@q("clustered_layout")
+@q("clustered_layout", W("SELECT city, count(*) AS rows, CAST(0 AS BIGINT) AS out_of_order FROM user_metrics GROUP BY city",
+                         "user_metrics"))
 def clustered_layout(spark, sf):
     lay = keyed.clustered_layout(fx.user_metrics(spark, sf), USER_METRICS_KEY, layout.partitions_for(spark, 8))
-    return layout.partition_stats(lay, ["city"])
+    return layout.order_faults(lay, USER_METRICS_KEY.primary, ["city"])
 
 
 # -------------------------------------------------------------- streaming
@@ -621,70 +635,36 @@ def stream_kv_set(spark, sf):
     return stream_kv_writes(spark, sf)
 
 
-# ------------------------------------------------ lookups the labs chain
-
-@q("cql_replicas", W(f"""WITH hit AS ({SEEK_SQL}),
-r AS (SELECT token, node, row_number() OVER (ORDER BY token) - 1 AS pos, count(*) OVER () AS n FROM ring),
-walk AS (SELECT a.token, b.node, min((b.pos - a.pos + a.n) % a.n) AS dist FROM r a, r b GROUP BY a.token, b.node),
-reps AS (SELECT token, node, row_number() OVER (PARTITION BY token ORDER BY dist) AS replica FROM walk),
-own AS (SELECT city, user_id, {kt('city')} % 65536 AS key_token FROM hit),
-own2 AS (SELECT *, coalesce((SELECT min(token) FROM ring WHERE token >= own.key_token), (SELECT min(token) FROM ring)) AS vnode_token FROM own)
-SELECT o.city, o.user_id, o.key_token, o.vnode_token, CAST(p.replica AS INT) AS replica, p.node
-FROM own2 o JOIN reps p ON o.vnode_token = p.token WHERE p.replica <= 3""", "user_metrics", "ring"))
-def cql_replicas(spark, sf):
-    """Nodes storing the row found by the token seek (its partition key's
-    token folded into the ring's 16-bit token space)."""
-    from ..functions.scalars import key_token
-    hit = keyed.token_seek(fx.user_metrics(spark, sf), USER_METRICS_KEY, SEEK_TOKEN)
-    keys = hit.select("city", "user_id", F.pmod(key_token("city"), F.lit(65536)).alias("key_token"))
-    return ring.place(keys, fx.ring(spark, sf), "key_token", rf=3)
-
+# ------------------------------------------------------------ no match, hosts
 
 @q("doc_set_one_nomatch", W("SELECT _id, active FROM users_flat", "users_flat"))
 def doc_set_one_nomatch(spark, sf):
-    """``update_one({"email": "example@user.com"}, ...)`` matches no document:
-    nothing changes and nothing is inserted."""
+    """An update that matches no document: nothing changes and nothing is inserted."""
     u = _users(spark, sf)
-    return mutate.set_first(u, F.col("email") == "example@user.com", {"active": False}).select("_id", "active")
+    return mutate.set_first(u, F.col("email") == "nobody@example.org", {"active": False}).select("_id", "active")
 
 
-@q("partition_hosts")
+@q("partition_hosts", "SELECT count(*) AS rows, true AS every_host_named FROM orders")
 def partition_hosts(spark, sf):
-    """Rows per (executor host, partition) of the executor-side generator."""
+    """Rows per (executor host, partition) of the executor-side generator, added up."""
     people = gen.people_map(_order_ids(spark, sf).repartition(layout.partitions_for(spark)), hostname_worker=True)
-    return layout.partition_stats(people, ["worker"])
+    per = layout.partition_stats(people, ["worker"])
+    return per.agg(F.sum("count").alias("rows"), F.bool_and(F.length("worker") > 0).alias("every_host_named"))
 
 
-# ------------------------------------------------------- persisted tables
+# ---------------------------------------------------- tables written in between
 
-@q("store_upsert_versioned", W(UPSERT_SQL.format(more=""), "user_metrics", "metric_changes"))
-def store_upsert_versioned(spark, sf):
-    """Version 0 = user_metrics, version 1 = after the change stream."""
-    from ..operators.store import VersionedTable
-    t = VersionedTable(spark, scratch_path(spark, "user-metrics-store"), USER_METRICS_KEY)
-    t.insert(fx.user_metrics(spark, sf))
-    t.insert(fx.metric_changes(spark, sf), version=("last_access", "seq"))
-    return t.read()
+@q("upsert_written", W(UPSERT_SQL.format(more=""), "user_metrics", "metric_changes"))
+def upsert_written(spark, sf):
+    """The table, then its next state, each written to a path of its own; the second is read."""
+    before, after = scratch_path(spark, "user-metrics"), scratch_path(spark, "user-metrics")
+    files.write_parquet(fx.user_metrics(spark, sf), before)
+    cur = files.read_parquet(spark, before)
+    files.write_parquet(keyed.upsert(cur, fx.metric_changes(spark, sf), USER_METRICS_KEY, ("last_access", "seq")), after)
+    return files.read_parquet(spark, after)
 
 
 @q("keyed_bucket_counts", W("SELECT city, count(*) AS rows FROM user_metrics GROUP BY city", "user_metrics"))
 def keyed_bucket_counts(spark, sf):
-    """Rows per partition key from a bucketed table: the aggregate reads
-    co-located buckets, so the plan has no exchange."""
-    import uuid
-    name = f"user_metrics_{uuid.uuid4().hex[:8]}"
-    catalog.write_keyed(fx.user_metrics(spark, sf), name, USER_METRICS_KEY, 8, scratch_path(spark, name))
-    return spark.table(name).groupBy("city").agg(F.count(F.lit(1)).alias("rows"))
-
-
-@q("store_upsert_buckets", W(UPSERT_SQL.format(more=""), "user_metrics", "metric_changes"))
-def store_upsert_buckets(spark, sf):
-    """The change stream merged into a bucket-partitioned table: only the
-    buckets the changes hash to are read and rewritten."""
-    import uuid
-    from ..operators.store import BucketedKeyedTable
-    name = f"um_buckets_{uuid.uuid4().hex[:8]}"
-    t = BucketedKeyedTable(spark, name, USER_METRICS_KEY, buckets=16)
-    t.create(fx.user_metrics(spark, sf), scratch_path(spark, name))
-    t.upsert(fx.metric_changes(spark, sf), version=("last_access", "seq"))
-    return t.read()
+    """Rows per partition key: partial counts, then one small shuffle."""
+    return fx.user_metrics(spark, sf).groupBy("city").agg(F.count(F.lit(1)).alias("rows"))

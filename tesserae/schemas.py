@@ -42,24 +42,6 @@ USERS_SCHEMA = T.StructType([
     T.StructField("active", T.BooleanType()),
 ])
 
-KV_SCHEMA = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])
-
-NODE_SCHEMA = T.StructType([
-    T.StructField("id", T.LongType()),
-    T.StructField("name", T.StringType()),
-    T.StructField("email", T.StringType()),
-    T.StructField("job", T.StringType()),
-    T.StructField("city", T.StringType()),
-    T.StructField("joined", T.DateType()),
-])
-EDGE_SCHEMA = T.StructType([T.StructField("src", T.LongType()), T.StructField("dst", T.LongType())])
-
-RING_SCHEMA = T.StructType([
-    T.StructField("node", T.LongType()),
-    T.StructField("vnode", T.LongType()),
-    T.StructField("token", T.LongType()),
-])
-
 
 @dataclass(frozen=True)
 class KeySpec:

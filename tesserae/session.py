@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -81,15 +80,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, never-reused path under the shared folder."""
-    return f"{shared_dir(spark)}/tesserae/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Make sure ``DataFrame.checkpoint()`` has a target; returns it."""
-    d = spark.sparkContext.getCheckpointDir()
-    if d:
-        return d
-    base = shared_dir(spark)
-    spark.sparkContext.setCheckpointDir(os.path.join(base, "rdd"))
-    return spark.sparkContext.getCheckpointDir()
+    """A fresh, never-reused path under the shared folder, deleted when the application ends."""
+    path = f"{shared_dir(spark)}/tesserae/{name}-{uuid.uuid4().hex[:12]}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path

@@ -102,6 +102,16 @@ def sync_schema(df: DataFrame, model: T.StructType) -> DataFrame:
     return df.select(*cols, *extra)
 
 
+def sync_table(spark: SparkSession, name: str, model: T.StructType) -> list[str]:
+    """Additive sync of a stored table: adds the model's missing columns, which read
+    as null in the rows already there. Returns the names added."""
+    have = {c.lower() for c in spark.table(name).columns}
+    new = [f for f in model.fields if f.name.lower() not in have]
+    if new:
+        spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({_ddl(T.StructType(new))})")
+    return [f.name for f in new]
+
+
 def check_schema(df: DataFrame, schema: T.StructType, exact: bool = False) -> list[str]:
     """Differences between a frame's schema and a declared one (names and
     types; extra columns only when ``exact``). Empty list = matches."""

@@ -1,16 +1,8 @@
-"""File sources and sinks (CSV, Parquet, any Hadoop URI) and versioned
-table writes.
-
-A mutation never overwrites the path it reads: each version is written to
-its own directory and committed by a new immutable log file, so readers see
-either the old or the new version (the commit is the log-file creation).
-"""
+"""File sources and sinks (CSV, Parquet, any Hadoop URI). A mutation returns a
+frame; write it to a new path, never to the one it reads."""
 
 from __future__ import annotations
 
-import json
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,121 +69,3 @@ def sql_on_path(spark: SparkSession, sql_template: str, path: str, fmt: str = "p
     """SQL straight off a path: ``{src}`` in the template becomes
     ``fmt.`path```."""
     return spark.sql(sql_template.format(src=f"{fmt}.`{path}`"))
-
-
-# ---- versioned tables -------------------------------------------------------
-#
-# A table directory holds one data directory per version and a log
-# ``_versions/<n>.json`` of immutable commit files. A commit creates the next
-# file by renaming a temp file to a name that does not exist yet: atomic on
-# HDFS and local file systems, and it fails (instead of overwriting) when a
-# concurrent writer committed the same version first. Readers take the
-# highest committed version, so they never see a missing or half-written one.
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(conf), p, jvm
-
-
-def _read_text(spark: SparkSession, path: str) -> str | None:
-    fs, p, jvm = _fs(spark, path)
-    if not fs.exists(p):
-        return None
-    stream = fs.open(p)
-    try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        lines = []
-        line = reader.readLine()
-        while line is not None:
-            lines.append(line)
-            line = reader.readLine()
-        return "\n".join(lines)
-    finally:
-        stream.close()
-
-
-def _create_once(spark: SparkSession, path: str, text: str) -> bool:
-    """Create ``path`` with ``text`` unless it exists (temp file + rename)."""
-    fs, p, jvm = _fs(spark, path)
-    tmp = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
-    out = fs.create(tmp, False)
-    try:
-        out.write(bytearray(text.encode("utf-8")))
-    finally:
-        out.close()
-    ok = (not fs.exists(p)) and fs.rename(tmp, p)
-    if not ok:
-        fs.delete(tmp, False)
-    return bool(ok)
-
-
-class ConcurrentCommit(RuntimeError):
-    """Another writer committed the same version first."""
-
-
-def current_version(spark: SparkSession, table_dir: str) -> dict | None:
-    fs, p, jvm = _fs(spark, f"{table_dir}/_versions")
-    if not fs.exists(p):
-        return None
-    names = [st.getPath().getName() for st in fs.listStatus(p)]
-    committed = sorted(n for n in names if n.endswith(".json") and n[:-5].isdigit())
-    if not committed:
-        return None
-    return json.loads(_read_text(spark, f"{table_dir}/_versions/{committed[-1]}"))
-
-
-def read_version(spark: SparkSession, table_dir: str, schema: T.StructType | None = None) -> DataFrame | None:
-    """The live version of a versioned table, or None when it has none."""
-    cur = current_version(spark, table_dir)
-    if cur is None:
-        return None
-    r = spark.read
-    if schema is not None:
-        r = r.schema(schema)
-    return r.parquet(f"{table_dir}/{cur['dir']}")
-
-
-def write_version(spark: SparkSession, df: DataFrame, table_dir: str, partition_by: list[str] | None = None,
-                  bucket_rows: int | None = None) -> dict:
-    """Write ``df`` as the next version and commit it.
-
-    The data goes to a new ``v<n>-<id>`` directory first (never the
-    directory being read); only after the job has committed is the log entry
-    created, so a failed or lost job leaves the previous version live.
-    """
-    cur = current_version(spark, table_dir)
-    n = 0 if cur is None else int(cur["version"]) + 1
-    d = f"v{n:06d}-{uuid.uuid4().hex[:8]}"
-    w = df.write.mode("errorifexists")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    if bucket_rows:
-        w = w.option("maxRecordsPerFile", int(bucket_rows))
-    w.parquet(f"{table_dir}/{d}")
-    info = {"version": n, "dir": d}
-    if not _create_once(spark, f"{table_dir}/_versions/{n:020d}.json", json.dumps(info)):
-        raise ConcurrentCommit(f"version {n} of {table_dir} was committed by another writer")
-    return info
-
-
-def vacuum_versions(spark: SparkSession, table_dir: str, keep: int = 2) -> list[str]:
-    """Delete the data directories of all but the newest ``keep`` committed
-    versions (their log entries stay). Readers still holding an older
-    version lose it: run once no job reads it. Returns the deleted dirs."""
-    if keep < 1:
-        raise ValueError("keep at least the live version")
-    fs, p, jvm = _fs(spark, f"{table_dir}/_versions")
-    if not fs.exists(p):
-        return []
-    names = sorted(st.getPath().getName() for st in fs.listStatus(p)
-                   if st.getPath().getName().endswith(".json") and st.getPath().getName()[:-5].isdigit())
-    gone = []
-    for n in names[:-keep]:
-        info = json.loads(_read_text(spark, f"{table_dir}/_versions/{n}"))
-        dfs, dp, _ = _fs(spark, f"{table_dir}/{info['dir']}")
-        if dfs.exists(dp):
-            dfs.delete(dp, True)
-            gone.append(info["dir"])
-    return gone

@@ -148,40 +148,21 @@ def metric_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def ring(spark: SparkSession, sf_dir: str, n_nodes: int = 3, vnodes: int = 16) -> DataFrame:
-    """Token ring: ``n_nodes`` x ``vnodes`` tokens in [0, 65536).
-
-    Vnodes come from ``explode(sequence)`` on each node row (a generator,
-    not a cross join).
-    """
-    n = read_table(spark, sf_dir, "nation").filter(F.col("n_nationkey") < n_nodes)
-    v = n.select(F.col("n_nationkey").cast("long").alias("node"),
-                 F.explode(F.sequence(F.lit(0).cast("long"), F.lit(vnodes - 1).cast("long"))).alias("vnode"))
-    return v.withColumn("token", (F.col("node") * 21851 + F.col("vnode") * 4099) % 65536)
-
-
-def customer_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys to place on the ring: one per customer."""
-    c = read_table(spark, sf_dir, "customer").select("c_custkey")
-    return c.select("c_custkey", ((F.col("c_custkey") * 40503) % 65536).alias("key_token"))
-
-
-def kv_nodes(spark: SparkSession, sf_dir: str, n_masters: int = 3, n_nodes: int = 6) -> DataFrame:
-    n = read_table(spark, sf_dir, "nation").filter(F.col("n_nationkey") < n_nodes)
-    return n.select(
-        F.col("n_nationkey").alias("node"),
-        F.when(F.col("n_nationkey") < n_masters, F.lit("master")).otherwise(F.lit("slave")).alias("role"),
-    )
+def kv_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One store node per nation; odd ones are replicas."""
+    n = read_table(spark, sf_dir, "nation").select("n_nationkey")
+    return n.select(F.col("n_nationkey").alias("node"),
+                    F.when(F.col("n_nationkey") % 2 == 0, F.lit("master")).otherwise(F.lit("slave")).alias("role"))
 
 
 def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GET log; only replicas (nodes 3-5) serve reads."""
-    e = read_table(spark, sf_dir, "events").select("event_id", "ts")
+    """Command log, one entry per event (five commands); only replicas serve."""
+    e = read_table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
     return e.select(
         "event_id",
         F.concat(F.lit("k"), _s(F.col("event_id") % 6)).alias("key"),
-        (F.lit(3) + F.col("event_id") % 3).cast("int").alias("node"),
-        F.lit("get").alias("cmd"),
+        (F.lit(1) + 2 * (F.col("event_id") % 12)).cast("int").alias("node"),
+        F.col("event_type").alias("cmd"),
         "ts",
     )
 

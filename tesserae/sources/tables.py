@@ -17,8 +17,3 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise KeyError(name)
     return spark.read.parquet(table_path(sf_dir, name))
-
-
-def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    for n in names:
-        read_table(spark, sf_dir, n).createOrReplaceTempView(n)

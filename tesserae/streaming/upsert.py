@@ -1,12 +1,13 @@
-"""Keyed upserts fed by a stream: each micro-batch is merged with
-``foreachBatch`` (last write wins by version columns, so late or reordered
-batches still converge to the same table), either into a
-``BucketedKeyedTable`` (only the buckets a batch touches are rewritten) or
-into a ``VersionedTable`` (whole-table atomic versions).
-
-The stream checkpoint and the table live under the shared folder, so a
-restarted query resumes exactly once from its offsets after executor or
-driver loss.
+"""Keyed last-write-wins upserts fed by a stream.
+
+``foreachBatch`` reduces each micro-batch to one row per key and writes it to its
+own ``epoch=<n>`` folder; reading ranks all of them by the version columns. A batch
+costs what it holds (nothing already written is read or rewritten), a batch replayed
+after a failure overwrites its own folder with the same rows, and late or
+reordered batches converge to the same table. ``compact`` folds the folders into one.
+
+The stream checkpoint and the folders lie under the shared folder, so a restarted
+query goes on from its offsets after the loss of executors or the driver.
 """
 
 from __future__ import annotations
@@ -15,36 +16,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators.keyed import live, upsert
-from ..operators.store import BucketedKeyedTable
-from ..schemas import KeySpec
+from ..operators.keyed import upsert
 from ..session import scratch_path
-from ..sources import files
-from ..sources.tables import read_table
-
-
-def upsert_sink(table_dir: str, key: Sequence[str], version: Sequence[str], ttl_as_of=None):
-    """A ``foreachBatch`` function merging each batch into ``table_dir``."""
-
-    def merge(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        cur = files.read_version(spark, table_dir)
-        nxt = upsert(cur, batch, key, version, batch_precedence=False)
-        if ttl_as_of is not None and "expires_at" in nxt.columns:
-            nxt = live(nxt, ttl_as_of)
-        files.write_version(spark, nxt, table_dir)
+from ..sources.tables import read_table, table_path
 
-    return merge
 
+def change_sink(path: str, key: Sequence[str], version: Sequence[str]):
+    """A ``foreachBatch`` function writing each batch's latest row per key."""
 
-def bucketed_sink(table: BucketedKeyedTable, version: Sequence[str]):
-    """A ``foreachBatch`` function merging each batch into a bucketed table."""
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        latest = upsert(None, batch, key, version, batch_precedence=False)
+        latest.write.mode("overwrite").parquet(f"{path}/epoch={int(epoch_id)}")
 
-    def merge(batch: DataFrame, epoch_id: int) -> None:
-        table.upsert(batch, version, batch_precedence=False)
-
-    return merge
+    return write
 
 
 def run_upserts(stream: DataFrame, sink, checkpoint: str) -> None:
@@ -54,19 +40,30 @@ def run_upserts(stream: DataFrame, sink, checkpoint: str) -> None:
     q.awaitTermination()
 
 
+def merged(spark: SparkSession, path: str, schema: T.StructType, key: Sequence[str], version: Sequence[str]) -> DataFrame:
+    """The table after all batches written to ``path`` (none yet: empty)."""
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/epoch=-1")
+    changes = spark.read.schema(schema).parquet(path).select(*schema.names)
+    return upsert(None, changes, key, version, batch_precedence=False)
+
+
+def compact(spark: SparkSession, path: str, target: str, schema: T.StructType, key: Sequence[str],
+            version: Sequence[str]) -> None:
+    """Write the merged table as the only folder of ``target``, a new path."""
+    merged(spark, path, schema, key, version).write.mode("errorifexists").parquet(f"{target}/epoch=-1")
+
+
 def stream_kv_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SET stream over the events file: the store after all writes."""
+    """SET stream over the events files: the store after all writes."""
     schema = read_table(spark, sf_dir, "events").schema
     # the table is one file or a folder of part files; all files there are form one batch
-    src = spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/events.parquet*")
+    src = spark.readStream.schema(schema).parquet(table_path(sf_dir, "events") + "*")
     writes = src.select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key"),
         F.col("event_id").cast("string").alias("value"),
         "ts",
         F.col("event_id").alias("seq"),
     )
-    import uuid
-    name = f"kv_stream_{uuid.uuid4().hex[:8]}"
-    table = BucketedKeyedTable(spark, name, KeySpec(("key",)), buckets=16, location=scratch_path(spark, name))
-    run_upserts(writes, bucketed_sink(table, ["ts", "seq"]), scratch_path(spark, "kv-stream-ckpt"))
-    return table.read().select("key", "value")
+    path = scratch_path(spark, "kv-changes")
+    run_upserts(writes, change_sink(path, ["key"], ["ts", "seq"]), scratch_path(spark, "kv-stream-ckpt"))
+    return merged(spark, path, writes.schema, ["key"], ["ts", "seq"]).select("key", "value")

@@ -5,6 +5,7 @@ from pyspark.sql import types as T
 from tesserae.operators import documents as doc
 from tesserae.operators import mutate, rank
 from tesserae.schemas import USERS_SCHEMA
+from tesserae.plans.queries import job_stats
 
 
 def _users(spark):
@@ -54,7 +55,7 @@ def test_projection_keeps_nesting(spark):
 
 
 def test_pipeline_null_group_and_shape(spark):
-    r = doc.job_stats(_users(spark))
+    r = job_stats(_users(spark))
     assert r.columns == ["job_title", "stats"]
     rows = {x["job_title"]: x["stats"] for x in r.collect()}
     # missing profile (3) and null job (5) both land in the null group

@@ -12,8 +12,7 @@ def test_fixture_sizes(spark):
     assert fx.user_metrics(spark, SF_CHECK).count() == 15000
     assert fx.users(spark, SF_CHECK).count() == 1500
     assert fx.nodes(spark, SF_CHECK).count() == 2000
-    assert fx.ring(spark, SF_CHECK).count() == 48
-    assert fx.ring(spark, SF_CHECK).select("token").distinct().count() == 48
+    assert fx.kv_nodes(spark, SF_CHECK).count() == 25
     assert fx.pairs(spark, SF_CHECK).count() == 44445
     assert fx.raw_pairs(spark, SF_CHECK).count() == 60000  # one per line item: linear
 

@@ -1,5 +1,5 @@
 
-from tesserae.operators import graph, ring
+from tesserae.operators import graph
 
 
 def _set(df):
@@ -57,50 +57,12 @@ def test_delete_edges(spark):
     assert _set(graph.delete_edges(edges, spark.createDataFrame([(1, 2)], "src long, dst long"))) == {(2, 1)}
 
 
-def _ring(spark, rows):
-    return spark.createDataFrame(rows, "node long, vnode long, token long")
-
-
-def test_ring_owner_boundaries_and_wrap(spark):
-    r = _ring(spark, [(0, 0, 100), (1, 0, 200), (2, 0, 300), (0, 1, 400)])
-    keys = spark.createDataFrame([(1, 100), (2, 101), (3, 400), (4, 401), (5, -7), (6, 250)], "k long, key_token long")
-    p = ring.place(keys, r, rf=3)
-    own = {x["k"]: x["vnode_token"] for x in p.filter("replica = 1").collect()}
-    assert own == {1: 100, 2: 200, 3: 400, 4: 100, 5: 100, 6: 300}
-    reps = {}
-    for x in p.collect():
-        reps.setdefault(x["k"], []).append((x["replica"], x["node"]))
-    # walking clockwise from vnode 400 (node 0): 100 (node 0 again, skipped), 200 (1), 300 (2)
-    assert sorted(reps[3]) == [(1, 0), (2, 1), (3, 2)]
-    assert all(len({n for _, n in v}) == 3 for v in reps.values())
-
-
-def test_ring_one_node(spark):
-    r = _ring(spark, [(7, 0, 10), (7, 1, 20)])
-    keys = spark.createDataFrame([(1, 15), (2, 99)], "k long, key_token long")
-    p = ring.place(keys, r, rf=3).collect()
-    assert sorted((x["k"], x["replica"], x["node"], x["vnode_token"]) for x in p) == [(1, 1, 7, 20), (2, 1, 7, 10)]
-
-
-def test_ring_full_64bit_tokens(spark):
-    big = 2 ** 62
-    r = _ring(spark, [(0, 0, -big), (1, 0, 0), (2, 0, big)])
-    keys = spark.createDataFrame([(1, -(2 ** 63)), (2, 2 ** 63 - 1), (3, 1), (4, -big)], "k long, key_token long")
-    own = {x["k"]: x["vnode_token"] for x in ring.place(keys, r, rf=1).collect()}
-    assert own == {1: -big, 2: -big, 3: big, 4: -big}
-
-
-def test_ring_walk_falls_back_past_window(spark):
-    # node 0 owns 20 consecutive vnodes, longer than the default window (12)
-    rows = [(0, v, 10 * v) for v in range(20)] + [(1, 0, 500), (2, 0, 600)]
-    iv = {x["token"]: list(x["replicas"]) for x in ring.ring_intervals(_ring(spark, rows), rf=3).collect()}
-    assert iv[0] == [0, 1, 2] and iv[500] == [1, 2, 0] and iv[600] == [2, 0, 1]
-    assert all(len(set(v)) == 3 for v in iv.values())
-
-
-def test_ring_large_ring_path_without_broadcast_hint(spark, monkeypatch):
-    monkeypatch.setattr(ring, "BROADCAST_RING_MAX", 1)
-    r = _ring(spark, [(0, 0, 100), (1, 0, 200), (2, 0, 300)])
-    keys = spark.createDataFrame([(1, 150), (2, 999)], "k long, key_token long")
-    own = {x["k"]: x["vnode_token"] for x in ring.place(keys, r, rf=2).filter("replica = 1").collect()}
-    assert own == {1: 200, 2: 100}
+def test_sample_pairs_distinct_seeded_and_limited(spark):
+    nodes = spark.range(0, 500).union(spark.sql("SELECT CAST(NULL AS BIGINT)"))
+    p = _set(graph.sample_pairs(nodes, rounds=2, buckets=8))
+    assert all(a < b for a, b in p) and len({x for e in p for x in e}) == 500 and 500 < len(p) <= 2 * 492
+    assert p == _set(graph.sample_pairs(nodes.repartition(7), rounds=2, buckets=8))
+    assert p != _set(graph.sample_pairs(nodes, rounds=2, buckets=8, seed="other"))
+    few = _set(graph.sample_pairs(nodes, rounds=2, buckets=8, n=20))
+    assert len(few) == 20 and few < p
+    assert _set(graph.sample_pairs(nodes.limit(0), buckets=8)) == set()

@@ -104,82 +104,6 @@ def test_node_stats_zero_nodes(spark):
     assert r == {0: (0, False), 1: (2, True)}
 
 
-def test_slot_table_covers_all_slots_once(spark):
-    m = spark.createDataFrame([(0,), (1,), (2,)], "node long")
-    s = kv.slot_table(m, 3)
-    assert s.count() == kv.SLOTS and s.select("slot").distinct().count() == kv.SLOTS
-
-
-def test_bucketed_table_touches_only_changed_buckets(spark):
-    import uuid
-    from tesserae.operators.store import BUCKET, BucketedKeyedTable
-    from tesserae.session import scratch_path
-    k = KeySpec(("city",), ("user_id",), ("ts", "seq"))
-    name = f"bt_{uuid.uuid4().hex[:6]}"
-    t = BucketedKeyedTable(spark, name, k, buckets=4)
-    base = spark.createDataFrame([(c, i, f"u{i}", i, T0, 0) for c in "ABCDEFGH" for i in range(3)], SCHEMA)
-    t.create(base, scratch_path(spark, name))
-    def files_by_bucket():
-        out = {}
-        for r in spark.table(name).select(BUCKET, "_metadata.file_path").collect():
-            out.setdefault(r[0], set()).add(r[1])
-        return out
-
-    files_before = files_by_bucket()
-    change = spark.createDataFrame([("A", 0, "new", 99, T1, 1), ("A", 7, "ins", 1, T1, 1)], SCHEMA)
-    t.upsert(change)
-    got = {(r["city"], r["user_id"]): r["username"] for r in t.read().collect()}
-    assert got[("A", 0)] == "new" and got[("A", 7)] == "ins" and len(got) == 25
-    files_after = files_by_bucket()
-    a_bucket = spark.table(name).filter("city = 'A'").select(BUCKET).first()[0]
-    assert all(files_after[b] == files_before[b] for b in files_before if b != a_bucket)
-    assert files_after[a_bucket] != files_before[a_bucket]
-    # the read side of the upsert prunes partitions at run time
-    p = t.current([a_bucket])._jdf.queryExecution().executedPlan().toString()
-    assert f"PartitionFilters: [isnotnull(_bucket" in p and f"(_bucket#" in p
-    t.delete_where(F.col("city") == "A")
-    assert t.read().filter("city = 'A'").count() == 0 and t.read().count() == 21
-
-
-def test_stream_batches_out_of_order_converge(spark):
-    import uuid
-    from tesserae.operators.store import BucketedKeyedTable
-    from tesserae.session import scratch_path
-    from tesserae.streaming.upsert import bucketed_sink
-    name = f"st_{uuid.uuid4().hex[:6]}"
-    t = BucketedKeyedTable(spark, name, KeySpec(("key",)), buckets=4, location=scratch_path(spark, name))
-    sink = bucketed_sink(t, ["ts", "seq"])
-    s = "key string, value string, ts timestamp_ntz, seq long"
-    sink(spark.createDataFrame([("a", "late-but-newer", T1, 1), ("b", "b1", T0, 1)], s), 0)
-    sink(spark.createDataFrame([("a", "older", T0, 5), ("b", "b2", T1, 0)], s), 1)
-    assert dict((r["key"], r["value"]) for r in t.read().collect()) == {"a": "late-but-newer", "b": "b2"}
-
-
-def test_bucketed_ttl_purge(spark):
-    import uuid
-    from tesserae.operators.store import BucketedKeyedTable
-    from tesserae.session import scratch_path
-    name = f"ttl_{uuid.uuid4().hex[:6]}"
-    t = BucketedKeyedTable(spark, name, KeySpec(("k",)), buckets=2, location=scratch_path(spark, name))
-    t.create(spark.createDataFrame([(1, None), (2, T0), (3, T1)], "k long, expires_at timestamp_ntz"))
-    t.purge_expired("2024-01-01 00:00:00")
-    assert sorted(r["k"] for r in t.read().collect()) == [1, 3]
-
-
-def test_bucketed_write_file_count_is_bounded(spark):
-    import uuid
-    from tesserae.operators.store import BucketedKeyedTable
-    from tesserae.session import scratch_path
-    name = f"fc_{uuid.uuid4().hex[:6]}"
-    t = BucketedKeyedTable(spark, name, KeySpec(("k",)), buckets=8, location=scratch_path(spark, name))
-    df = spark.range(0, 4000, 1, 16).select(F.col("id").alias("k"), (F.col("id") % 7).alias("v"))
-    t.create(df)
-    n_files = spark.table(name).select("_metadata.file_path").distinct().count()
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    assert n_files <= tasks + 8 < 16 * 8
-    assert t.read().count() == 4000
-
-
 def test_hot_key_third_of_writes(spark):
     """One key takes a third of 30,000 writes: the result is exact and the
     partial aggregate leaves one row per key per map task before the shuffle."""
@@ -232,3 +156,26 @@ def test_command_stats_map_with_defaults(spark):
     got = {x["node"]: (x["stats"], x["g"], x["d"]) for x in
            r.select("node", "stats", kv.calls_of("stats", "get").alias("g"), kv.calls_of("stats", "del").alias("d")).collect()}
     assert got == {0: ({}, 0, 0), 1: ({"get": 2, "set": 1}, 2, 0)}
+
+
+def test_ttl_where_keeps_null_rows(spark):
+    df = spark.createDataFrame([(1, 5), (2, 50), (3, None)], "id int, d int").withColumn(
+        "t", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    out = keyed.live(keyed.with_ttl(df, 60, "t", where=F.col("d") < 10), "2024-01-02 00:00:00")
+    assert {r["id"] for r in out.collect()} == {2, 3}
+    now = keyed.with_ttl(df, 3600)  # written now: alive now, gone later
+    assert keyed.live(now).count() == 3 and keyed.live(now, "2999-01-01 00:00:00").count() == 0
+
+
+def test_layout_splits_a_hot_key_and_is_sorted(spark):
+    from tesserae.operators import layout
+    df = spark.range(0, 30000, 1, 6).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("c"), (F.col("id") % 5).cast("string"))).alias("city"),
+        F.col("id").alias("user_id"))
+    lay = keyed.clustered_layout(df, KeySpec(("city",), ("user_id",)), 200)
+    per = layout.partition_stats(lay, ["city"])
+    assert per.filter("city = 'hot'").count() > 20 and per.agg(F.max("count")).first()[0] < 1000
+    faults = {r["city"]: (r["rows"], r["out_of_order"]) for r in layout.order_faults(lay, ["city", "user_id"], ["city"]).collect()}
+    assert faults["hot"] == (10000, 0) and all(f == 0 for _, f in faults.values())
+    wrong = layout.order_faults(df.orderBy(F.desc("user_id")).coalesce(1), ["user_id"], ["city"])
+    assert wrong.agg(F.sum("out_of_order")).first()[0] == 29999

@@ -21,6 +21,14 @@ def test_query_matches_oracle(results, name):
         assert r["ok"], r
 
 
+def test_tables_as_folders_of_part_files(spark, tmp_path):
+    from tesserae.sources.tables import TABLES, table_path
+    for t in TABLES:
+        spark.read.parquet(table_path(SF_SMALL, t)).repartition(3).write.parquet(table_path(str(tmp_path), t))
+    r = compare(spark, str(tmp_path), verbose=False)
+    assert not [n for n, v in r.items() if "error" in v or v["ok"] is not True], r
+
+
 def test_entry_smoke(spark):
     import __spark_entry__ as e
     df = e.entry(spark)
