@@ -38,8 +38,10 @@ NOTES = """
 Reading the table: every `groupBy`/`distinct` is one shuffle with a partial
 aggregate below it; `orderBy` without a limit adds a range shuffle; joins
 with a small side are broadcast by AQE's measured size (explicit
-`broadcast()` only on one-row picks, the 16,384-row slot table and rings of at
-most 2^15 vnodes). `SortAggregate` marks `max_by`/`min_by` over structs
+`broadcast()` only on one-row picks). Queries that write files first
+(`*_roundtrip*`, `upsert_written`, `stream_kv_set`) show the plan of the final
+read only; the written frames are those of `schema_of_people`, `upsert_lww` and
+`kv_set`. `SortAggregate` marks `max_by`/`min_by` over structs
 (last-write-wins), which still aggregates partially before its shuffle.
 `python` = yes only for the pandas generator variants kept for the
 partition-function API. At sf0.1 every input file is one Parquet row group,
