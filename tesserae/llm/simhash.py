@@ -155,11 +155,11 @@ def keep_one(docs: DataFrame, distance: int = 3, k: int = 3, seed: int = 42, doc
              text: str = "text") -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest id (null
     ids last), then the smallest hash of its text; of repeated rows one stays.
-    The documents are shuffled once, by a hash of id and text, which has no hot keys."""
+    The documents are shuffled once, by id and text, which have no hot values."""
     first = F.min(F.struct(id_order("doc_id").alias("i"), "th")).alias("first")
     chosen = _classed(docs, distance, k, seed, doc_id, text).groupBy("root").agg(first).select(
         F.xxhash64("first.i", "first.th").alias("__key"), F.col("first.i").alias("__i"), F.col("first.th").alias("__h"))
     row = docs.select(whole_row(docs), id_order(F.col(doc_id).cast("long")).alias("__id"), _text_hash(F.col(text)).alias("__th"))
     row = row.withColumn("__k", F.xxhash64("__id", "__th"))
     kept = row.join(chosen.distinct(), F.expr("__k = __key AND __id = __i AND __th = __h"), "left_semi")
-    return kept.dropDuplicates(["__k"]).select("__row.*")
+    return kept.dropDuplicates(["__k", "__id", "__th"]).select("__row.*")  # the join's partitioning serves
