@@ -34,17 +34,22 @@ PLACEHOLDERS = ("example", "sample", "dummy", "changeme", "placeholder", "your_"
 
 
 def _found(text: Column, kind: Kind) -> Column:
-    """array<struct<gap, size, value>> of the kind's matches: the characters between
-    the last match and this one, its length in code points, and the secret value."""
+    """array<struct<gap, size, length, sha, looks>> of the kind's matches: the
+    characters between the last match and this one, its length in code points, the
+    length and SHA-256 of the secret value, and whether that looks like a real one."""
     gaps, hits = F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
 
     def one(gap: Column, hit: Column) -> Column:
         value = F.regexp_extract(hit, kind.pattern, kind.value) if kind.value else hit
-        return F.struct(F.length(gap).alias("gap"), F.length(hit).alias("size"), value.alias("value"))
+        low = F.lower(value)
+        looks = low.rlike("[a-z]") & low.rlike("[0-9]") & (F.size(F.array_distinct(F.split(value, ""))) >= 6) & ~low.rlike(
+            "|".join(PLACEHOLDERS))
+        return F.struct(F.length(gap).alias("gap"), F.length(hit).alias("size"), F.length(value).alias("length"),
+                        F.sha2(value, 256).alias("sha"), looks.alias("looks"))
 
     # there is one more gap than hits
     return F.when(text.rlike(kind.pattern), F.slice(F.zip_with(gaps, hits, one), F.lit(1), F.size(hits))).otherwise(
-        F.array().cast("array<struct<gap:int,size:int,value:string>>"))
+        F.array().cast("array<struct<gap:int,size:int,length:int,sha:string,looks:boolean>>"))
 
 
 def scan(docs: DataFrame, owner: Column, repository: Column, max_owners: int = 1, max_repositories: int = 2,
@@ -61,7 +66,7 @@ def scan(docs: DataFrame, owner: Column, repository: Column, max_owners: int = 1
     6 different characters and no placeholder word. Widely copied values are
     examples.
 
-    Only hashes and lengths are shuffled, never texts or secrets. Counts are
+    Only hashes and lengths leave the scan, to files or shuffles, never texts or secrets. Counts are
     pre-aggregated per (hash, owner, repository) in each task; a value that a third
     of all documents hold is a skewed join key between two plain scans, which can
     be split. Null texts are empty; a null owner or repository counts as one of its
@@ -80,13 +85,9 @@ def scan(docs: DataFrame, owner: Column, repository: Column, max_owners: int = 1
     hits = hits.select("rid", "owner", "repository", "rank", end.cast("long").alias("end"), "m")
     least = F.element_at(F.array(*[F.lit(k.least) for k in kinds]), F.col("rank") + 1)
     names = F.element_at(F.array(*[F.lit(k.name) for k in kinds]), F.col("rank") + 1)
-    value = F.col("m.value")
-    low = F.lower(value)
-    plain = low.rlike("|".join(PLACEHOLDERS))
-    looks = low.rlike("[a-z]") & low.rlike("[0-9]") & (F.size(F.array_distinct(F.split(value, ""))) >= 6) & ~plain
-    spans = saved(hits.where(F.length(value) >= least).select(
+    spans = saved(hits.where(F.col("m.length") >= least).select(
         "rid", "owner", "repository", names.alias("kind"), "rank", (F.col("end") - F.col("m.size")).alias("start"), "end",
-        (F.col("end") - F.length(value)).alias("value_start"), F.sha2(value, 256).alias("secret_sha256"), looks.alias("looks")),
+        (F.col("end") - F.col("m.length")).alias("value_start"), F.col("m.sha").alias("secret_sha256"), F.col("m.looks").alias("looks")),
         "spans")
     uses = spans.groupBy("secret_sha256", "owner", "repository").agg(F.count("*").alias("uses")).groupBy(
         "secret_sha256", "owner").agg(F.count("*").alias("repositories"), F.sum("uses").alias("uses")).groupBy(
