@@ -105,7 +105,7 @@ class Segmenter:
             labels = re.findall(r"[a-z]+|[0-9]+", host)
             self.known[host] = [f"h:{w}" for x in labels for w in (self.split(x) if x.isalpha() else ["0"])]
         parts = re.findall(r"[a-z]+|[0-9]+", path.lower())
-        return self.known[host] + [f"p:{w}" for x in parts for w in ((self.split(x) if x.isalpha() and len(x) <= 200 else ["0"]))]
+        return self.known[host] + [f"p:{w}" for x in parts for w in ((self.split(x) if x.isalpha() else ["0"]))]
 
 
 @dataclass
