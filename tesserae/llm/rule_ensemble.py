@@ -187,9 +187,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, doc_id: str
         (F.avg(F.col(label).cast("double")) >= 0.5).cast("double").alias("__y"))
     marks = marks.orderBy(F.xxhash64("__lid"), "__lid").limit(sample)  # at most ``sample`` pairs of numbers
     chosen = docs.join(F.broadcast(marks), i == F.col("__lid")).select("__lid", "__y", F.col(text).alias("__text"))
-    rows = with_statistics(chosen, "__text", [F.col("__lid"), F.col("__y")]).toPandas()
     names = [f"s_{s}" for s in STATISTICS]
-    rows = rows.sort_values(["__lid", *names]).drop_duplicates("__lid")
+    # one row per id before anything reaches the driver, however often an id occurs
+    one = with_statistics(chosen, "__text", [F.col("__lid"), F.col("__y")]).groupBy("__lid", "__y").agg(F.min(F.struct(*names)).alias("s"))
+    rows = one.select("__lid", "__y", "s.*").toPandas().sort_values("__lid")
     return fit(rows[names].to_numpy(np.float64), rows["__y"].to_numpy(np.float64))
 
 

@@ -241,7 +241,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_
         F.col("h").alias("h0"), F.col("check").alias("c0"), "place")
     first = saved(first, "places")
     late = suspects.join(first, (F.col("h") == F.col("h0")) & (F.col("check") == F.col("c0")) & (place > F.col("place")))
-    found = saved(late.groupBy("did", "th").agg(F.collect_list("pos").alias("pos")), "repeats")
+    found = saved(late.groupBy("did", "th").agg(F.collect_set("pos").alias("pos")), "repeats")  # repeated rows add nothing
 
     in_repeats = bitmap(found.select(F.xxhash64("did", "th").alias("k")), "k", MAP_BITS)
     repeated = spark.sparkContext.broadcast(in_repeats)

@@ -120,6 +120,8 @@ def test_substrings(odd, empty):
     assert len(rows) == odd.count()
     assert got[(6, 30_000)] == 30_000 and got[(5, 30_000)] == 0
     assert got[(8, 60)] == got[(None, 60)] == 60 and got[(7, 60)] == 0 and got[(12, 105)] >= 60 and got[(1, 4)] == 0
+    twice = substrings.remove_repeats(odd.unionByName(odd)).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in twice) == Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in [*rows, *rows])
     assert substrings.remove_repeats(empty).count() == 0
 
 
@@ -131,6 +133,8 @@ def test_quality(spark, odd, empty):
     assert len(out) == odd.count() and all(0 <= r["score"] <= 1 for r in out)
     assert all(r["held_out"] == (r["doc_id"] is None or zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in out)
     assert rule_ensemble.keep_good(odd, model).columns == odd.columns
+    again = rule_ensemble.train(odd.unionByName(odd).unionByName(odd), labels.unionByName(labels))
+    assert (again.intercept, again.rules) == (model.intercept, model.rules)  # repeated rows count once
     none = rule_ensemble.train(odd, labels.where("false"))
     assert {r["score"] for r in rule_ensemble.classify(odd, none).collect()} == {0.5}
     assert rule_ensemble.classify(empty, model).count() == 0
