@@ -7,7 +7,9 @@ slots) must then map consistently between the two.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,14 +122,98 @@ def _windows(rows: DataFrame, window: int, schema: str, keep=None) -> DataFrame:
     return rows.select("__t", *[c for c, _ in ids]).mapInArrow(run, f"{schema}, pos int, wh long, slots array<long>")
 
 
+def _lengths(n: int, window: int) -> list[int]:
+    """Lengths (in window starts) of the passages in which an item of ``n`` windows is sought."""
+    return [n, n + window, n + 2 * window]
+
+
+def _passages(rows: list[tuple], at: dict[int, list], need: int, lengths: list[int]) -> list[tuple[int, int, int, int]]:
+    """(item windows met, length, first row, row past the last) of the passages that meet ``need`` of them.
+    ``rows``: (pos, hash, slots) in order; a passage begins at any of their positions."""
+    out, seen = [], set()
+    for length in lengths:
+        cover: dict[int, int] = {}
+        j = 0
+        for i, (pos, wh, _) in enumerate(rows):
+            while j < len(rows) and rows[j][0] < pos + length:
+                for ipos in {x for x, _ in at[rows[j][1]]}:
+                    cover[ipos] = cover.get(ipos, 0) + 1
+                j += 1
+            if len(cover) >= need and (i == 0 or rows[i - 1][0] < pos) and (i, j) not in seen:
+                seen.add((i, j))
+                out.append((len(cover), length, i, j))
+            for ipos in {x for x, _ in at[wh]}:
+                cover[ipos] -= 1
+                if not cover[ipos]:
+                    del cover[ipos]
+    return sorted(out, key=lambda x: (-x[0], *x[1:]))
+
+
+def _place(rows: list[tuple], at: dict[int, list]) -> list[tuple]:
+    """Slots of the item and of the passage for each item window that finds a place of its own in the passage.
+
+    Whole shifts are given out, the one that places most windows first (then the
+    one with most equal slots, then the nearest to the first), so a copy keeps its own shift
+    although its windows recur nearby.
+    """
+    met: dict[tuple[int, int], tuple] = {}
+    for pos, wh, slots in rows:
+        for ipos, islots in at[wh]:
+            old = met.get((ipos, pos))
+            if old is None or np.count_nonzero(islots) < np.count_nonzero(old[0]):
+                met[ipos, pos] = (islots, slots)
+    pairs = np.array(list(met), np.int64)
+    equal = np.fromiter((x == y for x, y in met.values()), np.int64, len(met))
+    left, placed, first = np.arange(len(pairs)), [], None
+    while len(left):
+        shift = pairs[left, 1] - pairs[left, 0]
+        shifts, which, many = np.unique(shift, return_inverse=True, return_counts=True)
+        far = np.abs(shifts - first) if first is not None else np.zeros(len(shifts), np.int64)
+        best = shifts[np.lexsort((far, -np.bincount(which, equal[left]), -many))[0]]
+        first = best if first is None else first
+        now = left[shift == best]
+        placed.extend(now.tolist())
+        left = left[~np.isin(pairs[left, 0], pairs[now, 0]) & ~np.isin(pairs[left, 1], pairs[now, 1])]
+    slots = list(met.values())
+    return [slots[k] for k in placed]
+
+
+def _consistency(placed: list[tuple]) -> float:
+    """Share of the slots that map one to one; 1 without slots."""
+    c = Counter((x, y) for xs, ys in placed for x, y in zip(xs, ys, strict=True) if x and y)
+    wx, wy = Counter(x for x, _ in c), Counter(y for _, y in c)
+    return sum(n for (x, y), n in c.items() if wx[x] == wy[y] == 1) / sum(c.values()) if c else 1.0
+
+
+def _best(item: list[dict], met: list[dict], window: int, similarity: float) -> tuple[float, float] | None:
+    """(overlap, consistency) of the passage that holds most of the item, none if no passage holds it.
+    ``item``: all its windows; ``met``: the document's windows that the item has."""
+    at: dict[int, list] = {}
+    for w in item:
+        at.setdefault(w["wh"], []).append((w["pos"], w["slots"]))
+    n = len({w["pos"] for w in item})
+    need = math.ceil(n * similarity - 1e-9)
+    rows = sorted(((w["pos"], w["wh"], w["slots"]) for w in met), key=lambda r: r[:2])
+    best = None
+    for most, _, i, j in _passages(rows, at, need, _lengths(n, window)):
+        if best and most / n <= best[0]:
+            break
+        placed = _place(rows[i:j], at)
+        sure = _consistency(placed)
+        if len(placed) >= need and sure >= similarity and (not best or len(placed) / n > best[0]):
+            best = (len(placed) / n, sure)
+    return best
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = 0.8,
                  doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, th, item_id, overlap, consistency) for every document and benchmark
     item that it holds; th is the XXH64 of the document's text (null: empty).
 
-    An item is held if at least ``similarity`` of its template windows occur in the
-    document at one offset (give or take ``window`` words), and at least
-    ``similarity`` of their slots map one to one between item and document.
+    An item is held if at least ``similarity`` of its template windows occur in a
+    passage of the document about as long as the item (up to 2 * ``window`` words longer),
+    each at a position of its own, and at least ``similarity`` of their slots map
+    one to one between item and passage.
 
     Documents' windows that miss a fixed-size bitmap of benchmark windows are never
     shuffled. Pairs arise only from each item's rarest windows: so many that an
@@ -154,29 +240,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, si
         F.col("r") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).select("item_id", "ih", "wh").distinct()
     pairs = found.select("doc_id", "th", "wh").distinct().join(probes, "wh").select("doc_id", "th", "item_id", "ih").distinct()
 
-    # every window of those items against the document's
-    items = bench.select("item_id", "ih", F.col("pos").alias("ipos"), "wh", F.col("slots").alias("islots"))
-    aligned = pairs.join(items, item).alias("i").join(
-        found.alias("d"), F.expr("i.doc_id <=> d.doc_id AND i.th = d.th AND i.wh = d.wh")).select(
-        "i.doc_id", "i.th", "i.item_id", "i.ih", "ipos", F.expr("pos - ipos").alias("shift"), "islots", "slots")
+    # the document's windows that those items have, all of a pair in one row
+    same = F.expr("i.doc_id <=> d.doc_id AND i.th = d.th AND i.wh = d.wh")
     key = ["doc_id", "th", *item]
-    # offsets fall into overlapping bands, two of each, so that small shifts stay together
-    band = F.expr(f"explode(array(floor(shift / {2 * window}) * 2, floor((shift + {window}) / {2 * window}) * 2 + 1))")
-    banded = aligned.withColumn("band", band)
-    hits = banded.groupBy(*key, "band").agg(F.countDistinct("ipos").alias("hit"))
-    slots = banded.select(*key, "band", F.explode(F.arrays_zip("islots", "slots")).alias("s")).select(
-        *key, "band", F.col("s.islots").alias("x"), F.col("s.slots").alias("y")).where("x <> 0 AND y <> 0")
-    slots = slots.groupBy(*key, "band", "x", "y").agg(F.count("*").alias("c"))
-    ways_x = F.count("*").over(Window.partitionBy(*[*key, "band", "x"]))
-    ways_y = F.count("*").over(Window.partitionBy(*[*key, "band", "y"]))
-    sure = slots.withColumn("wx", ways_x).withColumn("wy", ways_y).groupBy(*key, "band").agg(
-        (F.sum(F.when((F.col("wx") == 1) & (F.col("wy") == 1), F.col("c")).otherwise(0)) / F.sum("c")).alias("consistency"))
-    same = " AND ".join(f"h.{c} <=> s.{c}" for c in [*key, "band"])
-    scored = hits.alias("h").join(sure.alias("s"), F.expr(same), "left").select(
-        *[F.col(f"h.{c}").alias(c) for c in key], "hit", F.coalesce("consistency", F.lit(1.0)).alias("consistency"))
-    return scored.join(n_of, item).where(
-        (F.col("hit") >= F.ceil(F.col("n") * similarity - 1e-9)) & (F.col("consistency") >= similarity)).groupBy(
-        "doc_id", "th", "item_id").agg(F.max(F.col("hit") / F.col("n")).alias("overlap"), F.max("consistency").alias("consistency"))
+    met = pairs.join(bench.select(*item, "wh").distinct(), item).alias("i").join(found.alias("d"), same).select(
+        *[f"i.{c}" for c in key], F.struct("pos", "d.wh", "slots").alias("w")).groupBy(*key).agg(F.collect_list("w").alias("met"))
+    whole = bench.groupBy(*item).agg(F.collect_list(F.struct("pos", "wh", "slots")).alias("windows"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 100):
+                part = b.slice(at, 100)
+                got = [_best(w, m, window, similarity) for w, m in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)]
+                held = pa.array([k for k, g in enumerate(got) if g], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(k).take(held) for k in range(3)), *(pa.array([g[k] for g in got if g], pa.float64()) for k in (0, 1))],
+                    names=["doc_id", "th", "item_id", "overlap", "consistency"])
+
+    scored = met.join(whole, item).select("doc_id", "th", "item_id", "windows", "met").mapInArrow(
+        judge, "doc_id long, th long, item_id long, overlap double, consistency double")
+    return scored.groupBy("doc_id", "th", "item_id").agg(F.max("overlap").alias("overlap"), F.max("consistency").alias("consistency"))
 
 
 def flags(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:

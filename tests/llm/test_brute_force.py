@@ -204,6 +204,16 @@ def test_reparameterised_questions(spark):
     assert got == {1: True, 2: True, 3: False, 4: False}
 
 
+def test_verbatim_copies_with_recurring_windows(spark):
+    items = ["Sort the numbers 41 17 93 28 65 52 39 74 from smallest to largest.", "Seat at one table Tom Anna Lena Kate Paul Jim Ben Sue Max and Eve tonight",
+             "5 5 7 9 5 7 7 3 5 9 1 5"]
+    docs = [(k, f"{words(k, k)}. {items[k % 3]} {words(9, k)}") for k in range(9)]
+    docs += [(20, f"8 2 {items[2]} 4 4 6"), (21, "5 5 7 9 5 1 2 3 4 6 8 9")]
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"),
+                                spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): (r["overlap"], r["consistency"]) for r in got} == {(k, k % 3): (1.0, 1.0) for k in range(9)} | {(20, 2): (1.0, 1.0)}
+
+
 def test_shared_phrases_make_no_pairs(spark):
     phrase = words(30, 5, 500)
     bench = spark.createDataFrame([(k, f"{phrase} {words(20, 100 + k, 5000)}") for k in range(200)], "item_id long, text string")
