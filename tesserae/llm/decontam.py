@@ -123,8 +123,14 @@ def _windows(rows: DataFrame, window: int, schema: str, keep=None) -> DataFrame:
 
 
 def _lengths(n: int, window: int) -> list[int]:
-    """Lengths (in window starts) of the passages in which an item of ``n`` windows is sought."""
-    return [n, n + window, n + 2 * window]
+    """Lengths (in window starts) of the passages in which an item of ``n`` windows is
+    sought: its own, then with ever more put in, up to its length again and at least
+    ``20 * window`` words."""
+    out, more = [n], window
+    while more < max(n, 20 * window):
+        out.append(n + more)
+        more *= 2
+    return [*out, n + max(n, 20 * window)]
 
 
 def _passages(rows: list[tuple], at: dict[int, list], need: int, lengths: list[int]) -> list[tuple[int, int, int, int]]:
@@ -211,8 +217,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, si
     item that it holds; th is the XXH64 of the document's text (null: empty).
 
     An item is held if at least ``similarity`` of its template windows occur in a
-    passage of the document about as long as the item (up to 2 * ``window`` words longer),
-    each at a position of its own, and at least ``similarity`` of their slots map
+    passage of the document, each at a position of its own, wherever the passage
+    stands and whatever is put in between (up to the item's length again, and at
+    least 20 * ``window`` words), and at least ``similarity`` of their slots map
     one to one between item and passage.
 
     Documents' windows that miss a fixed-size bitmap of benchmark windows are never

@@ -214,6 +214,16 @@ def test_verbatim_copies_with_recurring_windows(spark):
     assert {(r["doc_id"], r["item_id"]): (r["overlap"], r["consistency"]) for r in got} == {(k, k % 3): (1.0, 1.0) for k in range(9)} | {(20, 2): (1.0, 1.0)}
 
 
+def test_copies_with_words_put_in(spark):
+    item = words(57, 77, 5000).split()
+    docs = [(100 * more + at, f"{words(at, 5)} {' '.join(item[:28])} {words(more, 6)} {' '.join(item[28:])} {words(12, 8)}")
+            for more in (0, 6, 9, 10, 30, 55, 90) for at in range(11)]
+    docs += [(-1, " ".join(item[:40])), (-2, f"{' '.join(item[:28])} {words(400, 9)} {' '.join(item[28:])}")]
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"),
+                                spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert {r["doc_id"]: r["overlap"] for r in got} == {i: 1.0 if i < 100 else 49 / 53 for i, _ in docs if i >= 0}
+
+
 def test_shared_phrases_make_no_pairs(spark):
     phrase = words(30, 5, 500)
     bench = spark.createDataFrame([(k, f"{phrase} {words(20, 100 + k, 5000)}") for k in range(200)], "item_id long, text string")
