@@ -7,6 +7,7 @@ slots) must then map consistently between the two.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -58,35 +59,79 @@ _UNITS_SET = frozenset(UNITS)
 _known = _Words()
 
 
-def _templates(texts: list[bytes | None], window: int):
-    """Flat (window starts, template hash per start, slot hash per word or 0, counts).
+class _Template:
+    """The words of a batch of texts: kind, core hash, and whether a capitalised word begins a sentence.
 
-    A capitalised word is a name unless it begins a text, a line's worth of text
-    after a sentence end included; a unit word counts as a unit only after a number.
-    Texts of fewer words than the window are one window of all their words.
+    Such an opening word may be a name or not: its place does not tell. Windows
+    stand in both readings. A unit word counts as a unit only after a number.
     """
-    ws, counts = W.flat(texts)
-    got = list(map(_known.__getitem__, ws))
-    core = np.fromiter((x[0] for x in got), np.uint64, len(got))
-    kind = np.fromiter((x[1] for x in got), np.int64, len(got))
-    ends = np.fromiter((x[2] for x in got), bool, len(got))
-    opens = np.zeros(len(ws) + 1, bool)
-    opens[1:] = ends
-    opens[W.starts_of(counts)[counts > 0]] = True
-    opens = opens[:-1]
-    after_number = np.zeros(len(ws), bool)
-    after_number[1:] = kind[:-1] == _NUM
-    kind = np.where((kind == _NAME) & opens, _PLAIN, np.where((kind == _UNIT) & ~(after_number & ~_first(counts, len(ws))), _PLAIN, kind))
-    token = np.where(kind == _PLAIN, core, _MARK[kind])
-    slot = np.where(kind == _PLAIN, np.uint64(0), core | np.uint64(1))
-    p = W.window_starts(counts, window)
-    full = W.rolling(token, window)
-    starts, hashes = [p], [full[p]]
-    for s, n in zip(W.starts_of(counts).tolist(), counts.tolist(), strict=True):
-        if 0 < n < window:  # as long as the text: marked by its length
-            starts.append(np.array([s]))
-            hashes.append(W.mix(W.rolling(token[s : s + n], n) + np.uint64(n)))
-    return np.concatenate(starts), np.concatenate(hashes), slot, counts
+
+    def __init__(self, texts: list[bytes | None]):
+        ws, self.counts = W.flat(texts)
+        self.starts = W.starts_of(self.counts)
+        got = list(map(_known.__getitem__, ws))
+        self.core = np.fromiter((x[0] for x in got), np.uint64, len(got))
+        kind = np.fromiter((x[1] for x in got), np.int64, len(got))
+        ends = np.fromiter((x[2] for x in got), bool, len(got))
+        first = _first(self.counts, len(ws))
+        opens, after_number = first.copy(), np.zeros(len(ws), bool)
+        opens[1:] |= ends[:-1]
+        after_number[1:] = kind[:-1] == _NUM
+        self.kind = np.where((kind == _UNIT) & ~(after_number & ~first), _PLAIN, kind)
+        self.opener = (kind == _NAME) & opens
+
+    def slots(self, p: np.ndarray, size: int, kind: np.ndarray, mask: np.ndarray) -> list[list[int]]:
+        """Of windows of ``size`` words: the hash of each word that is a placeholder, else 0."""
+        at = p[:, None] + np.arange(size)
+        held = (kind[at] != _PLAIN) | ((mask[:, None] >> np.arange(size)) & 1 == 1)
+        return np.where(held, self.core[at] | np.uint64(1), np.uint64(0)).view(np.int64).tolist()
+
+    def readings(self, p: np.ndarray, size: int, kind: np.ndarray, either: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, hash, mask) of the windows at ``p``, in every reading: each set of
+        their ``either`` words (plain in ``kind``) taken as names is one, and its bits are the mask."""
+        token = np.where(kind == _PLAIN, self.core, _MARK[kind])
+        open_bits = np.zeros(len(p), np.int64)
+        for j in range(size):
+            open_bits |= either[p + j].astype(np.int64) << j
+        out = [(p, W.rolling(token, size)[p], np.zeros(len(p), np.int64))]
+        some, bits = p[open_bits > 0], open_bits[open_bits > 0]
+        for m in range(1, 1 << size):
+            q = some[bits & m == m]
+            if len(q):
+                total = np.zeros(len(q), np.uint64)
+                for j in reversed(range(size)):
+                    total = total * np.uint64(W._BASE) + (_MARK[_NAME] if m >> j & 1 else token[q + j])
+                out.append((q, W.mix(total), np.full(len(q), m)))
+        return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+    def windows(self, window: int):
+        """(size, starts, hashes, masks, kinds) of all windows of ``window`` words."""
+        kind = np.where(self.opener, _PLAIN, self.kind)
+        yield window, *self.readings(W.window_starts(self.counts, window), window, kind, self.opener), kind
+        for n in range(1, window):  # texts of fewer words are one window of all of them
+            p = self.starts[self.counts == n]
+            if len(p):
+                token = np.where(kind == _PLAIN, self.core, _MARK[kind])
+                yield n, p, W.mix(W.rolling(token, n)[p] + np.uint64(n)), np.zeros(len(p), np.int64), kind
+
+    def short(self, lengths: list[int], window: int, item: bool):
+        """The same of windows of ``lengths`` words: of an item just all its words.
+
+        So short a window says little: an opening word of an item stays itself, and
+        windows of placeholders alone count by their words.
+        """
+        names = self.kind == _NAME
+        kind = np.where(self.opener if item else names, _PLAIN, self.kind)
+        plain = np.zeros(len(kind), np.int64)
+        for n in lengths:
+            p = self.starts[self.counts == n] if item else W.window_starts(self.counts, n)
+            if not len(p):
+                continue
+            q, h, m = self.readings(p, n, kind, np.zeros(len(kind), bool) if item else names)
+            said = ((kind[q[:, None] + np.arange(n)] == _PLAIN) & ((m[:, None] >> np.arange(n)) & 1 == 0)).any(axis=1)
+            yield n, q[said], W.mix(h[said] + np.uint64(n + 64)), m[said], kind
+            q = p[(self.kind[p[:, None] + np.arange(n)] != _PLAIN).all(axis=1)] if not item else q[~said]
+            yield n, q, W.mix(W.rolling(self.core, n)[q] + np.uint64(n + 128)), np.zeros(len(q), np.int64), plain
 
 
 def _first(counts: np.ndarray, n: int) -> np.ndarray:
@@ -95,9 +140,10 @@ def _first(counts: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _windows(rows: DataFrame, window: int, schema: str, keep=None) -> DataFrame:
-    """(id columns, pos, wh, slots) of the template windows of column ``__t``;
-    ``keep``: a broadcast bitmap that a window's hash must hit."""
+def _windows(rows: DataFrame, window: int, schema: str, lengths: list[int], keep=None) -> DataFrame:
+    """(id columns, pos, wh, slots) of the template windows of column ``__t``, one row for each
+    reading; ``lengths``: of short windows; ``keep``: a broadcast bitmap that a window's hash must
+    hit, for documents; without it the rows are items."""
     ids = [c.split() for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,19 +151,18 @@ def _windows(rows: DataFrame, window: int, schema: str, keep=None) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                p, h, slot, counts = _templates(b.column(0).to_pylist(), window)
-                if cells is not None:
-                    x = h & np.uint64(len(cells) * 64 - 1)
-                    hit = (cells[x >> np.uint64(6)] >> (x & np.uint64(63))) & np.uint64(1) == 1
-                    p, h = p[hit], h[hit]
-                doc = np.searchsorted(np.cumsum(counts), p, side="right")
-                size = np.minimum(window, counts[doc])
-                slots = [slot[i : i + n].view(np.int64).tolist() for i, n in zip(p.tolist(), size.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [*(b.column(k + 1).take(pa.array(doc)) for k in range(len(ids))),
-                     pa.array((p - W.starts_of(counts)[doc]).astype(np.int32)), pa.array(h.view(np.int64)),
-                     pa.array(slots, pa.list_(pa.int64()))],
-                    names=[c for c, _ in ids] + ["pos", "wh", "slots"])
+                t = _Template(b.column(0).to_pylist())
+                for size, p, h, mask, kind in itertools.chain(t.windows(window), t.short(lengths, window, keep is None)):
+                    if cells is not None:
+                        x = h & np.uint64(len(cells) * 64 - 1)
+                        hit = (cells[x >> np.uint64(6)] >> (x & np.uint64(63))) & np.uint64(1) == 1
+                        p, h, mask = p[hit], h[hit], mask[hit]
+                    doc = np.searchsorted(np.cumsum(t.counts), p, side="right")
+                    yield pa.RecordBatch.from_arrays(
+                        [*(b.column(k + 1).take(pa.array(doc)) for k in range(len(ids))),
+                         pa.array((p - t.starts[doc]).astype(np.int32)), pa.array(h.view(np.int64)),
+                         pa.array(t.slots(p, size, kind, mask), pa.list_(pa.int64()))],
+                        names=[c for c, _ in ids] + ["pos", "wh", "slots"])
 
     return rows.select("__t", *[c for c, _ in ids]).mapInArrow(run, f"{schema}, pos int, wh long, slots array<long>")
 
@@ -222,6 +267,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, si
     least 20 * ``window`` words), and at least ``similarity`` of their slots map
     one to one between item and passage.
 
+    A capitalised word that begins a text or sentence may be a name or a plain word;
+    either reading counts. An item of fewer words than ``window`` is one window of
+    all its words, sought in every document; there its opening word is plain, and if
+    it has placeholders alone, a document holds it word by word, or is as short and alike.
+
     Documents' windows that miss a fixed-size bitmap of benchmark windows are never
     shuffled. Pairs arise only from each item's rarest windows: so many that an
     item which reaches ``similarity`` must match one of them, so phrases that very
@@ -232,19 +282,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, si
     spark = docs.sparkSession
     bench = benchmark.where(f"`{item_id}` is not null").select(
         F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("binary").alias("__t"), F.xxhash64(item_text).alias("ih"))
-    bench = saved(_windows(bench.distinct(), window, "item_id long, ih long"), "benchmark")
+    bench = saved(_windows(bench.distinct(), window, "item_id long, ih long", list(range(1, window))), "benchmark")
     item = ["item_id", "ih"]
-    n_of = bench.groupBy(*item).agg(F.count("*").alias("n"))
+    n_of = bench.groupBy(*item).agg(F.count_distinct("pos").alias("n"))
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(t.cast("binary").alias("__t"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(t).alias("th"))
     shared = spark.sparkContext.broadcast(bitmap(bench, "wh", MAP_BITS))
-    found = saved(_windows(rows, window, "doc_id long, th long", shared).distinct(), "doc-windows")
+    size = F.size("slots")
+    lengths = sorted(r[0] for r in bench.where(size < window).select(size).distinct().collect())
+    found = saved(_windows(rows, window, "doc_id long, th long", lengths, shared).distinct(), "doc-windows")
 
-    # an item's rarest windows: one more than it may miss
+    # an item's rarest windows, in all their readings: one more than it may miss
     often = bench.groupBy("wh").agg(F.countDistinct(*item).alias("often")).withColumnRenamed("wh", "w")
-    by_rarity = F.row_number().over(Window.partitionBy(*item).orderBy("often", "wh", "pos"))
-    probes = bench.join(often, F.col("wh") == F.col("w")).join(n_of, item).withColumn("r", by_rarity).where(
-        F.col("r") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).select("item_id", "ih", "wh").distinct()
+    rarity = bench.join(often, F.col("wh") == F.col("w")).groupBy(*item, "pos").agg(F.sum("often").alias("often"), F.min("wh").alias("w"))
+    by_rarity = F.row_number().over(Window.partitionBy(*item).orderBy("often", "w", "pos"))
+    rarest = rarity.join(n_of, item).withColumn("r", by_rarity).where(
+        F.col("r") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).select(*item, "pos")
+    probes = bench.join(rarest, [*item, "pos"]).select("item_id", "ih", "wh").distinct()
     pairs = found.select("doc_id", "th", "wh").distinct().join(probes, "wh").select("doc_id", "th", "item_id", "ih").distinct()
 
     # the document's windows that those items have, all of a pair in one row

@@ -224,6 +224,22 @@ def test_copies_with_words_put_in(spark):
     assert {r["doc_id"]: r["overlap"] for r in got} == {i: 1.0 if i < 100 else 49 / 53 for i, _ in docs if i >= 0}
 
 
+def test_names_that_open_a_sentence(spark):
+    item = "Tom has 5 red apples. Anna gives him 3 more apples today. Lena then takes 2 of them away. How many apples are left?"
+    other = item.replace("Tom", "Bert").replace("Anna", "Mia").replace("Lena", "Paula")
+    mixed = item.replace("Tom", "Bert").replace("Anna", "Bert").replace("Lena", "Bert").replace("How", "Bert")
+    short = "Name the three longest rivers of Asia"
+    tiny = ["Who wrote Hamlet?", "42 km", "Paris"]
+    docs = [(1, f"{words(20, 3)}. {other} {words(9, 4)}"), (2, f"{words(9, 5)} {other}"), (3, f"A heading\n{short}\n{words(9, 6)}"),
+            (4, f"A quiz. {tiny[0]} {words(9, 7)}"), (5, f"They asked Who wrote Macbeth {words(5, 8)}"), (6, f"Anna wrote Hamlet. {words(9, 9)}"),
+            (7, f"{words(6, 1)} 42 km {words(3, 2)}"), (8, f"{words(6, 1)} 17 km {words(3, 2)}"), (9, "17 km"), (10, f"{words(7, 1)} in Paris."),
+            (11, f"{words(7, 1)} in Rome."), (12, mixed)]
+    bench = [(1, item), (2, short), *((3 + k, t) for k, t in enumerate(tiny))]
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == [
+        (1, 1), (2, 1), (3, 2), (4, 3), (5, 3), (7, 4), (9, 4), (10, 5)]
+
+
 def test_shared_phrases_make_no_pairs(spark):
     phrase = words(30, 5, 500)
     bench = spark.createDataFrame([(k, f"{phrase} {words(20, 100 + k, 5000)}") for k in range(200)], "item_id long, text string")
