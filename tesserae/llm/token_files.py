@@ -19,8 +19,10 @@ Readers fetch the tail, choose frames by id, and read and decompress only those.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import struct
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -53,11 +55,19 @@ def _tokenizer(path: str):
     return _loaded[path]
 
 
+@functools.cache
+def _stays_letter(char: str) -> bool:
+    """Whether a character is a letter and still is one after NFC and lower case; some
+    become a letter and a combining mark, which would join a mark after them."""
+    got = unicodedata.normalize("NFC", char).lower()
+    return char.isalpha() and len(got) == 1 and got.isalpha()
+
+
 def _core(piece: str) -> tuple[str, str]:
-    """A piece without one closing full stop or comma after a letter, in lower case
+    """A piece without one closing full stop or comma after a letter that stays one, in lower case
     if it is all ASCII letters, and that mark: the vocabularies meant here part letters from
     marks and lower-case all, so their ids follow from these two."""
-    mark = piece[-1:] if piece[-1:] in (".", ",") and piece[-2:-1].isalpha() else ""
+    mark = piece[-1:] if piece[-1:] in (".", ",") and _stays_letter(piece[-2:-1]) else ""
     core = piece[:-1] if mark else piece
     return (core.lower() if core.isascii() and core.isalpha() else core), mark
 

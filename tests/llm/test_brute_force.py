@@ -74,6 +74,15 @@ def test_pieces_give_the_ids_of_the_whole(texts):
     assert token_files.encode(texts, TOKENIZER) == want
 
 
+def test_every_letter_before_a_closing_mark():
+    tok = Tokenizer.from_file(TOKENIZER)
+    texts = [f"BELED\u0130YES\u0130{m} x\u09df{m} \ufb1d{m} \u0958{m}" for m in ".,"]
+    texts += [f"{before}{chr(c)}{m}" for c in range(128, 0x110000) if chr(c).isalpha() for before, m in (("", "."), ("e", ","))]
+    want = [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    got = token_files.encode(texts, TOKENIZER)
+    assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+
+
 def _fingerprint(text):
     ws = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
     sh = [b" ".join(ws[i:i + 3]) for i in range(len(ws) - 2)] if len(ws) >= 3 else ([b" ".join(ws)] if ws else [])
