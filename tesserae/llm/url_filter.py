@@ -8,6 +8,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,22 +63,20 @@ def commonest(counts: DataFrame, n: str, most: int) -> DataFrame:
     return counts.where(step >= cut)
 
 
-def word_counts(texts: DataFrame, text: str, most: int) -> dict[str, int]:
-    """The commonest words (runs of a-z) of all whole texts, at most ``most``;
-    counts are pre-aggregated."""
+def word_counts(texts: DataFrame, text: str) -> DataFrame:
+    """(w, n) of all words (runs of a-z, up to MAX_WORD letters) of all whole texts."""
     words = texts.select(F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z]+")).alias("w"))
-    words = words.where(F.length("w").between(1, MAX_WORD))
-    return {r["w"]: r["n"] for r in commonest(words.groupBy("w").agg(F.count("*").alias("n")), "n", most).orderBy("w").collect()}
+    return words.where(F.length("w").between(1, MAX_WORD)).groupBy("w").agg(F.count("*").alias("n"))
 
 
 class Segmenter:
     """Splits concatenated names into the likeliest words of a unigram model."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        """``total``: that of all words plus one, where ``counts`` are only those that a name can hold."""
+        total = total or sum(counts.values()) + 1
         self.log = {w: math.log(n / total) for w, n in counts.items()}
         self.total = total
-        self.known: dict[str, list[str]] = {}
 
     def cost(self, word: str) -> float:
         """Unknown words cost ever more by length."""
@@ -97,89 +96,120 @@ class Segmenter:
             j = back[j]
         return out[::-1]
 
-    def tokens(self, host: str, path: str) -> list[str]:
-        """Host words (h:), path words (p:); runs of digits become one token."""
-        if host not in self.known:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            labels = re.findall(r"[a-z]+|[0-9]+", host)
-            self.known[host] = [f"h:{w}" for x in labels for w in (self.split(x) if x.isalpha() else ["0"])]
-        parts = re.findall(r"[a-z]+|[0-9]+", path.lower())
-        return self.known[host] + [f"p:{w}" for x in parts for w in ((self.split(x) if x.isalpha() else ["0"]))]
-
-
-@dataclass
-class Bayes:
-    """Multinomial naive Bayes: log odds of block over allow."""
-
-    prior: float
-    weight: dict[str, float]
-    other: float
-
-    def odds(self, tokens: list[str]) -> float:
-        return self.prior + sum(self.weight.get(t, self.other) for t in tokens)
-
-
-def fit(tokens: DataFrame, seeds: dict[str, int], most: int) -> Bayes:
-    """From (tokens array, verdict): pre-aggregated counts of all rows; at most
-    ``most`` commonest tokens are kept by name, the others stand as one unseen token."""
-    block = F.sum(F.when(F.col("verdict") == "block", 1).otherwise(0)).alias("b")
-    allow = F.sum(F.when(F.col("verdict") == "allow", 1).otherwise(0)).alias("a")
-    per = tokens.select("verdict", F.explode("tokens").alias("t")).groupBy("t").agg(block, allow, F.count("*").alias("n"))
-    rows = commonest(per, "n", most).orderBy("t").collect()
-    classes = tokens.agg(block, allow).first()
-    b, a = {r["t"]: r["b"] for r in rows}, {r["t"]: r["a"] for r in rows}
-    seen = sum(b.values()) + sum(a.values())
+
+def labels(host: str, path: str) -> list[str]:
+    """Runs of letters (h: of the host, p: of the path) in order; runs of digits become 0."""
+    return [f"{kind}:{x if x.isalpha() else '0'}" for kind, part in (("h", host), ("p", path.lower()))
+            for x in re.findall(r"[a-z]+|[0-9]+", part)]
+
+
+def seeded(counts: DataFrame | None, seeds: Iterable[str]) -> tuple[dict[str, int], int]:
+    """Counts of the seed words, each a thousandth of all words at least, and the
+    total of all words plus one. One row and the seeds' rows reach the driver."""
+    seeds = list(seeds)
+    total = (counts.agg(F.sum("n")).first()[0] or 0) if counts is not None else 0
+    have = {r["w"]: r["n"] for r in counts.where(F.col("w").isin(seeds)).collect()} if counts is not None else {}
+    for w in seeds:
+        old = have.get(w, 0)
+        have[w] = max(old, 1 + total // 1000)
+        total += have[w] - old
+    return have, total + 1
+
+
+def segmented(names: DataFrame, counts: DataFrame | None, seeds: Iterable[str]) -> DataFrame:
+    """(name, parts): each of the distinct ``name`` split by the counts of all words
+    that it holds; these come by a join on its substrings."""
+    have, total = seeded(counts, seeds)
+
+    def substrings(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                subs = list({name[i:j] for i in range(len(name)) for j in range(i + 1, min(len(name), i + MAX_WORD) + 1)})
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(subs), pa.string()), pa.array(subs, pa.string())], names=["name", "w"])
+
+    def split(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in batches:
+            names = b.column(0).to_pylist()
+            parts = [Segmenter({r["w"]: r["n"] for r in held or ()} | have, total).split(x)
+                     for x, held in zip(names, b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(parts, pa.list_(pa.string()))], names=["name", "parts"])
+
+    if counts is None:
+        held = names.withColumn("held", F.lit(None).cast("array<struct<w:string,n:bigint>>"))
+    else:
+        some = names.mapInArrow(substrings, "name string, w string").join(counts, "w").groupBy("name").agg(
+            F.collect_list(F.struct("w", "n")).alias("held"))
+        held = names.join(some, "name", "left")
+    return held.select("name", "held").mapInArrow(split, "name string, parts array<string>")
+
+
+def fit(sites: DataFrame, seeds: dict[str, int]) -> tuple[DataFrame, float, float]:
+    """From (tokens array, verdict, c rows): (t, weight) of every token, the weight
+    of all others, and the prior; multinomial naive Bayes, log odds of block over
+    allow. One row and the seeds' rows reach the driver."""
+    count = lambda v: F.coalesce(F.sum(F.when(F.col("verdict") == v, F.col("c"))), F.lit(0))
+    block, allow = count("block").alias("b"), count("allow").alias("a")
+    per = saved(sites.select("verdict", "c", F.explode("tokens").alias("t")).groupBy("t").agg(block, allow), "token-counts")
+    classes, sums = sites.agg(block, allow).first(), per.agg(F.sum("b").alias("b"), F.sum("a").alias("a"), F.count("*").alias("v")).first()
+    nb, na, v = sums["b"] or 0, sums["a"] or 0, sums["v"] + 1
+    named = [f"h:{w}" for w in seeds]
+    have = {r["t"]: (r["b"], r["a"]) for r in per.where(F.col("t").isin(named)).collect()}
+    seen = nb + na
     for w, n in seeds.items():  # as many observations as given, or a hundredth of all tokens
-        b[f"h:{w}"] = b.get(f"h:{w}", 0) + max(n, seen // 100)
-        a.setdefault(f"h:{w}", 0)
-    nb, na, v = sum(b.values()), sum(a.values()), len(b) + 1
-    log = lambda t: math.log((b.get(t, 0) + 1) / (nb + v)) - math.log((a.get(t, 0) + 1) / (na + v))
-    return Bayes(math.log(((classes["b"] or 0) + 1) / ((classes["a"] or 0) + 1)), {t: log(t) for t in b}, log("\0"))
+        b, a = have.get(f"h:{w}", (0, 0))
+        v += f"h:{w}" not in have
+        have[f"h:{w}"] = (b + max(n, seen // 100), a)
+        nb += max(n, seen // 100)
+    spark = sites.sparkSession
+    seeded_rows = spark.createDataFrame([(t, b, a) for t, (b, a) in have.items()], "t string, b long, a long")
+    all_rows = per.where(~F.col("t").isin(named)).unionByName(seeded_rows)
+    weight = F.log((F.col("b") + 1) / F.lit(float(nb + v))) - F.log((F.col("a") + 1) / F.lit(float(na + v)))
+    return (all_rows.select("t", weight.alias("weight")), math.log(1 / (nb + v)) - math.log(1 / (na + v)),
+            math.log((classes["b"] + 1) / (classes["a"] + 1)))
 
 
 def judge(pages: DataFrame, rules: Iterable[Rule], page_id: str = "page_id", url: str = "url", html: str | None = "html",
-          max_words: int = 50_000, max_tokens: int = 100_000, seeds: dict[str, int] | None = None) -> DataFrame:
+          seeds: dict[str, int] | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, words (space-joined tokens) and odds.
 
     The longest rule that fits decides. Elsewhere a naive Bayes model over the
     segmented host and path decides: block if its log odds are above zero. It is
     trained on all pages that rules decide, plus ``seeds``; the words of the
-    segmenter are those of all whole page texts. What reaches the driver has fixed
-    bounds: ``max_words`` and ``max_tokens`` rows.
+    segmenter are those of all whole page texts. Neither words nor tokens are
+    capped: each distinct host and path label meets the words it holds, and each
+    distinct host and path its tokens' weights, by joins.
 
     A url that is null or lacks ``://`` has empty host and path, no rule, and the
     verdict of the model's prior. Null html counts as empty. Repeated rows stay.
     An empty table gives an empty result. Other columns are not read.
     """
-    spark, seeds, rules = pages.sparkSession, SEEDS if seeds is None else seeds, list(rules)
+    seeds, rules = SEEDS if seeds is None else seeds, list(rules)
     text, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     rows = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     rows = rows.withColumn("rule", text).withColumn("decided", verdict)
-    counts = word_counts(pages, html, max_words) if html else {}
-    for w in seeds:
-        counts[w] = max(counts.get(w, 0), 1 + sum(counts.values()) // 1000)
-    words = spark.sparkContext.broadcast(counts)
-    made: dict[int, Segmenter] = {}
-
-    def segmenter() -> Segmenter:
-        return made.setdefault(0, Segmenter(words.value))
+    counts = saved(word_counts(pages, html), "word-counts") if html else None
 
     @F.pandas_udf("array<string>")
-    def split(host: pd.Series, path: pd.Series) -> pd.Series:
-        s = segmenter()
-        return pd.Series([s.tokens(h, p) for h, p in zip(host, path, strict=True)])
-
-    learn = rows.where("decided is not null").select(split("host", "path").alias("tokens"), F.col("decided").alias("verdict"))
-    model = spark.sparkContext.broadcast(fit(learn, seeds, max_tokens))
-
-    @F.pandas_udf("words string, odds double")
-    def score(host: pd.Series, path: pd.Series) -> pd.DataFrame:
-        s, m = segmenter(), model.value
-        got = [s.tokens(h, p) for h, p in zip(host, path, strict=True)]
-        return pd.DataFrame({"words": [" ".join(t) for t in got], "odds": [m.odds(t) for t in got]})
-
-    out = rows.withColumn("s", score("host", "path"))
-    by_model = F.when(F.col("s.odds") > 0, "block").otherwise("allow")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("decided", by_model).alias("verdict"),
-                      F.col("s.words").alias("words"), F.col("s.odds").alias("odds"))
+    def labelled(host: pd.Series, path: pd.Series) -> pd.Series:
+        return pd.Series([labels(h, p) for h, p in zip(host, path, strict=True)])
+
+    key = ["host", "path"]
+    sites = rows.groupBy(*key).agg(F.first("decided").alias("verdict"), F.count("*").alias("c"))
+    sites = saved(sites.withColumn("labels", labelled("host", "path")), "sites")
+    each = sites.select(*key, F.posexplode("labels").alias("at", "label")).withColumn("name", F.substring("label", 3, 1 << 30))
+    parts = saved(segmented(each.where("name <> '0'").select("name").distinct(), counts, seeds), "names")
+    kind = F.concat(F.substring("label", 1, 2), F.col("part"))
+    joined = each.join(parts, "name", "left").select(
+        *key, "at", F.posexplode(F.coalesce("parts", F.array(F.lit("0")))).alias("k", "part"), "label").select(*key, "at", "k", kind.alias("t"))
+    words = joined.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("at", "k", "t"))).alias("ts")).select(
+        *key, F.col("ts.t").alias("tokens"))
+    sites = saved(sites.drop("labels").join(words, key, "left").withColumn(
+        "tokens", F.coalesce("tokens", F.array().cast("array<string>"))), "site-tokens")
+    weights, other, prior = fit(sites.where("verdict is not null"), seeds)
+    scored = sites.select(*key, F.posexplode("tokens").alias("at", "t")).join(weights, "t", "left").groupBy(*key).agg(
+        F.sort_array(F.collect_list(F.struct("at", F.coalesce("weight", F.lit(other)).alias("w")))).alias("ws")).select(
+        *key, F.aggregate("ws.w", F.lit(0.0), lambda x, w: x + w).alias("sum"))
+    judged = sites.join(scored, key, "left").select(
+        *key, F.concat_ws(" ", "tokens").alias("words"), (F.lit(prior) + F.coalesce("sum", F.lit(0.0))).alias("odds"))
+    by_model = F.when(F.col("odds") > 0, "block").otherwise("allow")
+    return rows.join(judged, key).select("page_id", "host", "path", "rule", F.coalesce("decided", by_model).alias("verdict"), "words", "odds")

@@ -277,6 +277,14 @@ def test_commonest(spark):
     assert url_filter.commonest(df, "n", 500).count() == 500
 
 
+def test_rare_words_split_hosts_in_large_vocabularies(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rare = [f"{a}{b}{c}{d}" for a in letters for b in letters for c in letters for d in letters[:4]]  # 70,304, once each
+    pages = spark.createDataFrame([(1, "http://zebralamp.com/x/kettlespoon7", "zebra lamp kettle spoon " + " ".join(rare))], "page_id long, url string, html string")
+    got = url_filter.judge(pages, [url_filter.Rule("allow", "com/")]).first()
+    assert got["words"].split()[:2] == ["h:zebra", "h:lamp"] and got["words"].split()[-3:] == ["p:kettle", "p:spoon", "p:0"]
+
+
 def test_url_query(spark):
     rows = queries.op8_url_words(spark, "/root/testdata/sf0.01").collect()
     urls = {r["page_id"]: r["url"] for r in table(spark, "/root/testdata/sf0.01", "pages").collect()}
