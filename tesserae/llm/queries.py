@@ -9,7 +9,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import decontam, hilbert, mixing, rule_ensemble, secret_scan, simhash, substrings, token_files, topk, url_filter
+from tesserae.llm import backtrack_bpe, decontam, hilbert, mixing, rule_ensemble, secret_scan, simhash, substrings, token_files, topk, url_filter
 from tesserae.llm.common import scratch, table
 
 URL_RULES = (
@@ -71,10 +71,19 @@ def op10_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.classify(docs, rule_ensemble.train(docs, labels))
 
 
+def op11_backtrack_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = str(public_tokenizers.path("word_bpe_49k.json"))
+    docs = table(spark, sf_dir, "documents")
+    return backtrack_bpe.digest(backtrack_bpe.round_trip(docs, tokenizer, keep=["doc_id"]))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_poisson_mix, op2_token_files, op3_simhash, op4_secret_ownership, op5_hilbert_shards, op6_va_topk,
-              op7_template_decontamination, op8_url_words, op9_substring_dedup, op10_rule_ensemble)
+              op7_template_decontamination, op8_url_words, op9_substring_dedup, op10_rule_ensemble, op11_backtrack_bpe)
 } | {"pipeline": corpus_pipeline.run}
 
 _MIX_WEIGHTS = ", ".join(f"('{s}', {w!r}::DOUBLE)" for s, w in corpus_pipeline.MIX_WEIGHTS.items())
