@@ -9,7 +9,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import backtrack_bpe, decontam, hilbert, mixing, rule_ensemble, secret_scan, simhash, spelling, substrings, token_files, topk, url_filter
+from tesserae.llm import backtrack_bpe, conversation_repair, decontam, hilbert, mixing, rule_ensemble, secret_scan, simhash, spelling, substrings, token_files, topk, url_filter
 from tesserae.llm.common import scratch, table
 
 URL_RULES = (
@@ -84,10 +84,14 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(spelling.word_counts(table(spark, sf_dir, "documents"), typo_every=199))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.digest(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_poisson_mix, op2_token_files, op3_simhash, op4_secret_ownership, op5_hilbert_shards, op6_va_topk,
-              op7_template_decontamination, op8_url_words, op9_substring_dedup, op10_rule_ensemble, op11_backtrack_bpe, op12_spelling_variants)
+              op7_template_decontamination, op8_url_words, op9_substring_dedup, op10_rule_ensemble, op11_backtrack_bpe, op12_spelling_variants, op13_conversation_repair)
 } | {"pipeline": corpus_pipeline.run}
 
 _MIX_WEIGHTS = ", ".join(f"('{s}', {w!r}::DOUBLE)" for s, w in corpus_pipeline.MIX_WEIGHTS.items())
