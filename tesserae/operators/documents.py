@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import scratch_path
+
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -175,3 +177,33 @@ def insert_many(collection: DataFrame | None, docs: DataFrame, key: str = "_id",
     if collection is None:
         return docs
     return collection.unionByName(docs, allowMissingColumns=True)
+
+
+def insert_unique(collection: DataFrame, docs: DataFrame, key: str = "_id", order: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Insert that keeps ``key`` unique, as an unordered bulk insert does: ``(collection after it, rejected)``.
+
+    ``rejected`` holds the documents left out with their ``reason``: ``stored`` (the key is in the collection),
+    ``batch`` (an earlier document of the batch has it) or ``no key`` (null). Of equal keys the first by ``order``, then
+    by a hash of the document, is taken; equal documents are told apart by their number alone. The collection's
+    keys are unique by contract, and null there at most once.
+
+    The batch is folded to its distinct documents first, then to one row per key, which meets
+    the collection's keys in one join; that row says which document is taken. It is written to the shared folder, so
+    that the documents of a key with a third of the batch are split over tasks when they meet it.
+    """
+    spark, cols = docs.sparkSession, docs.columns
+    at = F.struct(*[F.col(c) for c in order], F.xxhash64(*[F.to_json(F.struct(F.col(c))) for c in cols]))
+    folded = docs.select(F.col(key).alias("_k"), F.struct(*cols).alias("_doc"), at.alias("_at")).groupBy("_k", "_at").agg(
+        F.any_value("_doc").alias("_doc"), F.count(F.lit(1)).alias("_copies"))
+    first = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("_k"), at.alias("_at")).groupBy("_k").agg(F.min("_at").alias("_first"))
+    known = collection.filter(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.lit(True).alias("_stored"))
+    path = scratch_path(spark, "insert-keys")
+    first.join(known, "_k", "left").select("_k", "_first", F.coalesce("_stored", F.lit(False)).alias("_stored")).write.parquet(path)
+    judged = folded.join(spark.read.parquet(path), "_k", "left")
+    taken = F.coalesce(~F.col("_stored") & (F.col("_at") == F.col("_first")), F.lit(False))
+    reason = F.when(F.col("_k").isNull(), "no key").when(F.col("_stored"), "stored").otherwise("batch")
+    left = F.col("_copies") - taken.cast("long")
+    rejected = judged.filter(left > 0).select("_doc", reason.alias("reason"), F.explode(F.sequence(F.lit(1).cast("long"), left)).alias("_i"))
+    inserted = judged.filter(taken).select("_doc.*")
+    return (collection.unionByName(inserted, allowMissingColumns=True),
+            rejected.select(*[F.col(f"_doc.`{c}`").alias(c) for c in cols], "reason"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fast_token
+from ..session import scratch_path
 
 
 def unordered_pairs(df: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
@@ -22,37 +23,66 @@ def unordered_pairs(df: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
             .distinct())
 
 
-def sample_pairs(nodes: DataFrame, rounds: int = 1, n: int | None = None, seed: str = "pairs", buckets: int = 4096,
+def ranked_ids(nodes: DataFrame, id_col: str = "id") -> DataFrame:
+    """``id`` and its exact ``rank`` from 0 in id order; null ids take no part.
+
+    Ids are sorted by ranges and numbered within each; a range's offset is the number of ids in
+    those before it, and only the ranges' counts are added up in one place. The numbered ids are written to the
+    shared folder first, so ranks cannot change when a task is run again.
+    """
+    spark = nodes.sparkSession
+    path = scratch_path(spark, "ranks")
+    (nodes.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).repartitionByRange("id").sortWithinPartitions("id")
+     .select("id", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_at"))
+     .write.parquet(path))
+    placed = spark.read.parquet(path)
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    begin = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_begin"))
+    return placed.join(F.broadcast(begin), "_part").select("id", (F.col("_begin") + F.col("_at")).alias("rank"))  # one row a range
+
+
+def sample_pairs(nodes: DataFrame, draws: int | None = None, n: int | None = None, seed: str = "pairs",
                  id_col: str = "id", token: Callable[[Column], Column] = fast_token) -> DataFrame:
-    """Random unordered pairs of distinct ids, the same for the same seed.
+    """Random unordered pairs of distinct ids, the same for the same seed: ``draws`` of them (by
+    default as many as there are ids), drawn freely and independently, repeated ones once.
 
-    In every round a seeded hash of the id picks its bucket and its place there,
-    and each id is paired with the next one: ``ids - buckets`` pairs a round at
-    least, none with itself, and no id reaches the driver. A bucket holds about
-    ``ids / buckets`` rows; ``n`` keeps that many pairs, chosen by hash.
+    A draw picks two ranks by seeded hashes: any of all, then any of the others, so every pair has the same
+    chance. Ranks are joined to ids on executors, spread evenly since draws are; no id reaches the driver. ``n`` keeps
+    that many pairs, chosen by hash. Fewer than two ids give no pairs. Ids are distinct.
     """
-    r = nodes.select(F.col(id_col).alias("_id"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("_round"))
-    text = F.concat_ws(":", F.lit(seed), F.col("_round").cast("string"), F.col("_id").cast("string"))
-    t = r.filter(F.col("_id").isNotNull()).withColumn("_t", token(text))
-    w = Window.partitionBy("_round", F.pmod("_t", F.lit(buckets))).orderBy("_t", "_id")
-    pairs = unordered_pairs(t.select(F.col("_id").alias("a"), F.lead("_id").over(w).alias("b")), "a", "b")
+    ranks = ranked_ids(nodes, id_col)
+    total = ranks.agg(F.max("rank")).first()[0]
+    if not total:
+        return ranks.select(F.col("id").alias("src"), F.col("id").alias("dst")).filter(F.lit(False))
+    total += 1
+
+    def draw(which: str, among: int) -> Column:
+        return F.pmod(token(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"), F.lit(f":{which}"))), F.lit(among))
+
+    drawn = nodes.sparkSession.range(total if draws is None else draws).select(draw("a", total).alias("a"), draw("b", total - 1).alias("b"))
+    other = F.col("b") + (F.col("b") >= F.col("a")).cast("long")  # the rank of its own is passed over
+    drawn = drawn.select(F.least("a", other).alias("a"), F.greatest("a", other).alias("b")).distinct()
+    one = ranks.select(F.col("rank").alias("a"), F.col("id").alias("src"))
+    two = ranks.select(F.col("rank").alias("b"), F.col("id").alias("dst"))
+    pairs = drawn.join(one, "a").join(two, "b").select("src", "dst")  # lower rank, lower id
     if n is None:
         return pairs
     return pairs.orderBy(token(F.concat_ws(":", F.lit(seed), "src", "dst")), "src", "dst").limit(n)
 
 
 def symmetric_closure(pairs: DataFrame, normalized: bool = False) -> DataFrame:
-    """Both directions of every pair, without duplicates.
+    """Both directions of every pair, without duplicates; other columns come along.
 
     One pass over ``pairs`` (each row explodes into its two directions).
     ``normalized=True`` says the input is already a set of ``src < dst``
     pairs (as ``unordered_pairs`` makes): the two directions can then never
     collide, so no dedupe shuffle is needed.
     """
+    more = [c for c in pairs.columns if c not in ("src", "dst")]
     both = pairs.select(F.explode(F.array(
         F.struct(F.col("src").alias("src"), F.col("dst").alias("dst")),
         F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")),
-    )).alias("e")).select("e.src", "e.dst")
+    )).alias("e"), *more).select("e.src", "e.dst", *more)
     return both if normalized else both.distinct()
 
 
@@ -96,15 +126,19 @@ def merge_nodes(current: DataFrame, incoming: DataFrame, set_cols: Sequence[str]
     return j.select(*out)
 
 
-def merge_edges(existing: DataFrame, pairs: DataFrame) -> DataFrame:
+def merge_edges(existing: DataFrame, pairs: DataFrame, both_ways: bool = False) -> DataFrame:
     """``MERGE (a)-[:r]->(b) MERGE (b)-[:r]->(a)``: add both directions of
     each pair unless already present; nothing is added twice.
 
     The batch alone is deduplicated; an anti join against the stored edges
     leaves the new ones, which are appended. Stored edges are a set by
-    contract and are kept as they are.
+    contract and are kept as they are. ``both_ways`` says that every stored edge has its
+    reverse stored too: unordered pairs are then matched once instead of two directions, half the rows.
     """
     cur = existing.select("src", "dst")
+    if both_ways:
+        new = unordered_pairs(pairs).join(cur.filter(F.col("src") < F.col("dst")), ["src", "dst"], "left_anti")
+        return cur.unionByName(symmetric_closure(new, normalized=True))
     new = symmetric_closure(pairs, normalized=True).distinct()
     return cur.unionByName(new.join(cur, ["src", "dst"], "left_anti"))
 

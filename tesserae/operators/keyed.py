@@ -12,6 +12,7 @@ from ..functions.scalars import fast_token
 from ..schemas import KeySpec
 
 _BATCH = "_batch"
+_ROW = "_row"
 Token = Callable[[Column], Column]
 
 
@@ -45,24 +46,28 @@ def upsert(current: DataFrame | None, changes: Sequence[DataFrame] | DataFrame,
         return _lww(None, changes, key, version, batch_precedence)
     cols = current.columns
     latest = _lww(None, changes, key, version, batch_precedence,
-                  keep=cols + [v for v in version if v not in cols], like=current)
-    ks = latest.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)])
+                  keep=cols + [v for v in version if v not in cols], like=current, packed=True)
+    # the key side asks for the packed row too: both uses are then one aggregate, and its shuffle is reused
+    ks = latest.filter(F.col(_ROW).isNotNull()).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)])
     match = None
     for i, k in enumerate(key):
         c = F.col(k).eqNullSafe(F.col(f"_k{i}"))
         match = c if match is None else match & c
     rest = current.join(ks, match, "left_anti")
+    rows = latest.select(*[F.col(c) if c in key else F.col(f"{_ROW}.{c}").alias(c)
+                           for c in cols + [v for v in version if v not in cols]])
     if batch_precedence:
-        return rest.unionByName(latest.select(*cols))
+        return rest.unionByName(rows.select(*cols))
     touched = current.join(ks, match, "left_semi")
-    merged = _lww(touched, [latest], key, version, batch_precedence=False)
+    merged = _lww(touched, [rows], key, version, batch_precedence=False)
     return rest.unionByName(merged.select(*cols))
 
 
 def _lww(current: DataFrame | None, changes: Sequence[DataFrame], key: list[str], version: list[str],
-         batch_precedence: bool, keep: list[str] | None = None, like: DataFrame | None = None) -> DataFrame:
+         batch_precedence: bool, keep: list[str] | None = None, like: DataFrame | None = None, packed: bool = False) -> DataFrame:
     """Union-and-aggregate last write wins (see ``upsert``); ``keep`` names
-    the output columns, typed from the frames or from ``like``."""
+    the output columns, typed from the frames or from ``like``. ``packed`` leaves
+    the other columns in one struct."""
     frames = ([] if current is None else [current]) + list(changes)
     out_cols = keep or frames[0].columns
     types = {}
@@ -79,11 +84,14 @@ def _lww(current: DataFrame | None, changes: Sequence[DataFrame], key: list[str]
         tagged = t if tagged is None else tagged.unionByName(t)
     values = [c for c in out_cols if c not in key]
     if not values:
-        return tagged.select(*key).distinct()
+        keys = tagged.select(*key).distinct()
+        return keys.withColumn(_ROW, F.struct(F.lit(1).alias("_"))) if packed else keys
     lead = [F.col(_BATCH)] if batch_precedence else []
     order = F.struct(*lead, *[F.col(v) for v in version], *[F.col(v) for v in values if v not in version])
-    out = tagged.groupBy(*key).agg(F.max_by(F.struct(*values), order).alias("_row"))
-    return out.select(*[F.col(c) if c in key else F.col(f"_row.{c}").alias(c) for c in out_cols])
+    out = tagged.groupBy(*key).agg(F.max_by(F.struct(*values), order).alias(_ROW))
+    if packed:
+        return out
+    return out.select(*[F.col(c) if c in key else F.col(f"{_ROW}.{c}").alias(c) for c in out_cols])
 
 
 def _time(t, default: Column) -> Column:

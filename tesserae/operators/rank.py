@@ -43,8 +43,8 @@ def preview(df: DataFrame, k: int = 20, order: Sequence[Column | str] = ()) -> D
 
 
 def to_pandas_preview(df: DataFrame, k: int = 20, order: Sequence[Column | str] = (), max_rows: int = 10_000):
-    """Display helper: at most ``k`` rows reach the driver (``k`` is capped at
-    ``max_rows``); the unbounded ``toPandas()`` of a whole result is never
+    """Display helper: at most ``k`` rows reach the driver, and a ``k`` above
+    ``max_rows`` is refused; the unbounded ``toPandas()`` of a whole result is never
     taken."""
     if k > max_rows:
         raise ValueError(f"preview of {k} rows exceeds {max_rows}")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import generate as gen
 from ..functions.scalars import bernoulli, bounded_int, iso_date, iso_text, key_token, unit_double, upper_half
 from ..operators import documents as doc
-from ..operators import graph, keyed, kv, layout, mutate, rank
+from ..operators import expiry, graph, keyed, kv, layout, mutate, partitions, rank, token_layout
 from ..schemas import PEOPLE_SCHEMA, USER_METRICS_KEY, USER_METRICS_SCHEMA
 from ..session import scratch_path
 from ..sources import catalog, files, fixtures as fx
@@ -503,12 +503,15 @@ def graph_pairs_gen(spark, sf):
     return fx.raw_pairs(spark, sf).select("a", "b")
 
 
-@q("graph_sample_pairs", W(f"""SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM (
- SELECT id AS a, lead(id) OVER (PARTITION BY r, h % 16 ORDER BY h, id) AS b FROM (
-  SELECT id, r, {kt("concat('pairs:', CAST(r AS VARCHAR), ':', CAST(id AS VARCHAR))")} AS h
-  FROM nodes, (SELECT unnest(range(2)) AS r) d)) WHERE b IS NOT NULL""", "nodes"))
+@q("graph_sample_pairs", W(f"""SELECT DISTINCT least(x.id, y.id) AS src, greatest(x.id, y.id) AS dst FROM (
+ SELECT a, b + CASE WHEN b >= a THEN 1 ELSE 0 END AS b FROM (
+  SELECT {kt("concat('pairs:', CAST(j AS VARCHAR), ':a')")} % n AS a, {kt("concat('pairs:', CAST(j AS VARCHAR), ':b')")} % (n - 1) AS b
+  FROM (SELECT n, unnest(range(n)) AS j FROM (SELECT count(*) AS n FROM nodes) c) d) e) f
+ JOIN (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM nodes) x ON f.a = x.k
+ JOIN (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM nodes) y ON f.b = y.k""", "nodes"))
 def graph_sample_pairs(spark, sf):
-    return graph.sample_pairs(fx.nodes(spark, sf), rounds=2, buckets=16, token=key_token)
+    """As many free draws of two different nodes as there are nodes."""
+    return graph.sample_pairs(fx.nodes(spark, sf), token=key_token)
 
 
 @q("graph_pairs", W("SELECT * FROM pairs", "pairs"))
@@ -562,7 +565,9 @@ PAIRS_CUTOFF = "1998-06-01 00:00:00"
 
 @q("graph_merge_edges", W("SELECT * FROM old_edges UNION SELECT * FROM edges", "old_edges", "edges"))
 def graph_merge_edges(spark, sf):
-    return graph.merge_edges(fx.edges(spark, sf, before=PAIRS_CUTOFF), fx.pairs(spark, sf))
+    seen = fx.pairs_seen(spark, sf)
+    old = seen.filter(F.col("since") < F.lit(PAIRS_CUTOFF).cast("timestamp_ntz")).select("src", "dst")
+    return graph.merge_edges(graph.symmetric_closure(old, normalized=True), seen.select("src", "dst"), both_ways=True)
 
 
 @q("graph_detach_delete", W("""SELECT e.src, e.dst FROM edges e WHERE e.src NOT IN (SELECT id FROM nodes WHERE job = 'ECONOMY')
@@ -582,7 +587,8 @@ def graph_detach_delete_nodes(spark, sf):
 
 @q("graph_delete_edges", W("SELECT * FROM edges EXCEPT SELECT * FROM old_edges", "edges", "old_edges"))
 def graph_delete_edges(spark, sf):
-    return graph.delete_edges(fx.edges(spark, sf), fx.edges(spark, sf, before=PAIRS_CUTOFF))
+    seen = graph.symmetric_closure(fx.pairs_seen(spark, sf), normalized=True)
+    return graph.delete_edges(seen.select("src", "dst"), seen.filter(F.col("since") < F.lit(PAIRS_CUTOFF).cast("timestamp_ntz")))
 
 
 # ------------------------------------------------- groups, top-k, layout
@@ -668,3 +674,168 @@ def upsert_written(spark, sf):
 def keyed_bucket_counts(spark, sf):
     """Rows per partition key: partial counts, then one small shuffle."""
     return fx.user_metrics(spark, sf).groupBy("city").agg(F.count(F.lit(1)).alias("rows"))
+
+
+# ------------------------------------------------------------- stored layouts
+
+def _stored_by_token(spark, sf):
+    path = scratch_path(spark, "user-metrics-by-token")
+    return token_layout.write_by_token(fx.user_metrics(spark, sf), path, USER_METRICS_KEY, key_token)
+
+
+@q("token_seek_stored", W(SEEK_SQL, "user_metrics"))
+def token_seek_stored(spark, sf):
+    """The seek over a table stored in token order: both ends of the tokens read reach the scan."""
+    return token_layout.seek(spark, _stored_by_token(spark, sf), USER_METRICS_KEY, SEEK_TOKEN).drop("token")
+
+
+PAGE = 100
+
+
+@q("token_page_stored", W(f"""SELECT *, {kt('city')} AS token FROM user_metrics
+ ORDER BY {kt('city')}, city, user_id LIMIT {PAGE} OFFSET {2 * PAGE}""", "user_metrics"))
+def token_page_stored(spark, sf):
+    """The third page of a scan in token order, each page resumed after the last row of the one before."""
+    path, after, order = _stored_by_token(spark, sf), None, ["token", *USER_METRICS_KEY.primary]
+    for _ in range(2):
+        last = token_layout.page(spark, path, USER_METRICS_KEY, PAGE, after=after).agg(F.max(F.struct(*order)).alias("at")).first()["at"]
+        after = tuple(last)
+    return token_layout.page(spark, path, USER_METRICS_KEY, PAGE, after=after)
+
+
+@q("keyed_join_stored", W("""SELECT m.city, m.user_id, m.username, m.session_duration, c.changes, c.longest FROM user_metrics m
+ JOIN (SELECT city, user_id, count(*) AS changes, max(session_duration) AS longest FROM metric_changes GROUP BY city, user_id) c
+ ON m.city = c.city AND m.user_id = c.user_id""", "user_metrics", "metric_changes"))
+def keyed_join_stored(spark, sf):
+    """Two stored tables joined on the full key, bucket by bucket."""
+    buckets = catalog.buckets_for(files.size_bytes(spark, table_path(sf, "lineitem")))
+    changes = fx.metric_changes(spark, sf).groupBy(*USER_METRICS_KEY.primary).agg(
+        F.count(F.lit(1)).alias("changes"), F.max("session_duration").alias("longest"))
+    names = []
+    for df in (fx.user_metrics(spark, sf).drop("last_access"), changes):
+        location = scratch_path(spark, "keyed")
+        names.append("tesserae_" + location.rsplit("/", 1)[-1].replace("-", "_"))
+        catalog.write_keyed(df, names[-1], USER_METRICS_KEY, buckets, location, by="primary")
+    return catalog.join_stored(spark, *names, USER_METRICS_KEY)
+
+
+PURGE_AS_OF = "1999-01-01 12:00:00"
+
+
+@q("ttl_purge", W(f"""SELECT *, expires_at IS NULL OR expires_at > TIMESTAMP '{PURGE_AS_OF}' AS alive FROM (
+ SELECT *, CASE WHEN session_duration < 3000 THEN TIMESTAMP '1998-12-27 00:00:00' + to_seconds(session_duration * 240 + 86400)
+  ELSE NULL END AS expires_at FROM user_metrics)
+ WHERE expires_at IS NULL OR CAST(expires_at AS DATE) >= DATE '1999-01-01'""", "user_metrics"))
+def ttl_purge(spark, sf):
+    """Rows left after a purge of the folders of past days, and whether a reader still sees them."""
+    um, path = fx.user_metrics(spark, sf), scratch_path(spark, "user-metrics-ttl")
+    written = F.lit("1998-12-27 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("session_duration") * 240)
+    expiry.write_by_expiry(keyed.with_ttl(um, 86400, written, where=F.col("session_duration") < 3000), path, USER_METRICS_KEY.primary)
+    expiry.purge(spark, path, PURGE_AS_OF)
+    left = expiry.read_all(spark, path)
+    return left.withColumn("alive", F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(PURGE_AS_OF).cast("timestamp_ntz")))
+
+
+@q("ttl_live_stored", W(f"""SELECT * FROM (SELECT *, CASE WHEN session_duration < 3000
+ THEN TIMESTAMP '1998-12-27 00:00:00' + to_seconds(session_duration * 240 + 86400) ELSE NULL END AS expires_at FROM user_metrics)
+ WHERE expires_at IS NULL OR expires_at > TIMESTAMP '{PURGE_AS_OF}'""", "user_metrics"))
+def ttl_live_stored(spark, sf):
+    """Live rows of the same layout before any purge: folders of past days are pruned."""
+    um, path = fx.user_metrics(spark, sf), scratch_path(spark, "user-metrics-ttl")
+    written = F.lit("1998-12-27 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("session_duration") * 240)
+    expiry.write_by_expiry(keyed.with_ttl(um, 86400, written, where=F.col("session_duration") < 3000), path, USER_METRICS_KEY.primary)
+    return expiry.read_live(spark, path, PURGE_AS_OF)
+
+
+def _lookup_table(spark, sf):
+    path = scratch_path(spark, "user-metrics-lookup")
+    files.write_for_lookup(fx.user_metrics(spark, sf), path, USER_METRICS_KEY.primary, also=["username"])
+    return files.read_parquet(spark, path)
+
+
+@q("cql_point_stored", W("SELECT * FROM user_metrics WHERE city = 'NATION_12' AND user_id = 422", "user_metrics"))
+def cql_point_stored(spark, sf):
+    return keyed.point(_lookup_table(spark, sf), city="NATION_12", user_id=422)
+
+
+@q("cql_by_username", W("SELECT * FROM user_metrics WHERE username = (SELECT c_name FROM customer WHERE c_custkey = 7)", "user_metrics"))
+def cql_by_username(spark, sf):
+    """Lookup by a secondary index: the Bloom filters on a column that is not in the key."""
+    name = read_table(spark, sf, "customer").filter(F.col("c_custkey") == 7).select("c_name").first()[0]
+    return keyed.point(_lookup_table(spark, sf), username=name)
+
+
+@q("schema_sync_files", W("""SELECT city, user_id, CASE WHEN user_id % 2 = 1 THEN username END AS username, session_duration,
+ CASE WHEN user_id % 2 = 1 THEN last_access END AS last_access, CASE WHEN user_id % 2 = 0 THEN concat('from ', city) END AS note
+ FROM user_metrics""", "user_metrics"))
+def schema_sync_files(spark, sf):
+    """Two generations of files, the older without two of the model's columns and with one of its own, read as one."""
+    um = fx.user_metrics(spark, sf)
+    old, new = scratch_path(spark, "generation"), scratch_path(spark, "generation")
+    files.write_parquet(um.filter(F.col("user_id") % 2 == 0).select("city", "user_id", "session_duration",
+                                                                   F.concat(F.lit("from "), F.col("city")).alias("note")), old)
+    files.write_parquet(um.filter(F.col("user_id") % 2 == 1), new)
+    return catalog.read_generations(spark, [old, new], USER_METRICS_SCHEMA)
+
+
+def _stored_users(spark, sf):
+    buckets = catalog.buckets_for(files.size_bytes(spark, table_path(sf, "customer")), least=16)
+    return partitions.store(_users(spark, sf), scratch_path(spark, "users"), buckets=buckets)
+
+
+@q("doc_inc_stored", W("""SELECT _id, CASE WHEN _id = 7 THEN coalesce(login_count, 0) + 1 ELSE login_count END AS login_count
+FROM users_flat""", "users_flat"))
+def doc_inc_stored(spark, sf):
+    """One document of a stored collection changes: one folder is written, the others are read where they are."""
+    stored, _ = partitions.inc(spark, _stored_users(spark, sf), scratch_path(spark, "users"), 7, "login_count")
+    return partitions.load(spark, stored).select("_id", "login_count")
+
+
+@q("doc_changes_stored", W("""SELECT _id, CASE WHEN _id = 7 THEN coalesce(login_count, 0) + 1 ELSE login_count END AS login_count,
+ CASE WHEN _id = (SELECT min(_id) FROM users_flat WHERE login_count > 990) THEN false ELSE active END AS active,
+ CASE WHEN job = 'MACHINERY' THEN true END AS is_technical FROM users_flat
+ WHERE _id <> (SELECT max(_id) FROM users_flat)""", "users_flat"))
+def doc_changes_stored(spark, sf):
+    """An increment, a set on the first match, a set of a new field on all matches and a deletion, one after another."""
+    stored, last = _stored_users(spark, sf), _users(spark, sf).agg(F.max("_id")).first()[0]
+    stored, _ = partitions.inc(spark, stored, scratch_path(spark, "users"), 7, "login_count")
+    stored, _ = partitions.set_first(spark, stored, scratch_path(spark, "users"), F.col("login_count") > 990, {"active": False})
+    stored, _ = partitions.set_where(spark, stored, scratch_path(spark, "users"), F.col("profile.job") == "MACHINERY", {"is_technical": True})
+    stored, _ = partitions.delete_where(spark, stored, scratch_path(spark, "users"), F.col("_id") == last)
+    return partitions.load(spark, stored).select("_id", "login_count", "active", "is_technical")
+
+
+BATCH_SQL = """SELECT _id, lower(email) AS email, login_count, 0 AS seq FROM users_flat WHERE login_count > 300
+ UNION ALL SELECT _id, upper(email) AS email, login_count, 1 AS seq FROM users_flat WHERE login_count > 600
+ UNION ALL SELECT CAST(NULL AS BIGINT) AS _id, email, login_count, 2 AS seq FROM users_flat WHERE login_count > 990"""
+
+
+@q("doc_insert_unique", W(f"""SELECT _id, email, login_count, CASE WHEN _id IS NULL THEN 'no key' WHEN stored THEN 'stored' WHEN rn > 1 THEN 'batch'
+ ELSE 'inserted' END AS outcome FROM (SELECT b._id, b.email, b.login_count, u._id IS NOT NULL AS stored,
+  row_number() OVER (PARTITION BY b._id ORDER BY b.seq) AS rn FROM ({BATCH_SQL}) b
+  LEFT JOIN (SELECT _id FROM users_flat WHERE active) u ON b._id = u._id)
+ UNION ALL SELECT _id, email, login_count, 'kept' AS outcome FROM users_flat WHERE active""", "users_flat"))
+def doc_insert_unique(spark, sf):
+    """A batch with keys that are stored, that repeat within it, and that are missing."""
+    u = _users(spark, sf).select("_id", "email", "login_count", "active")
+    part = lambda pred, email, seq: u.filter(pred).select("_id", email.alias("email"), "login_count", F.lit(seq).alias("seq"))
+    batch = (part(F.col("login_count") > 300, F.lower("email"), 0).union(part(F.col("login_count") > 600, F.upper("email"), 1))
+             .union(part(F.col("login_count") > 990, F.col("email"), 2).withColumn("_id", F.lit(None).cast("long"))))
+    stored = u.filter("active").select("_id", "email", "login_count", F.lit("kept").alias("outcome"))
+    after, rejected = doc.insert_unique(stored, batch, order=["seq"])
+    after = after.select("_id", "email", "login_count", F.coalesce("outcome", F.lit("inserted")).alias("outcome"))
+    return after.union(rejected.select("_id", "email", "login_count", "reason"))
+
+
+#: Names that differ in case or accents alone, in every combination that the collation has to order.
+NAMES = ["eva", "Eva", "éva", "ÉVA", "zoe", "Zoë", "ADAM", "ádám", "adam", "Ádam", "adám"]
+NAMES_SQL = "[" + ", ".join(f"'{n}'" for n in NAMES) + "]"
+
+
+@q("doc_collation_accents", W(f"""SELECT _id, name FROM (SELECT _id, concat({NAMES_SQL}[CAST((_id * 7) % 11 + 1 AS INT)], ' ',
+ CAST(_id % 97 AS VARCHAR)) AS name FROM users_flat) ORDER BY strip_accents(lower(name)), lower(name), _id LIMIT 100""", "users_flat"))
+def doc_collation_accents(spark, sf):
+    """Case-blind, accent-aware order: letters first, then accents, then the tie."""
+    k = F.col("_id")
+    name = F.concat_ws(" ", F.element_at(F.array(*[F.lit(n) for n in NAMES]), ((k * 7) % 11 + 1).cast("int")), (k % 97).cast("string"))
+    return rank.collation_sort(_users(spark, sf).select("_id", name.alias("name")), "name", 100, tie=["_id"])

@@ -50,20 +50,40 @@ def create_keyed_table(spark: SparkSession, name: str, schema: T.StructType, key
     )
 
 
-def write_keyed(df: DataFrame, name: str, key: KeySpec, buckets: int, location: str, mode: str = "overwrite") -> None:
-    """Persist a keyed table bucketed by the partition key and sorted by the
-    full key. Later aggregations and joins on the partition key read the
+def buckets_for(input_bytes: int, bucket_bytes: int = 256 << 20, least: int = 8) -> int:
+    """Buckets for a table of that size: a power of two, so tables of different sizes still line up."""
+    n = least
+    while n * bucket_bytes < input_bytes:
+        n *= 2
+    return n
+
+
+def write_keyed(df: DataFrame, name: str, key: KeySpec, buckets: int, location: str, mode: str = "overwrite",
+                by: str = "partition") -> None:
+    """Persist a keyed table bucketed by the partition key (``by="partition"``) or by the full key
+    (``by="primary"``) and sorted by the full key. Later aggregations and joins on those columns read the
     buckets already co-located (no shuffle); the files go to ``location``
     (a shared folder), never to a machine-local warehouse.
 
+    One task reads a bucket of a join, so tables joined on the full key are bucketed by it: a partition
+    key that holds a third of all rows is then spread over all buckets.
+
     The rows are range-partitioned by (bucket id, key) before the write, so
     each task covers a contiguous stretch of about one bucket: files stay
     about tasks + buckets instead of tasks x buckets, and a hot partition key
     is split over several tasks by its clustering columns.
     """
-    bucket_id = F.pmod(F.hash(*[F.col(c) for c in key.partition]), F.lit(int(buckets)))
+    cols = {"partition": key.partition, "primary": key.primary}[by]
+    bucket_id = F.pmod(F.hash(*[F.col(c) for c in cols]), F.lit(int(buckets)))
     (df.repartitionByRange(bucket_id, *key.primary).write.mode(mode).format("parquet").option("path", location)
-     .bucketBy(int(buckets), *key.partition).sortBy(*key.primary).saveAsTable(name))
+     .bucketBy(int(buckets), *cols).sortBy(*key.primary).saveAsTable(name))
+
+
+def join_stored(spark: SparkSession, left: str, right: str, key: KeySpec, how: str = "inner") -> DataFrame:
+    """Join of two tables stored by ``write_keyed(by="primary")`` with as many buckets, on the full
+    key: bucket meets bucket, and neither table is shuffled. Small tables are not broadcast
+    either, so the plan is the same at every size."""
+    return spark.table(left).hint("merge").join(spark.table(right), list(key.primary), how)
 
 
 def table_key(spark: SparkSession, name: str) -> KeySpec:
@@ -102,6 +122,46 @@ def sync_schema(df: DataFrame, model: T.StructType) -> DataFrame:
     return df.select(*cols, *extra)
 
 
+def _merged(a: T.DataType, b: T.DataType, where: str) -> T.DataType:
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        fields = {f.name: f for f in a.fields}
+        by_case = {n.lower(): n for n in fields}
+        for f in b.fields:
+            if f.name in fields:
+                old = fields[f.name]
+                fields[f.name] = T.StructField(f.name, _merged(old.dataType, f.dataType, f"{where}{f.name}."), True)
+            elif f.name.lower() in by_case:
+                raise ValueError(f"{where}{f.name} and {where}{by_case[f.name.lower()]} differ in case alone")
+            else:
+                fields[f.name] = T.StructField(f.name, f.dataType, True)
+                by_case[f.name.lower()] = f.name
+        return T.StructType(list(fields.values()))
+    if a != b:
+        raise ValueError(f"{where[:-1]}: {a.simpleString()} in one generation, {b.simpleString()} in another")
+    return a
+
+
+def merge_schemas(schemas: list[T.StructType]) -> T.StructType:
+    """Union of the fields of all schemas, nested ones too, in order of first appearance. A field of two types, or
+    two names that differ in case alone, are conflicts and raise ``ValueError``: nothing is retyped."""
+    out = T.StructType([])
+    for s in schemas:
+        out = _merged(out, s, "")
+    return out
+
+
+def read_generations(spark: SparkSession, paths: list[str], model: T.StructType | None = None) -> DataFrame:
+    """One read over folders of Parquet files that were written under different schemas, oldest first.
+
+    Each generation's schema comes from its footers, all are merged once and checked (with those of ``model``, whose
+    columns come first); columns that a file lacks read as null. The result is a single scan, so
+    filters and column pruning reach the files of every generation. No paths: an empty frame of the model.
+    """
+    known = [spark.read.parquet(p).schema for p in paths]
+    schema = merge_schemas(([model] if model is not None else []) + known)
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
 def sync_table(spark: SparkSession, name: str, model: T.StructType) -> list[str]:
     """Additive sync of a stored table: adds the model's missing columns, which read
     as null in the rows already there. Returns the names added."""

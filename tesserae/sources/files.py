@@ -3,6 +3,8 @@ frame; write it to a new path, never to the one it reads."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,3 +71,22 @@ def sql_on_path(spark: SparkSession, sql_template: str, path: str, fmt: str = "p
     """SQL straight off a path: ``{src}`` in the template becomes
     ``fmt.`path```."""
     return spark.sql(sql_template.format(src=f"{fmt}.`{path}`"))
+
+
+def size_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files under a path, from the file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
+def write_for_lookup(df: DataFrame, path: str, key: Sequence[str], also: Sequence[str] = (), row_group_bytes: int | None = None) -> str:
+    """Parquet for point lookups: sorted by ranges of ``key``, with Bloom filters on its columns and on those of
+    ``also`` (a secondary index). A lookup pushes its equalities into the scan, where minima and maxima, then the
+    filters, rule row groups out unread; filters grow with a row group's distinct values only."""
+    w = df.repartitionByRange(*key).sortWithinPartitions(*key).write.option("parquet.bloom.filter.adaptive.enabled", "true")
+    for c in dict.fromkeys([*key, *also]):
+        w = w.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    if row_group_bytes:
+        w = w.option("parquet.block.size", row_group_bytes)
+    w.parquet(path)
+    return path

@@ -118,14 +118,20 @@ def raw_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                 F.col("l_shipdate").alias("shipdate"))
 
 
+def pairs_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unordered pairs (src < dst), each once, with ``since``, the ship date of the first line that has it. Pairs of
+    an earlier load are those with ``since`` before its date; both loads share this one aggregate."""
+    r = raw_pairs(spark, sf_dir).filter(F.col("a") != F.col("b"))
+    return r.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.min("shipdate").alias("since"))
+
+
 def pairs(spark: SparkSession, sf_dir: str, before: str | None = None) -> DataFrame:
     """Unordered pairs (src < dst), deduplicated; ``before`` keeps only pairs
     seen in lines shipped before that date (an earlier load)."""
-    from ..operators.graph import unordered_pairs
-    r = raw_pairs(spark, sf_dir)
     if before is not None:
-        r = r.filter(F.col("shipdate") < F.lit(before).cast("timestamp_ntz"))
-    return unordered_pairs(r, "a", "b")
+        return pairs_seen(spark, sf_dir).filter(F.col("since") < F.lit(before).cast("timestamp_ntz")).select("src", "dst")
+    from ..operators.graph import unordered_pairs
+    return unordered_pairs(raw_pairs(spark, sf_dir), "a", "b")
 
 
 def edges(spark: SparkSession, sf_dir: str, before: str | None = None) -> DataFrame:

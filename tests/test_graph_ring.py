@@ -59,10 +59,12 @@ def test_delete_edges(spark):
 
 def test_sample_pairs_distinct_seeded_and_limited(spark):
     nodes = spark.range(0, 500).union(spark.sql("SELECT CAST(NULL AS BIGINT)"))
-    p = _set(graph.sample_pairs(nodes, rounds=2, buckets=8))
-    assert all(a < b for a, b in p) and len({x for e in p for x in e}) == 500 and 500 < len(p) <= 2 * 492
-    assert p == _set(graph.sample_pairs(nodes.repartition(7), rounds=2, buckets=8))
-    assert p != _set(graph.sample_pairs(nodes, rounds=2, buckets=8, seed="other"))
-    few = _set(graph.sample_pairs(nodes, rounds=2, buckets=8, n=20))
+    p = _set(graph.sample_pairs(nodes, draws=1000))
+    assert all(0 <= a < b < 500 for a, b in p) and len({x for e in p for x in e}) > 480 and 980 < len(p) <= 1000
+    assert p == _set(graph.sample_pairs(nodes.repartition(7), draws=1000))
+    assert p != _set(graph.sample_pairs(nodes, draws=1000, seed="other"))
+    few = _set(graph.sample_pairs(nodes, draws=1000, n=20))
     assert len(few) == 20 and few < p
-    assert _set(graph.sample_pairs(nodes.limit(0), buckets=8)) == set()
+    assert len(_set(graph.sample_pairs(nodes))) > 490  # as many draws as ids
+    assert _set(graph.sample_pairs(nodes.limit(0))) == set() and _set(graph.sample_pairs(spark.range(1))) == set()
+    assert _set(graph.sample_pairs(spark.range(2))) == {(0, 1)}
