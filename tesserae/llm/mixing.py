@@ -19,25 +19,30 @@ def uniform(doc_id: Column, salt: str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, _HEX), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def poisson_cdf(mean: Column) -> Column:
-    """P(X <= k) for k = 0, 1, ... far into the upper tail, as one array.
-    Terms are built in logarithms, so large means do not underflow."""
-    last = F.ceil(mean + 12 * F.sqrt(mean) + 30).cast("int")
-    start = F.struct((-mean).alias("log"), F.exp(-mean).alias("cdf"), F.array(F.exp(-mean)).alias("all"))
+def poisson_bands(rates: DataFrame) -> DataFrame:
+    """(__g, rate, __first, __cdf): P(X <= k) for k = __first, __first + 1, ... of the Poisson distribution of each
+    rate, within 12 standard deviations and 30 of its mean; what lies outside is below 1e-30.
 
-    def step(acc: Column, k: Column) -> Column:
-        log = acc["log"] + F.log(mean) - F.log(k.cast("double"))
-        cdf = acc["cdf"] + F.exp(log)
-        return F.struct(log.alias("log"), cdf.alias("cdf"), F.concat(acc["all"], F.array(cdf)).alias("all"))
-
-    return F.when(mean > 0, F.aggregate(F.sequence(F.lit(1), last), start, step, lambda a: a["all"])).otherwise(
-        F.array(F.lit(1.0)))
+    Each k is a row, and sums run along them, so the work grows with the root of the rate. Terms are
+    built in logarithms from the first on and scaled to a sum of one, so large rates neither underflow nor need k!.
+    """
+    mean, far = F.col("rate"), 12 * F.sqrt("rate") + 30
+    k = rates.withColumn("__first", F.greatest(F.lit(0), F.floor(mean - far)).cast("long")).withColumn(
+        "__k", F.explode(F.sequence(F.col("__first"), F.when(mean > 0, F.ceil(mean + far).cast("long")).otherwise(0))))
+    whole = Window.partitionBy("__g", "rate", "__first")
+    upto = whole.orderBy("__k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    step = F.when(F.col("__k") > F.col("__first"), F.log(mean) - F.log(F.col("__k").cast("double"))).otherwise(0.0)
+    k = k.withColumn("__log", F.sum(step).over(upto))
+    k = k.withColumn("__p", F.exp(F.col("__log") - F.max("__log").over(whole)))
+    k = k.withColumn("__c", F.sum("__p").over(upto) / F.sum("__p").over(whole))
+    return k.groupBy("__g", "rate", "__first").agg(F.array_sort(F.collect_list(F.struct("__k", "__c"))).alias("__all")).select(
+        "__g", "rate", "__first", F.col("__all.__c").alias("__cdf"))
 
 
 def rates(docs: DataFrame, weights: dict[str, float], rest: float, source: str = "source",
           text: str = "text", epochs: float = 1.0) -> DataFrame:
-    """(__g, __cdf, rate): one row per listed source that has text, and one (null)
-    for all others.
+    """(__g, rate, __first, __cdf): one row per listed source that has text, and one (null)
+    for all others; the last two as in ``poisson_bands``.
 
     The mean repetition rate of a source is weight / (sum of the weights present)
     * epochs * (bytes of all sources) / (bytes of the source). The table has at
@@ -54,7 +59,7 @@ def rates(docs: DataFrame, weights: dict[str, float], rest: float, source: str =
     everything = Window.partitionBy(F.lit(0))  # over those few rows
     sizes = sizes.select("__g", "n", "w", F.sum("n").over(everything).alias("all_n"), F.sum("w").over(everything).alias("all_w"))
     rate = F.when(F.col("all_w") > 0, F.col("w") / F.col("all_w") * epochs * F.col("all_n") / F.col("n")).otherwise(0.0)
-    return sizes.select("__g", rate.alias("rate")).withColumn("__cdf", poisson_cdf(F.col("rate")))
+    return poisson_bands(sizes.select("__g", rate.alias("rate")))
 
 
 def _group(source: Column, weights: dict[str, float]) -> Column:
@@ -87,9 +92,12 @@ def mix(docs: DataFrame, weights: dict[str, float], rest: float = 1.0, epochs: f
     # at most len(weights) + 1 rows on the broadcast side
     rows = rows.join(F.broadcast(rate.withColumnRenamed("__g", "__h")), F.expr("__g <=> __h"))
     u = uniform(F.col("__id"), f"{seed}:count")
-    rows = rows.select("__row", "__id", "rate", F.size(F.filter("__cdf", lambda c: c <= u)).alias("n_copies"))
-    rows = rows.where("n_copies > 0").select(
-        "__row", "__id", "rate", "n_copies", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("copy"))
+    below = F.size(F.filter("__cdf", lambda c: c <= u))
+    rows = rows.select("__row", "__id", "rate", (F.col("__first") + below).cast("int").alias("n_copies"))
+    # in two steps, so that no array is as long as a very large count
+    rows = rows.where("n_copies > 0").withColumn("__block", F.explode(F.sequence(F.lit(0), F.shiftright(F.col("n_copies") - 1, 16))))
+    last = F.least(F.col("n_copies") - 1, F.col("__block") * 65536 + 65535)
+    rows = rows.select("__row", "__id", "rate", "n_copies", F.explode(F.sequence(F.col("__block") * 65536, last)).alias("copy"))
     key = F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), F.coalesce(F.col("__id").cast("string"), F.lit("null")),
                                         F.col("copy").cast("string"))), 1, 16)
     rows = rows.withColumn("shuffle_key", key)

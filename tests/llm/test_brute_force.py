@@ -138,14 +138,22 @@ def test_mixing_reaches_the_weights(spark):
         map(tuple, mixing.mix(docs.repartition(7), {"src0": 0.5, "src1": 0.1}, rest=0.4).select("doc_id", "copy").collect()))
 
 
-@pytest.mark.parametrize("mean", [0.0, 0.3, 4.0, 900.0])
+@pytest.mark.parametrize("mean", [0.0, 0.3, 4.0, 900.0, 1e6])
 def test_poisson_cdf(spark, mean):
-    cdf = spark.range(1).select(mixing.poisson_cdf(F.lit(mean))).first()[0]
-    want, log = [], -mean
-    for k in range(len(cdf)):
-        log += (math.log(mean) - math.log(k)) if k and mean else 0
-        want.append((want[-1] if want else 0) + math.exp(log))
-    assert np.allclose(cdf, want if mean else [1.0]) and cdf[-1] > 1 - 1e-9
+    r = mixing.poisson_bands(spark.createDataFrame([(None, mean)], "__g string, rate double")).first()
+    first, cdf = r["__first"], r["__cdf"]
+    want = np.cumsum([math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) if mean else 1.0 for k in range(first, first + len(cdf))])
+    assert np.allclose(cdf, want, atol=1e-9) and cdf[-1] > 1 - 1e-9 and len(cdf) < 100 + 25 * math.sqrt(mean)
+    if first:
+        assert cdf[0] < 1e-25
+
+
+def test_a_tiny_source_is_repeated_very_often(spark):
+    """Rates of a million are drawn and exploded in bounded arrays."""
+    docs = spark.createDataFrame([(1, "x", "tiny")] + [(k, "y" * 100_000, "big") for k in range(2, 22)], "doc_id long, text string, source string")
+    out = mixing.mix(docs, {"tiny": 0.5, "big": 0.5}).where("source = 'tiny'")
+    r = out.agg(F.count("*"), F.countDistinct("copy"), F.max("copy"), F.max("n_copies"), F.max("rate")).first()
+    assert r[0] == r[1] == r[2] + 1 == r[3] and abs(r[3] - 1e6) < 6000 and abs(r[4] - 1e6) < 1
 
 
 def test_hilbert_curve_is_a_continuous_bijection():
