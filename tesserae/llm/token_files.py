@@ -38,6 +38,8 @@ from pyarrow import fs
 
 _INDEX, _SEEK, _END = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 FRAME_TOKENS = 1 << 18
+#: Compressed bytes of frames that one task reads, while that takes no more than MOST_TASKS tasks.
+TASK_BYTES, MOST_TASKS = 4 << 20, 50_000
 #: Distinct pieces whose ids a Python worker remembers; then it starts afresh.
 CACHE_PIECES = 1_200_000
 _known: dict[str, dict[str, bytes]] = {}
@@ -219,13 +221,14 @@ def frames(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_token_files(spark: SparkSession, folder: str, first_id: int | None = None, last_id: int | None = None,
-                     with_ids: bool = False) -> DataFrame:
+                     with_ids: bool = False, task_bytes: int = TASK_BYTES) -> DataFrame:
     """Documents of the files in ``folder``: doc_id, start (ids of all documents
     before it), n_tokens, ids_crc32, path, frame, and ``ids`` if asked for.
 
     With ``first_id`` / ``last_id`` only frames that can hold such documents are
-    read and decompressed. Each frame is a row of its own, so frames spread over
-    tasks however large their files are.
+    read and decompressed. Each frame is a row of its own, and rows are dealt to as many tasks
+    as the frames' compressed bytes ask for (about ``task_bytes`` each): the rows themselves are so small that
+    adaptive execution would fold them into one.
     """
     all_frames = frames(spark, folder)
     totals = all_frames.groupBy("path").agg(F.sum("tokens").alias("n"))  # one row per file
@@ -255,7 +258,9 @@ def read_token_files(spark: SparkSession, folder: str, first_id: int | None = No
                     cols.append(pa.ListArray.from_arrays(offsets, pa.array(tokens.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in schema.split(", ")])
 
-    out = wanted.repartition("path", "frame").mapInArrow(read, schema)
+    size = wanted.agg(F.sum("size")).first()[0] or 0
+    tasks = max(1, min(MOST_TASKS, -(-size // task_bytes)))
+    out = wanted.repartition(tasks, "path", "frame").mapInArrow(read, schema)
     if first_id is not None:
         out = out.where(F.col("doc_id") >= first_id)
     if last_id is not None:
