@@ -118,7 +118,7 @@ def _secret_kind(k: secret_scan.Kind, rank: int) -> str:
 
 
 _OP4 = f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repo,
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || source, '') AS owner, '=' || concat_ws('/', source, lang) AS repo,
                   coalesce(text, '') AS t FROM documents),
 f AS ({' UNION ALL '.join(_secret_kind(k, n) for n, k in enumerate(secret_scan.KINDS))}),
 e AS (SELECT rid, rank, kind, g, least, m, gap, unnest(range(1, len(m) + 1)) AS i FROM f WHERE len(m) > 0),

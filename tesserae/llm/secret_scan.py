@@ -73,8 +73,9 @@ def scan(docs: DataFrame, owner: Column, repository: Column, max_owners: int = 1
     own; repeated rows are rows of their own; empty tables give empty results.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    ids = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"),
-                      F.coalesce(repository.cast("string"), F.lit("")).alias("repository"),
+    # a name is marked, so that null stands apart from every name, the empty one too
+    marked = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+    ids = docs.select(F.col(doc_id).alias("doc_id"), marked(owner).alias("owner"), marked(repository).alias("repository"),
                       F.array(*[_found(t, k) for k in kinds]).alias("found"))
     # written once, so that row numbers and matches are fixed
     ids = saved(ids.withColumn("rid", F.monotonically_increasing_id()), "secrets")
