@@ -19,7 +19,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round is two aggregations to the smallest neighbour and two equi joins;
     its edges are written to the shared folder, so lineage stays short and a lost
-    executor costs one round. Rounds grow with the logarithm of the longest path.
+    executor costs one round. So are the smallest neighbours: the join's other side is then a plain shuffle of
+    edges, and a node of very many (the root of a large component) is a skewed key that can be split. Rounds grow with the logarithm of the longest path.
     Only counts reach the driver. Loops and repeated links do no harm; null ends
     are no links; an empty input gives an empty result.
     """
@@ -29,10 +30,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = _mark(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = saved(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = saved(large.where("a <> b").distinct(), "large")
+        least = saved(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(
             F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")),
                               F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")

@@ -49,6 +49,16 @@ def test_token_query_and_selective_reads(spark, documents):
     assert all(list(r["ids"]) == tok.encode(texts[r["doc_id"]], add_special_tokens=False).ids + [1] for r in some)
 
 
+def test_frames_are_read_by_many_tasks(spark, tmp_path, documents):
+    folder = f"file://{tmp_path}/tok"
+    token_files.write_token_files(documents.repartitionByRange(64, "doc_id"), folder, TOKENIZER)
+    n = token_files.frames(spark, folder).agg(F.count("*"), F.sum("size")).first()
+    rows = token_files.read_token_files(spark, folder, task_bytes=n[1] // 8)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true" and rows.rdd.getNumPartitions() in (8, 9)
+    assert token_files.read_token_files(spark, folder).rdd.getNumPartitions() == 1  # less than TASK_BYTES in all
+    assert rows.count() == documents.count()
+
+
 def test_token_frames_are_plain_zstandard_with_checked_content(spark, documents, tmp_path):
     import zstandard
     folder = f"file://{tmp_path}/tok"
@@ -126,6 +136,33 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 200: 100, 300: 100, 1000: 1000, **{k: 1000 for k in range(1001, 1300)}}
 
 
+def test_the_root_of_a_star_is_split(spark, monkeypatch):
+    """A star of 300,000 leaves: the joins of its edges to the smallest neighbours split the root."""
+    from tesserae.llm import components as module
+    from tesserae.plans.report import final_plan
+    plans = []
+
+    def watched(df, name, keep=module.saved):
+        if name == "large":
+            plans.append(final_plan(df).split("== Initial Plan ==")[0])
+        return keep(df, name)
+
+    monkeypatch.setattr(module, "saved", watched)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = components(spark.range(1, 300_001).selectExpr("id as a", "0L as b"))
+        assert got.where("root = 0").count() == 300_001
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert plans and all("SortMergeJoin(skew=true)" in p for p in plans), plans[0]
+
+
 def test_mixing_reaches_the_weights(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     out = mixing.mix(docs, {"src0": 0.5, "src1": 0.1}, rest=0.4)

@@ -64,6 +64,14 @@ def test_secrets(odd, empty):
     assert secret_scan.digest(*secret_scan.scan(empty, F.col("source"), F.col("lang"))).count() == 0
 
 
+def test_a_null_owner_is_not_the_empty_one(spark):
+    text = "password = abcdefghijk123"
+    def owners(*names):
+        df = spark.createDataFrame([(k, text, n, "r") for k, n in enumerate(names)], "doc_id long, text string, owner string, repo string")
+        return {(r["owners"], r["repositories"], r["live"]) for r in secret_scan.scan(df, F.col("owner"), F.col("repo"))[1].collect()}
+    assert owners(None, "") == {(2, 2, False)} and owners(None, None) == {(1, 1, True)} and owners("", "") == {(1, 1, True)}
+
+
 def test_shards(odd, empty):
     out = hilbert.shard(odd, DIMS, shards=4)
     assert sum(c.lower() == "shard" for c in out.columns) == 1 and "a.b" in out.columns
