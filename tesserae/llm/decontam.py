@@ -105,9 +105,20 @@ class _Template:
         return tuple(map(np.concatenate, zip(*out, strict=True)))
 
     def windows(self, window: int):
-        """(size, starts, hashes, masks, kinds) of all windows of ``window`` words."""
+        """(size, starts, hashes, masks, kinds) of all windows of ``window`` words. Windows of
+        placeholders alone say nothing about a text: they count by their words, and have no slots."""
         kind = np.where(self.opener, _PLAIN, self.kind)
-        yield window, *self.readings(W.window_starts(self.counts, window), window, kind, self.opener), kind
+        p, h, m = self.readings(W.window_starts(self.counts, window), window, kind, self.opener)
+        held = np.concatenate((np.zeros(1, np.int64), np.cumsum(kind != _PLAIN)))
+        blank = held[p + window] - held[p] + sum((m >> j) & 1 for j in range(window)) == window
+        if blank.any():
+            q = np.unique(p[blank])
+            total = np.zeros(len(q), np.uint64)
+            for j in reversed(range(window)):
+                total = total * np.uint64(W._BASE) + self.core[q + j]
+            yield window, q, W.mix(total + np.uint64(256)), np.zeros(len(q), np.int64), np.zeros(len(kind), np.int64)
+            p, h, m = p[~blank], h[~blank], m[~blank]
+        yield window, p, h, m, kind
         for n in range(1, window):  # texts of fewer words are one window of all of them
             p = self.starts[self.counts == n]
             if len(p):
@@ -268,7 +279,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, si
     one to one between item and passage.
 
     A capitalised word that begins a text or sentence may be a name or a plain word;
-    either reading counts. An item of fewer words than ``window`` is one window of
+    either reading counts. Windows of placeholders alone (number tables, lists of names)
+    match only word by word: their templates are alike in all texts. An item of fewer words than ``window`` is one window of
     all its words, sought in every document; there its opening word is plain, and if
     it has placeholders alone, a document holds it word by word, or is as short and alike.
 

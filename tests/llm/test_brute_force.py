@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -268,6 +269,42 @@ def test_verbatim_copies_with_recurring_windows(spark):
     assert {(r["doc_id"], r["item_id"]): (r["overlap"], r["consistency"]) for r in got} == {(k, k % 3): (1.0, 1.0) for k in range(9)} | {(20, 2): (1.0, 1.0)}
 
 
+def test_number_tables_are_no_copies(spark):
+    """Windows of placeholders alone count by their words: tables of other numbers are clean, copies are not."""
+    import time
+    r = random.Random(4)
+    nums = lambda n, top=100: " ".join(str(r.randrange(top)) for _ in range(n))
+    listed = nums(40)
+    items = {1: f"Sort {nums(12)} now", 2: listed, 3: "Seat Tom Anna Lena Kate Paul Jim Ben Sue Max and Eve"}
+    docs = {1: f"prices {nums(40, 1000)} end", 2: f"{words(9, 1)} {listed} {words(9, 2)}", 3: nums(100_000), 4: f"so {items[1]}",
+            5: "Meet Ann Rob Tim Zoe Liz Ron Pam Guy Ted and Ivy", 6: " ".join(["7"] * 50_000), 7: f"{nums(200)} {items[1]} {nums(200)}"}
+    t = time.perf_counter()
+    got = decontam.contaminated(spark.createDataFrame(list(docs.items()), "doc_id long, text string"),
+                                spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(2, 2), (4, 1), (7, 1)} and time.perf_counter() - t < 60
+
+
+def test_recall_of_reparameterised_items(spark):
+    """Numbers and names of generated questions are replaced one to one, and the question is put into other text."""
+    r = random.Random(6)
+    names, others = [f"{a}{b}" for a in ("An", "Be", "Ka", "Lo") for b in ("na", "rt", "lo", "mi")], [f"{a}{b}" for a in ("Ti", "Zo", "Ru") for b in ("da", "lf", "ne", "xo", "ki", "gu")]
+    items, docs, want = [], [], set()
+    for k in range(60):
+        parts = []
+        for _ in range(r.randrange(4, 8)):
+            parts.append(f"{words(r.randrange(3, 7), r.randrange(10**6), 3000)} {r.choice(names)} {words(r.randrange(2, 5), r.randrange(10**6), 3000)} {r.randrange(10, 99)}")
+        item = ", then ".join(parts) + "?"
+        swap = dict(zip(names, r.sample(others, len(names)))) | {str(n): str(n + 137) for n in range(10, 99)}
+        new = " ".join(swap.get(w.strip(",?"), w.strip(",?")) + w[len(w.rstrip(",?")):] for w in item.split())
+        items.append((k, item))
+        docs += [(2 * k, f"{words(30, k)} {new} {words(20, k + 1)}"), (2 * k + 1, f"{words(60, k + 7, 3000)} {r.choice(names)} {r.randrange(99)}")]
+        want.add((2 * k, k))
+        assert new != item
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(r["doc_id"], r["item_id"]) for r in got}
+    assert found <= want and len(found) >= 0.9 * len(want)
+
+
 def test_copies_with_words_put_in(spark):
     item = words(57, 77, 5000).split()
     docs = [(100 * more + at, f"{words(at, 5)} {' '.join(item[:28])} {words(more, 6)} {' '.join(item[28:])} {words(12, 8)}")
