@@ -14,8 +14,8 @@ from tesserae.llm.common import saved, whole_row
 
 @dataclass(frozen=True)
 class Dimension:
-    """A metadata column as one axis. ``numeric``: cut at quantiles of all rows;
-    otherwise by a hash of the value, so that equal values share a cell."""
+    """A metadata column as one axis, cut so that cells hold like numbers of rows and follow the order of the
+    values. ``numeric``: at approximate quantiles; otherwise between values, by their exact counts."""
 
     column: str
     numeric: bool = False
@@ -49,23 +49,36 @@ def hilbert_index(axes: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
+def _value_cuts(rows: DataFrame, column: str, n: int) -> list:
+    """The least value of each cell but the first: distinct values in order, each in the cell that the middle of its rows
+    falls into, of ``n`` cells of equal numbers of rows. Values are sorted by ranges, and a range's offset is the number of
+    rows before it; at most n - 1 values reach the driver."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))
+    placed = saved(counts.repartitionByRange("v").sortWithinPartitions("v").withColumn("p", F.spark_partition_id()), "values")
+    begin = placed.groupBy("p").agg(F.sum("c").alias("n"))  # one row per range
+    begin = begin.select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("all"))
+    upto = F.sum("c").over(Window.partitionBy("p").orderBy("v"))
+    middle = placed.join(F.broadcast(begin), "p").select("v", "all", (F.col("before") + upto - F.col("c") / 2).alias("m"))
+    cell = F.least(F.floor(F.col("m") * n / F.col("all")), F.lit(n - 1))
+    return [r[0] for r in middle.groupBy(cell.alias("cell")).agg(F.min("v").alias("v")).orderBy("cell").select("v").collect()][1:]
+
+
 def _cells(rows: DataFrame, dims: list[Dimension], bits: int) -> list[Column]:
     """Cell numbers 0 .. 2**bits - 1 of each dimension; a null is in cell 0."""
     n, numeric = 1 << bits, [d for d in dims if d.numeric]
-    cuts = {}
+    cuts = {d.column: _value_cuts(rows, d.column, n) for d in dims if not d.numeric}
     if numeric:  # 2**bits - 1 numbers for each dimension reach the driver
         at = [k / n for k in range(1, n)]
         got = rows.agg(*[F.percentile_approx(F.col(f"`{d.column}`").cast("double"), at, 10_000).alias(f"c{k}")
                          for k, d in enumerate(numeric)]).first()
-        cuts = {d.column: sorted(set(got[k] or [])) for k, d in enumerate(numeric)}
+        cuts |= {d.column: sorted(set(got[k] or [])) for k, d in enumerate(numeric)}
     out = []
     for d in dims:
         c = F.col(f"`{d.column}`")
-        if d.numeric:
-            cell = sum((F.when(c.cast("double") >= x, 1).otherwise(0) for x in cuts[d.column]), F.lit(0))
-        else:
-            cell = F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-        out.append(F.when(c.isNull(), 0).otherwise(cell))
+        c = c.cast("double") if d.numeric else c
+        above = sum((F.when(c >= F.lit(x), 1).otherwise(0) for x in cuts[d.column]), F.lit(0))
+        few = 1 + len(cuts[d.column])  # fewer cells than the curve has are spread over it
+        out.append(F.when(c.isNull(), 0).otherwise(F.floor(above * n / few).cast("int")))
     return out
 
 
@@ -108,6 +121,7 @@ def shard(docs: DataFrame, dims: list[Dimension], shards: int = 24, bits: int =
 
     Neighbours on the curve are near in every dimension, so a shard spans few
     cells of each and minima / maxima per file prune on any of them (``spans``).
+    Cells of text follow the order of its values, so ranges of it prune like ranges of numbers.
     A cell with very many rows is cut inside by id. Ranks are exact: one range
     shuffle, then an offset per partition. Null texts have size 8 and crc32 0;
     null metadata lies in cell 0; null ids come last in their cell; repeated rows

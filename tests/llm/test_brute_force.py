@@ -222,6 +222,33 @@ def test_shard_query(spark, documents, tmp_path):
     assert span.where(F.col("min_n_chars") <= low).count() < 24  # some shards are skipped
 
 
+def test_shards_follow_the_curve_and_prune_on_every_dimension(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    out = hilbert.shard(docs, list(corpus_pipeline.SHARD_DIMENSIONS))
+    rows = out.select("doc_id", "shard", "slot", "source", "lang", "n_chars").collect()
+    span = hilbert.spans(out, ["source", "lang", "n_chars"]).collect()
+    for c in ("source", "lang", "n_chars"):
+        values = sorted({r[c] for r in rows if r[c] is not None})
+        share = [sum(s[f"min_{c}"] <= v <= s[f"max_{c}"] for s in span) / len(span) for v in values]
+        assert sum(share) / len(share) < (0.7 if c == "lang" else 0.6), (c, share)  # of all shards, a reader of one value lists these
+    # brute force: cells from exact counts of ordered values, the curve index from its own definition
+    def cells(c, n=16):
+        vs = [r[c] for r in rows if r[c] is not None]
+        count, before, cell = Counter(vs), 0, {}
+        for v in sorted(count):
+            cell[v] = min(n - 1, int((before + count[v] / 2) * n // len(vs)))
+            before += count[v]
+        order = {x: k for k, x in enumerate(sorted(set(cell.values())))}
+        return {v: order[x] * n // len(order) for v, x in cell.items()}
+    source, lang = cells("source"), cells("lang")
+    cuts = docs.agg(F.percentile_approx(F.col("n_chars").cast("double"), [k / 16 for k in range(1, 16)], 10_000)).first()[0]
+    cuts = sorted(set(cuts))
+    axes = np.array([[source.get(r["source"], 0), lang.get(r["lang"], 0), sum(r["n_chars"] >= x for x in cuts) * 16 // (len(cuts) + 1)] for r in rows])
+    index = hilbert.hilbert_index(axes, 4)
+    by_place = [int(i) for _, i in sorted(zip([(r["shard"], r["slot"]) for r in rows], index))]
+    assert by_place == sorted(by_place)
+
+
 def test_top_k_blocks(spark):
     df = table(spark, SMALL, "embeddings")
     want = sorted(map(tuple, queries.op6_va_topk(spark, SMALL).collect()))
