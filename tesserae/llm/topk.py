@@ -1,13 +1,23 @@
-"""Exact top-k inner-product search with vector-approximation files, in blocks."""
+"""Exact top-k inner-product search with a vector-approximation file.
+
+The file holds one byte for each component: its cell between the least and the greatest
+component of all vectors. All score bounds come from it and the queries alone, in blocks; exact
+vectors are read by id only for rows whose bounds leave them in question, those of the highest
+bounds first, the others only as far as the kth exact score asks for.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELL_BITS = 4
+from tesserae.llm.common import saved
+
+CELLS = 256
 
 
 def quantised(vector: Column, scale: int) -> Column:
@@ -18,99 +28,140 @@ def quantised(vector: Column, scale: int) -> Column:
     return F.when(vector.isNotNull() & (F.size(vector) > 0) & fine, ints)
 
 
-def _approximation(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The lowest and highest value of the cell that holds each component; a
-    dimension's range is cut into 2**CELL_BITS equal cells."""
-    low, high = x.min(axis=0), x.max(axis=0)
-    width = (high - low) // (1 << CELL_BITS) + 1
-    cell = (x - low) // width  # the approximation file: CELL_BITS bits a component
-    bottom = low + cell * width
-    return bottom, np.minimum(bottom + width - 1, high)
+def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
+    """Rows of equal length as one array of int64."""
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(n, -1)
+
+
+def approximation(rows: DataFrame) -> DataFrame:
+    """(id, dim, low, width, cells) of ``rows`` (id, dim, v): the approximation file. Component x lies in cell c, so
+    low + c * width <= x < low + (c + 1) * width; low and width are those of all vectors of its length."""
+    ends = rows.groupBy("dim").agg(F.min(F.array_min("v")).alias("low"), F.max(F.array_max("v")).alias("high"))
+    schema = "id long, dim int, low long, width long, cells binary"
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for i, dim, v, low, high in zip(*[b.column(k).to_pylist() for k in range(3)], b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                width = (high - low) // CELLS + 1
+                if -(1 << 62) < low and high < 1 << 62:
+                    cells = ((np.array(v, np.int64) - low) // width).astype(np.uint8).tobytes()
+                else:
+                    cells = bytes((x - low) // width for x in v)
+                out.append((i, dim, low, width, cells))
+            if out:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()], strict=True)],
+                    names=["id", "dim", "low", "width", "cells"])
 
-def search_block(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query id, id, score) of each query's k best among the rows of ``x``.
+    return rows.join(ends, "dim").select("id", "dim", "v", "low", "high").mapInArrow(run, schema)
 
-    Bounds of all scores come from the cells alone. A row whose upper bound is
-    below the kth largest lower bound cannot count. The others' exact vectors are
-    read in order of their upper bounds until the kth exact score is above the
-    next bound. Ties go to the smaller id.
+
+def bounds(q: np.ndarray, q_ids: np.ndarray, cells: np.ndarray, ids: np.ndarray, low: int, width: int, k: int) -> Iterator[tuple]:
+    """(query id, ids, lower bounds, upper bounds) of the rows of one block that may be among a query's k best, by
+    their cells alone: those whose upper bound reaches the kth largest lower bound in the block.
+
+    With cells c, a score lies between q.(low + c * width) + (width - 1) * (sum of the negative parts of q) and the same with
+    the positive parts: one product of queries and cells gives all bounds.
     """
-    top = max(int(np.abs(x).max()), 1) * max(int(np.abs(queries).max()), 1) * x.shape[1]
-    if top >= 1 << 52:  # beyond exact doubles: Python integers
-        x, queries = x.astype(object), queries.astype(object)
-        real = object
-    else:
-        real = np.float64
-    bottom, upper = _approximation(x)
-    bottom, upper = bottom.astype(real).T, upper.astype(real).T
-    out = []
-    for at in range(0, len(queries), 64):
-        q = queries[at : at + 64].astype(real)
-        plus, minus = np.maximum(q, 0), np.minimum(q, 0)
-        most, least = plus @ upper + minus @ bottom, plus @ bottom + minus @ upper
-        for i in range(len(q)):
-            own = ids != query_ids[at + i]
-            hi, lo = most[i][own], least[i][own]
-            rows = np.flatnonzero(own)
-            if len(rows) > k:
-                floor = np.sort(lo)[-k] if real is object else np.partition(lo, len(lo) - k)[-k]
-                rows, hi = rows[hi >= floor], hi[hi >= floor]
-            order = np.argsort(-hi, kind="stable")
-            rows, hi, best = rows[order], hi[order], []
-            for j in range(0, len(rows), 4 * k):
-                if len(best) >= k and best[k - 1][0] < -hi[j]:
-                    break
-                part = rows[j : j + 4 * k]
-                best += zip((-(x[part].astype(real) @ q[i])).tolist(), ids[part].tolist(), strict=True)
-                best = sorted(best)[:k]
-            out += [(int(query_ids[at + i]), int(v), max(-(1 << 63), min((1 << 63) - 1, -int(s)))) for s, v in best]
-    return out
+    most = max(int(np.abs(q.astype(object)).max()), 1) * q.shape[1]
+    # beyond exact doubles, or where scores may pass 64 bits: Python integers
+    exact = most * CELLS >= 1 << 52 or most * max(abs(low), abs(low + CELLS * width)) >= 1 << 62
+    x = cells.astype(object if exact else np.float64).T
+    step = max(1, (1 << 22) // len(cells))
+    for at in range(0, len(q), step):
+        part = q[at : at + step]
+        products = part.astype(x.dtype) @ x
+        for i, p in enumerate(products):
+            ints = [int(y) for y in part[i]]
+            slack = (width - 1) * sum(map(abs, ints))
+            base = low * sum(ints) + (width - 1) * sum(y for y in ints if y < 0)
+            rows = np.flatnonzero(ids != q_ids[at + i])
+            p = p[rows]
+            if len(rows) > k and not exact:
+                kth = int(np.partition(p, len(p) - k)[-k])
+                keep = p >= kth - slack // width  # upper bound at or above the kth lower one, in units of cells
+                rows, p = rows[keep], p[keep]
+            lower = [base + width * int(y) for y in p]
+            upper = [_near(y + slack) for y in lower]
+            lower = list(map(_near, lower))
+            if len(rows) > k and exact:
+                kth = sorted(lower)[-k]
+                keep = [j for j, y in enumerate(upper) if y >= kth]
+                rows, lower, upper = rows[keep], [lower[j] for j in keep], [upper[j] for j in keep]
+            yield int(q_ids[at + i]), ids[rows].tolist(), lower, upper
+
+
+def _near(x: int) -> int:
+    """The nearest 64-bit integer."""
+    return max(-(1 << 63), min((1 << 63) - 1, x))
+
+
+def _scores(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(query_id, vec_id, score) of ``pairs`` (query_id, vec_id): both exact vectors are fetched by id."""
+    both = pairs.join(rows.select(F.col("id").alias("vec_id"), F.col("v").alias("x")), "vec_id").join(
+        rows.where("q").select(F.col("id").alias("query_id"), F.col("v").alias("y")), "query_id").select("query_id", "vec_id", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            scores = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                scores.append(_near(sum(map(int.__mul__, x, y))))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.int64())], names=["query_id", "vec_id", "score"])
+
+    return both.mapInArrow(run, "query_id long, vec_id long, score long")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, vec_id: str = "vec_id",
-          vector: str = "embedding", block_rows: int = 16_384, block_queries: int = 1_024) -> DataFrame:
+          vector: str = "embedding", block_rows: int = 65_536, block_queries: int = 1_024) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k rows of highest integer inner
     product for each row that ``is_query`` marks, among all rows but its own.
 
-    Both sides are dealt by a hash of the id into blocks of about ``block_rows``
-    and ``block_queries``; each pair of blocks is one bounded group, and gives at
-    most k rows per query. Exact, ties to the smaller id. Vectors that are null or
-    empty, hold a null or non-finite component, or have no id take no part;
-    vectors of different lengths are not compared. Components and scores beyond 64
-    bits count as the nearest 64-bit integer. Of rows with one id the
-    smallest vector counts. Fewer than k candidates: all. An empty table, or one
+    Method: one row per id; the approximation file, one byte a component; bounds of all scores from it, for blocks of
+    about ``block_rows`` cells and ``block_queries`` queries, of which each block hands on only rows that may count;
+    over all blocks, rows whose upper bound is below the kth largest lower bound fall away. Exact vectors are then
+    joined by id: first for the k highest upper bounds of each query, then for those rows
+    whose upper bounds reach the kth exact score. That is certain: no row left out can count.
+
+    Exact, ties to the smaller id. Vectors that are null or empty, hold a null or non-finite component, or have no id take no part (two empty
+    vectors would have no components to compare); vectors of different lengths are not compared. Components and scores beyond 64
+    bits count as the nearest 64-bit integer. Of rows with one id the smallest vector counts, found by partial aggregation before
+    any block is dealt, and the row is a query if any of them is. Fewer than k candidates: all. An empty table, or one
     without queries, gives an empty result. Other columns are not read.
     """
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), quantised(F.col(vector), scale).alias("v"),
                           F.coalesce(is_query, F.lit(False)).alias("q")).where("id is not null and v is not null")
+    rows = saved(rows.groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q")).withColumn("dim", F.size("v")), "vectors")
+    cells = saved(approximation(rows), "approximation")
     n, n_q = rows.agg(F.count("*"), F.count(F.when(F.col("q"), 1))).first()
     deal, deal_q = max(1, -(-n // block_rows)), max(1, -(-n_q // block_queries))
-    rows = rows.withColumn("dim", F.size("v"))
     cb, qb = F.pmod(F.xxhash64("id"), F.lit(deal)).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(deal_q)).cast("int")
     every_q, every_c = F.explode(F.expr(f"sequence(0, {deal_q - 1})")), F.explode(F.expr(f"sequence(0, {deal - 1})"))
-    sides = rows.select("dim", cb.alias("c"), every_q.alias("b"), F.lit(False).alias("q"), "id", "v").unionByName(
-        rows.where("q").select("dim", every_c.alias("c"), qb.alias("b"), F.lit(True).alias("q"), "id", "v"))
-
-    def arrays(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        flat = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        x, ids = flat.reshape(t.num_rows, -1).astype(np.int64), t.column("id").to_numpy()
-        order = np.lexsort((*x.T[::-1], ids)) if len(np.unique(ids)) < len(ids) else np.argsort(ids, kind="stable")
-        first = np.ones(len(ids), bool)
-        first[1:] = ids[order][1:] != ids[order][:-1]
-        return x[order][first], ids[order][first]
+    sides = cells.select("dim", cb.alias("c"), every_q.alias("b"), "id", "cells", "low", "width").withColumn(
+        "v", F.lit(None).cast("array<long>")).unionByName(
+        rows.where("q").select("dim", every_c.alias("c"), qb.alias("b"), "id", "v"), allowMissingColumns=True)
 
     def run(t: pa.Table) -> pa.Table:
-        mask = t.column("q").to_numpy(zero_copy_only=False).astype(bool)
-        got = []
-        if mask.any() and not mask.all():
-            x, ids = arrays(t.filter(pa.array(~mask)))
-            q, q_ids = arrays(t.filter(pa.array(mask)))
-            got = search_block(q, q_ids, x, ids, k)
-        cols = list(zip(*got, strict=True)) or [[], [], []]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()),
-                         "score": pa.array(cols[2], pa.int64())})
-
-    best = sides.groupBy("dim", "c", "b").applyInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        query = np.array(t.column("cells").is_null().to_pylist(), bool)
+        out: list[tuple] = []
+        if query.any() and not query.all():
+            mine, theirs = t.filter(pa.array(query)), t.filter(pa.array(~query))
+            data = np.frombuffer(b"".join(theirs.column("cells").to_pylist()), np.uint8).reshape(theirs.num_rows, -1)
+            low, width = theirs.column("low")[0].as_py(), int(theirs.column("width")[0].as_py())
+            for q, ids, lower, upper in bounds(_matrix(mine.column("v"), mine.num_rows), mine.column("id").to_numpy(), data,
+                                               theirs.column("id").to_numpy(), low, width, k):
+                out += zip([q] * len(ids), ids, lower, upper, strict=True)
+        cols = list(zip(*out, strict=True)) or [[]] * 4
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("query_id", "vec_id", "lower", "upper"), cols, strict=True)})
+
+    near = saved(sides.groupBy("dim", "c", "b").applyInArrow(run, "query_id long, vec_id long, lower long, upper long"), "bounded")
+    by = lambda *order: F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    whole = Window.partitionBy("query_id")
+    near = near.withColumn("r", by(F.desc("lower"), "vec_id")).withColumn("floor", F.max(F.when(F.col("r") == k, F.col("lower"))).over(whole))
+    near = near.where("floor is null or upper >= floor").withColumn("r", by(F.desc("upper"), "vec_id"))
+    near = saved(near.select("query_id", "vec_id", "upper", "r"), "in-question")
+    first = saved(_scores(near.where(F.col("r") <= k), rows), "scores")
+    kth = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
+    rest = near.where(F.col("r") > k).join(kth, "query_id").where((F.col("kth").isNull()) | (F.col("upper") >= F.col("kth")))
+    every = first.unionByName(_scores(rest.select("query_id", "vec_id"), rows))
+    return every.withColumn("rank", by(F.desc("score"), "vec_id")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

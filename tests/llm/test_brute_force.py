@@ -256,6 +256,40 @@ def test_top_k_blocks(spark):
     assert sorted(map(tuple, got.collect())) == want
 
 
+def test_few_exact_vectors_are_read(spark, monkeypatch):
+    """Of all (query, vector) pairs the cells leave a small share in question; the rest are never read exactly."""
+    df, read = table(spark, "/root/testdata/sf0.1", "embeddings"), []
+    scores = topk._scores
+    monkeypatch.setattr(topk, "_scores", lambda pairs, rows: read.append(pairs) or scores(pairs, rows))
+    rows = topk.top_k(df, F.col("vec_id") % 100 == 0).count()
+    n = df.count()
+    assert rows == 10 * -(-n // 100) and len(read) == 2
+    exact = sum(p.count() for p in read)
+    assert rows <= exact < 0.02 * n * (n / 100), exact / (n * n / 100)
+
+
+def test_top_k_of_odd_vectors(spark):
+    """Ranges near the ends of 64 bits, ties everywhere, ids repeated over many rows and blocks, lengths mixed."""
+    r = random.Random(1)
+    rows = [(k % 70, [float(r.choice((-2, -1, 0, 1, 2))) for _ in range(4)]) for k in range(300)]
+    rows += [(100 + k, [r.choice((1e300, -1e300, 5e15, -3.0, 0.0)) for _ in range(3)]) for k in range(40)]
+    rows += [(200 + k, [r.uniform(-1, 1) * 10 ** r.randrange(0, 14) for _ in range(5)]) for k in range(60)] + [(7, [0.5] * 2)] * 500
+    clamp = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+    ints = {}
+    for i, v in rows:
+        w = [clamp(math.floor(x * 1024)) for x in v]
+        ints[i] = min(ints.get(i, w), w)
+    want = set()
+    for q in ints:
+        if q % 10 == 0:
+            best = sorted((-clamp(sum(a * b for a, b in zip(ints[q], v))), i) for i, v in ints.items() if i != q and len(v) == len(ints[q]))[:4]
+            want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    for blocks in ((65_536, 1024), (20, 3)):
+        got = topk.top_k(df, F.col("vec_id") % 10 == 0, k=4, block_rows=blocks[0], block_queries=blocks[1])
+        assert {tuple(x) for x in got.collect()} == want
+
+
 def _contains(text, item):
     return f" {' '.join(item.split())} " in f" {' '.join(text.split())} "
 
