@@ -154,6 +154,19 @@ def detach_delete(nodes: DataFrame, edges: DataFrame, doomed: DataFrame, key: st
     return n, e
 
 
+def detach_delete_stored(edges: DataFrame, doomed: DataFrame, key: str = "id") -> DataFrame:
+    """The edges that ``DETACH DELETE`` of ``doomed`` leaves, of a table of edges stored both ways and bucketed by
+    (src, dst) (``catalog.write_keyed(by="primary")``).
+
+    A doomed end is sought on one side only: an edge that ends in a doomed node is the reverse of one that begins
+    there. That is the one shuffle of the edges, by ``src``, in which a hub is a skewed key that can be split. The edges found, in
+    both directions, then meet the table bucket by bucket, where a hub's edges are spread evenly and nothing
+    but those few edges moves.
+    """
+    touched = edges.join(doomed.select(F.col(key).alias("_d")), F.col("src") == F.col("_d"), "left_semi").select("src", "dst")
+    return edges.join(symmetric_closure(touched, normalized=True), ["src", "dst"], "left_anti")
+
+
 def delete_edges(edges: DataFrame, doomed: DataFrame) -> DataFrame:
     """``MATCH ()-[r]->() DELETE r`` for the given (src, dst) rows."""
     return edges.join(doomed.select("src", "dst"), ["src", "dst"], "left_anti")

@@ -18,7 +18,7 @@ from ..functions import generate as gen
 from ..functions.scalars import bernoulli, bounded_int, iso_date, iso_text, key_token, unit_double, upper_half
 from ..operators import documents as doc
 from ..operators import expiry, graph, keyed, kv, layout, mutate, partitions, rank, token_layout
-from ..schemas import PEOPLE_SCHEMA, USER_METRICS_KEY, USER_METRICS_SCHEMA
+from ..schemas import EDGE_KEY, PEOPLE_SCHEMA, USER_METRICS_KEY, USER_METRICS_SCHEMA
 from ..session import scratch_path
 from ..sources import catalog, files, fixtures as fx
 from ..sources.tables import read_table, table_path
@@ -719,6 +719,17 @@ def keyed_join_stored(spark, sf):
     return catalog.join_stored(spark, *names, USER_METRICS_KEY)
 
 
+@q("graph_detach_delete_stored", W("""SELECT e.src, e.dst FROM edges e WHERE e.src NOT IN (SELECT id FROM nodes WHERE job = 'ECONOMY')
+ AND e.dst NOT IN (SELECT id FROM nodes WHERE job = 'ECONOMY')""", "edges", "nodes"))
+def graph_detach_delete_stored(spark, sf):
+    """Nodes and their edges taken from a stored edge table: its edges are shuffled once."""
+    location = scratch_path(spark, "edges")
+    name = "tesserae_" + location.rsplit("/", 1)[-1].replace("-", "_")
+    buckets = catalog.buckets_for(files.size_bytes(spark, table_path(sf, "lineitem")))
+    catalog.write_keyed(fx.edges(spark, sf), name, EDGE_KEY, buckets, location, by="primary")
+    return graph.detach_delete_stored(spark.table(name), fx.nodes(spark, sf).filter(F.col("job") == "ECONOMY"))
+
+
 PURGE_AS_OF = "1999-01-01 12:00:00"
 
 

@@ -62,3 +62,4 @@ class KeySpec:
 
 
 USER_METRICS_KEY = KeySpec(partition=("city",), clustering=("user_id",))
+EDGE_KEY = KeySpec(partition=("src",), clustering=("dst",))

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import re
 from collections import Counter
 
 import pytest
@@ -284,6 +285,34 @@ def test_every_pair_has_the_same_chance(spark):
     assert 1224 - 4 * (2 * 1224) ** 0.5 < chi < 1224 + 4 * (2 * 1224) ** 0.5
 
 
+def test_detach_delete_shuffles_stored_edges_once(spark):
+    """A hub holds a third of all edges and is doomed, or not; with broadcast off the edges are shuffled by src alone."""
+    half = spark.range(1, 30_001).select(F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 700 + 1).cast("long").alias("src"),
+                                         (F.col("id") + 1000).alias("dst")).distinct()
+    catalog.write_keyed(graph.symmetric_closure(half, normalized=True), "edges_t", KeySpec(("src",), ("dst",)), 8, scratch_path(spark, "e"), by="primary")
+    edges = spark.table("edges_t")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        for doomed in (spark.range(0, 1), spark.range(5, 2000), spark.range(0)):
+            left = graph.detach_delete_stored(edges, doomed)
+            p = final(left)
+            if "Exchange" in p:  # (nothing is left of the plan where nobody is doomed)
+                assert len(re.findall(r"Exchange hashpartitioning\(src#\d+L, \d+\)", p)) == 1, p  # edges, by one end
+                assert len(re.findall(r"Exchange hashpartitioning\(src#\d+L, dst#\d+L, 8\)", p)) == 1, p  # only the edges found
+                assert len(re.findall(r"FileScan.*Bucketed: true", p)) == 1 and p.count("Exchange hash") == 3, p
+            _, want = graph.detach_delete(spark.range(1), edges, doomed)
+            assert rows_of(left) == rows_of(want)
+        assert "skew=true" in final(graph.detach_delete_stored(edges, spark.range(0, 1)))
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_merge_edges_both_ways_is_the_general_merge(spark):
     pairs = spark.createDataFrame([(1, 2), (2, 1), (3, 4), (5, 5), (6, None), (7, 8), (8, 7)], "src long, dst long")
     stored = spark.createDataFrame([(1, 2), (2, 1), (9, 1), (1, 9)], "src long, dst long")
