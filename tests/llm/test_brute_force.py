@@ -309,6 +309,89 @@ def test_decontamination_query(spark, documents):
         assert max(len(grams(t) & grams(texts[i])) / len(grams(t)) for t in items) >= 0.7
 
 
+def _template(text):
+    """(core, options) of each word: what it may stand for, by the rules of the docstrings."""
+    out, ws = [], text.split()
+    for k, w in enumerate(ws):
+        core = re.sub(r"^\W+|\W+$", "", w) or w
+        number = lambda x: re.fullmatch(r"[$€£+-]?\d[\d.,:/]*%?", x.strip(".,;:!?()[]\"'")) is not None
+        if number(w):
+            options = ["<number>"]
+        elif core.lower() in decontam.UNITS:
+            options = ["<unit>"] if k and number(ws[k - 1]) else [core.lower()]
+        elif core[:1].isupper():
+            begins = k == 0 or ws[k - 1][-1] in ".!?:;" or ws[k - 1][-2:-1] in (".", "!", "?")
+            options = ["<name>", core.lower()] if begins else ["<name>"]
+        else:
+            options = [core.lower()]
+        out.append((core.lower(), options))
+    return out
+
+
+def _template_windows(text):
+    """[{key: slots}] of the five-word windows at each place, in all readings."""
+    t, out = _template(text), []
+    for k in range(len(t) - 4):
+        here, some = t[k:k + 5], {}
+        for read in itertools.product(*[o for _, o in here]):
+            held = tuple(c if x.startswith("<") and x != c else "" for (c, _), x in zip(here, read))
+            if all(held):
+                some[("words", *[c for c, _ in here])] = ()
+            else:
+                some[read] = held
+        out.append(some)
+    return out
+
+
+def test_decontamination_between_two_bounds(spark, documents):
+    """Brute force over all documents, items, shifts and passages: what holds an item at one shift, with
+    consistent slots, is flagged; what is flagged has enough windows of the item in one passage, each at a place of its own."""
+    sf = SMALL
+    items = {r["item_id"]: _template_windows(r["text"]) for r in table(spark, sf, "benchmark").collect() if len(r["text"].split()) >= 5}
+    r, extra = random.Random(11), {}
+    for k, row in enumerate(table(spark, sf, "benchmark").collect()):  # copies with numbers, words and whole stretches changed
+        ws = row["text"].split()
+        for p in (0.02, 0.05, 0.1):
+            extra[-(10 * k + int(100 * p) + 1)] = " ".join(w if r.random() > p else f"other{r.randrange(99)}" for w in ws)
+    docs = {d["doc_id"]: d["text"] or "" for d in documents.collect()} | extra
+    must, may = set(), set()
+    for i, text in docs.items():
+        windows = _template_windows(text)
+        for item, wanted in items.items():
+            need = math.ceil(0.8 * len(wanted) - 1e-9)
+            at = defaultdict(list)
+            for q, some in enumerate(wanted):
+                for key in some:
+                    at[key].append(q)
+            met = defaultdict(set)  # place in the document: item windows met there
+            for p, some in enumerate(windows):
+                for key in some:
+                    if key in at:
+                        met[p].update(at[key])
+            if len({q for qs in met.values() for q in qs}) < need:
+                continue
+            shifts = Counter(p - q for p, qs in met.items() for q in qs)
+            for shift, n in shifts.items():
+                if n >= need:
+                    slots = Counter()
+                    for p, qs in met.items():
+                        if p - shift in qs:
+                            key = next(key for key in windows[p] if key in wanted[p - shift])
+                            slots.update((x, y) for x, y in zip(wanted[p - shift][key], windows[p][key]) if x and y)
+                    left, right = Counter(x for x, _ in slots), Counter(y for _, y in slots)
+                    sure = sum(c for (x, y), c in slots.items() if left[x] == right[y] == 1)
+                    if sure >= 0.8 * sum(slots.values()):
+                        must.add(i)
+            length = 2 * max(len(wanted), 100)
+            for begin in met:
+                inside = {p: qs for p, qs in met.items() if begin <= p < begin + length}
+                if len({q for qs in inside.values() for q in qs}) >= need and len(inside) >= need:
+                    may.add(i)
+    df = spark.createDataFrame(sorted(docs.items()), "doc_id long, text string")
+    got = {x["doc_id"] for x in decontam.flags(df, table(spark, sf, "benchmark")).collect() if x["contaminated"]}
+    assert must <= got <= may and len(must) > 20 and len(may - must) < 0.2 * len(may)
+
+
 def test_reparameterised_questions(spark):
     item = "A train leaves Paris at 60 km per hour and then meets Alice after 3 hours, so how far has the train gone when Alice waves at 60 trees"
     same = item.replace("60", "75").replace("Alice", "Bob").replace("Paris", "Rome").replace("km", "miles")
