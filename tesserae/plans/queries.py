@@ -190,6 +190,19 @@ def doc_pipeline(spark, sf):
     return r.withColumn("stats_average", F.round("stats_average", 6))
 
 
+@q("doc_pipeline_limit", W("""SELECT concat(job, '/', company) AS job_title, round(avg(login_count), 6) AS stats_average, count(*) AS stats_total_users
+FROM users_flat WHERE active GROUP BY job, company ORDER BY avg(login_count) DESC, concat(job, '/', company) LIMIT 100""", "users_flat"))
+def doc_pipeline_limit(spark, sf):
+    """The same stages over more groups than the limit lets through."""
+    r = doc.flatten(doc.pipeline(_users(spark, sf), [
+        lambda d: doc.match(d, F.col("active")),
+        lambda d: doc.group(d, F.concat_ws("/", "profile.job", "profile.company"), logins=F.avg("login_count"), members=F.count(F.lit(1))),
+        lambda d: d.orderBy(F.desc("logins"), F.asc_nulls_first("_id")).limit(100),
+        lambda d: doc.restructure(d, {"job_title": "_id", "stats": {"average": "logins", "total_users": "members"}}),
+    ]))
+    return r.withColumn("stats_average", F.round("stats_average", 6))
+
+
 @q("doc_filter_and", W(f"SELECT {USER_COLS_SQL} FROM users WHERE active AND login_count > 500", "users"))
 def doc_filter_and(spark, sf):
     u = _users(spark, sf)
@@ -641,6 +654,13 @@ def stream_kv_set(spark, sf):
     return stream_kv_writes(spark, sf)
 
 
+@q("stream_kv_compacted", W("SELECT * FROM kv_store", "kv_store"))
+def stream_kv_compacted(spark, sf):
+    """The same stream, its batch folders folded into one at a new path, which is what is read."""
+    from ..streaming.upsert import stream_kv_writes
+    return stream_kv_writes(spark, sf, compacted=True)
+
+
 # ------------------------------------------------------------ no match, hosts
 
 @q("doc_set_one_nomatch", W("SELECT _id, active FROM users_flat", "users_flat"))

@@ -53,8 +53,8 @@ def compact(spark: SparkSession, path: str, target: str, schema: T.StructType, k
     merged(spark, path, schema, key, version).write.mode("errorifexists").parquet(f"{target}/epoch=-1")
 
 
-def stream_kv_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SET stream over the events files: the store after all writes."""
+def stream_kv_writes(spark: SparkSession, sf_dir: str, compacted: bool = False) -> DataFrame:
+    """SET stream over the events files: the store after all writes, ranked on read, or ``compacted`` before."""
     schema = read_table(spark, sf_dir, "events").schema
     # the table is one file or a folder of part files; all files there are form one batch
     src = spark.readStream.schema(schema).parquet(table_path(sf_dir, "events") + "*")
@@ -66,4 +66,8 @@ def stream_kv_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     path = scratch_path(spark, "kv-changes")
     run_upserts(writes, change_sink(path, ["key"], ["ts", "seq"]), scratch_path(spark, "kv-stream-ckpt"))
+    if compacted:
+        target = scratch_path(spark, "kv-compacted")
+        compact(spark, path, target, writes.schema, ["key"], ["ts", "seq"])
+        return spark.read.schema(writes.schema).parquet(f"{target}/epoch=-1").select("key", "value")
     return merged(spark, path, writes.schema, ["key"], ["ts", "seq"]).select("key", "value")
