@@ -17,8 +17,8 @@ from tesserae.llm.common import bitmap, id_order, in_bitmap, saved
 WINDOW, GRAM = 20, 8
 #: Cells of a sketch row in one block, as a power of two; blocks merge independently.
 BLOCK_BITS = 18
-#: Bits of the bitmaps of repeated texts and of documents with repeated windows.
-MAP_BITS = 24
+#: Least and most bits (as powers of two) of the bitmaps of repeated texts and of documents with repeated windows.
+MAP_BITS, MOST_MAP_BITS = 24, 28
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -28,6 +28,12 @@ def sketch_bits(n_bytes: int, most: int = 28) -> int:
     return min(most, max(BLOCK_BITS, int(np.ceil(np.log2(max(n_bytes, 1) / 10)))))
 
 
+def map_bits(members: int) -> int:
+    """Bits of a bitmap for that many members, as a power of two: eight or more for each, so that few others
+    hit it, up to 2**MOST_MAP_BITS (32 MB, and at most 2**(MOST_MAP_BITS - 6) rows that reach the driver)."""
+    return max(MAP_BITS, min(MOST_MAP_BITS, (8 * members).bit_length()))
+
+
 def _cells(anchor: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The anchor's cell in each of the two rows of the sketch."""
     return anchor >> np.uint64(64 - bits), W.mix(anchor ^ _OTHER) >> np.uint64(64 - bits)
@@ -211,7 +217,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_
 
     Sketches have a fixed largest size (2 * 2**max_sketch_bits bits); beyond about
     2**max_sketch_bits anchors they let more windows through to step 3, which
-    stays exact. Null and empty texts have no words. Null ids come after all
+    stays exact. The bitmaps are sized by the measured numbers of repeated texts and of documents with repeats, up to
+    2**MOST_MAP_BITS bits; beyond some hundred million they let more whole texts through to the exact tests. Null and empty texts have no words. Null ids come after all
     others; rows of one id are one document; repeated rows keep their words alike.
     An empty table gives an empty result. Other columns are not read.
     """
@@ -224,8 +231,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_
     n_bytes = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     bits = sketch_bits(n_bytes, max_sketch_bits)
 
-    twice = base.groupBy("__th").agg(F.count("*").alias("n")).where("n > 1")
-    in_copies = bitmap(twice, "__th", MAP_BITS)
+    twice = saved(base.groupBy("__th").agg(F.count("*").alias("n")).where("n > 1").select("__th"), "twice")
+    in_copies = bitmap(twice, "__th", map_bits(twice.count()))
     copied = spark.sparkContext.broadcast(in_copies)
     copies = base.where(in_bitmap(spark, in_copies, F.col("__th"))).withColumn("__md5", F.md5("__t"))
     least = copies.groupBy("__md5").agg(F.min("__did").alias("__least")).withColumnRenamed("__md5", "__same")
@@ -243,7 +250,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_
     late = suspects.join(first, (F.col("h") == F.col("h0")) & (F.col("check") == F.col("c0")) & (place > F.col("place")))
     found = saved(late.groupBy("did", "th").agg(F.collect_set("pos").alias("pos")), "repeats")  # repeated rows add nothing
 
-    in_repeats = bitmap(found.select(F.xxhash64("did", "th").alias("k")), "k", MAP_BITS)
+    in_repeats = bitmap(found.select(F.xxhash64("did", "th").alias("k")), "k", map_bits(found.count()))
     repeated = spark.sparkContext.broadcast(in_repeats)
     key = F.xxhash64("__did", "__th").alias("__key")
     scan = base.withColumn("__first", F.lit(True)).select("__id", "__did", "__t", "__first", "__th", key, F.lit(1).alias("__route"))

@@ -584,6 +584,10 @@ def test_substrings_of_few_words(spark, sketch):
         assert bytes(got[i]["kept"]).decode() == kept
 
 
+def test_bitmaps_grow_with_their_members():
+    assert [substrings.map_bits(n) for n in (0, 10**6, 2**21, 2**22, 10**8, 10**12)] == [24, 24, 25, 26, 28, 28]
+
+
 def test_bitmap(spark):
     df = spark.createDataFrame([(x,) for x in (-1, 0, 5, 2**62, -(2**63))], "h long")
     data = bitmap(df, "h", 10)
