@@ -109,8 +109,12 @@ class _Template:
         placeholders alone say nothing about a text: they count by their words, and have no slots."""
         kind = np.where(self.opener, _PLAIN, self.kind)
         p, h, m = self.readings(W.window_starts(self.counts, window), window, kind, self.opener)
-        held = np.concatenate((np.zeros(1, np.int64), np.cumsum(kind != _PLAIN)))
-        blank = held[p + window] - held[p] + sum((m >> j) & 1 for j in range(window)) == window
+        held = np.zeros(len(kind) + 1, np.int32)
+        np.cumsum(kind != _PLAIN, out=held[1:])
+        many = held[p + window] - held[p]
+        read = np.flatnonzero(m)
+        many[read] += sum((m[read] >> j) & 1 for j in range(window)).astype(np.int32)
+        blank = many == window
         if blank.any():
             q = np.unique(p[blank])
             total = np.zeros(len(q), np.uint64)
