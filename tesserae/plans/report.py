@@ -62,11 +62,10 @@ Reading the table: every `groupBy`/`distinct` is one shuffle with a partial
 aggregate below it; `orderBy` without a limit adds a range shuffle; joins
 with a small side are broadcast by AQE's measured size (explicit
 `broadcast()` only on one-row picks and one row per range). Queries that write files first
-show each written frame in a row of its own before the final read (`stream_kv_set` writes
-within its stream, as `kv_set` does). `SortAggregate` marks `max_by`/`min_by` over structs
+show each written frame in a row of its own before the final read. `SortAggregate` marks `max_by`/`min_by` over structs
 (last-write-wins), which still aggregates partially before its shuffle.
 `python` = yes only for the pandas generator variants kept for the
-partition-function API. At sf0.1 every input file is one Parquet row group,
+partition-function API. At these sizes every input file is one Parquet row group,
 so scans run as one task each; at scale the same plans split scans by row
 group and file. No query has skewed keys at this scale, so no skew split
 shows here; `tests/test_plans.py::test_hub_node_join_is_split_by_aqe` shows
