@@ -98,3 +98,26 @@ def delete_all_counts(df: DataFrame) -> DataFrame:
 def delete_all(df: DataFrame) -> DataFrame:
     """``delete_many({})``: empty frame, same schema."""
     return df.filter(F.lit(False))
+
+
+def changes(before: DataFrame, after: DataFrame, key: str = "_id") -> DataFrame:
+    """Read-back check of a change: one row for each key whose document differs between two states of a
+    collection, with ``change`` (``added``, ``removed`` or ``changed``) and ``fields``, the fields that differ in
+    a changed document, in column order; documents that are the same give no row.
+
+    A field that one state lacks reads as null there. Each key is held once by each state, null being a key; fields
+    may be nested, but not maps, which do not compare. Both states are read once and meet in one equi join.
+    """
+    fields = [c for c in dict.fromkeys([*before.columns, *after.columns]) if c != key]
+
+    def packed(df: DataFrame, key_as: str, name: str) -> DataFrame:
+        cells = [(F.col(f"`{c}`") if c in df.columns else F.lit(None)).alias(f"f{i}") for i, c in enumerate(fields)]
+        return df.select(F.col(f"`{key}`").alias(key_as), F.struct(F.lit(1).alias("here"), *cells).alias(name))
+
+    both = packed(before, "_key", "_old").join(packed(after, "_key_after", "_new"), F.col("_key").eqNullSafe(F.col("_key_after")), "full_outer")
+    differ = [F.when(~F.col(f"_old.f{i}").eqNullSafe(F.col(f"_new.f{i}")), F.lit(c)) for i, c in enumerate(fields)]
+    kind = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").otherwise("changed")
+    named = F.array_compact(F.array(*differ)) if differ else F.array().cast("array<string>")
+    out = both.select(F.when(F.col("_old").isNull(), F.col("_key_after")).otherwise(F.col("_key")).alias(key), kind.alias("change"), named.alias("fields"))
+    return out.filter((F.col("change") != "changed") | (F.size("fields") > 0)).withColumn(
+        "fields", F.when(F.col("change") == "changed", F.col("fields")).otherwise(F.array().cast("array<string>")))

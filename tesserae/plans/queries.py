@@ -10,6 +10,7 @@ doubles from aggregates are rounded, counts are bigint.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -870,3 +871,64 @@ def doc_collation_accents(spark, sf):
     k = F.col("_id")
     name = F.concat_ws(" ", F.element_at(F.array(*[F.lit(n) for n in NAMES]), ((k * 7) % 11 + 1).cast("int")), (k % 97).cast("string"))
     return rank.collation_sort(_users(spark, sf).select("_id", name.alias("name")), "name", 100, tie=["_id"])
+
+
+@q("doc_read_back", W("""SELECT _id, 'removed' AS change, '' AS fields FROM users_flat WHERE login_count > 950
+ UNION ALL SELECT _id, 'changed' AS change, CASE WHEN active THEN 'active,is_technical' ELSE 'is_technical' END AS fields
+ FROM users_flat WHERE login_count <= 950 AND job = 'MACHINERY'
+ UNION ALL SELECT -1 - _id AS _id, 'added' AS change, '' AS fields FROM users_flat WHERE _id % 50 = 0""", "users_flat"))
+def doc_read_back(spark, sf):
+    """What a set, a deletion and an insert did to a stored collection, read back and compared with the state before."""
+    before, users = _stored_users(spark, sf), _users(spark, sf)
+    stored, _ = partitions.set_where(spark, before, scratch_path(spark, "users"), F.col("profile.job") == "MACHINERY",
+                                     {"active": False, "is_technical": True})
+    stored, _ = partitions.delete_where(spark, stored, scratch_path(spark, "users"), F.col("login_count") > 950)
+    after = doc.insert_many(partitions.load(spark, stored), users.filter(F.col("_id") % 50 == 0).withColumn("_id", -1 - F.col("_id")))
+    return mutate.changes(partitions.load(spark, before), after).withColumn("fields", F.array_join("fields", ","))
+
+
+@q("namespace_tables", W("""SELECT 'first' AS namespace, 'history' AS table_name, city, count(*) AS n FROM user_metrics
+ WHERE user_id % 2 = 1 AND session_duration > 1800 GROUP BY city
+ UNION ALL SELECT 'second' AS namespace, CASE WHEN user_id % 2 = 0 THEN 'current' ELSE 'history' END AS table_name, city, count(*) AS n
+ FROM user_metrics GROUP BY user_id % 2, city""", "user_metrics"))
+def namespace_tables(spark, sf):
+    """Three namespaces of like-named tables: a table dropped and one emptied and loaded again in the first, nothing
+    done in the second, the third dropped with its tables. Counts over all tables that are left."""
+    root, before = scratch_path(spark, "namespaces"), spark.catalog.currentDatabase()
+    rows = fx.user_metrics(spark, sf).select("city", "user_id", "session_duration")
+    of = {label: f"tesserae_{label}_{root.rsplit('-', 1)[-1]}" for label in ("first", "second", "third")}
+    left = []
+    try:
+        for label, name in of.items():
+            catalog.create_namespace(spark, name, f"{root}/{label}")
+            catalog.use_namespace(spark, name)
+            for table, odd in (("current", 0), ("history", 1)):
+                rows.filter(F.col("user_id") % 2 == odd).write.saveAsTable(table)
+        catalog.use_namespace(spark, of["first"])
+        catalog.drop_table(spark, "current")
+        catalog.truncate_table(spark, "history")
+        rows.filter((F.col("user_id") % 2 == 1) & (F.col("session_duration") > 1800)).write.insertInto("history")
+        catalog.drop_namespace(spark, of["third"])
+        for label, name in of.items():
+            for table in catalog.tables_of(spark, name):
+                counts = rank.group_count(spark.table(f"{name}.{table}"), "city", "n")
+                left.append(counts.select(F.lit(label).alias("namespace"), F.lit(table).alias("table_name"), "city", "n"))
+    finally:
+        catalog.use_namespace(spark, before)
+    return reduce(DataFrame.unionByName, left)
+
+
+@q("single_file_report", W("SELECT city, count(*) AS n, 1 AS files FROM user_metrics GROUP BY city", "user_metrics"))
+def single_file_report(spark, sf):
+    """A small report written as one file: only its groups go through one task, the rows are counted where they lie."""
+    counts, path = rank.group_count(fx.user_metrics(spark, sf), "city", "n"), scratch_path(spark, "report.csv")
+    files.write_csv(counts, path, single_file=True)
+    report = files.read_csv(spark, path, counts.schema)
+    return report.withColumn("files", F.lit(len(report.inputFiles())))
+
+
+@q("ttl_live_now", W("""SELECT * FROM (SELECT *, last_access + to_seconds(900000000) AS expires_at FROM user_metrics)
+ WHERE expires_at > CAST(now() AS TIMESTAMP)""", "user_metrics"))
+def ttl_live_now(spark, sf):
+    """Rows alive at the time of the query: lives of 28 years, some of which end about now."""
+    return keyed.live(keyed.with_ttl(fx.user_metrics(spark, sf), 900_000_000, "last_access"))

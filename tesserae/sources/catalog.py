@@ -29,6 +29,13 @@ def use_namespace(spark: SparkSession, name: str) -> None:
     spark.sql(f"USE {_q(name)}")
 
 
+def tables_of(spark: SparkSession, name: str) -> list[str]:
+    """Names of the tables in a namespace, sorted; none if there is no such namespace."""
+    if not spark.catalog.databaseExists(name):
+        return []
+    return sorted(r["tableName"] for r in spark.sql(f"SHOW TABLES IN {_q(name)}").collect() if not r["isTemporary"])
+
+
 def _ddl(schema: T.StructType) -> str:
     return ", ".join(f"{_q(f.name)} {f.dataType.simpleString()}" for f in schema.fields)
 

@@ -153,3 +153,44 @@ def test_set_where_sees_the_stored_document(spark):
     df = spark.createDataFrame([(5, 0), (0, 0), (None, 3)], "a long, b long")
     out = mutate.set_where(df, F.col("a") > 1, {"a": 0, "b": 9, "c": F.col("a") + F.col("b")})
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(0, 9, 5), (0, 0, None), (None, 3, None)], key=str)
+
+
+def _changed(before, after):
+    return {r["_id"]: (r["change"], tuple(r["fields"])) for r in mutate.changes(before, after).collect()}
+
+
+def test_read_back_of_a_change(spark):
+    u = _users(spark)
+    after = mutate.set_where(mutate.delete_where(u, F.col("_id") == 6), F.col("login_count") > 600, {"active": False, "is_new": True})
+    after = after.unionByName(_users(spark).filter("_id = 6").withColumn("_id", F.lit(None).cast("long")), allowMissingColumns=True)
+    assert _changed(u, after) == {2: ("changed", ("active", "is_new")), 5: ("changed", ("active", "is_new")),
+                                  6: ("removed", ()), None: ("added", ())}
+    # null against null is no change, null against a value is one; a field deep inside counts as its top field
+    moved = u.withColumn("profile", F.col("profile").withField("location.lat", F.lit(1.0)))
+    assert _changed(u, moved) == {k: ("changed", ("profile",)) for k in (1, 2, 5)}
+    # a field that is gone reads as null
+    assert _changed(u, u.drop("last_login")) == {1: ("changed", ("last_login",))}
+    assert _changed(u, u) == _changed(u, u.repartition(3)) == {}
+
+
+def test_read_back_of_empty_states_and_odd_names(spark):
+    u, none = _users(spark), _users(spark).limit(0)
+    assert _changed(none, none) == {}
+    assert _changed(none, u) == {k: ("added", ()) for k in range(1, 7)}
+    assert _changed(u, none) == {k: ("removed", ()) for k in range(1, 7)}
+    keys = u.select("_id")
+    assert _changed(keys, keys.filter("_id < 6")) == {6: ("removed", ())}
+    odd = u.select("_id", F.col("name").alias("a.b"), F.col("email").alias("_old"), F.col("tags").alias("_key"))
+    assert _changed(odd, odd.withColumn("_old", F.upper("_old"))) == {k: ("changed", ("_old",)) for k in range(1, 7)}
+
+
+def test_read_back_is_one_equi_join(spark):
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        u = _users(spark)
+        p = mutate.changes(u, mutate.inc(u, 2, "login_count"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert p.count("SortMergeJoin") + p.count("ShuffledHashJoin") == 1 and "NestedLoop" not in p
+    assert p.count("Exchange hashpartitioning") == 2

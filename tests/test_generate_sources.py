@@ -93,10 +93,15 @@ def test_catalog_helpers(spark):
             assert spark.table(f"{ns}.{t}").count() == 5
             catalog.truncate_table(spark, f"{ns}.{t}")
             assert spark.table(f"{ns}.{t}").count() == 0 and spark.table(f"{ns}.{t}").columns == ["id"]
+        spark.range(1).createOrReplaceTempView("t7")  # a view of the session is no table of the namespace
+        assert catalog.tables_of(spark, ns) == ["t5", "t6"]
+        catalog.drop_table(spark, f"{ns}.t5")
+        catalog.drop_table(spark, f"{ns}.t5")  # nothing to drop
+        assert catalog.tables_of(spark, ns) == ["t6"]
     finally:
         catalog.use_namespace(spark, "default")
         catalog.drop_namespace(spark, ns)
-    assert not spark.catalog.databaseExists(ns)
+    assert not spark.catalog.databaseExists(ns) and catalog.tables_of(spark, ns) == []
     prof = catalog.lakehouse_profile("iceberg", "/shared/wh")
     assert prof["spark.sql.catalog.local.warehouse"] == "/shared/wh"
     import pytest

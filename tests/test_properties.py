@@ -5,7 +5,7 @@ import datetime as dt
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from tesserae.operators import graph, keyed
+from tesserae.operators import graph, keyed, mutate
 from tesserae.schemas import KeySpec
 
 SETTINGS = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
@@ -114,3 +114,20 @@ def test_merge_nodes(spark, cur, inc):
     got = {r["id"]: (r["name"], r["keep"], r["score"]) for r in graph.merge_nodes(c, i, ["name", "score"]).collect()}
     old, new = dict(cur), dict(inc)
     assert got == {k: (new.get(k, old.get(k)), f"keep{k}" if k in old else None, k * 10 if k in new else None) for k in {*old, *new}}
+
+
+documents = st.dictionaries(st.integers(0, 6), st.tuples(st.sampled_from(["a", "b", None]), st.sampled_from([1, 2, None])), max_size=7)
+
+
+@SETTINGS
+@given(documents, documents)
+def test_changes_match_brute_force(spark, before, after):
+    frame = lambda d: spark.createDataFrame([(k, *v) for k, v in d.items()], "_id int, name string, n int")
+    want = {}
+    for k in before.keys() | after.keys():
+        if k not in after or k not in before:
+            want[k] = ("removed" if k in before else "added", [])
+        elif before[k] != after[k]:
+            want[k] = ("changed", [c for c, x, y in zip(("name", "n"), before[k], after[k], strict=True) if x != y])
+    got = mutate.changes(frame(before), frame(after)).collect()
+    assert {r["_id"]: (r["change"], r["fields"]) for r in got} == want and len(got) == len(want)
