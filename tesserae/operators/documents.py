@@ -180,12 +180,19 @@ def insert_many(collection: DataFrame | None, docs: DataFrame, key: str = "_id",
 
 
 def insert_unique(collection: DataFrame, docs: DataFrame, key: str = "_id", order: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """Insert that keeps ``key`` unique, as an unordered bulk insert does: ``(collection after it, rejected)``.
+    """Insert that keeps ``key`` unique, as an unordered bulk insert does: ``(collection after it, rejected)``; see
+    ``unique_documents``."""
+    inserted, rejected = unique_documents(collection, docs, key, order)
+    return collection.unionByName(inserted, allowMissingColumns=True), rejected
+
+
+def unique_documents(collection: DataFrame, docs: DataFrame, key: str = "_id", order: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """The documents of a batch that an insert takes and those it leaves out: ``(inserted, rejected)``.
 
     ``rejected`` holds the documents left out with their ``reason``: ``stored`` (the key is in the collection),
     ``batch`` (an earlier document of the batch has it) or ``no key`` (null). Of equal keys the first by ``order``, then
     by a hash of the document, is taken; equal documents are told apart by their number alone. The collection's
-    keys are unique by contract, and null there at most once.
+    keys are unique by contract, and null there at most once; only its key column is read.
 
     The batch is folded to its distinct documents first, then to one row per key, which meets
     the collection's keys in one join; that row says which document is taken. It is written to the shared folder, so
@@ -204,6 +211,4 @@ def insert_unique(collection: DataFrame, docs: DataFrame, key: str = "_id", orde
     reason = F.when(F.col("_k").isNull(), "no key").when(F.col("_stored"), "stored").otherwise("batch")
     left = F.col("_copies") - taken.cast("long")
     rejected = judged.filter(left > 0).select("_doc", reason.alias("reason"), F.explode(F.sequence(F.lit(1).cast("long"), left)).alias("_i"))
-    inserted = judged.filter(taken).select("_doc.*")
-    return (collection.unionByName(inserted, allowMissingColumns=True),
-            rejected.select(*[F.col(f"_doc.`{c}`").alias(c) for c in cols], "reason"))
+    return judged.filter(taken).select("_doc.*"), rejected.select(*[F.col(f"_doc.`{c}`").alias(c) for c in cols], "reason")

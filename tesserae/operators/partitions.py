@@ -2,13 +2,15 @@
 
 A collection lies in hash buckets of its key, one folder each. A change finds the
 buckets that hold matches, writes their next state to a new path and leaves all others
-where they are; the value returned says which bucket is read from which path. Nothing
+where they are; an insert writes the new documents alone, so a bucket may lie in several
+paths. The value returned says which bucket is read from which paths. Nothing
 is overwritten, and there is no log: a failed change leaves the old value valid.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections import Counter
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import mutate
+from .documents import unique_documents
 
 BUCKET = "_bucket"
 
@@ -118,3 +121,33 @@ def set_first(spark: SparkSession, stored: Stored, path: str, pred: Column, valu
 def delete_where(spark: SparkSession, stored: Stored, path: str, pred: Column) -> tuple[Stored, list[int]]:
     """Delete every match; a bucket left empty has no folder and reads as empty."""
     return rewrite(spark, stored, path, pred, lambda d: mutate.delete_where(d, pred))
+
+
+def insert_unique(spark: SparkSession, stored: Stored, path: str, docs: DataFrame, order: Sequence[str] = ()
+                  ) -> tuple[Stored, list[int], DataFrame]:
+    """Insert that keeps the key unique: ``(collection after it, buckets with new documents, rejected documents)``.
+
+    Of what is stored, only the key column of the batch's buckets is read, and nothing is rewritten: the documents
+    taken are written to ``path`` (none: nothing is), and their buckets are read from there too, until a change
+    or ``compact`` writes them anew. ``docs`` may lack stored fields and add new ones, but not change
+    a field's type (``ValueError``). See ``documents.unique_documents`` for which documents are taken.
+    """
+    known = {f.name: f.dataType for f in stored.schema.fields}
+    for f in docs.schema.fields:
+        if f.name in known and f.dataType != known[f.name]:
+            raise ValueError(f"{f.name}: {f.dataType.simpleString()} in the batch, {known[f.name].simpleString()} stored")
+    keyed = docs.filter(F.col(stored.key).isNotNull())
+    near = {r[0] for r in keyed.select(bucket_of(stored.key, stored.buckets).alias(BUCKET)).distinct().collect()}
+    taken, rejected = unique_documents(_load(spark, stored, near).select(stored.key), docs, stored.key, order)
+    _write(taken.withColumn(BUCKET, bucket_of(stored.key, stored.buckets)), path, stored.key)
+    schema = T.StructType([*stored.schema.fields, *[f for f in docs.schema.fields if f.name not in known]])
+    after = replace(stored, schema=schema, parts=((path, tuple(range(stored.buckets))),))
+    new = sorted(r[0] for r in _load(spark, after).select(BUCKET).distinct().collect())
+    return (replace(after, parts=(*stored.parts, (path, tuple(new)))) if new else stored), new, rejected
+
+
+def compact(spark: SparkSession, stored: Stored, path: str) -> tuple[Stored, list[int]]:
+    """Write the buckets that lie in several paths to one path each; the others stay where they are."""
+    paths = Counter(b for _, buckets in stored.parts for b in buckets)
+    several = {b for b, n in paths.items() if n > 1}
+    return rewrite(spark, stored, path, F.lit(True), lambda d: d, several) if several else (stored, [])

@@ -842,21 +842,42 @@ BATCH_SQL = """SELECT _id, lower(email) AS email, login_count, 0 AS seq FROM use
  UNION ALL SELECT CAST(NULL AS BIGINT) AS _id, email, login_count, 2 AS seq FROM users_flat WHERE login_count > 990"""
 
 
-@q("doc_insert_unique", W(f"""SELECT _id, email, login_count, CASE WHEN _id IS NULL THEN 'no key' WHEN stored THEN 'stored' WHEN rn > 1 THEN 'batch'
+INSERT_SQL = f"""SELECT _id, email, login_count, CASE WHEN _id IS NULL THEN 'no key' WHEN stored THEN 'stored' WHEN rn > 1 THEN 'batch'
  ELSE 'inserted' END AS outcome FROM (SELECT b._id, b.email, b.login_count, u._id IS NOT NULL AS stored,
   row_number() OVER (PARTITION BY b._id ORDER BY b.seq) AS rn FROM ({BATCH_SQL}) b
   LEFT JOIN (SELECT _id FROM users_flat WHERE active) u ON b._id = u._id)
- UNION ALL SELECT _id, email, login_count, 'kept' AS outcome FROM users_flat WHERE active""", "users_flat"))
+ UNION ALL SELECT _id, email, login_count, 'kept' AS outcome FROM users_flat WHERE active"""
+
+
+def _insert_batch(u):
+    part = lambda pred, email, seq: u.filter(pred).select("_id", email.alias("email"), "login_count", F.lit(seq).alias("seq"))
+    return (part(F.col("login_count") > 300, F.lower("email"), 0).union(part(F.col("login_count") > 600, F.upper("email"), 1))
+            .union(part(F.col("login_count") > 990, F.col("email"), 2).withColumn("_id", F.lit(None).cast("long"))))
+
+
+def _outcomes(after, rejected):
+    after = after.select("_id", "email", "login_count", F.coalesce("outcome", F.lit("inserted")).alias("outcome"))
+    return after.union(rejected.select("_id", "email", "login_count", "reason"))
+
+
+@q("doc_insert_unique", W(INSERT_SQL, "users_flat"))
 def doc_insert_unique(spark, sf):
     """A batch with keys that are stored, that repeat within it, and that are missing."""
     u = _users(spark, sf).select("_id", "email", "login_count", "active")
-    part = lambda pred, email, seq: u.filter(pred).select("_id", email.alias("email"), "login_count", F.lit(seq).alias("seq"))
-    batch = (part(F.col("login_count") > 300, F.lower("email"), 0).union(part(F.col("login_count") > 600, F.upper("email"), 1))
-             .union(part(F.col("login_count") > 990, F.col("email"), 2).withColumn("_id", F.lit(None).cast("long"))))
     stored = u.filter("active").select("_id", "email", "login_count", F.lit("kept").alias("outcome"))
-    after, rejected = doc.insert_unique(stored, batch, order=["seq"])
-    after = after.select("_id", "email", "login_count", F.coalesce("outcome", F.lit("inserted")).alias("outcome"))
-    return after.union(rejected.select("_id", "email", "login_count", "reason"))
+    return _outcomes(*doc.insert_unique(stored, _insert_batch(u), order=["seq"]))
+
+
+@q("doc_insert_stored", W(INSERT_SQL, "users_flat"))
+def doc_insert_stored(spark, sf):
+    """The same batch put into a stored collection, of which only keys are read; its split buckets are then compacted."""
+    u = _users(spark, sf).select("_id", "email", "login_count", "active")
+    buckets = catalog.buckets_for(files.size_bytes(spark, table_path(sf, "customer")), least=16)
+    stored = partitions.store(u.filter("active").select("_id", "email", "login_count", F.lit("kept").alias("outcome")),
+                              scratch_path(spark, "users"), buckets=buckets)
+    stored, _, rejected = partitions.insert_unique(spark, stored, scratch_path(spark, "users"), _insert_batch(u), order=["seq"])
+    stored, _ = partitions.compact(spark, stored, scratch_path(spark, "users"))
+    return _outcomes(partitions.load(spark, stored), rejected)
 
 
 #: Names that differ in case or accents alone, in every combination that the collation has to order.

@@ -202,6 +202,49 @@ def test_changes_on_changes(spark):
     assert sorted(b for _, bs in s.parts for b in bs) == list(range(8))
 
 
+def test_an_insert_writes_new_documents_alone(spark):
+    users = fx.users(spark, SF_SMALL).select("_id", "login_count", "active")
+    old = {r["_id"]: tuple(r) for r in users.collect()}
+    base, path = scratch_path(spark, "u"), scratch_path(spark, "u")
+    s = partitions.store(users, base, buckets=16)
+    stamp = {f: os.stat(f"{base}/{f}").st_mtime_ns for f in folders(base)}
+    batch = spark.createDataFrame([(-1, 5, "x"), (-1, 6, "y"), (7, 1, "z"), (None, 2, "w")], "_id long, login_count int, note string")
+    after, new, rejected = partitions.insert_unique(spark, s, path, batch, order=["login_count"])
+    assert len(new) == 1 and folders(path) == [f"_bucket={new[0]}"] and after.parts == (*s.parts, (path, tuple(new)))
+    assert {f: os.stat(f"{base}/{f}").st_mtime_ns for f in folders(base)} == stamp
+    assert rows_of(rejected) == rows_of(spark.createDataFrame(
+        [(-1, 6, "y", "batch"), (7, 1, "z", "stored"), (None, 2, "w", "no key")], rejected.schema))
+    want = {**{i: (*r, None) for i, r in old.items()}, -1: (-1, 5, None, "x")}
+    assert {r["_id"]: tuple(r) for r in partitions.load(spark, after).collect()} == want
+    assert partitions.by_key(spark, after, -1).first()["note"] == "x" and partitions.load(spark, s).count() == len(old)
+    # keys of an earlier insert count as stored; a change of a split bucket, or a compaction, writes it to one path
+    again = partitions.insert_unique(spark, after, scratch_path(spark, "u"), batch.filter("_id = -1"))
+    assert again[:2] == (after, []) and [r["reason"] for r in again[2].collect()] == ["stored", "stored"]
+    changed, touched = partitions.inc(spark, after, scratch_path(spark, "u"), -1, "login_count")
+    whole, moved = partitions.compact(spark, after, scratch_path(spark, "u"))
+    for t in (changed, whole):
+        assert sorted(b for _, bs in t.parts for b in bs) == list(range(16))
+    assert touched == moved == new and partitions.compact(spark, whole, scratch_path(spark, "u")) == (whole, [])
+    assert {r["_id"]: tuple(r) for r in partitions.load(spark, whole).collect()} == want
+    with pytest.raises(ValueError, match="_id"):
+        partitions.insert_unique(spark, s, scratch_path(spark, "u"), batch.withColumn("_id", F.col("_id").cast("int")))
+    none = partitions.insert_unique(spark, s, scratch_path(spark, "u"), batch.limit(0))
+    assert none[:2] == (s, []) and none[2].count() == 0
+
+
+def test_an_insert_reads_the_keys_of_its_buckets(spark, monkeypatch):
+    seen = []
+    load = partitions._load
+    monkeypatch.setattr(partitions, "_load", lambda spark, stored, only=None: seen.append(only) or load(spark, stored, only))
+    users = fx.users(spark, SF_SMALL)
+    s = partitions.store(users, scratch_path(spark, "u"), buckets=64)
+    s, new, _ = partitions.insert_unique(spark, s, scratch_path(spark, "u"), users.limit(1).withColumn("_id", F.lit(-5).cast("long")))
+    assert seen[0] == set(new) and len(new) == 1
+    keys = plan(load(spark, s, set(new)).select("_id"))
+    assert re.search(r"PartitionFilters: \[[^\]]*_bucket", keys)
+    assert "ReadSchema: struct<_id:bigint>" in keys
+
+
 # -------------------------------------------------------------- generations
 
 def test_generations_are_one_scan_and_conflicts_raise(spark):
