@@ -20,7 +20,8 @@ Readers fetch the tail, choose frames by id, and read and decompress only those.
 from __future__ import annotations
 
 import functools
-import itertools
+import json
+import re
 import struct
 import unicodedata
 import zlib
@@ -36,13 +37,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyarrow import fs
 
+from tesserae.llm import words as W
+
 _INDEX, _SEEK, _END = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 FRAME_TOKENS = 1 << 18
 #: Compressed bytes of frames that one task reads, while that takes no more than MOST_TASKS tasks.
 TASK_BYTES, MOST_TASKS = 4 << 20, 50_000
 #: Distinct pieces whose ids a Python worker remembers; then it starts afresh.
 CACHE_PIECES = 1_200_000
-_known: dict[str, dict[str, bytes]] = {}
+#: Bytes of text whose pieces are told apart at once, and pieces whose ids are joined at once.
+TEXT_BYTES, JOINED_PIECES = 16 << 20, 500_000
+#: Words of these letters are parted by white space alone, so that many go to the tokenizer as one text.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+WORDS_A_TEXT = 64
+_known: dict[str, _Pieces] = {}
 _loaded: dict[str, object] = {}
 
 
@@ -74,29 +82,98 @@ def _core(piece: str) -> tuple[str, str]:
     return (core.lower() if core.isascii() and core.isalpha() else core), mark
 
 
-def encode(texts: list[str], tokenizer: str) -> list[bytes]:
-    """Token ids of each text as little-endian uint32, without special tokens.
+class _Pieces:
+    """The pieces that a worker knows: a row for each, and its ids as one stretch of ``ids``."""
+
+    def __init__(self, tokenizer: str):
+        self.tok = _tokenizer(tokenizer)
+        suffix = json.loads(self.tok.to_str())["model"].get("end_of_word_suffix")
+        vocab = self.tok.get_vocab() if suffix else {}
+        self.ends = np.zeros(max(vocab.values(), default=-1) + 1, bool)  # ids that end a word
+        self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = bool(vocab)
+        self.clear()
+
+    def clear(self) -> None:
+        self.row: dict[str, int] = {}
+        self.ids, self.start, self.count = array("I"), array("q"), array("q")
+        self.put("", array("I"))
+
+    def put(self, piece: str, ids: array) -> None:
+        self.row[piece] = len(self.start)
+        self.start.append(len(self.ids))
+        self.count.append(len(ids))
+        self.ids.extend(ids)
+
+    def get(self, piece: str) -> array:
+        k = self.row[piece]
+        return self.ids[self.start[k] : self.start[k] + self.count[k]]
+
+    def rows(self, pieces: list[str]) -> np.ndarray:
+        """The row of each of the distinct ``pieces``; new ones are encoded."""
+        new = [p for p in pieces if p not in self.row]
+        if len(self.row) + len(new) > CACHE_PIECES:
+            self.clear()
+            new = [p for p in pieces if p]
+        parts = list(map(_core, new))
+        self.encode(list({x for pair in parts for x in pair}.difference(self.row)))
+        for p, (core, mark) in zip(new, parts, strict=True):
+            if p not in self.row:
+                self.put(p, self.get(core) + self.get(mark) if mark else self.get(core))
+        return np.fromiter(map(self.row.__getitem__, pieces), np.int64, len(pieces))
+
+    def encode(self, cores: list[str]) -> None:
+        """Words of letters go many to a text, cut after each id that ends a word; where that
+        does not yield as many words, and for all other cores, each is a text of its own."""
+        plain = list(filter(_LETTERS.fullmatch, cores)) if len(self.ends) else []
+        alone = list(set(cores).difference(plain))
+        groups = [plain[i : i + WORDS_A_TEXT] for i in range(0, len(plain), WORDS_A_TEXT)]
+        for group, ids in zip(groups, self.texts(list(map(" ".join, groups))), strict=True):
+            cuts = (np.flatnonzero(self.ends[np.frombuffer(ids, np.uint32)]) + 1).tolist()
+            if len(cuts) != len(group) or cuts[-1] != len(ids):
+                alone += group
+                continue
+            for word, a, b in zip(group, [0, *cuts], cuts, strict=False):
+                self.put(word, ids[a:b])
+        for core, ids in zip(alone, self.texts(alone), strict=True):
+            self.put(core, ids)
+
+    def texts(self, texts: list[str]) -> Iterator[array]:
+        for i in range(0, len(texts), 20_000):
+            for e in self.tok.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False):
+                yield array("I", e.ids)
+
+
+def encode_column(texts: pa.Array, tokenizer: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, token ids end to end, number of ids of each) of runs of texts, without special tokens.
 
     The vocabularies meant here drop white space and never join across it, so a
-    text's ids are those of its pieces between spaces and line feeds, end to end;
+    text's ids are those of its pieces between ASCII white space, end to end;
     each distinct piece is encoded once and remembered.
     """
-    tok, known = _tokenizer(tokenizer), _known.setdefault(tokenizer, {"": b""})
-    split = [t.replace("\n", " ").split(" ") for t in texts]
-    new = set(itertools.chain.from_iterable(split)).difference(known)
-    if len(known) + len(new) > CACHE_PIECES:
-        known.clear()
-        known[""] = b""
-        new = set(itertools.chain.from_iterable(split)) - {""}
-    parts = {p: _core(p) for p in new}
-    cores = list({x for pair in parts.values() for x in pair}.difference(known))
-    for i in range(0, len(cores), 20_000):
-        some = cores[i : i + 20_000]
-        for core, e in zip(some, tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            known[core] = array("I", e.ids).tobytes()
-    for p, (core, mark) in parts.items():
-        known[p] = known[core] + known[mark]
-    return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+    known = _known.get(tokenizer) or _known.setdefault(tokenizer, _Pieces(tokenizer))
+    for at, to in W.runs(W.sizes(texts), TEXT_BYTES):
+        pieces, codes, counts = W.coded(texts.slice(at, to - at))
+        row = known.rows(pieces.to_numpy(zero_copy_only=False).tolist())
+        start, count = np.frombuffer(known.start, np.int64)[row], np.frombuffer(known.count, np.int64)[row]
+        ids, past = np.frombuffer(known.ids, np.uint32) if known.ids else np.zeros(0, np.uint32), np.concatenate(([0], np.cumsum(counts)))
+        for k, end in W.runs(counts, JOINED_PIECES):
+            code = codes[past[k] : past[end]]
+            n = count[code]
+            total = np.concatenate(([0], np.cumsum(n)))
+            yield at + k, ids[np.repeat(start[code] - total[:-1], n) + np.arange(total[-1])], np.diff(total[past[k : end + 1] - past[k]])
+        del ids  # its memory may be moved for new pieces
+
+
+def encode(texts: list[str], tokenizer: str) -> list[bytes]:
+    """Token ids of each text as little-endian uint32, without special tokens."""
+    return [ids for _, part in _encoded(pa.array(texts, pa.string()), tokenizer) for ids in part]
+
+
+def _encoded(texts: pa.Array, tokenizer: str) -> Iterator[tuple[int, list[bytes]]]:
+    """(first text, ids of each as bytes) of runs of texts."""
+    for at, ids, counts in encode_column(texts, tokenizer):
+        raw, end = ids.astype("<u4").tobytes(), 4 * np.cumsum(counts)
+        yield at, [raw[a:b] for a, b in zip((end - 4 * counts).tolist(), end.tolist(), strict=True)]
 
 
 class _File:
@@ -159,9 +236,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = None
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                for i, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist(), tokenizer), strict=True):
+            for at, part in _encoded(b.column(1), tokenizer):
+                for i, ids in zip(b.column(0).slice(at, len(part)).to_pylist(), part, strict=True):
                     out = out or _File(folder, f"part-{TaskContext.get().partitionId():06d}.tok.zst", level)
                     out.add(i, ids + end)
         if out:

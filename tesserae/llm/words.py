@@ -7,7 +7,11 @@ where each text ends, so windows that would cross a text are masked out.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 _BASE = 0x9E3779B97F4A7C15
@@ -27,6 +31,35 @@ def flat(texts: list[bytes | None], lower: bool = False) -> tuple[list[bytes], n
     return words, counts
 
 
+def coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of a column of texts, the place of each word among them, and the
+    number of words of each text: what ``flat`` yields, with Python objects for distinct words alone."""
+    if not pa.types.is_string(texts.type):
+        texts = texts.view(pa.string()) if pa.types.is_binary(texts.type) else texts.cast(pa.string())
+    split = pc.ascii_split_whitespace(texts)
+    counts, words = pc.list_value_length(split).fill_null(0).to_numpy().astype(np.int64), split.flatten()
+    said = pc.binary_length(words).to_numpy() > 0  # white space at an end, or nothing else, leaves an empty word
+    if not said.all():
+        counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[said], minlength=len(counts))
+        words = words.filter(pa.array(said))
+    got = words.dictionary_encode()
+    return got.dictionary, got.indices.to_numpy(), counts
+
+
+def sizes(texts: pa.Array) -> np.ndarray:
+    """Bytes of each text. Null: none."""
+    return pc.binary_length(texts).fill_null(0).to_numpy()
+
+
+def runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(first, past the last) of runs of rows whose sizes add up to at most ``most``; a larger row stands alone."""
+    total, at = np.cumsum(sizes, dtype=np.int64), 0
+    while at < len(total):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right")))
+        yield at, to
+        at = to
+
+
 def hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 

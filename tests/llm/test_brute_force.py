@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 import xxhash
@@ -19,6 +20,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tesserae.llm import decontam, hilbert, mixing, queries, rule_ensemble, simhash, substrings, token_files, topk, url_filter
+from tesserae.llm import words as W
 from tesserae.llm.common import bitmap, in_bitmap, scratch, table
 from tesserae.llm.components import components
 from tesserae.plans.check import canon, duck
@@ -95,6 +97,38 @@ def test_every_letter_before_a_closing_mark():
     assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
 
 
+def test_words_of_letters_go_to_the_tokenizer_many_at_once(monkeypatch):
+    names = ["".join(x) for x in itertools.product("aäBçß", "eÉnt", "rsñx", "abcd")]
+    texts = [" ".join(names[k::7]) + tail for k, tail in enumerate(["", ".", " x1 Ωmega", "\t'tis", "\r\nd'or,", "\x0bª", "\x0c!"])] + ["", " \t\n", "\x1c"]
+    tok, sent = Tokenizer.from_file(TOKENIZER), []
+    want = [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    known = token_files._Pieces(TOKENIZER)
+    known.texts = lambda texts: (sent.extend(texts), token_files._Pieces.texts(known, texts))[1]
+    monkeypatch.setitem(token_files._known, TOKENIZER, known)
+    assert token_files.encode(texts, TOKENIZER) == want and len(sent) < len(names) // 4
+    monkeypatch.setattr(token_files, "CACHE_PIECES", 50)  # starts afresh, again and again
+    monkeypatch.setattr(token_files, "TEXT_BYTES", 300)
+    assert token_files.encode(texts, TOKENIZER) == want
+    known.clear()
+    known.ends[:] = False  # no id is seen to end a word: each goes alone
+    assert token_files.encode(texts, TOKENIZER) == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.none() | st.lists(st.sampled_from([b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r", b"\x1c", b"\x85", b"\xff", b"\xc3\xa9", b"a", b"b."]), max_size=20).map(b"".join), max_size=6), st.integers(0, 2))
+def test_coded_words_are_the_flat_ones(texts, cut):
+    column = pa.array([b"x y", b" z"][:cut] + texts, pa.binary()).slice(cut)
+    distinct, codes, counts = W.coded(column)
+    said = distinct.view(pa.binary()).to_pylist()
+    flat, many = W.flat(texts)
+    assert [said[k] for k in codes] == flat and counts.tolist() == many.tolist() and len(set(said)) == len(said)
+
+
+def test_runs_of_rows():
+    assert list(W.runs(np.array([3, 0, 4, 9, 0, 1]), 7)) == [(0, 3), (3, 4), (4, 6)]
+    assert list(W.runs(np.array([], np.int64), 7)) == [] and list(W.runs(np.zeros(3, np.int64), 7)) == [(0, 3)]
+
+
 def _fingerprint(text):
     ws = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
     sh = [b" ".join(ws[i:i + 3]) for i in range(len(ws) - 2)] if len(ws) >= 3 else ([b" ".join(ws)] if ws else [])
