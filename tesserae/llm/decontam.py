@@ -10,6 +10,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,28 +35,57 @@ _NUMBER = re.compile(r"[$€£+-]?\d[\d.,:/]*%?")
 _TRIM = re.compile(r"^\W+|\W+$")
 _PLAIN, _NUM, _UNIT, _NAME = range(4)
 _MARK = np.array([0] + [xxhash.xxh64_intdigest(x) for x in (b"<number>", b"<unit>", b"<name>")], np.uint64)
-CACHE_WORDS = 500_000
-
+CACHE_WORDS = 1_000_000
+#: Bytes of text whose words are told apart at once, and words whose windows are made at once.
+TEXT_BYTES, AT_ONCE = 16 << 20, 500_000
+_UNITS_SET = frozenset(UNITS)
 
-class _Words(dict):
-    """Word -> (hash of its trimmed lower-case form, kind, ends a sentence); starts afresh when large."""
 
-    def __missing__(self, word: bytes) -> tuple[int, int, bool]:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        s = word.decode("utf-8", "replace")
+def _word(word: bytes) -> tuple[int, int, bool]:
+    """Hash of a word's trimmed lower-case form, its kind, and whether it ends a sentence."""
+    s = word.decode("utf-8", "replace")
+    if s.isalnum():
+        core = s
+    elif s[:-1].isalnum() and s[-1] != "_":
+        core = s[:-1]
+    else:
         core = _TRIM.sub("", s) or s
-        if _NUMBER.fullmatch(s.strip(".,;:!?()[]\"'")):
-            kind = _NUM
-        elif core.lower() in _UNITS_SET:
-            kind = _UNIT
-        else:
-            kind = _NAME if core[:1].isupper() else _PLAIN
-        self[word] = out = (xxhash.xxh64_intdigest(core.lower()), kind, s[-1] in ".!?:;" or s[-2:-1] in (".", "!", "?"))
-        return out
+    low = core.lower()
+    if not core.isalpha() and _NUMBER.fullmatch(s.strip(".,;:!?()[]\"'")):  # what is trimmed has no digit
+        kind = _NUM
+    elif low in _UNITS_SET:
+        kind = _UNIT
+    else:
+        kind = _NAME if core[:1].isupper() else _PLAIN
+    return xxhash.xxh64_intdigest(low), kind, s[-1] in ".!?:;" or s[-2:-1] in (".", "!", "?")
+
+
+class _Words:
+    """What ``_word`` says of the words that a worker knows, a row each; starts afresh when large."""
+
+    def __init__(self):
+        self.row: dict[bytes, int] = {}
+        self.core, self.kind, self.ends = array("Q"), array("b"), array("b")
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, kind and end of each word of a column of texts, and the number of words of each."""
+        distinct, codes, counts = W.coded(texts)
+        words = distinct.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        new = [w for w in words if w not in self.row]
+        if len(self.row) + len(new) > CACHE_WORDS:
+            self.__init__()
+            new = words
+        for w in new:
+            core, kind, ends = _word(w)
+            self.row[w] = len(self.core)
+            self.core.append(core)
+            self.kind.append(kind)
+            self.ends.append(ends)
+        row = np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
+        take = lambda x, of: np.frombuffer(x, of)[row][codes] if len(row) else np.zeros(0, of)
+        return take(self.core, np.uint64), take(self.kind, np.int8), take(self.ends, bool), counts
 
 
-_UNITS_SET = frozenset(UNITS)
 _known = _Words()
 
 
@@ -66,15 +96,11 @@ class _Template:
     stand in both readings. A unit word counts as a unit only after a number.
     """
 
-    def __init__(self, texts: list[bytes | None]):
-        ws, self.counts = W.flat(texts)
-        self.starts = W.starts_of(self.counts)
-        got = list(map(_known.__getitem__, ws))
-        self.core = np.fromiter((x[0] for x in got), np.uint64, len(got))
-        kind = np.fromiter((x[1] for x in got), np.int64, len(got))
-        ends = np.fromiter((x[2] for x in got), bool, len(got))
-        first = _first(self.counts, len(ws))
-        opens, after_number = first.copy(), np.zeros(len(ws), bool)
+    def __init__(self, core: np.ndarray, kind: np.ndarray, ends: np.ndarray, counts: np.ndarray):
+        self.core, self.counts, kind = core, counts, kind.astype(np.int64)
+        self.starts = W.starts_of(counts)
+        first = _first(counts, len(core))
+        opens, after_number = first.copy(), np.zeros(len(core), bool)
         opens[1:] |= ends[:-1]
         after_number[1:] = kind[:-1] == _NUM
         self.kind = np.where((kind == _UNIT) & ~(after_number & ~first), _PLAIN, kind)
@@ -149,6 +175,16 @@ class _Template:
             yield n, q, W.mix(W.rolling(self.core, n)[q] + np.uint64(n + 128)), np.zeros(len(q), np.int64), plain
 
 
+def _templates(texts: pa.Array) -> Iterator[tuple[int, _Template]]:
+    """(first text, template) of runs of texts."""
+    for at, to in W.runs(W.sizes(texts), TEXT_BYTES):
+        core, kind, ends, counts = _known.of(texts.slice(at, to - at))
+        past = np.concatenate(([0], np.cumsum(counts)))
+        for k, end in W.runs(counts, AT_ONCE):
+            a, b = past[k], past[end]
+            yield at + k, _Template(core[a:b], kind[a:b], ends[a:b], counts[k:end])
+
+
 def _first(counts: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros(n, bool)
     out[W.starts_of(counts)[counts > 0]] = True
@@ -164,9 +200,8 @@ def _windows(rows: DataFrame, window: int, schema: str, lengths: list[int], keep
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.frombuffer(keep.value, np.uint64) if keep is not None else None
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                t = _Template(b.column(0).to_pylist())
+            for at, t in _templates(whole.column(0)):
+                b = whole.slice(at, len(t.counts))
                 for size, p, h, mask, kind in itertools.chain(t.windows(window), t.short(lengths, window, keep is None)):
                     if cells is not None:
                         x = h & np.uint64(len(cells) * 64 - 1)

@@ -377,6 +377,31 @@ def _template_windows(text):
     return out
 
 
+def test_a_word_is_judged_once_for_all_its_places(monkeypatch):
+    seen, judge = [], decontam._word
+    monkeypatch.setattr(decontam, "_word", lambda w: (seen.append(w), judge(w))[1])
+    monkeypatch.setattr(decontam, "_known", decontam._Words())
+    texts = ["Ann has 3 km, Bob 4.", None, "", "  ann_ has (3) _km \u0663 x\u0301. \u2167% 5% \u20ac7", "Ann Bob: has\x1c3\x0b4"] * 20
+    column = pa.array(texts).cast(pa.binary())
+
+    def said():
+        parts = list(decontam._templates(column))
+        return [np.concatenate([getattr(t, k) for _, t in parts]).tolist() for k in ("core", "kind", "opener", "counts")], [at for at, _ in parts]
+    whole, first = said()
+    assert len(seen) == len(set(seen)) and first == [0]
+    flat = [w for t in texts for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+    assert len(whole[0]) == len(flat) and whole[3] == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+    cores = [re.sub(r"^\W+|\W+$", "", w) or w for w in flat]
+    assert whole[0] == [xxhash.xxh64_intdigest(c.lower()) for c in cores]
+    number = [re.fullmatch(r"[$€£+-]?\d[\d.,:/]*%?", w.strip(".,;:!?()[]\"'")) is not None for w in flat]
+    assert [k == decontam._NUM for k in whole[1]] == number
+    monkeypatch.setattr(decontam, "TEXT_BYTES", 90)
+    monkeypatch.setattr(decontam, "AT_ONCE", 7)
+    monkeypatch.setattr(decontam, "CACHE_WORDS", 9)  # starts afresh, again and again
+    parts, first = said()
+    assert parts == whole and len(first) > 20
+
+
 def test_decontamination_between_two_bounds(spark, documents):
     """Brute force over all documents, items, shifts and passages: what holds an item at one shift, with
     consistent slots, is flagged; what is flagged has enough windows of the item in one passage, each at a place of its own."""
