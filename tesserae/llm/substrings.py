@@ -137,8 +137,10 @@ def _sketch(docs: DataFrame, copied, bits: int, window: int, gram: int) -> bytes
 
 
 def _suspects(docs: DataFrame, copied, sketch: bytes, bits: int, window: int, gram: int) -> DataFrame:
-    """(did, th, pos, h, check) of every window whose anchor is estimated to repeat.
-    ``h`` and ``check`` are 64 and 32 bits of two independent hashes of its words."""
+    """(did, th, pos, key, key2, h, check) of every stretch whose anchor is estimated to repeat: all windows of one
+    anchor, which start at consecutive words from ``pos`` on. ``h`` and ``check`` list 64 and 32 bits of two independent
+    hashes of each window's words; ``key`` and ``key2`` are as many of the stretch's, of which the first and
+    the last window hold every word."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,15 +153,53 @@ def _suspects(docs: DataFrame, copied, sketch: bytes, bits: int, window: int, gr
             hit = np.ones(len(p), bool)
             for k, c in enumerate(_cells(g[at], bits)):
                 hit &= (cells[k * row + (c >> np.uint64(3)).astype(np.int64)] >> (c & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            p = p[hit]
-            doc = np.searchsorted(np.cumsum(counts), p, side="right")
+            p, at = p[hit], at[hit]
+            if not len(p):
+                continue
+            cuts = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(p)]))
+            lo, hi, n = cuts[:-1], cuts[1:] - 1, np.diff(cuts).astype(np.uint64)
+            h1, h2 = W.rolling(h, window)[p], W.rolling(W.mix(h ^ _OTHER), window)[p]
+            key, key2 = (W.mix(x[lo] ^ W.mix(x[hi] + n)) for x in (h1, h2))
+            start = p[lo]
+            doc = np.searchsorted(np.cumsum(counts), start, side="right")
+            ends = pa.array(cuts, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [b.column(1).take(pa.array(doc)), b.column(2).take(pa.array(doc)),
-                 pa.array((p - W.starts_of(counts)[doc]).astype(np.int32)), pa.array(W.rolling(h, window)[p].view(np.int64)),
-                 pa.array((W.rolling(W.mix(h ^ _OTHER), window)[p] >> np.uint64(32)).astype(np.uint32).view(np.int32))],
-                names=["did", "th", "pos", "h", "check"])
+                 pa.array((start - W.starts_of(counts)[doc]).astype(np.int32)), pa.array(key.view(np.int64)), _upper(key2),
+                 pa.ListArray.from_arrays(ends, pa.array(h1.view(np.int64))), pa.ListArray.from_arrays(ends, _upper(h2))],
+                names=["did", "th", "pos", "key", "key2", "h", "check"])
 
-    return docs.select("__t", "__did", "__th", "__route").mapInArrow(emit, "did long, th long, pos int, h long, check int")
+    return docs.select("__t", "__did", "__th", "__route").mapInArrow(
+        emit, "did long, th long, pos int, key long, key2 int, h array<long>, check array<int>")
+
+
+def _upper(h: np.ndarray) -> pa.Array:
+    return pa.array((h >> np.uint64(32)).astype(np.uint32).view(np.int32))
+
+
+def _late(stretches: DataFrame) -> DataFrame:
+    """(did, th, pos, n): runs of n consecutive windows from ``pos`` on that all start earlier too.
+
+    A stretch that starts earlier as a whole is one such run. Only first ones give up their windows to be grouped
+    one by one: a later one's are late, and never the first of their words.
+    """
+    spark = stretches.sparkSession
+    place = F.struct("did", "pos")
+    whole = saved(stretches.groupBy("key", "key2").agg(F.min(place).alias("place")).select(
+        F.xxhash64("key", "key2", "place.did", "place.pos").alias("k")), "stretches")
+    in_whole = bitmap(whole, "k", map_bits(whole.count()))
+    told = stretches.withColumn("__f", in_bitmap(spark, in_whole, F.xxhash64("key", "key2", "did", "pos")))
+    again = told.where("not __f").select("did", "th", "pos", F.size("h").alias("n"))  # the bitmap misses it: certainly not the first
+
+    starts = F.sequence(F.col("pos"), F.col("pos") + F.size("h") - 1).alias("pos")
+    windows = told.where("__f").select("did", "th", F.inline(F.arrays_zip(starts, "h", "check")))
+    first = windows.groupBy("h", "check").agg(F.min(place).alias("place"), F.count("*").alias("n")).where("n > 1").select(
+        F.col("h").alias("h0"), F.col("check").alias("c0"), "place")
+    first = saved(first, "places")
+    in_first = bitmap(first, "h0", map_bits(first.count()))
+    late = windows.where(in_bitmap(spark, in_first, F.col("h"))).join(
+        first, (F.col("h") == F.col("h0")) & (F.col("check") == F.col("c0")) & (place > F.col("place")))
+    return again.unionByName(late.select("did", "th", "pos", F.lit(1).alias("n")))
 
 
 def _result(rows: DataFrame, copied, repeated, window: int) -> DataFrame:
@@ -167,7 +207,8 @@ def _result(rows: DataFrame, copied, repeated, window: int) -> DataFrame:
     __th, __key, __route). Of a scan (route 1), rows that the bitmaps of copied texts
     and of repeated windows miss; of copies (route 2), later ones and those without
     repeated windows; all others (route 0). A copy of an earlier text loses every
-    word if it has a window at all."""
+    word if it has a window at all. ``pos`` lists runs of repeated windows: the first one's start
+    above 32 bits, their number below."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         copies, repeats = np.frombuffer(copied.value, np.uint64), np.frombuffer(repeated.value, np.uint64)
         for b in _slices(batches):
@@ -181,9 +222,10 @@ def _result(rows: DataFrame, copied, repeated, window: int) -> DataFrame:
                 if not first:
                     kept = ws if len(ws) < window else []
                 elif pos:
+                    runs = np.array(pos, np.int64)
                     step = np.zeros(len(ws) + window + 1, np.int32)
-                    np.add.at(step, np.array(pos), 1)
-                    np.add.at(step, np.array(pos) + window, -1)
+                    np.add.at(step, runs >> 32, 1)
+                    np.add.at(step, (runs >> 32) + (runs & 0xFFFFFFFF) + window - 1, -1)
                     kept = list(compress(ws, (np.cumsum(step)[: len(ws)] == 0).tolist()))
                 joined = b" ".join(kept)
                 n.append(len(ws))
@@ -212,8 +254,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_
        single (bitmap) are never shuffled.
     2. Count-min: merged sketches of all tasks overestimate how often a window's
        anchor gram, hence the window, occurs.
-    3. Only windows estimated to repeat are grouped exactly; their first place is
-       found by a pre-aggregated minimum and joined back (a skewed key can split).
+    3. Only windows estimated to repeat are grouped exactly: first whole stretches of
+       windows with one anchor, then the single windows of each stretch's first
+       place. First places are found by a pre-aggregated minimum; those of windows
+       are joined back (a skewed key can split).
 
     Sketches have a fixed largest size (2 * 2**max_sketch_bits bits); beyond about
     2**max_sketch_bits anchors they let more windows through to step 3, which
@@ -242,13 +286,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_
         copies.where("__first").select("__t", "__did", "__th", F.lit(0).alias("__route")))
 
     sketch = _sketch(searched, copied, bits, window, gram)
-    suspects = saved(_suspects(searched, copied, sketch, bits, window, gram), "windows")
-    place = F.struct("did", "pos")
-    first = suspects.groupBy("h", "check").agg(F.min(place).alias("place"), F.count("*").alias("n")).where("n > 1").select(
-        F.col("h").alias("h0"), F.col("check").alias("c0"), "place")
-    first = saved(first, "places")
-    late = suspects.join(first, (F.col("h") == F.col("h0")) & (F.col("check") == F.col("c0")) & (place > F.col("place")))
-    found = saved(late.groupBy("did", "th").agg(F.collect_set("pos").alias("pos")), "repeats")  # repeated rows add nothing
+    late = _late(saved(_suspects(searched, copied, sketch, bits, window, gram), "windows"))
+    run = F.shiftleft(F.col("pos").cast("long"), 32) + F.col("n")
+    found = saved(late.groupBy("did", "th").agg(F.collect_set(run).alias("pos")), "repeats")  # repeated rows add nothing
 
     in_repeats = bitmap(found.select(F.xxhash64("did", "th").alias("k")), "k", map_bits(found.count()))
     repeated = spark.sparkContext.broadcast(in_repeats)
@@ -260,5 +300,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_
         "__r and __first and (__route = 2 or not __c)").withColumn("__route", F.lit(0))
     hit = hit.join(found, (F.col("__did") == F.col("did")) & (F.col("__th") == F.col("th")), "left")
     cols = ["__id", "__t", "__first", "pos", "__th", "__key", "__route"]
-    plain = both.withColumn("pos", F.lit(None).cast("array<int>"))
+    plain = both.withColumn("pos", F.lit(None).cast("array<long>"))
     return _result(plain.select(*cols).unionByName(hit.select(*cols)), copied, repeated, window)

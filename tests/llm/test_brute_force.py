@@ -643,6 +643,37 @@ def test_substrings_of_few_words(spark, sketch):
         assert bytes(got[i]["kept"]).decode() == kept
 
 
+def test_substrings_of_long_passages(spark, monkeypatch):
+    """Passages repeated whole, cut at either end, in an equal place and within a text: stretches of windows, not
+    single windows, are kept for the exact pass, and only a stretch's first place gives up its windows."""
+    rows = {}
+
+    def counted(df, name, real=substrings.saved):
+        out = real(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(substrings, "saved", counted)
+    r = random.Random(11)
+    said = [f"w{r.randrange(50_000)}" for _ in range(300)]
+    texts = [(None, " ".join(said[5:120])), (7, " ".join(said[:60])), (7, " ".join(said[:60] + ["end"])), (5, " ".join(said[250:300] * 2))]
+    for i in range(10, 50):
+        a, b = r.randrange(140), r.randrange(160, 300)
+        texts.append((i, " ".join([f"x{i}", f"y{i}", *said[a:b], f"z{i}"])))
+    got = {(r["doc_id"], r["n_words"]): r for r in substrings.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    order, first = [((math.inf if i is None else i), t.split()) for i, t in texts], {}
+    for i, ws in order:
+        for k in range(len(ws) - 19):
+            w = tuple(ws[k:k + 20])
+            first[w] = min(first.get(w, (math.inf, math.inf)), (i, k))
+    for (i, ws), (doc_id, _) in zip(order, texts, strict=True):
+        gone = {j for k in range(len(ws) - 19) if (i, k) > first[tuple(ws[k:k + 20])] for j in range(k, k + 20)}
+        kept = " ".join(w for k, w in enumerate(ws) if k not in gone)
+        assert (got[doc_id, len(ws)]["n_removed"], got[doc_id, len(ws)]["kept_sha256"]) == (len(gone), hashlib.sha256(kept.encode()).hexdigest())
+    repeated = sum(len(ws) - 19 for _, ws in order)
+    assert 0 < rows["windows"] < repeated / 4 and 0 < rows["stretches"] < rows["windows"] / 2
+
+
 def test_bitmaps_grow_with_their_members():
     assert [substrings.map_bits(n) for n in (0, 10**6, 2**21, 2**22, 10**8, 10**12)] == [24, 24, 25, 26, 28, 28]
 
