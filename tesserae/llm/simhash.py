@@ -105,7 +105,8 @@ def _keys(distance: int) -> list[tuple[int, int]]:
 def links(fps: DataFrame, distance: int = 3) -> DataFrame:
     """(a, b) with a < b for all pairs of distinct fingerprints ``fp`` that differ in
     at most ``distance`` bits, each once. A fingerprint has at most as many partners
-    as the Hamming ball has points, however many documents share it."""
+    as the Hamming ball has points, however many documents share it. Spark estimates the keys' size
+    without counting that each fingerprint has 32 of them, so the join is never left to a broadcast."""
     if not 0 <= distance <= 5:
         raise ValueError("distance must be 0 to 5")
     if distance == 0:
@@ -118,7 +119,7 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
     first = " ".join(f"WHEN ({_turned(x, s)} & {_long(m)}) = 0 AND {chains[s]} THEN {k}" for k, (s, m) in enumerate(keys))
     pair = F.expr(f"l.key = r.key AND l.part = r.part AND l.fp < r.fp AND CASE l.key {here} END"
                   f" AND bit_count({x}) <= {distance} AND l.key = CASE {first} END")
-    return keyed.alias("l").join(keyed.alias("r"), pair).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
+    return keyed.alias("l").join(keyed.alias("r").hint("merge"), pair).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
 
 
 def _classed(docs: DataFrame, distance: int, k: int, seed: int, doc_id: str, text: str) -> DataFrame:

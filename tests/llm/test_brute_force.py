@@ -155,6 +155,16 @@ def test_simhash_query(spark, documents):
     assert got == {i: (f"{fp[i]:016x}", find(i)) for i in ids}
 
 
+def _keys_join(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_simhash_never_broadcasts_keys(spark):
+    p = _keys_join(simhash.links(spark.range(9).select(F.col("id").alias("fp"))))  # Spark sees a table that is small enough
+    assert "SortMergeJoin" in p and "Broadcast" not in p
+
+
+
 @pytest.mark.parametrize("distance", [1, 2, 3, 4, 5])
 def test_links_miss_no_pair(spark, distance):
     r = np.random.default_rng(distance)
