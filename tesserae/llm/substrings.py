@@ -30,7 +30,7 @@ def sketch_bits(n_bytes: int, most: int = 28) -> int:
 
 def map_bits(members: int) -> int:
     """Bits of a bitmap for that many members, as a power of two: eight or more for each, so that few others
-    hit it, up to 2**MOST_MAP_BITS (32 MB, and at most 2**(MOST_MAP_BITS - 6) rows that reach the driver)."""
+    hit it, up to 2**MOST_MAP_BITS (32 MB)."""
     return max(MAP_BITS, min(MOST_MAP_BITS, (8 * members).bit_length()))
 
 
@@ -78,7 +78,7 @@ def _firsts(batches: Iterator[pa.RecordBatch], copied) -> Iterator[pa.RecordBatc
         yield b.filter(pa.array(~((b.column(3).to_numpy() == 1) & _hit(cells, b.column(2)))))
 
 
-def _sketch(docs: DataFrame, copied, bits: int, window: int, gram: int) -> bytes:
+def _sketch(docs: DataFrame, copied, bits: int, window: int, gram: int) -> bytearray:
     """Two bitmaps of 2**bits cells: whether at least two anchors fell into the cell.
 
     Every task emits its sketch sparsely (cells it touched, and whether more than
@@ -130,13 +130,13 @@ def _sketch(docs: DataFrame, copied, bits: int, window: int, gram: int) -> bytes
 
     merged = docs.select("__t", "__did", "__th", "__route").mapInArrow(emit, "block long, cells binary").repartition("block").mapInArrow(
         merge, "block long, bits binary")
-    out = np.zeros(2 * blocks * block // 8, np.uint8)
+    out = bytearray(2 * blocks * block // 8)
     for r in merged.toLocalIterator():
-        out[r["block"] * block // 8 : (r["block"] + 1) * block // 8] = np.frombuffer(r["bits"], np.uint8)
-    return out.tobytes()
+        out[r["block"] * block // 8 : (r["block"] + 1) * block // 8] = r["bits"]
+    return out
 
 
-def _suspects(docs: DataFrame, copied, sketch: bytes, bits: int, window: int, gram: int) -> DataFrame:
+def _suspects(docs: DataFrame, copied, sketch: bytearray, bits: int, window: int, gram: int) -> DataFrame:
     """(did, th, pos, key, key2, h, check) of every stretch whose anchor is estimated to repeat: all windows of one
     anchor, which start at consecutive words from ``pos`` on. ``h`` and ``check`` list 64 and 32 bits of two independent
     hashes of each window's words; ``key`` and ``key2`` are as many of the stretch's, of which the first and
@@ -187,8 +187,8 @@ def _late(stretches: DataFrame) -> DataFrame:
     place = F.struct("did", "pos")
     whole = saved(stretches.groupBy("key", "key2").agg(F.min(place).alias("place")).select(
         F.xxhash64("key", "key2", "place.did", "place.pos").alias("k")), "stretches")
-    in_whole = bitmap(whole, "k", map_bits(whole.count()))
-    told = stretches.withColumn("__f", in_bitmap(spark, in_whole, F.xxhash64("key", "key2", "did", "pos")))
+    in_whole = in_bitmap(spark, bitmap(whole, "k", map_bits(whole.count())), F.xxhash64("key", "key2", "did", "pos"))
+    told = stretches.withColumn("__f", in_whole)
     again = told.where("not __f").select("did", "th", "pos", F.size("h").alias("n"))  # the bitmap misses it: certainly not the first
 
     starts = F.sequence(F.col("pos"), F.col("pos") + F.size("h") - 1).alias("pos")
@@ -196,8 +196,8 @@ def _late(stretches: DataFrame) -> DataFrame:
     first = windows.groupBy("h", "check").agg(F.min(place).alias("place"), F.count("*").alias("n")).where("n > 1").select(
         F.col("h").alias("h0"), F.col("check").alias("c0"), "place")
     first = saved(first, "places")
-    in_first = bitmap(first, "h0", map_bits(first.count()))
-    late = windows.where(in_bitmap(spark, in_first, F.col("h"))).join(
+    in_first = in_bitmap(spark, bitmap(first, "h0", map_bits(first.count())), F.col("h"))
+    late = windows.where(in_first).join(
         first, (F.col("h") == F.col("h0")) & (F.col("check") == F.col("c0")) & (place > F.col("place")))
     return again.unionByName(late.select("did", "th", "pos", F.lit(1).alias("n")))
 
@@ -276,26 +276,25 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_
     bits = sketch_bits(n_bytes, max_sketch_bits)
 
     twice = saved(base.groupBy("__th").agg(F.count("*").alias("n")).where("n > 1").select("__th"), "twice")
-    in_copies = bitmap(twice, "__th", map_bits(twice.count()))
-    copied = spark.sparkContext.broadcast(in_copies)
-    copies = base.where(in_bitmap(spark, in_copies, F.col("__th"))).withColumn("__md5", F.md5("__t"))
+    # bitmaps and sketches are let go as soon as they are broadcast, so the driver's Python holds one of them at a time
+    copied = spark.sparkContext.broadcast(bitmap(twice, "__th", map_bits(twice.count())))
+    copies = base.where(in_bitmap(spark, copied, F.col("__th"))).withColumn("__md5", F.md5("__t"))
     least = copies.groupBy("__md5").agg(F.min("__did").alias("__least")).withColumnRenamed("__md5", "__same")
     copies = saved(copies.join(least, (F.col("__md5") == F.col("__same")) & (F.col("__did") == F.col("__least")), "left").select(
         "__id", "__did", "__t", "__th", F.col("__least").isNotNull().alias("__first")), "copies")
     searched = base.withColumn("__route", F.lit(1)).select("__t", "__did", "__th", "__route").unionByName(
         copies.where("__first").select("__t", "__did", "__th", F.lit(0).alias("__route")))
 
-    sketch = _sketch(searched, copied, bits, window, gram)
-    late = _late(saved(_suspects(searched, copied, sketch, bits, window, gram), "windows"))
+    suspects = _suspects(searched, copied, _sketch(searched, copied, bits, window, gram), bits, window, gram)
+    late = _late(saved(suspects, "windows"))
     run = F.shiftleft(F.col("pos").cast("long"), 32) + F.col("n")
     found = saved(late.groupBy("did", "th").agg(F.collect_set(run).alias("pos")), "repeats")  # repeated rows add nothing
 
-    in_repeats = bitmap(found.select(F.xxhash64("did", "th").alias("k")), "k", map_bits(found.count()))
-    repeated = spark.sparkContext.broadcast(in_repeats)
+    repeated = spark.sparkContext.broadcast(bitmap(found.select(F.xxhash64("did", "th").alias("k")), "k", map_bits(found.count())))
     key = F.xxhash64("__did", "__th").alias("__key")
     scan = base.withColumn("__first", F.lit(True)).select("__id", "__did", "__t", "__first", "__th", key, F.lit(1).alias("__route"))
     both = scan.unionByName(copies.select("__id", "__did", "__t", "__first", "__th", key, F.lit(2).alias("__route")))
-    maybe_copy, maybe_repeat = in_bitmap(spark, in_copies, F.col("__th")), in_bitmap(spark, in_repeats, F.col("__key"))
+    maybe_copy, maybe_repeat = in_bitmap(spark, copied, F.col("__th")), in_bitmap(spark, repeated, F.col("__key"))
     hit = both.withColumn("__c", maybe_copy).withColumn("__r", maybe_repeat).where(
         "__r and __first and (__route = 2 or not __c)").withColumn("__route", F.lit(0))
     hit = hit.join(found, (F.col("__did") == F.col("did")) & (F.col("__th") == F.col("th")), "left")

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -696,6 +697,25 @@ def test_bitmap(spark):
     assert spark.range(1).select(in_bitmap(spark, data, F.lit(77).cast("long"))).first()[0] is False
 
 
+def test_bitmap_of_many_blocks(spark):
+    h = np.random.default_rng(3).integers(-(1 << 63), 1 << 63, 4000, dtype=np.int64)
+    df = spark.createDataFrame([(int(x),) for x in h], "h long")
+    for bits in (6, 12, 18, 21):
+        want = np.zeros(1 << bits, np.uint8)
+        want[h & ((1 << bits) - 1)] = 1
+        assert bytes(bitmap(df, "h", bits)) == np.packbits(want, bitorder="little").tobytes()
+    assert not any(bitmap(df.limit(0), "h", 12))
+
+
+def test_a_full_bitmap_takes_little_more_than_itself_on_the_driver(spark):
+    df = spark.range(1 << 18).select((F.col("id") * 64).alias("h"))  # a bit in each word of 64
+    tracemalloc.start()
+    data = bitmap(df, "h", 24)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(data) == 1 << 21 and peak < 4 << 21
+
+
 def test_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r["doc_id"]: r["quality"] for r in table(spark, sf, "labels").collect()}
