@@ -352,10 +352,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, si
     probes = bench.join(rarest, [*item, "pos"]).select("item_id", "ih", "wh").distinct()
     pairs = found.select("doc_id", "th", "wh").distinct().join(probes, "wh").select("doc_id", "th", "item_id", "ih").distinct()
 
-    # the document's windows that those items have, all of a pair in one row
+    # the document's windows that those items have, all of a pair in one row; the windows' files say little of their
+    # size (few hashes and slots, each often), so their join is never left to a broadcast
     same = F.expr("i.doc_id <=> d.doc_id AND i.th = d.th AND i.wh = d.wh")
     key = ["doc_id", "th", *item]
-    met = pairs.join(bench.select(*item, "wh").distinct(), item).alias("i").join(found.alias("d"), same).select(
+    met = pairs.join(bench.select(*item, "wh").distinct(), item).alias("i").join(found.alias("d").hint("merge"), same).select(
         *[f"i.{c}" for c in key], F.struct("pos", "d.wh", "slots").alias("w")).groupBy(*key).agg(F.collect_list("w").alias("met"))
     whole = bench.groupBy(*item).agg(F.collect_list(F.struct("pos", "wh", "slots")).alias("windows"))
 

@@ -156,12 +156,12 @@ def test_simhash_query(spark, documents):
     assert got == {i: (f"{fp[i]:016x}", find(i)) for i in ids}
 
 
-def _keys_join(df):
+def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_simhash_never_broadcasts_keys(spark):
-    p = _keys_join(simhash.links(spark.range(9).select(F.col("id").alias("fp"))))  # Spark sees a table that is small enough
+    p = _plan(simhash.links(spark.range(9).select(F.col("id").alias("fp"))))  # Spark sees a table that is small enough
     assert "SortMergeJoin" in p and "Broadcast" not in p
 
 
@@ -177,6 +177,15 @@ def test_links_miss_no_pair(spark, distance):
     assert len(got) == len(want) and {tuple(x) for x in got} == want
 
 
+def test_pipeline_broadcasts_no_keys_or_windows(spark, documents, monkeypatch):
+    seen = []
+    monkeypatch.setattr(simhash, "components", lambda df: seen.append(_plan(df)) or components(df))
+    corpus_pipeline.near_duplicates(spark, documents, SMALL)
+    assert len(seen) == 1 and "SortMergeJoin" in seen[0] and "Broadcast" not in seen[0]
+    p = _plan(decontam.contaminated(documents, table(spark, SMALL, "benchmark")))
+    assert re.search(r"SortMergeJoin \[[^\]]*doc_id#[^\]]*wh#", p)  # the documents' windows, small as their files are
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 300), (300, 300), (None, 5), (7, 7)] + [(1000, k) for k in range(1001, 1300)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
